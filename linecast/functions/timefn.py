@@ -23,9 +23,14 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# ISO-8601 shapes seen in the feeds beyond what a plain cast accepts (minute precision, 'Z').
+_EXTRA_FORMATS = ("yyyy-MM-dd'T'HH:mmX", "yyyy-MM-dd'T'HH:mmXXX")
+
+
 def parse_ts(c: Column | str) -> Column:
     """ISO-8601 text to timestamp; unparsable text gives null instead of an error."""
-    return F.try_to_timestamp(_col(c).cast("string"))
+    s = _col(c).cast("string")
+    return F.coalesce(F.try_to_timestamp(s), *[F.try_to_timestamp(s, F.lit(f)) for f in _EXTRA_FORMATS])
 
 
 def with_timestamp(df: DataFrame, name: str, out: str | None = None) -> DataFrame:

@@ -28,6 +28,7 @@ from linecast.functions.odds import (
 from linecast.functions.text import ticker_suffix
 from linecast.functions.timefn import with_timestamp
 from linecast.operators.sequence import DEFAULT_SEGMENT_SECONDS, segmented_asof
+from linecast.operators.serving import latest_by
 
 GAME_KEYS = ("home_team", "away_team")
 
@@ -99,15 +100,6 @@ def divergence_asof(
     return score_divergence(paired, threshold, computed_at)
 
 
-def latest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Last row per key by ``order`` as an aggregate (``max_by``): partial aggregation before the
-    shuffle, so a hot key is reduced map-side instead of sorted in one task."""
-    cols = [c for c in df.columns if c not in keys]
-    row = F.struct(*[F.col(c) for c in cols])
-    latest = df.groupBy(*keys).agg(F.max_by(row, F.struct(*[F.col(o) for o in order])).alias("__row"))
-    return latest.select(*keys, *[F.col("__row")[c].alias(c) for c in cols]).select(*df.columns)
-
-
 def divergence_latest_pair(
     quotes: DataFrame,
     home_odds: DataFrame,

@@ -49,11 +49,9 @@ def round_sql(inner: str, cols: list[str], digits: int = 6) -> str:
     return f"SELECT * REPLACE ({rep}) FROM (\n{inner}\n) t"
 
 
-HOUR = "date_trunc('hour', ingested_at)"
-
-
-def hour_of(c: str = "ingested_at"):
-    return F.date_trunc("hour", F.col(c)).cast("timestamp_ntz")
+def batch_of(c: str = "ingested_at"):
+    """Batch time of the test signals: the day of the input row (one signal run per day)."""
+    return F.date_trunc("day", F.col(c)).cast("timestamp_ntz")
 
 
 # ---------------------------------------------------------------------------------------------
@@ -74,11 +72,11 @@ def home_odds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sharp_signals(spark: SparkSession, sf: str) -> DataFrame:
-    return sharp_money(flat_odds(spark, sf), books=td.TEST_BOOKS, computed_at=hour_of(), tie=("event_id",))
+    return sharp_money(flat_odds(spark, sf), books=td.TEST_BOOKS, computed_at=batch_of(), tie=("event_id",))
 
 
 def divergence_signals(spark: SparkSession, sf: str) -> DataFrame:
-    return divergence_asof(quotes(spark, sf), home_odds(spark, sf), computed_at=hour_of())
+    return divergence_asof(quotes(spark, sf), home_odds(spark, sf), computed_at=batch_of())
 
 
 DIV_DOUBLES = ["kalshi_implied_prob", "sportsbook_home_prob", "divergence"]
@@ -198,3 +196,619 @@ def q_divergence_latest_pair(spark, sf):
         book_order=("ingested_at", "id"),
     )
     return round_doubles(out)
+
+
+# =============================================================================================
+# Serving: filters, views, dedup, feeds, boards
+
+from linecast.functions.odds import register_sql_functions  # noqa: E402
+from linecast.functions.timefn import in_game_window  # noqa: E402
+from linecast.operators import boards as B  # noqa: E402
+from linecast.operators import dims as D  # noqa: E402
+from linecast.operators import joins as J  # noqa: E402
+from linecast.operators import serving as S  # noqa: E402
+from linecast.operators.movement import line_movement  # noqa: E402
+
+LA = "America/Los_Angeles"
+NOT_WOMENS = "sport_key NOT IN ('basketball_wncaab', 'basketball_ncaaw')"
+FEED_DATE = "2024-01-30"
+
+
+def sb_latest(spark, sf):
+    return B.scoreboard_latest(td.scoreboard_events(spark, sf), order_cols=("seq",), keep=("sport_key",))
+
+
+def _div_sql(body: str, *ctes: str, doubles=DIV_DOUBLES) -> str:
+    return O.with_ctes(round_sql(body, list(doubles)), *ctes)
+
+
+@query("exclude_womens", _div_sql(f"SELECT * FROM div WHERE {NOT_WOMENS}", "div"))
+def q_exclude_womens(spark, sf):
+    return round_doubles(S.exclude_womens(divergence_signals(spark, sf)))
+
+
+@query(
+    "by_local_date",
+    _div_sql(f"SELECT * FROM div WHERE CAST({O.local_sql('commence_time', LA)} AS DATE) = DATE '2024-01-15'", "div"),
+)
+def q_by_local_date(spark, sf):
+    return round_doubles(S.by_local_date(divergence_signals(spark, sf), "2024-01-15"))
+
+
+@query("by_sport", _div_sql("SELECT * FROM sharp WHERE sport_key = 'basketball_nba'", "sharp", doubles=SHARP_DOUBLES))
+def q_by_sport(spark, sf):
+    return round_doubles(S.by_sport(sharp_signals(spark, sf), "basketball_nba"))
+
+
+@query(
+    "by_game",
+    _div_sql(
+        """SELECT * FROM div d WHERE EXISTS (SELECT 1 FROM sb_latest s WHERE s.state = 'in'
+      AND s.home_team = d.home_team AND s.away_team = d.away_team)""",
+        "div",
+        "sb_latest",
+    ),
+)
+def q_by_game(spark, sf):
+    live = sb_latest(spark, sf).where(F.col("state") == "in")
+    return round_doubles(S.by_game(divergence_signals(spark, sf), games=live))
+
+
+@query(
+    "plausible_odds",
+    O.with_ctes(
+        "SELECT home_team, away_team, team, bookmaker_key, computed_at, american_odds, prev_implied_prob, current_implied_prob "
+        "FROM sharp WHERE american_odds BETWEEN -2500 AND 2500",
+        "sharp",
+    ),
+)
+def q_plausible_odds(spark, sf):
+    return round_doubles(S.plausible_odds(S.history(sharp_signals(spark, sf), S.ODDS_HISTORY_COLS)))
+
+
+@query(
+    "recent_hours",
+    _div_sql(f"SELECT * FROM sharp WHERE computed_at >= TIMESTAMP '{td.AS_OF}' - INTERVAL 30 HOUR", "sharp", doubles=SHARP_DOUBLES),
+)
+def q_recent_hours(spark, sf):
+    return round_doubles(S.recent_hours(sharp_signals(spark, sf), 30, td.AS_OF))
+
+
+@query(
+    "tournament_only",
+    _div_sql(
+        """SELECT * FROM div WHERE sport_key IS NULL OR sport_key <> 'basketball_ncaab'
+      OR (home_team IN (SELECT 'H' || CAST(n_nationkey AS VARCHAR) FROM nation)
+          AND away_team IN (SELECT 'A' || CAST(n_nationkey AS VARCHAR) FROM nation))""",
+        "div",
+    ),
+)
+def q_tournament_only(spark, sf):
+    return round_doubles(S.tournament_only(divergence_signals(spark, sf), td.tournament_teams(spark, sf)))
+
+
+_LOCAL = O.local_sql("ingested_at", LA)
+_DAY = f"lower(dayname({_LOCAL}))"
+_HM = f"strftime({_LOCAL}, '%H:%M')"
+
+
+@query(
+    "in_schedule",
+    O.with_ctes(
+        f"""SELECT event_id, sport_key, ingested_at, CASE sport_key
+        WHEN 'basketball_wncaab' THEN TRUE
+        WHEN 'basketball_nba' THEN {_HM} BETWEEN '15:00' AND '23:00'
+        WHEN 'basketball_ncaab' THEN CASE WHEN {_DAY} IN ('thursday', 'friday') THEN {_HM} BETWEEN '08:00' AND '21:00'
+                                          WHEN {_DAY} = 'sunday' THEN FALSE
+                                          ELSE {_HM} BETWEEN '15:00' AND '21:00' END
+        ELSE FALSE END AS in_schedule
+      FROM odds""",
+        "odds",
+    ),
+)
+def q_in_schedule(spark, sf):
+    sport_dim, _, schedule_dim = td.test_dims(spark, sf)
+    odds = flat_odds(spark, sf).select("event_id", "sport_key", "ingested_at")
+    return D.in_schedule(odds, "ingested_at", sport_dim, schedule_dim)
+
+
+@query(
+    "in_game_window",
+    O.with_ctes(
+        f"""SELECT event_id, ingested_at, ({_HM} BETWEEN '15:00' AND '23:00')
+        OR ({_DAY} IN ('thursday', 'friday') AND {_HM} >= '08:00' AND {_HM} < '15:00') AS in_game_window FROM odds""",
+        "odds",
+    ),
+)
+def q_in_game_window(spark, sf):
+    return flat_odds(spark, sf).select("event_id", "ingested_at", in_game_window("ingested_at").alias("in_game_window"))
+
+
+@query("latest_batch", _div_sql("SELECT * FROM latest_div", "latest_div"))
+def q_latest_batch(spark, sf):
+    return round_doubles(S.latest_batch(divergence_signals(spark, sf)))
+
+
+_UNION = f"""SELECT sport_key, home_team, away_team, computed_at FROM div WHERE {NOT_WOMENS}
+    UNION ALL SELECT sport_key, home_team, away_team, computed_at FROM sharp WHERE {NOT_WOMENS}"""
+
+
+@query(
+    "signals_summary",
+    O.with_ctes(
+        f"""SELECT sport_key, home_team, away_team, count(*) AS signal_count, max(computed_at) AS latest_computed_at
+      FROM ({_UNION}) u GROUP BY sport_key, home_team, away_team ORDER BY sport_key, signal_count DESC""",
+        "div",
+        "sharp",
+    ),
+)
+def q_signals_summary(spark, sf):
+    return S.signals_summary(divergence_signals(spark, sf), sharp_signals(spark, sf))
+
+
+@query("union_signals", O.with_ctes(_UNION, "div", "sharp"))
+def q_union_signals(spark, sf):
+    return S.union_signals(divergence_signals(spark, sf), sharp_signals(spark, sf))
+
+
+@query("distinct_sports", O.with_ctes("SELECT sport_key FROM div UNION SELECT sport_key FROM sharp", "div", "sharp"))
+def q_distinct_sports(spark, sf):
+    return S.distinct_sports(divergence_signals(spark, sf), sharp_signals(spark, sf))
+
+
+_DIV_TIE = ("computed_at", "kalshi_implied_prob", "sportsbook_home_prob", "commence_time", "event_ticker")
+
+
+@query(
+    "latest_dedup",
+    _div_sql(
+        f"""SELECT * FROM div WHERE computed_at >= (SELECT max(computed_at) FROM div) - INTERVAL 10 MINUTE AND {NOT_WOMENS}
+      QUALIFY row_number() OVER (PARTITION BY home_team, away_team, market_ticker
+        ORDER BY {', '.join(c + ' DESC' for c in _DIV_TIE)}) = 1""",
+        "div",
+    ),
+)
+def q_latest_dedup(spark, sf):
+    return round_doubles(S.latest_dedup(divergence_signals(spark, sf), S.DIVERGENCE_SERIES, order=_DIV_TIE))
+
+
+@query(
+    "minute_dedup",
+    _div_sql(
+        """SELECT * FROM sharp QUALIFY row_number() OVER (PARTITION BY home_team, away_team, bookmaker_key, team,
+      date_trunc('minute', computed_at) ORDER BY computed_at DESC, ingested_at_ts DESC) = 1""",
+        "sharp",
+        doubles=SHARP_DOUBLES,
+    ),
+)
+def q_minute_dedup(spark, sf):
+    # The same signal batch loaded twice (quirk Q11): dedup collapses the copies.
+    s = sharp_signals(spark, sf)
+    return round_doubles(S.minute_dedup(s.unionByName(s), S.SHARP_SERIES, order=("computed_at", "ingested_at_ts")))
+
+
+def _feed_sql(view: str, col: str, cols: list[str], doubles) -> str:
+    ties = ", ".join(f"{c} ASC NULLS LAST" for c in cols if c != col)
+    return O.with_ctes(
+        round_sql(
+            f"""SELECT * FROM {view} WHERE CAST({O.local_sql('commence_time', LA)} AS DATE) = DATE '{FEED_DATE}'
+      ORDER BY {col} DESC NULLS LAST, {ties} LIMIT 10000""",
+            list(doubles),
+        ),
+        view,
+    )
+
+
+_DIV_COLS = [
+    "signal_type", "computed_at", "sport_key", "home_team", "away_team", "commence_time", "event_ticker", "market_ticker",
+    "kalshi_implied_prob", "sportsbook_home_prob", "divergence", "signal_direction", "is_divergence_signal", "num_bookmakers",
+]
+_SHARP_COLS = [
+    "signal_type", "computed_at", "sport_key", "home_team", "away_team", "commence_time", "bookmaker_key", "team",
+    "prev_odds", "american_odds", "odds_movement", "prev_implied_prob", "current_implied_prob", "prob_movement",
+    "movement_direction", "is_sharp_signal", "ingested_at_ts",
+]
+
+
+@query("divergence_feed", _feed_sql("latest_div", "divergence", _DIV_COLS, DIV_DOUBLES))
+def q_divergence_feed(spark, sf):
+    return round_doubles(S.feed(S.latest_batch(divergence_signals(spark, sf)), "divergence", date=FEED_DATE))
+
+
+@query("sharp_feed", _feed_sql("latest_sharp", "prob_movement", _SHARP_COLS, SHARP_DOUBLES))
+def q_sharp_feed(spark, sf):
+    return round_doubles(S.feed(S.latest_batch(sharp_signals(spark, sf)), "prob_movement", date=FEED_DATE))
+
+
+@query(
+    "divergence_history",
+    _div_sql(
+        "SELECT home_team, away_team, market_ticker, computed_at, kalshi_implied_prob, sportsbook_home_prob, divergence FROM div",
+        "div",
+    ),
+)
+def q_divergence_history(spark, sf):
+    return round_doubles(S.history(divergence_signals(spark, sf), S.DIVERGENCE_HISTORY_COLS))
+
+
+@query(
+    "odds_history",
+    O.with_ctes(
+        "SELECT home_team, away_team, team, bookmaker_key, computed_at, american_odds, prev_implied_prob, current_implied_prob FROM sharp",
+        "sharp",
+    ),
+)
+def q_odds_history(spark, sf):
+    return round_doubles(S.history(sharp_signals(spark, sf), S.ODDS_HISTORY_COLS))
+
+
+_DIV_BOARD = """SELECT away_team || '|' || home_team AS game_key, away_team, home_team, sport_key, commence_time,
+      market_ticker AS top_market_ticker, divergence * 100.0 AS divergence_pct, signal_direction,
+      CASE WHEN signal_direction = 'KALSHI_HIGHER' THEN 'up' ELSE 'down' END AS arrow,
+      CASE WHEN divergence * 100.0 >= 10 THEN 'high' WHEN divergence * 100.0 >= 5 THEN 'medium' ELSE 'low' END AS severity,
+      n_rows
+    FROM (SELECT *, row_number() OVER (PARTITION BY away_team, home_team
+                                       ORDER BY divergence DESC, market_ticker DESC, computed_at DESC) AS rn,
+                 count(*) OVER (PARTITION BY away_team, home_team) AS n_rows FROM latest_div) t WHERE rn = 1"""
+
+_SHARP_BOARD = """SELECT away_team || '|' || home_team AS game_key, away_team, home_team, sport_key, commence_time,
+      prob_movement * 100.0 AS top_move_pct, mx * 100.0 AS max_move_pct, movement_direction,
+      mx * 100.0 >= 10.0 AS sharp_flash,
+      CASE WHEN mx * 100.0 >= 10 THEN 'high' WHEN prob_movement * 100.0 >= 5 THEN 'medium' ELSE 'low' END AS severity,
+      n_rows
+    FROM (SELECT *, row_number() OVER (PARTITION BY away_team, home_team ORDER BY prob_movement DESC, bookmaker_key DESC,
+                                       team DESC, computed_at DESC, ingested_at_ts DESC) AS rn,
+                 max(prob_movement) OVER (PARTITION BY away_team, home_team) AS mx,
+                 count(*) OVER (PARTITION BY away_team, home_team) AS n_rows FROM latest_sharp) t WHERE rn = 1"""
+_SHARP_TIE = ("bookmaker_key", "team", "computed_at", "ingested_at_ts")
+
+
+def div_board(spark, sf):
+    return B.divergence_game_board(S.feed(S.latest_batch(divergence_signals(spark, sf)), "divergence"))
+
+
+def sharp_board(spark, sf):
+    return B.sharp_game_board(S.feed(S.latest_batch(sharp_signals(spark, sf)), "prob_movement"), tie=_SHARP_TIE)
+
+
+@query("divergence_game_board", O.with_ctes(round_sql(_DIV_BOARD, ["divergence_pct"]), "latest_div"))
+def q_divergence_game_board(spark, sf):
+    return round_doubles(div_board(spark, sf))
+
+
+@query("sharp_game_board", O.with_ctes(round_sql(_SHARP_BOARD, ["top_move_pct", "max_move_pct"]), "latest_sharp"))
+def q_sharp_game_board(spark, sf):
+    return round_doubles(sharp_board(spark, sf))
+
+
+@query(
+    "bar_share",
+    O.with_ctes(
+        round_sql(
+            f"""SELECT *, top_move_pct / greatest(coalesce(max(top_move_pct) OVER (), 1.0), 1.0) AS bar_share
+      FROM ({_SHARP_BOARD}) b""",
+            ["top_move_pct", "max_move_pct", "bar_share"],
+        ),
+        "latest_sharp",
+    ),
+)
+def q_bar_share(spark, sf):
+    return round_doubles(B.bars_desc(sharp_board(spark, sf), "top_move_pct"))
+
+
+@query(
+    "board_order",
+    O.with_ctes(
+        round_sql(
+            f"""SELECT b.*, s.state AS score_state,
+        CASE WHEN s.state = 'in' THEN 0 WHEN s.state = 'pre' THEN 1 ELSE 2 END AS state_rank
+      FROM ({_DIV_BOARD}) b LEFT JOIN sb_latest s ON b.away_team = s.away_team AND b.home_team = s.home_team""",
+            ["divergence_pct"],
+        ),
+        "latest_div",
+        "sb_latest",
+    ),
+)
+def q_board_order(spark, sf):
+    return round_doubles(B.board_order(div_board(spark, sf), sb_latest(spark, sf), "divergence_pct"))
+
+
+@query(
+    "attach_scores",
+    _div_sql(
+        """SELECT d.*, s.game_key, s.home_score, s.away_score, s.status, s.state, s.period, s.display_clock
+      FROM latest_div d LEFT JOIN sb_latest s ON d.away_team = s.away_team AND d.home_team = s.home_team""",
+        "latest_div",
+        "sb_latest",
+    ),
+)
+def q_attach_scores(spark, sf):
+    return round_doubles(J.attach_scores(S.latest_batch(divergence_signals(spark, sf)), sb_latest(spark, sf)))
+
+
+@query(
+    "pivot_divergence",
+    O.with_ctes(
+        round_sql(
+            """SELECT home_team, away_team, minute, series, value FROM (
+        SELECT home_team, away_team, date_trunc('minute', computed_at) AS minute,
+               'kalshi_' || split_part(market_ticker, '-', -1) AS series, kalshi_implied_prob AS value,
+               computed_at, kalshi_implied_prob, sportsbook_home_prob FROM div
+        UNION ALL
+        SELECT home_team, away_team, date_trunc('minute', computed_at), 'sportsbook_avg', sportsbook_home_prob,
+               computed_at, kalshi_implied_prob, sportsbook_home_prob FROM div) u
+      QUALIFY row_number() OVER (PARTITION BY home_team, away_team, minute, series
+        ORDER BY computed_at DESC, kalshi_implied_prob DESC, sportsbook_home_prob DESC) = 1""",
+            ["value"],
+        ),
+        "div",
+    ),
+)
+def q_pivot_divergence(spark, sf):
+    return round_doubles(B.pivot_divergence_long(divergence_signals(spark, sf), tie=("kalshi_implied_prob", "sportsbook_home_prob")))
+
+
+@query(
+    "pivot_odds",
+    O.with_ctes(
+        round_sql(
+            """SELECT home_team, away_team, date_trunc('minute', computed_at) AS minute, team || '__' || bookmaker_key AS series,
+        CAST(american_odds AS DOUBLE) AS value FROM sharp WHERE american_odds BETWEEN -2500 AND 2500
+      QUALIFY row_number() OVER (PARTITION BY home_team, away_team, date_trunc('minute', computed_at), team, bookmaker_key
+        ORDER BY computed_at DESC, ingested_at_ts DESC) = 1""",
+            ["value"],
+        ),
+        "sharp",
+    ),
+)
+def q_pivot_odds(spark, sf):
+    return round_doubles(B.pivot_odds_long(sharp_signals(spark, sf), tie=("ingested_at_ts",)))
+
+
+@query(
+    "team_series_groups",
+    O.with_ctes(
+        """SELECT home_team, away_team, team, array_to_string(list_sort(list_distinct(list(team || '__' || bookmaker_key))), ',')
+        AS series_keys FROM sharp WHERE american_odds BETWEEN -2500 AND 2500 GROUP BY home_team, away_team, team""",
+        "sharp",
+    ),
+)
+def q_team_series_groups(spark, sf):
+    g = B.team_series_groups(sharp_signals(spark, sf))
+    return g.withColumn("series_keys", F.array_join("series_keys", ","))
+
+
+_PARSED_COLS = (
+    "sport, game_id, sport_key, sport_title, commence_time, completed, status_state, status_description, home_team, "
+    "away_team, home_score, away_score, has_scores, last_update, source, seq"
+)
+
+
+def parsed_games(spark, sf):
+    p = B.parse_scoreboard(td.scoreboard_events(spark, sf), stamp=False, keep=("seq",))
+    return p.withColumn("has_scores", F.col("scores").isNotNull()).drop("scores")
+
+
+@query("parse_scoreboard", O.with_ctes(f"SELECT {_PARSED_COLS} FROM sb_parsed", "sb_parsed"))
+def q_parse_scoreboard(spark, sf):
+    return parsed_games(spark, sf)
+
+
+@query(
+    "drain_latest",
+    O.with_ctes(
+        f"""SELECT {_PARSED_COLS}, substr(commence_time, 1, 10) AS game_date FROM sb_parsed
+      QUALIFY row_number() OVER (PARTITION BY sport_key, home_team, away_team, substr(commence_time, 1, 10)
+                                 ORDER BY seq DESC) = 1""",
+        "sb_parsed",
+    ),
+)
+def q_drain_latest(spark, sf):
+    return B.drain_latest(parsed_games(spark, sf), order=("seq",))
+
+
+@query("scoreboard_latest", O.with_ctes("SELECT * FROM sb_latest", "sb_latest"))
+def q_scoreboard_latest(spark, sf):
+    return sb_latest(spark, sf)
+
+
+@query("merge_scores", O.with_ctes("SELECT * FROM sb_latest", "sb_latest"))
+def q_merge_scores(spark, sf):
+    ev = td.scoreboard_events(spark, sf)
+    boards = [B.scoreboard_latest(ev.where(F.col("sport_key") == s), order_cols=("seq",), keep=("sport_key",)) for s in td.SPORT_KEYS]
+    return B.merge_scores(boards)
+
+
+@query(
+    "score_leader",
+    O.with_ctes(
+        """SELECT *, coalesce(TRY_CAST(home_score AS BIGINT) > TRY_CAST(away_score AS BIGINT), FALSE) AS home_winning,
+        coalesce(TRY_CAST(away_score AS BIGINT) > TRY_CAST(home_score AS BIGINT), FALSE) AS away_winning,
+        CASE WHEN period IS NULL OR period = 0 THEN ''
+             WHEN sport_key = 'basketball_nba' THEN CASE WHEN period <= 4 THEN 'Q' || period ELSE 'OT' || (period - 4) END
+             WHEN sport_key = 'basketball_ncaab' THEN CASE WHEN period <= 2 THEN 'H' || period ELSE 'OT' || (period - 2) END
+             ELSE 'P' || period END AS period_label
+      FROM sb_latest""",
+        "sb_latest",
+    ),
+)
+def q_score_leader(spark, sf):
+    return B.score_board_columns(sb_latest(spark, sf))
+
+
+@query(
+    "multi_book_corroboration",
+    O.with_ctes(
+        round_sql(
+            """SELECT sport_key, home_team, away_team, team, movement_direction,
+        time_bucket(INTERVAL 2 MINUTE, ingested_at_ts) AS window_start,
+        time_bucket(INTERVAL 2 MINUTE, ingested_at_ts) + INTERVAL 2 MINUTE AS window_end,
+        count(DISTINCT bookmaker_key) AS n_books, count(*) AS n_moves, max(prob_movement) AS max_prob_movement,
+        count(DISTINCT bookmaker_key) >= 2 AS is_corroborated
+      FROM sharp WHERE is_sharp_signal
+      GROUP BY sport_key, home_team, away_team, team, movement_direction, time_bucket(INTERVAL 2 MINUTE, ingested_at_ts)""",
+            ["max_prob_movement"],
+        ),
+        "sharp",
+    ),
+)
+def q_multi_book_corroboration(spark, sf):
+    return round_doubles(B.multi_book_corroboration(sharp_signals(spark, sf)))
+
+
+# J3 + F4 + F5 over the drained scoreboard games (Eastern game date)
+_PREFIX = "CASE sport_key WHEN 'basketball_nba' THEN 'KXNBAGAME' WHEN 'basketball_ncaab' THEN 'KXNCAAMBGAME' END"
+
+
+def _ticker_sql(src: str, start: str, tz: str, cols: str) -> str:
+    d = f"CAST(timezone('{tz}', timezone('UTC', CAST({start} AS TIMESTAMP))) AS DATE)"
+    return f"""SELECT {cols}, {_PREFIX} AS kalshi_prefix, 'AN' || substr(away_team, 2) AS away_abbr,
+        'HN' || substr(home_team, 2) AS home_abbr, {d} AS ticker_date,
+        {_PREFIX} || '-' || upper(strftime({d}, '%y%b%d')) || 'AN' || substr(away_team, 2) || 'HN' || substr(home_team, 2)
+          AS event_ticker
+      FROM {src} WHERE {_PREFIX} IS NOT NULL AND CAST(substr(home_team, 2) AS INTEGER) < 25
+        AND CAST(substr(away_team, 2) AS INTEGER) < 25"""
+
+
+_DRAINED = f"""(SELECT {_PARSED_COLS}, substr(commence_time, 1, 10) AS game_date FROM sb_parsed
+      QUALIFY row_number() OVER (PARTITION BY sport_key, home_team, away_team, substr(commence_time, 1, 10)
+                                 ORDER BY seq DESC) = 1) dr"""
+
+
+@query(
+    "games_to_tickers",
+    O.with_ctes(
+        _ticker_sql(_DRAINED, "commence_time", "America/New_York", _PARSED_COLS + ", game_date"),
+        "sb_parsed",
+    ),
+)
+def q_games_to_tickers(spark, sf):
+    sport_dim, team_dim, _ = td.test_dims(spark, sf)
+    games = B.drain_latest(parsed_games(spark, sf), order=("seq",))
+    return D.games_to_tickers(games, sport_dim, team_dim)
+
+
+O.register("odds_games", "SELECT DISTINCT sport_key, home_team, away_team, commence_time FROM odds_day", ("odds_day",))
+O.register(
+    "quote_games",
+    """SELECT sport AS sport_key, home_team, away_team, game_date, market_ticker, yes_ask, yes_bid, status, ingested_at,
+      event_id FROM quotes_raw""",
+    ("quotes_raw",),
+)
+
+
+@query(
+    "ticker_lookup",
+    O.with_ctes(
+        f"""SELECT t.*, m.market_ticker, m.status, m.ingested_at, m.event_id
+      FROM ({_ticker_sql('odds_games', 'commence_time', 'UTC', 'sport_key, home_team, away_team, commence_time')}) t
+      JOIN ({_ticker_sql('quote_games', 'game_date', 'UTC', 'market_ticker, status, ingested_at, event_id')}) m
+        ON t.event_ticker = m.event_ticker""",
+        "odds_games",
+        "quote_games",
+    ),
+)
+def q_ticker_lookup(spark, sf):
+    sport_dim, team_dim, _ = td.test_dims(spark, sf)
+    games = flat_odds(spark, sf, poll="day").select("sport_key", "home_team", "away_team", "commence_time").distinct()
+    tickers = D.games_to_tickers(games, sport_dim, team_dim, tz="UTC")
+    q = td.raw_quotes(spark, sf).select(
+        F.col("sport").alias("sport_key"), "home_team", "away_team", "game_date", "market_ticker", "status", "ingested_at", "event_id"
+    )
+    markets = D.games_to_tickers(q, sport_dim, team_dim, tz="UTC", start_col="game_date")
+    return D.ticker_lookup(tickers, markets.select("event_ticker", "market_ticker", "status", "ingested_at", "event_id"))
+
+
+@query(
+    "attach_abbr",
+    O.with_ctes(
+        round_sql(
+            f"""SELECT b.*, coalesce(a.abbr, b.away_team) AS away_abbr, coalesce(h.abbr, b.home_team) AS home_abbr,
+        coalesce(a.abbr, b.away_team) || ' @ ' || coalesce(h.abbr, b.home_team) AS short_label
+      FROM ({_DIV_BOARD}) b
+      LEFT JOIN (SELECT 'A' || CAST(n_nationkey AS VARCHAR) AS team, 'AN' || CAST(n_nationkey AS VARCHAR) AS abbr FROM nation) a
+        ON b.away_team = a.team
+      LEFT JOIN (SELECT 'H' || CAST(n_nationkey AS VARCHAR) AS team, 'HN' || CAST(n_nationkey AS VARCHAR) AS abbr FROM nation) h
+        ON b.home_team = h.team""",
+            ["divergence_pct"],
+        ),
+        "latest_div",
+    ),
+)
+def q_attach_abbr(spark, sf):
+    dim = td.team_abbr_dim(spark, sf)
+    b = J.attach_abbr(div_board(spark, sf), dim, "away_team", "away_abbr")
+    b = J.attach_abbr(b, dim, "home_team", "home_abbr")
+    return round_doubles(b.withColumn("short_label", F.concat_ws(" @ ", "away_abbr", "home_abbr")))
+
+
+@query(
+    "unmatched_teams",
+    O.with_ctes(
+        """SELECT DISTINCT sport_key, team FROM (SELECT sport_key, home_team AS team FROM sb_parsed
+        UNION ALL SELECT sport_key, away_team FROM sb_parsed) s
+      WHERE CAST(substr(team, 2) AS INTEGER) >= 25""",
+        "sb_parsed",
+    ),
+)
+def q_unmatched_teams(spark, sf):
+    return J.unmatched_teams(parsed_games(spark, sf), td.team_abbr_dim(spark, sf))
+
+
+@query(
+    "american_to_prob",
+    f"SELECT event_id, round({O.prob(O.ODDS_VALUE)}, 6) AS implied_prob FROM events WHERE event_type <> 'view'",
+)
+def q_american_to_prob(spark, sf):
+    # F1 through its SQL registration (inlined SQL function, no Python worker).
+    register_sql_functions(spark)
+    td.table(spark, sf, "events").createOrReplaceTempView("linecast_events")
+    return spark.sql(
+        """SELECT event_id, round(american_to_prob(CASE WHEN event_id % 4 < 2 THEN -(100 + floor(value))
+                                                       ELSE 100 + floor(value) END), 6) AS implied_prob
+           FROM linecast_events WHERE event_type <> 'view'"""
+    )
+
+
+@query(
+    "line_movement",
+    O.with_ctes(
+        round_sql(
+            """SELECT id, bookmaker_key, team, ingested_at, event_id, american_odds, prev_odds, implied_prob, prev_prob
+      FROM moves WHERE prev_odds IS NOT NULL""",
+            ["implied_prob", "prev_prob"],
+        ),
+        "moves",
+    ),
+)
+def q_line_movement(spark, sf):
+    m = line_movement(flat_odds(spark, sf), tie=("event_id",))
+    return round_doubles(
+        m.select("id", "bookmaker_key", "team", "ingested_at", "event_id", "american_odds", "prev_odds", "implied_prob", "prev_prob")
+    )
+
+
+@query(
+    "table_counts",
+    O.with_ctes(
+        """SELECT 'raw_odds' AS table_name, count(*) AS n_rows, CAST(NULL AS BIGINT) AS n_flagged FROM events WHERE event_type <> 'view'
+      UNION ALL SELECT 'raw_kalshi', count(*), NULL FROM events WHERE event_type = 'view'
+      UNION ALL SELECT 'raw_game_events', count(*), NULL FROM orders
+      UNION ALL SELECT 'divergence_signals', count(*), count(*) FILTER (WHERE is_divergence_signal) FROM div
+      UNION ALL SELECT 'sharp_money_signals', count(*), count(*) FILTER (WHERE is_sharp_signal) FROM sharp""",
+        "div",
+        "sharp",
+    ),
+)
+def q_table_counts(spark, sf):
+    from linecast.sources.tables import table_counts
+
+    return table_counts(
+        {
+            "raw_odds": (td.raw_odds(spark, sf), None),
+            "raw_kalshi": (td.raw_quotes(spark, sf), None),
+            "raw_game_events": (td.scoreboard_events(spark, sf), None),
+            "divergence_signals": (divergence_signals(spark, sf), "is_divergence_signal"),
+            "sharp_money_signals": (sharp_signals(spark, sf), "is_sharp_signal"),
+        }
+    )

@@ -76,7 +76,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         ("quotes", "home_odds"),
     ),
     "div": (
-        """SELECT 'divergence' AS signal_type, date_trunc('hour', ingested_at) AS computed_at, sport_key, home_team,
+        """SELECT 'divergence' AS signal_type, date_trunc('day', ingested_at) AS computed_at, sport_key, home_team,
       away_team, commence_time, event_ticker, market_ticker, kalshi_implied_prob, sportsbook_home_prob,
       abs(kalshi_implied_prob - sportsbook_home_prob) AS divergence,
       CASE WHEN kalshi_implied_prob > sportsbook_home_prob THEN 'KALSHI_HIGHER' ELSE 'SPORTSBOOK_HIGHER' END
@@ -92,7 +92,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         ("odds",),
     ),
     "sharp": (
-        """SELECT 'sharp_money' AS signal_type, date_trunc('hour', ingested_at) AS computed_at, sport_key, home_team,
+        """SELECT 'sharp_money' AS signal_type, date_trunc('day', ingested_at) AS computed_at, sport_key, home_team,
       away_team, commence_time, bookmaker_key, team, prev_odds, american_odds,
       abs(american_odds - prev_odds) AS odds_movement, round(prev_prob, 4) AS prev_implied_prob,
       round(implied_prob, 4) AS current_implied_prob, round(abs(implied_prob - prev_prob), 4) AS prob_movement,
@@ -129,3 +129,57 @@ def with_ctes(body: str, *needed: str) -> str:
 
 def r6(expr: str, alias: str) -> str:
     return f"round({expr}, 6) AS {alias}"
+
+
+def sport_sql(game: str) -> str:
+    return (
+        f"CASE WHEN {game} % 3 = 0 THEN 'basketball_nba' WHEN {game} % 3 = 1 THEN 'basketball_ncaab' "
+        "ELSE 'basketball_wncaab' END"
+    )
+
+
+def local_sql(ts: str, tz: str) -> str:
+    """Wall clock of UTC instant ``ts`` in ``tz``."""
+    return f"timezone('{tz}', timezone('UTC', {ts}))"
+
+
+INITCAP_STATE = "upper(substr(state, 1, 1)) || substr(state, 2)"
+
+register(
+    "sb_events",
+    f"""SELECT o_orderkey AS seq, {sport_sql('o_custkey % 40')} AS sport_key, CAST(o_custkey % 40 AS VARCHAR) AS g,
+      CASE o_orderstatus WHEN 'F' THEN 'post' WHEN 'O' THEN 'pre' ELSE 'in' END AS state,
+      CAST(CAST(floor(o_totalprice) AS BIGINT) % 120 AS VARCHAR) AS home_score,
+      CAST(o_orderkey % 110 AS VARCHAR) AS away_score, CAST(o_orderkey % 6 AS INTEGER) AS period,
+      CAST(o_orderkey % 20 AS VARCHAR) || ':00' AS display_clock,
+      strftime(o_orderdate, '%Y-%m-%dT%H:%MZ') AS date, o_orderpriority AS abbreviation
+    FROM orders""",
+)
+register(
+    "sb_parsed",
+    f"""SELECT sport_key AS sport, CAST(seq AS VARCHAR) AS game_id, sport_key, abbreviation AS sport_title,
+      date AS commence_time, state = 'post' AS completed, state AS status_state, {INITCAP_STATE} AS status_description,
+      'H' || g AS home_team, 'A' || g AS away_team, home_score, away_score, state IN ('in', 'post') AS has_scores,
+      'Q' || CAST(seq % 4 + 1 AS VARCHAR) AS last_update, 'espn' AS source, seq
+    FROM sb_events""",
+    ("sb_events",),
+)
+register(
+    "sb_latest",
+    f"""SELECT 'A' || g || '|' || 'H' || g AS game_key, 'H' || g AS home_team, 'A' || g AS away_team, home_score,
+      away_score, {INITCAP_STATE} AS status, state, period, display_clock, date AS commence_time, sport_key
+    FROM sb_events QUALIFY row_number() OVER (PARTITION BY g ORDER BY seq DESC) = 1""",
+    ("sb_events",),
+)
+register(
+    "latest_div",
+    """SELECT * FROM div WHERE computed_at = (SELECT max(computed_at) FROM div)
+      AND sport_key NOT IN ('basketball_wncaab', 'basketball_ncaaw')""",
+    ("div",),
+)
+register(
+    "latest_sharp",
+    """SELECT * FROM sharp WHERE computed_at = (SELECT max(computed_at) FROM sharp)
+      AND sport_key NOT IN ('basketball_wncaab', 'basketball_ncaaw')""",
+    ("sharp",),
+)

@@ -226,3 +226,49 @@ def scoreboard_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("seq"),
         event.alias("event"),
     )
+
+
+_ALL_DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+_EVENING = {"start_time": "15:00", "end_time": "21:00"}
+_EARLY = {"start_time": "08:00", "end_time": "21:00"}
+
+# Fixed configuration of the test mapping (same shape as the studied per-sport configuration):
+# the NBA uses the simple weekly form, college the per-day form without Sunday (closed), and the
+# women's league has no schedule (always on) and no ticker prefix.
+TEST_CONFIG = {
+    "sports": {
+        "basketball_nba": {
+            "active": True,
+            "odds_api_key": "basketball_nba",
+            "kalshi_prefix": "KXNBAGAME",
+            "team_abbr": {},
+            "schedule": {"timezone": "America/Los_Angeles", "days": _ALL_DAYS, "start_time": "15:00", "end_time": "23:00"},
+        },
+        "basketball_ncaab": {
+            "active": True,
+            "odds_api_key": "basketball_ncaab",
+            "kalshi_prefix": "KXNCAAMBGAME",
+            "team_abbr": {},
+            "schedule": {
+                "timezone": "America/Los_Angeles",
+                "day_schedules": {
+                    "monday": _EVENING,
+                    "tuesday": _EVENING,
+                    "wednesday": _EVENING,
+                    "thursday": _EARLY,
+                    "friday": _EARLY,
+                    "saturday": _EVENING,
+                },
+            },
+        },
+        "basketball_wncaab": {"active": False, "odds_api_key": "basketball_wncaab", "kalshi_prefix": None, "team_abbr": {}, "schedule": None},
+    }
+}
+
+
+def test_dims(spark: SparkSession, sf_dir: str):
+    """(sport_dim, team_dim, schedule_dim): configuration dims plus abbreviations from ``nation``."""
+    from linecast.operators.dims import config_from_dict, load_dims
+
+    sport_dim, _, schedule_dim = load_dims(config_from_dict(spark, TEST_CONFIG))
+    return sport_dim, team_abbr_dim(spark, sf_dir), schedule_dim

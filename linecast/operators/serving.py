@@ -26,6 +26,8 @@ DEDUP_WINDOW_MINUTES = 10
 GAME_KEYS = ("home_team", "away_team")
 DIVERGENCE_SERIES = ("home_team", "away_team", "market_ticker")
 SHARP_SERIES = ("home_team", "away_team", "bookmaker_key", "team")
+# Identity of one sharp-money row: its series and the poll it compares (dedup of repeated loads).
+SHARP_ROW = (*SHARP_SERIES, "ingested_at_ts")
 SUMMARY_COLS = ("sport_key", "home_team", "away_team", "computed_at")
 
 

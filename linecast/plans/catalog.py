@@ -376,7 +376,7 @@ def q_latest_dedup(spark, sf):
     "minute_dedup",
     _div_sql(
         """SELECT * FROM sharp QUALIFY row_number() OVER (PARTITION BY home_team, away_team, bookmaker_key, team,
-      date_trunc('minute', computed_at) ORDER BY computed_at DESC, ingested_at_ts DESC) = 1""",
+      ingested_at_ts, date_trunc('minute', computed_at) ORDER BY computed_at DESC) = 1""",
         "sharp",
         doubles=SHARP_DOUBLES,
     ),
@@ -384,7 +384,7 @@ def q_latest_dedup(spark, sf):
 def q_minute_dedup(spark, sf):
     # The same signal batch loaded twice (quirk Q11): dedup collapses the copies.
     s = sharp_signals(spark, sf)
-    return round_doubles(S.minute_dedup(s.unionByName(s), S.SHARP_SERIES, order=("computed_at", "ingested_at_ts")))
+    return round_doubles(S.minute_dedup(s.unionByName(s), S.SHARP_ROW, order=("computed_at",)))
 
 
 def _feed_sql(view: str, col: str, cols: list[str], doubles) -> str:
@@ -812,3 +812,111 @@ def q_table_counts(spark, sf):
             "sharp_money_signals": (sharp_signals(spark, sf), "is_sharp_signal"),
         }
     )
+
+
+# =============================================================================================
+# Streaming and file sinks (each run writes to a fresh folder under the shared checkpoint folder)
+
+from linecast import schemas as SC  # noqa: E402
+from linecast.session import scratch_path  # noqa: E402
+from linecast.sources import tables as T  # noqa: E402
+from linecast.streaming import incremental as INC  # noqa: E402
+from linecast.streaming import ingest as ING  # noqa: E402
+
+EVENTS_DDL = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+
+
+@query(
+    "ingest_json_stream",
+    "SELECT *, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day FROM events",
+)
+def q_ingest_json_stream(spark, sf):
+    """S7 landing (year=/month=/day= by arrival time) then S1 once-per-file stream into Bronze."""
+    base = scratch_path(spark, "ingest")
+    ING.land_partitioned(td.table(spark, sf, "events"), f"{base}/landing", arrival="ts")
+    schema = SC.struct(EVENTS_DDL + ", year INT, month INT, day INT")
+    q = ING.ingest_json_stream(spark, f"{base}/landing", schema, f"{base}/bronze", f"{base}/_ckpt")
+    ING.run(q)
+    # A second run finds no new files and adds nothing.
+    ING.run(ING.ingest_json_stream(spark, f"{base}/landing", schema, f"{base}/bronze", f"{base}/_ckpt"))
+    return ING.read_bronze(spark, f"{base}/bronze")
+
+
+@query(
+    "load_history",
+    O.with_ctes(round_sql("SELECT * FROM sharp WHERE is_sharp_signal", SHARP_DOUBLES), "sharp"),
+)
+def q_load_history(spark, sf):
+    """S10 + S11 + S12 + W3: two signal runs export the same flagged rows under new file names, both
+    exports are loaded (duplicates, quirk Q11), minute dedup collapses them."""
+    base = scratch_path(spark, "history")
+    sig = sharp_signals(spark, sf)
+    T.write_signals(sig, f"{base}/silver")
+    silver = T.read_signals(spark, f"{base}/silver").drop("computed_date")
+    schema = SC.sharp_money_signals()
+    for _ in range(2):
+        T.export_signals_json(silver, "is_sharp_signal", f"{base}/export")
+        ING.run(ING.load_history(spark, f"{base}/export", schema, f"{base}/warehouse", f"{base}/_ckpt"))
+    loaded = spark.read.parquet(f"{base}/warehouse").drop("load_date")
+    dedup = S.minute_dedup(loaded, S.SHARP_ROW, order=("computed_at",))
+    out = dedup.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in ("computed_at", "commence_time", "ingested_at_ts") else F.col(c) for c in dedup.columns])
+    return round_doubles(out)
+
+
+@query("incremental_sharp_money", O.with_ctes(round_sql("SELECT * FROM sharp", SHARP_DOUBLES), "sharp"))
+def q_incremental_sharp_money(spark, sf):
+    """Sharp money as a stream in two runs: the first half of the month, then the second half
+    arrives; the second run continues every series from the state table."""
+    base = scratch_path(spark, "incsharp")
+    flat = flat_odds(spark, sf)
+    cut = F.col("ingested_at") < F.lit("2024-01-16").cast("timestamp_ntz")
+    schema = flat.schema
+    kw = dict(books=td.TEST_BOOKS, computed_at=batch_of(), tie=("event_id",))
+    for part, cond in (("a", cut), ("b", ~cut)):
+        flat.where(cond).write.mode("overwrite").parquet(f"{base}/src/part={part}")
+        stream = spark.readStream.schema(schema).parquet(f"{base}/src/part=*")
+        ING.run(INC.incremental_sharp_money(spark, stream, f"{base}/out", f"{base}/state", f"{base}/_ckpt", **kw))
+    return round_doubles(spark.read.parquet(f"{base}/out").drop("batch_id"))
+
+
+_TOPIC = "CASE WHEN event_type = 'view' THEN 'raw-kalshi-markets' WHEN event_type = 'error' THEN 'raw-unknown' ELSE 'raw-odds' END"
+
+
+@query(
+    "route_by_topic",
+    f"""SELECT CASE WHEN event_type = 'view' THEN 'kalshi' ELSE 'odds' END AS destination, count(*) AS n_rows,
+      sum(event_id) AS sum_event_id FROM events WHERE event_type <> 'error' GROUP BY 1""",
+)
+def q_route_by_topic(spark, sf):
+    """Messages of three topics, two routed to their folders, the unknown one skipped."""
+    base = scratch_path(spark, "route")
+    ev = td.table(spark, sf, "events")
+    topic = F.when(F.col("event_type") == "view", "raw-kalshi-markets").when(F.col("event_type") == "error", "raw-unknown").otherwise("raw-odds")
+    msgs = ev.select(topic.alias("topic"), F.to_json(F.struct("event_id", "event_type", "value")).alias("value"))
+    msgs.write.parquet(f"{base}/topic_log")
+    routes = {"raw-odds": f"{base}/odds", "raw-kalshi-markets": f"{base}/kalshi"}
+    stream = spark.readStream.schema(msgs.schema).parquet(f"{base}/topic_log")
+    ING.run(ING.route_by_topic(stream, routes, f"{base}/_ckpt"))
+    parts = []
+    for name in ("odds", "kalshi"):
+        d = spark.read.schema("value STRING").json(f"{base}/{name}")
+        parts.append(d.select(F.lit(name).alias("destination"), F.get_json_object("value", "$.event_id").cast("long").alias("event_id")))
+    u = parts[0].unionByName(parts[1])
+    return u.groupBy("destination").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("event_id").alias("sum_event_id"))
+
+
+@query(
+    "quarantine",
+    """SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
+      event_id % 10 = 0 AS quarantined FROM events""",
+)
+def q_quarantine(spark, sf):
+    """Every tenth message is cut short (not JSON) and goes to the error side."""
+    ev = td.table(spark, sf, "events")
+    raw = ev.select("event_id", F.when(F.col("event_id") % 10 == 0, F.expr("substr(props, 1, length(props) - 1)")).otherwise(F.col("props")).alias("value"))
+    good, bad = ING.quarantine(raw.select("event_id", F.col("value")), "value", SC.struct("k BIGINT"))
+    # keep the id with the parsed record: parse again with the id alongside
+    ok = raw.join(bad.select("event_id"), "event_id", "left_anti").select("event_id", F.from_json("value", "k BIGINT").alias("r"))
+    return ok.select("event_id", F.col("r.k").alias("k"), F.lit(False).alias("quarantined")).unionByName(
+        bad.select("event_id", F.lit(None).cast("long").alias("k"), F.lit(True).alias("quarantined"))
+    )

@@ -40,7 +40,9 @@ def write_signals(df: DataFrame, path: str, partition_by_day: str | None = "comp
 
 def export_signals_json(df: DataFrame, flag_col: str, path: str) -> str:
     """Only flagged rows, newline-delimited JSON, folder overwritten."""
-    df.where(F.col(flag_col)).write.mode("overwrite").json(path)
+    from linecast.streaming.ingest import JSON_TS_OPTIONS
+
+    df.where(F.col(flag_col)).write.mode("overwrite").options(**JSON_TS_OPTIONS).json(path)
     return path
 
 

@@ -33,9 +33,16 @@ def segment_of(ts: Column | str, segment_seconds: int) -> Column:
 
 
 def _with_key(df: DataFrame, keys: Sequence[str], ts: str, segment_seconds: int) -> DataFrame:
-    # A struct key compares null fields as equal, so null keys group together as in a window,
-    # and plain equality on it keeps the join keys identical to the window's partitioning.
-    return df.withColumn(KEY, F.struct(*[F.col(k) for k in keys])).withColumn(SEG, segment_of(ts, segment_seconds))
+    # The key columns travel once, inside one struct: a struct key compares null fields as equal
+    # (null keys group together as in a window) and plain equality on it keeps the join keys
+    # identical to the window's partitioning, so the big side is never shuffled a second time.
+    rest = [F.col(c) for c in df.columns if c not in keys]
+    return df.select(*rest, F.struct(*[F.col(k) for k in keys]).alias(KEY), segment_of(ts, segment_seconds).alias(SEG))
+
+
+def _unkey(keys: Sequence[str], columns: Sequence[str]) -> list[Column]:
+    """Original column order, key columns taken back out of the struct key."""
+    return [F.col(KEY)[c].alias(c) if c in keys else F.col(c) for c in columns]
 
 
 def segmented_lag(
@@ -51,19 +58,20 @@ def segmented_lag(
 
     ``order`` must start with ``ts`` and should end in a unique tie-break for a deterministic result.
     """
-    cur = F.struct(*[F.col(v) for v in values])
-    order_struct = F.struct(*[F.col(o) for o in order])
-    base = _with_key(df, keys, ts, segment_seconds).withColumn("__cur", cur)
+    base = _with_key(df, keys, ts, segment_seconds)
     w = Window.partitionBy(KEY, SEG).orderBy(*[F.col(o).asc_nulls_first() for o in order])
-    local = base.withColumn("__loc", F.lag("__cur", 1).over(w))
+    lags = [F.lag(F.col(v), 1).over(w).alias(f"__lag{i}") for i, v in enumerate(values)]
+    local = base.select("*", F.lag(F.lit(True), 1).over(w).alias("__has"), *lags)
 
-    seg_last = local.groupBy(KEY, SEG).agg(F.max_by("__cur", order_struct).alias("__last"))
+    # Last row of every non-empty segment: partial aggregation before its (small) shuffle.
+    order_struct = F.struct(*[F.col(o) for o in order])
+    seg_last = base.groupBy(KEY, SEG).agg(F.max_by(F.struct(*[F.col(v) for v in values]), order_struct).alias("__last"))
     carry = seg_last.select(KEY, SEG, F.lag("__last", 1).over(Window.partitionBy(KEY).orderBy(SEG)).alias("__carry"))
 
     joined = local.join(carry, on=[KEY, SEG], how="left")
-    prev = F.coalesce(F.col("__loc"), F.col("__carry"))
-    out = joined.select(*df.columns, *[prev[v].alias(prefix + v) for v in values])
-    return out
+    first = F.col("__has").isNull()
+    prev = [F.when(first, F.col("__carry")[v]).otherwise(F.col(f"__lag{i}")).alias(prefix + v) for i, v in enumerate(values)]
+    return joined.select(*_unkey(keys, df.columns), *prev)
 
 
 def segmented_asof(
@@ -92,7 +100,7 @@ def segmented_asof(
             SEG,
             F.col(left_ts).cast("timestamp").alias("__t"),
             F.lit(1).alias("__side"),
-            F.struct(*[F.col(c) for c in lcols]).alias("__l"),
+            F.struct(*[F.col(c) for c in lcols if c not in keys]).alias("__l"),
         )
     )
     val = F.struct(*[F.col(v) for v in right_values])
@@ -127,7 +135,8 @@ def segmented_asof(
     lefts = filled.where(F.col("__side") == 1)
     joined = lefts.join(carry, on=[KEY, SEG], how="left")
     v = F.coalesce(F.col("__loc"), F.col("__carry"))
-    out = joined.select(*[F.col("__l")[c].alias(c) for c in lcols], *[v[x].alias(x) for x in right_values], v.isNotNull().alias("__hit"))
+    left_cols = [F.col(KEY)[c].alias(c) if c in keys else F.col("__l")[c].alias(c) for c in lcols]
+    out = joined.select(*left_cols, *[v[x].alias(x) for x in right_values], v.isNotNull().alias("__hit"))
     if how == "inner":
         out = out.where("__hit")
     elif how != "left":

@@ -89,11 +89,23 @@ def tournament_only(df: DataFrame, teams: DataFrame, college_sport: str = COLLEG
     return j.where(keep).select(*df.columns)
 
 
-def latest_batch(df: DataFrame, ts: str = "computed_at", exclude: Sequence[str] | None = WOMENS_SPORTS) -> DataFrame:
+def latest_batch(
+    df: DataFrame,
+    ts: str = "computed_at",
+    exclude: Sequence[str] | None = WOMENS_SPORTS,
+    day_partition: str | None = "computed_date",
+) -> DataFrame:
     """A3: rows of the latest batch - ``ts`` equal to the maximum over the *whole* table, taken
-    before the sport filter (quirk Q6 kept) - then P6. The maximum is a scalar subquery."""
-    mx = df.select(F.max(ts)).scalar()
-    out = df.where(F.col(ts) == mx)
+    before the sport filter (quirk Q6 kept) - then P6. The maximum is a scalar subquery.
+
+    On a table partitioned by the day of ``ts`` (``day_partition``), both the maximum and the rows
+    are read from the newest day partition only (scalar-subquery partition pruning)."""
+    src = df
+    if day_partition and day_partition in df.columns:
+        last_day = df.select(F.max(day_partition)).scalar()
+        src = df.where(F.col(day_partition) == last_day)
+    mx = src.select(F.max(ts)).scalar()
+    out = src.where(F.col(ts) == mx)
     return exclude_womens(out, exclude) if exclude else out
 
 

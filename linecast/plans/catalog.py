@@ -79,6 +79,34 @@ def divergence_signals(spark: SparkSession, sf: str) -> DataFrame:
     return divergence_asof(quotes(spark, sf), home_odds(spark, sf), computed_at=batch_of())
 
 
+_SILVER: dict[tuple[str, str, str], str] = {}
+
+
+def silver(spark: SparkSession, sf: str, name: str, keep_partition: bool = False) -> DataFrame:
+    """Signal table as the read side sees it: computed once per session and test folder, written
+    as Parquet partitioned by day (S10) in the shared checkpoint folder, then read back. Views,
+    feeds and boards query this table, as the studied dashboard queried its warehouse."""
+    from linecast.session import scratch_path
+    from linecast.sources import tables as T
+
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _SILVER:
+        df = divergence_signals(spark, sf) if name == "divergence" else sharp_signals(spark, sf)
+        path = scratch_path(spark, f"silver-{name}")
+        T.write_signals(df, path)
+        _SILVER[key] = path
+    out = T.read_signals(spark, _SILVER[key])
+    return out if keep_partition else out.drop("computed_date")
+
+
+def div_silver(spark, sf, keep_partition=False):
+    return silver(spark, sf, "divergence", keep_partition)
+
+
+def sharp_silver(spark, sf, keep_partition=False):
+    return silver(spark, sf, "sharp", keep_partition)
+
+
 DIV_DOUBLES = ["kalshi_implied_prob", "sportsbook_home_prob", "divergence"]
 SHARP_DOUBLES = ["prev_implied_prob", "current_implied_prob", "prob_movement"]
 
@@ -224,7 +252,7 @@ def _div_sql(body: str, *ctes: str, doubles=DIV_DOUBLES) -> str:
 
 @query("exclude_womens", _div_sql(f"SELECT * FROM div WHERE {NOT_WOMENS}", "div"))
 def q_exclude_womens(spark, sf):
-    return round_doubles(S.exclude_womens(divergence_signals(spark, sf)))
+    return round_doubles(S.exclude_womens(div_silver(spark, sf)))
 
 
 @query(
@@ -232,12 +260,12 @@ def q_exclude_womens(spark, sf):
     _div_sql(f"SELECT * FROM div WHERE CAST({O.local_sql('commence_time', LA)} AS DATE) = DATE '2024-01-15'", "div"),
 )
 def q_by_local_date(spark, sf):
-    return round_doubles(S.by_local_date(divergence_signals(spark, sf), "2024-01-15"))
+    return round_doubles(S.by_local_date(div_silver(spark, sf), "2024-01-15"))
 
 
 @query("by_sport", _div_sql("SELECT * FROM sharp WHERE sport_key = 'basketball_nba'", "sharp", doubles=SHARP_DOUBLES))
 def q_by_sport(spark, sf):
-    return round_doubles(S.by_sport(sharp_signals(spark, sf), "basketball_nba"))
+    return round_doubles(S.by_sport(sharp_silver(spark, sf), "basketball_nba"))
 
 
 @query(
@@ -251,7 +279,7 @@ def q_by_sport(spark, sf):
 )
 def q_by_game(spark, sf):
     live = sb_latest(spark, sf).where(F.col("state") == "in")
-    return round_doubles(S.by_game(divergence_signals(spark, sf), games=live))
+    return round_doubles(S.by_game(div_silver(spark, sf), games=live))
 
 
 @query(
@@ -263,7 +291,7 @@ def q_by_game(spark, sf):
     ),
 )
 def q_plausible_odds(spark, sf):
-    return round_doubles(S.plausible_odds(S.history(sharp_signals(spark, sf), S.ODDS_HISTORY_COLS)))
+    return round_doubles(S.plausible_odds(S.history(sharp_silver(spark, sf), S.ODDS_HISTORY_COLS)))
 
 
 @query(
@@ -271,7 +299,7 @@ def q_plausible_odds(spark, sf):
     _div_sql(f"SELECT * FROM sharp WHERE computed_at >= TIMESTAMP '{td.AS_OF}' - INTERVAL 30 HOUR", "sharp", doubles=SHARP_DOUBLES),
 )
 def q_recent_hours(spark, sf):
-    return round_doubles(S.recent_hours(sharp_signals(spark, sf), 30, td.AS_OF))
+    return round_doubles(S.recent_hours(sharp_silver(spark, sf), 30, td.AS_OF))
 
 
 @query(
@@ -284,7 +312,7 @@ def q_recent_hours(spark, sf):
     ),
 )
 def q_tournament_only(spark, sf):
-    return round_doubles(S.tournament_only(divergence_signals(spark, sf), td.tournament_teams(spark, sf)))
+    return round_doubles(S.tournament_only(div_silver(spark, sf), td.tournament_teams(spark, sf)))
 
 
 _LOCAL = O.local_sql("ingested_at", LA)
@@ -326,7 +354,7 @@ def q_in_game_window(spark, sf):
 
 @query("latest_batch", _div_sql("SELECT * FROM latest_div", "latest_div"))
 def q_latest_batch(spark, sf):
-    return round_doubles(S.latest_batch(divergence_signals(spark, sf)))
+    return round_doubles(S.latest_batch(div_silver(spark, sf, True)).drop("computed_date"))
 
 
 _UNION = f"""SELECT sport_key, home_team, away_team, computed_at FROM div WHERE {NOT_WOMENS}
@@ -343,17 +371,17 @@ _UNION = f"""SELECT sport_key, home_team, away_team, computed_at FROM div WHERE
     ),
 )
 def q_signals_summary(spark, sf):
-    return S.signals_summary(divergence_signals(spark, sf), sharp_signals(spark, sf))
+    return S.signals_summary(div_silver(spark, sf), sharp_silver(spark, sf))
 
 
 @query("union_signals", O.with_ctes(_UNION, "div", "sharp"))
 def q_union_signals(spark, sf):
-    return S.union_signals(divergence_signals(spark, sf), sharp_signals(spark, sf))
+    return S.union_signals(div_silver(spark, sf), sharp_silver(spark, sf))
 
 
 @query("distinct_sports", O.with_ctes("SELECT sport_key FROM div UNION SELECT sport_key FROM sharp", "div", "sharp"))
 def q_distinct_sports(spark, sf):
-    return S.distinct_sports(divergence_signals(spark, sf), sharp_signals(spark, sf))
+    return S.distinct_sports(div_silver(spark, sf), sharp_silver(spark, sf))
 
 
 _DIV_TIE = ("computed_at", "kalshi_implied_prob", "sportsbook_home_prob", "commence_time", "event_ticker")
@@ -369,7 +397,7 @@ _DIV_TIE = ("computed_at", "kalshi_implied_prob", "sportsbook_home_prob", "comme
     ),
 )
 def q_latest_dedup(spark, sf):
-    return round_doubles(S.latest_dedup(divergence_signals(spark, sf), S.DIVERGENCE_SERIES, order=_DIV_TIE))
+    return round_doubles(S.latest_dedup(div_silver(spark, sf), S.DIVERGENCE_SERIES, order=_DIV_TIE))
 
 
 @query(
@@ -383,7 +411,7 @@ def q_latest_dedup(spark, sf):
 )
 def q_minute_dedup(spark, sf):
     # The same signal batch loaded twice (quirk Q11): dedup collapses the copies.
-    s = sharp_signals(spark, sf)
+    s = sharp_silver(spark, sf)
     return round_doubles(S.minute_dedup(s.unionByName(s), S.SHARP_ROW, order=("computed_at",)))
 
 
@@ -412,12 +440,12 @@ _SHARP_COLS = [
 
 @query("divergence_feed", _feed_sql("latest_div", "divergence", _DIV_COLS, DIV_DOUBLES))
 def q_divergence_feed(spark, sf):
-    return round_doubles(S.feed(S.latest_batch(divergence_signals(spark, sf)), "divergence", date=FEED_DATE))
+    return round_doubles(S.feed(S.latest_batch(div_silver(spark, sf, True)).drop("computed_date"), "divergence", date=FEED_DATE))
 
 
 @query("sharp_feed", _feed_sql("latest_sharp", "prob_movement", _SHARP_COLS, SHARP_DOUBLES))
 def q_sharp_feed(spark, sf):
-    return round_doubles(S.feed(S.latest_batch(sharp_signals(spark, sf)), "prob_movement", date=FEED_DATE))
+    return round_doubles(S.feed(S.latest_batch(sharp_silver(spark, sf, True)).drop("computed_date"), "prob_movement", date=FEED_DATE))
 
 
 @query(
@@ -428,7 +456,7 @@ def q_sharp_feed(spark, sf):
     ),
 )
 def q_divergence_history(spark, sf):
-    return round_doubles(S.history(divergence_signals(spark, sf), S.DIVERGENCE_HISTORY_COLS))
+    return round_doubles(S.history(div_silver(spark, sf), S.DIVERGENCE_HISTORY_COLS))
 
 
 @query(
@@ -439,7 +467,7 @@ def q_divergence_history(spark, sf):
     ),
 )
 def q_odds_history(spark, sf):
-    return round_doubles(S.history(sharp_signals(spark, sf), S.ODDS_HISTORY_COLS))
+    return round_doubles(S.history(sharp_silver(spark, sf), S.ODDS_HISTORY_COLS))
 
 
 _DIV_BOARD = """SELECT away_team || '|' || home_team AS game_key, away_team, home_team, sport_key, commence_time,
@@ -464,11 +492,11 @@ _SHARP_TIE = ("bookmaker_key", "team", "computed_at", "ingested_at_ts")
 
 
 def div_board(spark, sf):
-    return B.divergence_game_board(S.feed(S.latest_batch(divergence_signals(spark, sf)), "divergence"))
+    return B.divergence_game_board(S.feed(S.latest_batch(div_silver(spark, sf, True)).drop("computed_date"), "divergence"))
 
 
 def sharp_board(spark, sf):
-    return B.sharp_game_board(S.feed(S.latest_batch(sharp_signals(spark, sf)), "prob_movement"), tie=_SHARP_TIE)
+    return B.sharp_game_board(S.feed(S.latest_batch(sharp_silver(spark, sf, True)).drop("computed_date"), "prob_movement"), tie=_SHARP_TIE)
 
 
 @query("divergence_game_board", O.with_ctes(round_sql(_DIV_BOARD, ["divergence_pct"]), "latest_div"))
@@ -523,7 +551,7 @@ def q_board_order(spark, sf):
     ),
 )
 def q_attach_scores(spark, sf):
-    return round_doubles(J.attach_scores(S.latest_batch(divergence_signals(spark, sf)), sb_latest(spark, sf)))
+    return round_doubles(J.attach_scores(S.latest_batch(div_silver(spark, sf, True)).drop("computed_date"), sb_latest(spark, sf)))
 
 
 @query(
@@ -545,7 +573,7 @@ def q_attach_scores(spark, sf):
     ),
 )
 def q_pivot_divergence(spark, sf):
-    return round_doubles(B.pivot_divergence_long(divergence_signals(spark, sf), tie=("kalshi_implied_prob", "sportsbook_home_prob")))
+    return round_doubles(B.pivot_divergence_long(div_silver(spark, sf), tie=("kalshi_implied_prob", "sportsbook_home_prob")))
 
 
 @query(
@@ -562,7 +590,7 @@ def q_pivot_divergence(spark, sf):
     ),
 )
 def q_pivot_odds(spark, sf):
-    return round_doubles(B.pivot_odds_long(sharp_signals(spark, sf), tie=("ingested_at_ts",)))
+    return round_doubles(B.pivot_odds_long(sharp_silver(spark, sf), tie=("ingested_at_ts",)))
 
 
 @query(
@@ -574,7 +602,7 @@ def q_pivot_odds(spark, sf):
     ),
 )
 def q_team_series_groups(spark, sf):
-    g = B.team_series_groups(sharp_signals(spark, sf))
+    g = B.team_series_groups(sharp_silver(spark, sf))
     return g.withColumn("series_keys", F.array_join("series_keys", ","))
 
 
@@ -653,7 +681,7 @@ def q_score_leader(spark, sf):
     ),
 )
 def q_multi_book_corroboration(spark, sf):
-    return round_doubles(B.multi_book_corroboration(sharp_signals(spark, sf)))
+    return round_doubles(B.multi_book_corroboration(sharp_silver(spark, sf)))
 
 
 # J3 + F4 + F5 over the drained scoreboard games (Eastern game date)
@@ -808,8 +836,8 @@ def q_table_counts(spark, sf):
             "raw_odds": (td.raw_odds(spark, sf), None),
             "raw_kalshi": (td.raw_quotes(spark, sf), None),
             "raw_game_events": (td.scoreboard_events(spark, sf), None),
-            "divergence_signals": (divergence_signals(spark, sf), "is_divergence_signal"),
-            "sharp_money_signals": (sharp_signals(spark, sf), "is_sharp_signal"),
+            "divergence_signals": (div_silver(spark, sf), "is_divergence_signal"),
+            "sharp_money_signals": (sharp_silver(spark, sf), "is_sharp_signal"),
         }
     )
 

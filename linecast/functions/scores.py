@@ -1,6 +1,8 @@
 """Scoreboard expressions (F9, F10, F11): nested event structs to flat game columns.
 
-Both parsers use higher-order array functions (``filter``), so they stay JVM-side.
+Competitors are looked up with ``array_position`` over the extracted field array - plain
+expressions that whole-stage codegen compiles and de-duplicates (a lambda ``filter`` per field
+would run interpreted, once per use).
 """
 
 from __future__ import annotations
@@ -28,22 +30,31 @@ def _or_default(c: Column, default) -> Column:
     return F.when(c.isNull() | (c == F.lit(0)), F.lit(default)).otherwise(c)
 
 
-def first_where(arr: Column, pred) -> Column:
-    """First element of ``arr`` matching ``pred``, else null."""
-    return F.get(F.filter(arr, pred), 0)
+def first_match(arr: Column, field: str, value) -> Column:
+    """First element of an array of structs whose ``field`` equals ``value``, else null."""
+    return F.get(arr, F.array_position(arr[field], F.lit(value)).cast("int") - 1)
 
 
-def parse_event(event: Column | str, sport_key: Column | str) -> Column:
-    """one game struct from a scoreboard event; null when home (order 0) or away (order 1) is missing.
+def event_sides(event: Column | str) -> tuple[Column, Column]:
+    """Home (order 0) and away (order 1) competitor of an event's first competition."""
+    competitors = F.get(_col(event)["competitions"], 0)["competitors"]
+    return first_match(competitors, "order", 0), first_match(competitors, "order", 1)
 
-    First competition only; ``scores`` is filled only for live or finished games.
-    """
+
+def competition_sides(competition: Column | str) -> tuple[Column, Column]:
+    """Home and away competitor of a competition by ``homeAway``."""
+    competitors = _col(competition)["competitors"]
+    return first_match(competitors, "homeAway", "home"), first_match(competitors, "homeAway", "away")
+
+
+def event_columns(event: Column | str, sport_key: Column | str, home: Column | None = None, away: Column | None = None) -> list[Column]:
+    """F9 fields of one scoreboard event as named columns (first competition only; ``scores`` only
+    for live or finished games). Pass ``home``/``away`` when extracted by an earlier projection."""
     e = _col(event)
     sport = _col(sport_key)
     comp = F.get(e["competitions"], 0)
-    competitors = comp["competitors"]
-    home = first_where(competitors, lambda c: c["order"] == 0)
-    away = first_where(competitors, lambda c: c["order"] == 1)
+    if home is None or away is None:
+        home, away = event_sides(e)
     stype = e["status"]["type"]
     state = F.coalesce(stype["state"], F.lit(DEFAULT_STATE))
     home_score = F.coalesce(home["score"], F.lit(DEFAULT_SCORE))
@@ -57,7 +68,7 @@ def parse_event(event: Column | str, sport_key: Column | str) -> Column:
             F.struct(away_name.alias("name"), away_score.alias("score")),
         ),
     )
-    game = F.struct(
+    return [
         sport.alias("sport"),
         e["id"].alias("game_id"),
         sport.alias("sport_key"),
@@ -73,20 +84,25 @@ def parse_event(event: Column | str, sport_key: Column | str) -> Column:
         scores.alias("scores"),
         F.coalesce(stype["shortDetail"], F.lit("")).alias("last_update"),
         F.lit(SCORE_SOURCE).alias("source"),
-    )
-    return F.when(home.isNotNull() & away.isNotNull(), game)
+    ]
 
 
-def competition_score(event: Column | str, competition: Column | str) -> Column:
-    """one scoreboard entry per competition; home/away by ``homeAway``; null when either is missing."""
-    e = _col(event)
+def parse_event(event: Column | str, sport_key: Column | str, home: Column | None = None, away: Column | None = None) -> Column:
+    """F9 as one struct; null when home (order 0) or away (order 1) is missing."""
+    if home is None or away is None:
+        home, away = event_sides(_col(event))
+    return F.when(home.isNotNull() & away.isNotNull(), F.struct(*event_columns(event, sport_key, home, away)))
+
+
+def competition_columns(event_date: Column | str, competition: Column | str, home: Column | None = None, away: Column | None = None) -> list[Column]:
+    """F10 fields of one competition as named columns; home/away by ``homeAway``; key ``away|home``."""
     comp = _col(competition)
-    home = first_where(comp["competitors"], lambda c: c["homeAway"] == "home")
-    away = first_where(comp["competitors"], lambda c: c["homeAway"] == "away")
+    if home is None or away is None:
+        home, away = competition_sides(comp)
     status = comp["status"]
     home_name = home["team"]["displayName"]
     away_name = away["team"]["displayName"]
-    entry = F.struct(
+    return [
         F.concat_ws("|", away_name, home_name).alias("game_key"),
         home_name.alias("home_team"),
         away_name.alias("away_team"),
@@ -96,9 +112,15 @@ def competition_score(event: Column | str, competition: Column | str) -> Column:
         _or_default(status["type"]["state"], DEFAULT_STATE).alias("state"),
         F.coalesce(status["period"], F.lit(0)).alias("period"),
         _or_default(status["displayClock"], "").alias("display_clock"),
-        _or_default(e["date"], "").alias("commence_time"),
-    )
-    return F.when(home.isNotNull() & away.isNotNull(), entry)
+        _or_default(_col(event_date), "").alias("commence_time"),
+    ]
+
+
+def competition_score(event: Column | str, competition: Column | str) -> Column:
+    """F10 as one struct; null when home or away is missing."""
+    home, away = competition_sides(_col(competition))
+    cols = competition_columns(_col(event)["date"], competition, home, away)
+    return F.when(home.isNotNull() & away.isNotNull(), F.struct(*cols))
 
 
 def leading_int(s: Column | str) -> Column:

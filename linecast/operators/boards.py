@@ -12,7 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linecast.functions.odds import KALSHI_HIGHER, divergence_severity, sharp_severity
-from linecast.functions.scores import away_winning, competition_score, home_winning, parse_event, period_label
+from linecast.functions.scores import (
+    away_winning,
+    competition_columns,
+    competition_sides,
+    event_columns,
+    event_sides,
+    home_winning,
+    period_label,
+)
 from linecast.functions.text import series_key, ticker_suffix
 from linecast.functions.timefn import with_timestamp
 from linecast.operators.serving import latest_by
@@ -203,7 +211,11 @@ def parse_scoreboard(
     events: DataFrame, event_col: str = "event", sport_col: str = "sport_key", stamp: bool = True, keep: Sequence[str] = ()
 ) -> DataFrame:
     """F9 as a frame: one game row per event, events without home/away dropped; S9 stamps ingest time."""
-    g = events.select(parse_event(F.col(event_col), F.col(sport_col)).alias("g"), *keep).where(F.col("g").isNotNull()).select("g.*", *keep)
+    # Sides are extracted once; the struct is then built from plain columns.
+    home, away = event_sides(F.col(event_col))
+    sides = events.select(F.col(event_col).alias("__e"), F.col(sport_col).alias("__s"), home.alias("__h"), away.alias("__a"), *keep)
+    sides = sides.where(F.col("__h").isNotNull() & F.col("__a").isNotNull())
+    g = sides.select(*event_columns("__e", "__s", F.col("__h"), F.col("__a")), *keep)
     if stamp:
         g = g.withColumn("ingested_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
     return g
@@ -212,9 +224,11 @@ def parse_scoreboard(
 def scoreboard_entries(events: DataFrame, event_col: str = "event", order_cols: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
     """F10 as a frame: one entry per competition of every event (home/away by ``homeAway``)."""
     pass_cols = list(dict.fromkeys([*order_cols, *keep]))
-    e = events.select(*pass_cols, F.col(event_col).alias("__e"), F.posexplode(F.col(f"{event_col}.competitions")).alias("__cpos", "__c"))
-    entry = competition_score(F.col("__e"), F.col("__c"))
-    return e.select(*pass_cols, "__cpos", entry.alias("s")).where(F.col("s").isNotNull()).select(*pass_cols, "__cpos", "s.*")
+    e = events.select(*pass_cols, F.col(f"{event_col}.date").alias("__d"), F.posexplode(F.col(f"{event_col}.competitions")).alias("__cpos", "__c"))
+    home, away = competition_sides(F.col("__c"))
+    sides = e.select(*pass_cols, "__cpos", "__d", "__c", home.alias("__h"), away.alias("__a"))
+    sides = sides.where(F.col("__h").isNotNull() & F.col("__a").isNotNull())
+    return sides.select(*pass_cols, "__cpos", *competition_columns("__d", "__c", F.col("__h"), F.col("__a")))
 
 
 def scoreboard_latest(

@@ -20,6 +20,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Generated methods above 8000 bytecodes are never JIT-compiled by the JVM; deep nested-struct
+    # projections (feed parsing) then run slower than Spark's interpreted path. Fall back for those.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

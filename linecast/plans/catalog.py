@@ -948,3 +948,52 @@ def q_quarantine(spark, sf):
     return ok.select("event_id", F.col("r.k").alias("k"), F.lit(False).alias("quarantined")).unionByName(
         bad.select("event_id", F.lit(None).cast("long").alias("k"), F.lit(True).alias("quarantined"))
     )
+
+
+@query(
+    "evolve_schema",
+    "SELECT event_id, ts, user_id, event_type, value, CASE WHEN event_type = 'view' THEN NULL ELSE props END AS props FROM events",
+)
+def q_evolve_schema(spark, sf):
+    """The view feed's files lack ``props``, the later files carry it; the Bronze read merges
+    both schemas and older rows get nulls."""
+    base = scratch_path(spark, "evolve")
+    ev = td.table(spark, sf, "events")
+    ev.where(F.col("event_type") == "view").drop("props").write.parquet(f"{base}/bronze/batch=1")
+    ev.where(F.col("event_type") != "view").write.parquet(f"{base}/bronze/batch=2")
+    merged = ING.read_bronze(spark, f"{base}/bronze")
+    assert ING.added_columns(ev.drop("props").schema, ev.schema) == ["props"]
+    return merged.drop("batch")
+
+
+@query(
+    "infer_json_schema",
+    """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts, user_id, event_type, value, props,
+      CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day FROM events""",
+)
+def q_infer_json_schema(spark, sf):
+    """S3 + S1: infer the landing files' schema once (stored next to the checkpoint), then ingest
+    with it; a second inference call reuses the stored schema."""
+    base = scratch_path(spark, "infer")
+    ING.land_partitioned(td.table(spark, sf, "events"), f"{base}/landing", arrival="ts")
+    schema = ING.infer_json_schema(spark, f"{base}/landing", f"{base}/_schema")
+    again = ING.infer_json_schema(spark, f"{base}/landing", f"{base}/_schema")
+    assert again == schema
+    ING.run(ING.ingest_json_stream(spark, f"{base}/landing", schema, f"{base}/bronze", f"{base}/_ckpt"))
+    return ING.read_bronze(spark, f"{base}/bronze")
+
+
+@query(
+    "active_sports",
+    O.with_ctes(
+        "SELECT event_id, sport_key, bookmaker_key, team, american_odds FROM odds "
+        "WHERE sport_key IN ('basketball_nba', 'basketball_ncaab')",
+        "odds",
+    ),
+)
+def q_active_sports(spark, sf):
+    """Odds rows of the sports the configuration marks active (semi-join with the small dim)."""
+    sport_dim, _, _ = td.test_dims(spark, sf)
+    active = J.small_dim(D.active_sports(sport_dim).select("sport_key"))
+    odds = flat_odds(spark, sf).select("event_id", "sport_key", "bookmaker_key", "team", "american_odds")
+    return odds.join(active, "sport_key", "left_semi")

@@ -103,7 +103,8 @@ def corroboration_stream(
 ) -> DataFrame:
     """W5 on a stream: flagged moves grouped by game, team, direction and tumbling window after a
     watermark; the set of moving books per window is bounded by the number of bookmakers."""
-    df = sharp_stream.where(F.col("is_sharp_signal")).withWatermark(ts, watermark)
+    # Watermarks need an instant type; wall-clock (NTZ) times are read as UTC.
+    df = sharp_stream.where(F.col("is_sharp_signal")).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
     g = df.groupBy("sport_key", "home_team", "away_team", "team", "movement_direction", F.window(ts, window).alias("w")).agg(
         F.collect_set("bookmaker_key").alias("books"), F.count(F.lit(1)).alias("n_moves"), F.max("prob_movement").alias("max_prob_movement")
     )
@@ -113,8 +114,8 @@ def corroboration_stream(
         "away_team",
         "team",
         "movement_direction",
-        F.col("w.start").alias("window_start"),
-        F.col("w.end").alias("window_end"),
+        F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+        F.col("w.end").cast("timestamp_ntz").alias("window_end"),
         F.size("books").cast("long").alias("n_books"),
         "n_moves",
         "max_prob_movement",

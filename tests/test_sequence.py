@@ -41,3 +41,32 @@ def test_segmented_asof_equals_brute_force(spark):
         assert {r.lid: r.val for r in got.collect()} == expect
         inner = segmented_asof(L, R, ["k"], "t", "rt", ["val"], right_tie=["rid"], how="inner", segment_seconds=seg)
         assert inner.count() == sum(1 for v in expect.values() if v is not None)
+
+
+def test_hot_key_is_spread_over_tasks(spark):
+    """One key holds a third of all rows: a plain window puts it in one task, the segmented one
+    spreads it over the shuffle partitions by time segment."""
+    from linecast.operators import sequence as SQ
+
+    n = 30000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 997).cast("string")).alias("k"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("id") % 7000)).alias("ts"),
+        F.col("id").alias("tie"),
+        (F.col("id") % 500).alias("v"),
+    )
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plain = df.repartition(8, "k")
+        share_plain = max(r[1] for r in plain.groupBy(F.spark_partition_id()).count().collect()) / n
+        seg = SQ._with_key(df, ["k"], "ts", 600).repartition(8, SQ.KEY, SQ.SEG)
+        share_seg = max(r[1] for r in seg.groupBy(F.spark_partition_id()).count().collect()) / n
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
+    assert share_plain > 0.33
+    assert share_seg < 0.2
+    # and the operator's own exchange is on (key, segment)
+    out = segmented_lag(df, ["k"], "ts", ["ts", "tie"], ["v"], segment_seconds=600)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__seq_key" in plan and "__seq_seg" in plan

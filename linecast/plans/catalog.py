@@ -703,13 +703,10 @@ _DRAINED = f"""(SELECT {_PARSED_COLS}, substr(commence_time, 1, 10) AS game_date
                                  ORDER BY seq DESC) = 1) dr"""
 
 
-@query(
-    "games_to_tickers",
-    O.with_ctes(
-        _ticker_sql(_DRAINED, "commence_time", "America/New_York", _PARSED_COLS + ", game_date"),
-        "sb_parsed",
-    ),
-)
+_GAMES_TO_TICKERS_SQL = O.with_ctes(_ticker_sql(_DRAINED, "commence_time", "America/New_York", _PARSED_COLS + ", game_date"), "sb_parsed")
+
+
+@query("games_to_tickers", _GAMES_TO_TICKERS_SQL)
 def q_games_to_tickers(spark, sf):
     sport_dim, team_dim, _ = td.test_dims(spark, sf)
     games = B.drain_latest(parsed_games(spark, sf), order=("seq",))
@@ -997,3 +994,17 @@ def q_active_sports(spark, sf):
     active = J.small_dim(D.active_sports(sport_dim).select("sport_key"))
     odds = flat_odds(spark, sf).select("event_id", "sport_key", "bookmaker_key", "team", "american_odds")
     return odds.join(active, "sport_key", "left_semi")
+
+
+@query("ticker_stream", _GAMES_TO_TICKERS_SQL)
+def q_ticker_stream(spark, sf):
+    """Chained stream: parsed game events arrive as files; each micro-batch drains the last record
+    per game and builds its ticker (all files pending at start form one availableNow batch, so the
+    result equals the batch job)."""
+    base = scratch_path(spark, "tickerstream")
+    games = parsed_games(spark, sf)
+    games.write.parquet(f"{base}/games")
+    sport_dim, team_dim, _ = td.test_dims(spark, sf)
+    stream = spark.readStream.schema(games.schema).parquet(f"{base}/games")
+    ING.run(INC.ticker_stream(stream, sport_dim, team_dim, f"{base}/out", f"{base}/_ckpt", order=("seq",)))
+    return spark.read.parquet(f"{base}/out").drop("batch_id")

@@ -121,3 +121,35 @@ def corroboration_stream(
         "max_prob_movement",
         (F.size("books") >= min_books).alias("is_corroborated"),
     )
+
+
+def ticker_stream(
+    game_stream: DataFrame,
+    sport_dim: DataFrame,
+    team_dim: DataFrame,
+    out_path: str,
+    checkpoint: str,
+    markets: DataFrame | None = None,
+    tz: str = "America/New_York",
+    order: Sequence[str] = ("ingested_at",),
+    trigger: str | None = "availableNow",
+) -> StreamingQuery:
+    """Chained stream (game events drive the market lookup): per micro-batch, the last record of
+    each game (W4), its event ticker (J3) and, given a market table, its markets (J4, a
+    stream-static join). Output partitioned by batch id with dynamic overwrite (idempotent)."""
+    from linecast.operators.boards import drain_latest
+    from linecast.operators.dims import games_to_tickers, ticker_lookup
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        tickers = games_to_tickers(drain_latest(batch, order=order), sport_dim, team_dim, tz=tz)
+        out = tickers if markets is None else ticker_lookup(tickers, markets)
+        (
+            out.withColumn("batch_id", F.lit(batch_id))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch_id")
+            .parquet(out_path)
+        )
+
+    w = game_stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return _trigger(w, trigger).start()

@@ -71,8 +71,8 @@ def job_signals(
     sharp = sharp_money(flat, books=sharp_books, threshold=sharp_threshold, computed_at=computed_at, tie=tie)
 
     paths = {"divergence": f"{out}/silver/divergence_signals", "sharp": f"{out}/silver/sharp_money_signals"}
-    T.write_signals(div, paths["divergence"])
-    T.write_signals(sharp, paths["sharp"])
+    T.write_signals(div, paths["divergence"], versioned=True)
+    T.write_signals(sharp, paths["sharp"], versioned=True)
     d = T.read_signals(spark, paths["divergence"])
     s = T.read_signals(spark, paths["sharp"])
     exports = {

@@ -1,9 +1,10 @@
 """Kafka source and sink (S4, S5), kept behind two functions.
 
 The Kafka connector is a separate package (``org.apache.spark:spark-sql-kafka-0-10``) that must be on
-the cluster's classpath; it is not bundled here, so the frames are built lazily and fail only when
-a query starts. Message shaping (:func:`to_messages`, :func:`decode_messages`) is plain column
-work and is tested with file sources.
+the cluster's classpath; it is not bundled here. Without it, :func:`kafka_source` raises Spark's
+"Failed to find data source: kafka" when the frame is built; nothing else in the package depends
+on it. Message shaping (:func:`to_messages`, :func:`decode_messages`) is plain column work and is
+tested with file sources.
 """
 
 from __future__ import annotations

@@ -24,18 +24,39 @@ def table_counts(tables: Mapping[str, tuple[DataFrame, str | None]]) -> DataFram
     return out
 
 
-def write_signals(df: DataFrame, path: str, partition_by_day: str | None = "computed_at", mode: str = "overwrite") -> str:
-    """Write a signal table as Parquet in one action. With ``partition_by_day`` the table is
-    partitioned by the UTC date of that column, so later reads prune by day. Overwrite replaces only
-    the partitions written (dynamic partition overwrite)."""
+CURRENT = "_CURRENT"
+
+
+def write_signals(
+    df: DataFrame,
+    path: str,
+    partition_by_day: str | None = "computed_at",
+    mode: str = "overwrite",
+    dynamic: bool = False,
+    versioned: bool = False,
+) -> str:
+    """Write a signal table as Parquet in one action.
+
+    With ``partition_by_day`` the table is partitioned by the UTC date of that column, so later reads
+    prune by day. ``overwrite`` replaces the whole table (the job is a full recompute); ``dynamic``
+    replaces only the day partitions written. ``versioned`` writes into a fresh version folder and
+    then swaps the small ``_CURRENT`` pointer, so readers never see a half-written table (write to a
+    new folder, then swap); :func:`read_signals` follows the pointer.
+    """
+    import uuid
+
     w = df
     if partition_by_day:
         w = w.withColumn("computed_date", F.to_date(F.col(partition_by_day)))
-    writer = w.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    target = f"{path}/_versions/{uuid.uuid4().hex}" if versioned else path
+    writer = w.write.mode(mode).option("partitionOverwriteMode", "dynamic" if dynamic else "static")
     if partition_by_day:
         writer = writer.partitionBy("computed_date")
-    writer.parquet(path)
-    return path
+    writer.parquet(target)
+    if versioned:
+        version = target.rsplit("/", 1)[1]
+        df.sparkSession.createDataFrame([(version,)], "value STRING").write.mode("overwrite").text(f"{path}/{CURRENT}")
+    return target
 
 
 def export_signals_json(df: DataFrame, flag_col: str, path: str) -> str:
@@ -46,9 +67,18 @@ def export_signals_json(df: DataFrame, flag_col: str, path: str) -> str:
     return path
 
 
+def current_version(spark: SparkSession, path: str) -> str:
+    """Folder holding the current data of a table written by :func:`write_signals`."""
+    try:
+        row = spark.read.text(f"{path}/{CURRENT}").first()
+    except Exception:  # noqa: BLE001 - not a versioned table
+        return path
+    return f"{path}/_versions/{row[0]}" if row is not None else path
+
+
 def read_signals(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
     """Read a signal table written by :func:`write_signals`; ``since`` prunes day partitions."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
+    df = spark.read.option("mergeSchema", "true").parquet(current_version(spark, path))
     if since is not None and "computed_date" in df.columns:
         df = df.where(F.col("computed_date") >= F.lit(since).cast("date"))
     return df

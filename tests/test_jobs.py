@@ -33,3 +33,15 @@ def test_job_tickers(spark):
     assert out["tickers"].count() > 0
     assert out["unmatched"].count() > 0
     assert out["markets"].count() <= 1
+
+
+def test_versioned_write_swaps_pointer(spark):
+    from linecast.sources import tables as T
+
+    base = tempfile.mkdtemp(prefix="lc-ver-")
+    a = spark.createDataFrame([(1, "2024-01-01 10:00:00")], "x INT, computed_at STRING").withColumn("computed_at", F.col("computed_at").cast("timestamp"))
+    b = spark.createDataFrame([(2, "2024-01-02 10:00:00")], "x INT, computed_at STRING").withColumn("computed_at", F.col("computed_at").cast("timestamp"))
+    T.write_signals(a, f"{base}/t", versioned=True)
+    assert [r.x for r in T.read_signals(spark, f"{base}/t").collect()] == [1]
+    T.write_signals(b, f"{base}/t", versioned=True)
+    assert [r.x for r in T.read_signals(spark, f"{base}/t").collect()] == [2]

@@ -24,8 +24,20 @@ ORACLE: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
+    """Register a query; the registered callable first applies the library's session settings
+    (UTC session time zone, AQE), which every time expression here relies on."""
+
     def deco(fn):
-        QUERIES[name] = fn
+        from functools import wraps
+
+        from linecast.session import apply_defaults
+
+        @wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            apply_defaults(spark)
+            return fn(spark, sf)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn

@@ -75,7 +75,7 @@ def raw_odds(spark: SparkSession, sf_dir: str, poll: str = "tick") -> DataFrame:
     """
     ev = table(spark, sf_dir, "events").where(F.col("event_type") != QUOTE_EVENT)
     game = game_of(F.col("user_id"))
-    ts = F.col("ts") if poll == "tick" else F.date_trunc("day", F.col("ts"))
+    ts = F.col("ts") if poll == "tick" else F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")
     h2h = F.struct(
         F.lit("h2h").alias("key"),
         F.array(
@@ -103,7 +103,7 @@ def raw_odds(spark: SparkSession, sf_dir: str, poll: str = "tick") -> DataFrame:
     )
     return ev.select(
         *_game_cols(game),
-        (F.date_trunc("day", F.col("ts")) + F.expr("INTERVAL 23 HOURS")).alias("commence_time"),
+        (F.date_trunc("day", F.col("ts")) + F.expr("INTERVAL 23 HOURS")).cast("timestamp_ntz").alias("commence_time"),
         ts.alias("ingested_at"),
         F.array(book).alias("bookmakers"),
         F.col("event_id"),
@@ -114,11 +114,11 @@ def odds_flat(spark: SparkSession, sf_dir: str, poll: str = "tick") -> DataFrame
     """Flat odds built directly (for operators that start after the flatten step)."""
     ev = table(spark, sf_dir, "events").where(F.col("event_type") != QUOTE_EVENT)
     game = game_of(F.col("user_id"))
-    ts = F.col("ts") if poll == "tick" else F.date_trunc("day", F.col("ts"))
+    ts = F.col("ts") if poll == "tick" else F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")
     odds = _odds_value(F.col("event_id"), F.col("value"))
     return ev.select(
         *_game_cols(game),
-        (F.date_trunc("day", F.col("ts")) + F.expr("INTERVAL 23 HOURS")).alias("commence_time"),
+        (F.date_trunc("day", F.col("ts")) + F.expr("INTERVAL 23 HOURS")).cast("timestamp_ntz").alias("commence_time"),
         ts.alias("ingested_at"),
         F.col("event_id"),
         F.col("event_type").alias("bookmaker_key"),

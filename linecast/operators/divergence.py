@@ -80,7 +80,7 @@ def divergence_asof(
     quote_ts: str = "ingested_at",
     book_ts: str = "ingested_at",
     book_tie: Sequence[str] = ("id",),
-    segment_seconds: int = DEFAULT_SEGMENT_SECONDS,
+    segment_seconds: int | str = DEFAULT_SEGMENT_SECONDS,
 ) -> DataFrame:
     """Every quote against the latest home consensus at or before it (inner: quotes before the
     first poll of their game have no partner and drop)."""

@@ -10,6 +10,10 @@ of all rows) would then be one task. Here each key is cut into time segments:
 
 The result equals the whole-key window exactly. Segment width is a parameter: smaller widths
 split hot keys finer at the price of a larger summary (one row per key and non-empty segment).
+``segment_seconds="auto"`` sizes segments per key instead: keys with more than ``target_rows``
+rows (at most ``rows / target_rows`` of them, so the list is bounded and size-checked before it is
+broadcast) get a width that puts about ``target_rows`` rows in a segment; all other keys keep the
+default width (a whole such key is already below the target).
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 KEY = "__seq_key"
 SEG = "__seq_seg"
 DEFAULT_SEGMENT_SECONDS = 3600
+DEFAULT_TARGET_ROWS = 1_000_000
 _MIN_SEG = -(2**63)
 
 
@@ -32,12 +37,39 @@ def segment_of(ts: Column | str, segment_seconds: int) -> Column:
     return F.coalesce(seg, F.lit(_MIN_SEG).cast("long"))
 
 
-def _with_key(df: DataFrame, keys: Sequence[str], ts: str, segment_seconds: int) -> DataFrame:
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def _hot_keys(frames: Sequence[tuple[DataFrame, str]], keys: Sequence[str], target_rows: int) -> DataFrame:
+    """Per-key segment width (microseconds) for keys above ``target_rows`` rows."""
+    from linecast.operators.joins import small_dim
+
+    parts = [df.select(F.struct(*[F.col(k) for k in keys]).alias(KEY), _micros(ts).alias("__us")) for df, ts in frames]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    stats = u.groupBy(KEY).agg(F.count(F.lit(1)).alias("__n"), F.min("__us").alias("__lo"), F.max("__us").alias("__hi"))
+    hot = stats.where(F.col("__n") > target_rows)
+    width = F.greatest(F.lit(1_000_000).cast("long"), F.ceil((F.col("__hi") - F.col("__lo") + 1) * target_rows / F.col("__n")).cast("long"))
+    return small_dim(hot.select(KEY, F.col("__lo").alias("__hot_lo"), width.alias("__hot_w")))
+
+
+def _with_key(df: DataFrame, keys: Sequence[str], ts: str, segment_seconds, hot: DataFrame | None = None) -> DataFrame:
     # The key columns travel once, inside one struct: a struct key compares null fields as equal
     # (null keys group together as in a window) and plain equality on it keeps the join keys
     # identical to the window's partitioning, so the big side is never shuffled a second time.
     rest = [F.col(c) for c in df.columns if c not in keys]
-    return df.select(*rest, F.struct(*[F.col(k) for k in keys]).alias(KEY), segment_of(ts, segment_seconds).alias(SEG))
+    base = df.select(*rest, F.struct(*[F.col(k) for k in keys]).alias(KEY), F.col(ts).alias("__segts"))
+    width = DEFAULT_SEGMENT_SECONDS if segment_seconds == "auto" else int(segment_seconds)
+    seg = segment_of("__segts", width)
+    if hot is not None:
+        base = base.join(hot, on=KEY, how="left")
+        us = _micros("__segts")
+        hot_seg = F.coalesce(F.floor((us - F.col("__hot_lo")) / F.col("__hot_w")), F.lit(_MIN_SEG).cast("long"))
+        # Hot keys count segments from their own first row; both numberings increase with time.
+        seg = F.when(F.col("__hot_w").isNotNull(), hot_seg).otherwise(seg)
+    return base.select(*rest, KEY, seg.alias(SEG))
 
 
 def _unkey(keys: Sequence[str], columns: Sequence[str]) -> list[Column]:
@@ -52,13 +84,15 @@ def segmented_lag(
     order: Sequence[str],
     values: Sequence[str],
     prefix: str = "prev_",
-    segment_seconds: int = DEFAULT_SEGMENT_SECONDS,
+    segment_seconds: int | str = DEFAULT_SEGMENT_SECONDS,
+    target_rows: int = DEFAULT_TARGET_ROWS,
 ) -> DataFrame:
     """Add ``prefix+v`` = value of ``v`` in the previous row of the same key ordered by ``order``.
 
     ``order`` must start with ``ts`` and should end in a unique tie-break for a deterministic result.
     """
-    base = _with_key(df, keys, ts, segment_seconds)
+    hot = _hot_keys([(df, ts)], keys, target_rows) if segment_seconds == "auto" else None
+    base = _with_key(df, keys, ts, segment_seconds, hot)
     w = Window.partitionBy(KEY, SEG).orderBy(*[F.col(o).asc_nulls_first() for o in order])
     lags = [F.lag(F.col(v), 1).over(w).alias(f"__lag{i}") for i, v in enumerate(values)]
     local = base.select("*", F.lag(F.lit(True), 1).over(w).alias("__has"), *lags)
@@ -83,7 +117,8 @@ def segmented_asof(
     right_values: Sequence[str],
     right_tie: Sequence[str] = (),
     how: str = "inner",
-    segment_seconds: int = DEFAULT_SEGMENT_SECONDS,
+    segment_seconds: int | str = DEFAULT_SEGMENT_SECONDS,
+    target_rows: int = DEFAULT_TARGET_ROWS,
 ) -> DataFrame:
     """As-of join: each left row gets the right row of the same key with the greatest
     ``(right_ts, *right_tie)`` such that ``right_ts <= left_ts``.
@@ -93,8 +128,9 @@ def segmented_asof(
     earlier right row; ``'left'`` keeps them with nulls.
     """
     lcols = left.columns
+    hot = _hot_keys([(left, left_ts), (right, right_ts)], keys, target_rows) if segment_seconds == "auto" else None
     l_prep = (
-        _with_key(left, keys, left_ts, segment_seconds)
+        _with_key(left, keys, left_ts, segment_seconds, hot)
         .select(
             KEY,
             SEG,
@@ -105,7 +141,7 @@ def segmented_asof(
     )
     val = F.struct(*[F.col(v) for v in right_values])
     tie = F.struct(*[F.col(t) for t in right_tie]) if right_tie else F.lit(0)
-    r_prep = _with_key(right, keys, right_ts, segment_seconds).select(
+    r_prep = _with_key(right, keys, right_ts, segment_seconds, hot).select(
         KEY,
         SEG,
         F.col(right_ts).cast("timestamp").alias("__t"),

@@ -70,3 +70,28 @@ def test_hot_key_is_spread_over_tasks(spark):
     out = segmented_lag(df, ["k"], "ts", ["ts", "tie"], ["v"], segment_seconds=600)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(__seq_key" in plan and "__seq_seg" in plan
+
+
+def test_auto_segments_equal_window_and_split_hot_key(spark):
+    from linecast.operators import sequence as SQ
+
+    df = spark.createDataFrame(_rows(600, 3), "k STRING, ts STRING, tie BIGINT, v BIGINT").withColumn("ts", F.col("ts").cast("timestamp"))
+    w = Window.partitionBy("k").orderBy(F.col("ts").asc_nulls_first(), "tie")
+    want = sorted(df.select("tie", F.lag("v").over(w).alias("prev_v")).collect())
+    got = segmented_lag(df, ["k"], "ts", ["ts", "tie"], ["v"], segment_seconds="auto", target_rows=20)
+    assert sorted(got.select("tie", "prev_v").collect()) == want
+    hot = SQ._hot_keys([(df, "ts")], ["k"], 20)
+    keyed = SQ._with_key(df, ["k"], "ts", "auto", hot)
+    per_seg = keyed.groupBy(SQ.KEY, SQ.SEG).count().agg(F.max("count")).first()[0]
+    assert per_seg <= 60  # about target_rows per segment instead of whole days of a key
+
+
+def test_auto_asof_equals_fixed(spark):
+    rnd = random.Random(11)
+    left = [(rnd.choice(["x", "y"]), f"2024-01-01 {rnd.randint(0, 23):02d}:{rnd.randint(0, 59):02d}:00", i) for i in range(200)]
+    right = [(rnd.choice(["x", "y"]), f"2024-01-01 {rnd.randint(0, 23):02d}:{rnd.randint(0, 59):02d}:00", j, float(j)) for j in range(60)]
+    L = spark.createDataFrame(left, "k STRING, t STRING, lid BIGINT").withColumn("t", F.col("t").cast("timestamp"))
+    R = spark.createDataFrame(right, "k STRING, rt STRING, rid BIGINT, val DOUBLE").withColumn("rt", F.col("rt").cast("timestamp"))
+    a = {r.lid: r.val for r in segmented_asof(L, R, ["k"], "t", "rt", ["val"], right_tie=["rid"], how="left", segment_seconds="auto", target_rows=15).collect()}
+    b = {r.lid: r.val for r in segmented_asof(L, R, ["k"], "t", "rt", ["val"], right_tie=["rid"], how="left").collect()}
+    assert a == b

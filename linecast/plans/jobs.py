@@ -34,16 +34,21 @@ class SignalOutputs:
     counts: list[tuple] = field(default_factory=list)
 
 
-def job_bronze(spark: SparkSession, landing: Mapping[str, str], bronze: str, checkpoints: str) -> DataFrame:
-    """S1-S3 x3 + S14: drain the three landing folders into Bronze tables (explicit schemas,
-    once-per-file), run concurrently, then count every table."""
-    queries = [
-        ING.ingest_json_stream(spark, src, schemas.feed_schema(feed), f"{bronze}/{feed}", f"{checkpoints}/{feed}")
+def job_bronze(spark: SparkSession, landing: Mapping[str, str], bronze: str, checkpoints: str) -> dict:
+    """S1-S3 x3 + S14: drain the landing folders into Bronze tables (explicit schemas,
+    once-per-file), the streams running concurrently. Returns the rows each stream ingested in this
+    run (observed metrics, no extra pass) and the Bronze table counts as a frame."""
+    queries = {
+        feed: ING.ingest_json_stream(
+            spark, src, schemas.feed_schema(feed), f"{bronze}/{feed}", f"{checkpoints}/{feed}", observe=f"ingest_{feed}"
+        )
         for feed, src in landing.items()
-    ]
-    for q in queries:
+    }
+    for q in queries.values():
         ING.run(q)
-    return T.table_counts({f"raw_{feed}": (ING.read_bronze(spark, f"{bronze}/{feed}"), None) for feed in landing})
+    ingested = {feed: ING.observed_rows(q, f"ingest_{feed}") for feed, q in queries.items()}
+    tables = T.table_counts({f"raw_{feed}": (ING.read_bronze(spark, f"{bronze}/{feed}"), None) for feed in landing})
+    return {"ingested": ingested, "tables": tables}
 
 
 def job_signals(

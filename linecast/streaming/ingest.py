@@ -116,8 +116,12 @@ def ingest_stream(
     options: Mapping[str, str] | None = None,
     partition_by: tuple[str, ...] = (),
     transform: Callable[[DataFrame], DataFrame] | None = None,
+    observe: str | None = None,
 ) -> StreamingQuery:
-    """Incremental once-per-file ingest of a landing folder into a Parquet Bronze table."""
+    """Incremental once-per-file ingest of a landing folder into a Parquet Bronze table.
+
+    With ``observe`` the stream also reports its row count per micro-batch as an observed metric of
+    that name (S14 for streams, no second pass over the table; see :func:`observed_rows`)."""
     # No timestamp pattern on read: Spark's default parser accepts ISO-8601 with or without zone
     # and any fraction of a second.
     reader = spark.readStream.schema(schema).format(fmt)
@@ -126,12 +130,27 @@ def ingest_stream(
     df = reader.load(src)
     if transform is not None:
         df = transform(df)
+    if observe:
+        df = df.observe(observe, F.count(F.lit(1)).alias("rows"))
     writer = df.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     return _trigger(writer, trigger).start(dst)
 
 
+def observed_rows(query: StreamingQuery, name: str) -> int:
+    """Rows counted by an observed metric over the micro-batches of this run (the query keeps the
+    last ``spark.sql.streaming.numRecentProgressUpdates`` progress reports; use a listener for
+    longer runs)."""
+    total = 0
+    for p in query.recentProgress:
+        metrics = p.get("observedMetrics") if isinstance(p, dict) else p.observedMetrics
+        m = (metrics or {}).get(name)
+        if m is not None:
+            total += int(m["rows"])
+    return total
+
+
 def ingest_json_stream(spark: SparkSession, src: str, schema: StructType, dst: str, checkpoint: str, **kw) -> StreamingQuery:
     """S1 for newline-delimited JSON landing files (drained with ``availableNow`` by default)."""
     return ingest_stream(spark, src, schema, dst, checkpoint, fmt="json", **kw)

@@ -65,7 +65,11 @@ def job_signals(
     tie: Sequence[str] = (),
 ) -> SignalOutputs:
     """job_divergence + job_sharp_money: both signal tables written once each (S10), the flagged
-    rows exported as JSON from the written tables (S11), counts from the written tables (S14)."""
+    rows exported as JSON from the written tables (S11), counts from the written tables (S14).
+    Shuffle partitions are sized from the inputs' estimated size first."""
+    from linecast.session import size_shuffle_partitions
+
+    size_shuffle_partitions(spark, raw_odds, raw_quotes)
     flat = flatten_odds(raw_odds, keep=tuple(tie))
     home = home_consensus(consensus(flat, books=consensus_books))
     quotes = kalshi_mid(raw_quotes)

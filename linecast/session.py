@@ -71,3 +71,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+# Shuffle sizing: aim for partitions of this many input bytes; AQE coalesces the small ones at run
+# time and splits skewed ones, so the static count only has to be large enough.
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+MAX_SHUFFLE_PARTITIONS = 200_000
+
+
+def estimated_bytes(df) -> int:
+    """Optimizer's size estimate of a DataFrame (file sizes for scans, after pruning)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def size_shuffle_partitions(spark: SparkSession, *inputs, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
+    """Set ``spark.sql.shuffle.partitions`` from the estimated input size so each shuffle partition
+    holds about ``target_bytes`` (never fewer than twice the default parallelism). Returns the value."""
+    total = sum(estimated_bytes(df) for df in inputs)
+    floor = 2 * spark.sparkContext.defaultParallelism
+    n = max(floor, min(MAX_SHUFFLE_PARTITIONS, -(-total // target_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(min(target_bytes, 256 * 1024 * 1024)))
+    return n

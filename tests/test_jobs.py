@@ -65,3 +65,16 @@ def test_job_bronze_counts_and_rerun(spark):
     from linecast.operators.odds import flatten_odds
 
     assert flatten_odds(ING.read_bronze(spark, f"{base}/bronze/odds")).count() == flatten_odds(odds).count()
+
+
+def test_shuffle_partitions_follow_input_size(spark):
+    from linecast.session import estimated_bytes, size_shuffle_partitions
+
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        ev = spark.read.parquet("/root/testdata/sf0.1/events.parquet")
+        assert estimated_bytes(ev) > 0
+        assert size_shuffle_partitions(spark, ev) == 2 * spark.sparkContext.defaultParallelism
+        assert size_shuffle_partitions(spark, ev, target_bytes=64 * 1024) > 2 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)

@@ -99,3 +99,40 @@ def test_pivot_wide_from_long(spark):
     assert len(wide) == 1
     r = wide[0]
     assert (r.kalshi_H, r.kalshi_A, r.sportsbook_avg) == (0.62, 0.4, 0.56)
+
+
+def test_latest_dedup_window_and_latest_row(spark):
+    import datetime as dt
+
+    t = dt.datetime(2026, 3, 24, 20, 0)
+    rows = [
+        ("basketball_nba", "H", "A", t, 0.10, "M-H", t, "x"),
+        ("basketball_nba", "H", "A", t + dt.timedelta(minutes=25), 0.20, "M-H", t, "x"),
+        ("basketball_nba", "H", "A", t + dt.timedelta(minutes=30), 0.30, "M-H", t, "x"),
+        ("basketball_nba", "H2", "A2", t + dt.timedelta(minutes=15), 0.40, "M-H2", t, "x"),  # older than max - 10 min
+        ("basketball_wncaab", "H3", "A3", t + dt.timedelta(minutes=30), 0.50, "M-H3", t, "x"),
+    ]
+    got = S.latest_dedup(_sig(spark, rows), S.DIVERGENCE_SERIES).collect()
+    assert [(r.market_ticker, r.divergence) for r in got] == [("M-H", 0.30)]
+
+
+def test_attach_abbr_falls_back_to_name(spark):
+    from linecast.operators.joins import attach_abbr
+
+    df = spark.createDataFrame([("Denver Nuggets",), ("Nowhere",)], "away_team STRING")
+    dim = spark.createDataFrame([("dash", "basketball_nba", "Denver Nuggets", "DEN")], "source STRING, sport_key STRING, team STRING, abbr STRING")
+    assert sorted(r.a for r in attach_abbr(df, dim, "away_team", "a").collect()) == ["DEN", "Nowhere"]
+
+
+def test_feed_orders_nulls_last_and_limits(spark):
+    df = _sig(spark, [("basketball_nba", f"H{i}", "A", None, d, "M", None, "x") for i, d in enumerate([0.1, None, 0.3, 0.2])])
+    got = [r.divergence for r in S.feed(df, "divergence", limit=3).collect()]
+    assert got == [0.3, 0.2, 0.1]
+
+
+def test_recent_hours_none_keeps_all(spark):
+    import datetime as dt
+
+    df = _sig(spark, [("basketball_nba", "H", "A", dt.datetime(2020, 1, 1), 0.1, "M", None, "x")])
+    assert S.recent_hours(df, None, "2026-01-01 00:00:00").count() == 1
+    assert S.recent_hours(df, 1, "2026-01-01 00:00:00").count() == 0

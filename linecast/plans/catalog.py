@@ -951,10 +951,8 @@ def q_quarantine(spark, sf):
     """Every tenth message is cut short (not JSON) and goes to the error side."""
     ev = td.table(spark, sf, "events")
     raw = ev.select("event_id", F.when(F.col("event_id") % 10 == 0, F.expr("substr(props, 1, length(props) - 1)")).otherwise(F.col("props")).alias("value"))
-    good, bad = ING.quarantine(raw.select("event_id", F.col("value")), "value", SC.struct("k BIGINT"))
-    # keep the id with the parsed record: parse again with the id alongside
-    ok = raw.join(bad.select("event_id"), "event_id", "left_anti").select("event_id", F.from_json("value", "k BIGINT").alias("r"))
-    return ok.select("event_id", F.col("r.k").alias("k"), F.lit(False).alias("quarantined")).unionByName(
+    good, bad = ING.quarantine(raw, "value", SC.struct("k BIGINT"), keep=("event_id",))
+    return good.select("event_id", "k", F.lit(False).alias("quarantined")).unionByName(
         bad.select("event_id", F.lit(None).cast("long").alias("k"), F.lit(True).alias("quarantined"))
     )
 

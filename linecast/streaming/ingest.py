@@ -185,16 +185,23 @@ def land_partitioned(
 # -- S8 -------------------------------------------------------------------------------------------
 
 
-def quarantine(df: DataFrame, value_col: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """Parse JSON text; return ``(good, bad)``. Bad rows are text that is not JSON at all or a
-    JSON value that is not an object; they keep their raw text for the error folder."""
+def quarantine(df: DataFrame, value_col: str, schema: StructType, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Parse JSON text; return ``(good, bad)``. Good rows are the parsed records plus the ``keep``
+    columns; bad rows (text that is not JSON, or JSON that is not an object) keep all their columns
+    and the raw text for the error folder (:func:`write_quarantine`)."""
     valid = F.try_parse_json(F.col(value_col)).isNotNull() & F.ltrim(F.col(value_col)).startswith("{")
     tagged = df.withColumn("__ok", F.coalesce(valid, F.lit(False)))
-    good = tagged.where("__ok").select(F.from_json(F.col(value_col), schema).alias("r")).select("r.*")
+    good = tagged.where("__ok").select(*keep, F.from_json(F.col(value_col), schema).alias("__r")).select(*keep, "__r.*")
     bad = tagged.where(~F.col("__ok")).drop("__ok")
     return good, bad
 
 
+def write_quarantine(bad: DataFrame, path: str) -> str:
+    """S8 sink: undeliverable records appended as line JSON under an error prefix, by arrival day."""
+    with_arrival_partitions(bad).write.mode("append").options(**JSON_TS_OPTIONS).partitionBy("year", "month", "day").json(path)
+    return path
+
+
 # -- S6 -------------------------------------------------------------------------------------------
 
 

@@ -88,3 +88,12 @@ def test_corroboration_stream_matches_batch(spark):
     g = {tuple(r) for r in got.select(*key).collect()}
     w = {tuple(r) for r in want.select(*key).collect()}
     assert g and g <= w and len(g) >= 0.9 * len(w)
+
+
+def test_write_quarantine(spark):
+    base = tempfile.mkdtemp(prefix="lc-q-")
+    df = spark.createDataFrame([(1, "{\"k\": 1}"), (2, "oops")], "id BIGINT, value STRING")
+    good, bad = ING.quarantine(df, "value", spark.createDataFrame([], "k BIGINT").schema, keep=("id",))
+    assert [(r.id, r.k) for r in good.collect()] == [(1, 1)]
+    ING.write_quarantine(bad, f"{base}/errors")
+    assert [r.value for r in spark.read.json(f"{base}/errors").collect()] == ["oops"]

@@ -4,9 +4,11 @@ A plain ``Window.partitionBy(key)`` puts every row of a key in one task; one hot
 of all rows) would then be one task. Here each key is cut into time segments:
 
 1. window over ``(key, segment)`` - the single shuffle of the big input;
-2. one summary row per ``(key, segment)`` (partial aggregation, reuses step 1's partitioning);
+2. one summary row per ``(key, segment)``, aggregated map-side from the (column-pruned) input, so
+   only one row per key and segment crosses the network;
 3. a window over the small summary carries the last value of earlier segments forward;
-4. the carry is joined back on ``(key, segment)``; only the summary side moves.
+4. the carry is joined back on ``(key, segment)``: the big side is already partitioned on those
+   keys, so only the summary moves (or is broadcast when AQE measures it small).
 
 The result equals the whole-key window exactly. Segment width is a parameter: smaller widths
 split hot keys finer at the price of a larger summary (one row per key and non-empty segment).

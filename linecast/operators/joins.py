@@ -13,11 +13,19 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 200_000
 
 
-def small_dim(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def small_dim(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, materialize: bool = False) -> DataFrame:
     """``broadcast(df)`` when ``df`` provably holds at most ``max_rows`` rows, else ``df`` unchanged.
 
-    The proof is a bounded count (``limit(max_rows + 1).count()``), cheap for a dimension.
+    The proof is a bounded count (``limit(max_rows + 1).count()``), cheap for a dimension. A side
+    derived from a large input (``materialize=True``) is first written with a reliable
+    ``checkpoint()`` to the shared checkpoint folder, so the count and the join read the stored rows
+    instead of recomputing them (and survive lost executors).
     """
+    if materialize:
+        from linecast.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 

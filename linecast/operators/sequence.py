@@ -54,7 +54,7 @@ def _hot_keys(frames: Sequence[tuple[DataFrame, str]], keys: Sequence[str], targ
     stats = u.groupBy(KEY).agg(F.count(F.lit(1)).alias("__n"), F.min("__us").alias("__lo"), F.max("__us").alias("__hi"))
     hot = stats.where(F.col("__n") > target_rows)
     width = F.greatest(F.lit(1_000_000).cast("long"), F.ceil((F.col("__hi") - F.col("__lo") + 1) * target_rows / F.col("__n")).cast("long"))
-    return small_dim(hot.select(KEY, F.col("__lo").alias("__hot_lo"), width.alias("__hot_w")))
+    return small_dim(hot.select(KEY, F.col("__lo").alias("__hot_lo"), width.alias("__hot_w")), materialize=True)
 
 
 def _with_key(df: DataFrame, keys: Sequence[str], ts: str, segment_seconds, hot: DataFrame | None = None) -> DataFrame:

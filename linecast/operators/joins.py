@@ -70,3 +70,14 @@ def attach_scores(signals: DataFrame, scoreboard: DataFrame, keys: Sequence[str]
     sb_cols = [c for c in scoreboard.columns if c not in keys and c not in signals.columns]
     sb = scoreboard.select(*keys, *sb_cols)
     return signals.join(sb, on=list(keys), how="left")
+
+
+def apply_aliases(df: DataFrame, aliases: DataFrame, cols: Sequence[str] = ("home_team", "away_team")) -> DataFrame:
+    """Quirk Q10: replace known alternative spellings of team names (``aliases(alias, team)``) by the
+    canonical name in ``cols``, so feeds that spell a team differently still join. Names without an
+    alias are kept. The alias table is made unique per alias and broadcast after a size check."""
+    amap = small_dim(aliases.groupBy(F.col("alias").alias("__alias")).agg(F.min("team").alias("__canon")))
+    out = df
+    for c in cols:
+        out = out.join(amap, F.col(c) == F.col("__alias"), "left").withColumn(c, F.coalesce(F.col("__canon"), F.col(c))).drop("__alias", "__canon")
+    return out.select(*df.columns)

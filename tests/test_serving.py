@@ -136,3 +136,18 @@ def test_recent_hours_none_keeps_all(spark):
     df = _sig(spark, [("basketball_nba", "H", "A", dt.datetime(2020, 1, 1), 0.1, "M", None, "x")])
     assert S.recent_hours(df, None, "2026-01-01 00:00:00").count() == 1
     assert S.recent_hours(df, 1, "2026-01-01 00:00:00").count() == 0
+
+
+def test_aliases_restore_the_join(spark):
+    from linecast.operators.joins import apply_aliases, unmatched_teams
+
+    games = spark.createDataFrame([("basketball_ncaab", "Michigan St", "Duke")], "sport_key STRING, home_team STRING, away_team STRING")
+    dim = spark.createDataFrame(
+        [("tickers", "basketball_ncaab", "Michigan State", "MSU"), ("tickers", "basketball_ncaab", "Duke", "DUKE")],
+        "source STRING, sport_key STRING, team STRING, abbr STRING",
+    )
+    assert [r.team for r in unmatched_teams(games, dim).collect()] == ["Michigan St"]
+    aliases = spark.createDataFrame([("Michigan St", "Michigan State")], "alias STRING, team STRING")
+    fixed = apply_aliases(games, aliases)
+    assert fixed.first().home_team == "Michigan State"
+    assert unmatched_teams(fixed, dim).count() == 0

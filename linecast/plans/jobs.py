@@ -82,8 +82,8 @@ def job_signals(
     paths = {"divergence": f"{out}/silver/divergence_signals", "sharp": f"{out}/silver/sharp_money_signals"}
     T.write_signals(div, paths["divergence"], versioned=True)
     T.write_signals(sharp, paths["sharp"], versioned=True)
-    d = T.read_signals(spark, paths["divergence"])
-    s = T.read_signals(spark, paths["sharp"])
+    d = T.read_signals(spark, paths["divergence"], schema=T.written_schema(div))
+    s = T.read_signals(spark, paths["sharp"], schema=T.written_schema(sharp))
     exports = {
         "divergence": T.export_signals_json(d.drop("computed_date"), "is_divergence_signal", f"{out}/processed/divergence_signals"),
         "sharp": T.export_signals_json(s.drop("computed_date"), "is_sharp_signal", f"{out}/processed/sharp_money_signals"),
@@ -162,8 +162,8 @@ def run_all_jobs(spark: SparkSession, raw_odds: DataFrame, raw_quotes: DataFrame
     """Signals, then history and board, then series - the order of the studied schedule."""
     sig = job_signals(spark, raw_odds, raw_quotes, out, computed_at, **kw)
     hist = job_history(spark, sig.export_paths, f"{out}/warehouse", f"{out}/_checkpoints/history")
-    d = T.read_signals(spark, sig.divergence_path)
-    s = T.read_signals(spark, sig.sharp_path)
+    d = T.read_signals(spark, sig.divergence_path, schema=T.written_schema(spark.createDataFrame([], schemas.divergence_signals())))
+    s = T.read_signals(spark, sig.sharp_path, schema=T.written_schema(spark.createDataFrame([], schemas.sharp_money_signals())))
     board = job_board(d, s)
     series = job_series(hist["divergence"], hist["sharp"])
     return {"signals": sig, "history": hist, "board": board, "series": series}

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 
 def table_counts(tables: Mapping[str, tuple[DataFrame, str | None]]) -> DataFrame:
@@ -27,6 +28,14 @@ def table_counts(tables: Mapping[str, tuple[DataFrame, str | None]]) -> DataFram
 CURRENT = "_CURRENT"
 
 
+def written_schema(df: DataFrame, partition_by_day: str | None = "computed_at") -> StructType:
+    """Schema a frame has once written by :func:`write_signals` and read back."""
+    fields = list(df.schema.fields)
+    if partition_by_day:
+        fields.append(StructField("computed_date", DateType(), True))
+    return StructType(fields)
+
+
 def write_signals(
     df: DataFrame,
     path: str,
@@ -55,7 +64,8 @@ def write_signals(
     writer.parquet(target)
     if versioned:
         version = target.rsplit("/", 1)[1]
-        df.sparkSession.createDataFrame([(version,)], "value STRING").write.mode("overwrite").text(f"{path}/{CURRENT}")
+        pointer = df.sparkSession.createDataFrame([(version,)], "value STRING").coalesce(1)  # one row
+        pointer.write.mode("overwrite").text(f"{path}/{CURRENT}")
     return target
 
 
@@ -76,9 +86,19 @@ def current_version(spark: SparkSession, path: str) -> str:
     return f"{path}/_versions/{row[0]}" if row is not None else path
 
 
-def read_signals(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
-    """Read a signal table written by :func:`write_signals`; ``since`` prunes day partitions."""
-    df = spark.read.option("mergeSchema", "true").parquet(current_version(spark, path))
+def read_signals(spark: SparkSession, path: str, since: str | None = None, schema: StructType | None = None) -> DataFrame:
+    """Read a signal table written by :func:`write_signals`; ``since`` prunes day partitions.
+
+    A batch without signals writes no data files (partitioned writes of an empty frame); with
+    ``schema`` (the written frame's schema) such a table reads as an empty frame."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        df = spark.read.option("mergeSchema", "true").parquet(current_version(spark, path))
+    except AnalysisException as e:
+        if schema is None or "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        df = spark.createDataFrame([], schema)
     if since is not None and "computed_date" in df.columns:
         df = df.where(F.col("computed_date") >= F.lit(since).cast("date"))
     return df

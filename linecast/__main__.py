@@ -97,13 +97,17 @@ def main(argv: list[str] | None = None) -> None:
         for name, df in jobs.job_history(spark, exports, f"{a.out}/loaded", f"{a.out}/_checkpoints").items():
             df.write.mode("overwrite").parquet(f"{a.out}/clean/{name}")
     elif a.cmd == "feed":
-        latest = S.latest_batch(T.read_signals(spark, a.table))
+        spec = schemas.divergence_signals() if a.order == "divergence" else schemas.sharp_money_signals()
+        table = T.read_signals(spark, a.table, schema=T.written_schema(spark.createDataFrame([], spec)))
+        latest = S.latest_batch(table)
         if "computed_date" in latest.columns:
             latest = latest.drop("computed_date")
         S.feed(latest, a.order, a.date, a.sport, a.limit).write.mode("overwrite").json(a.out)
     elif a.cmd == "game":
         cols = S.DIVERGENCE_HISTORY_COLS if a.kind == "divergence" else S.ODDS_HISTORY_COLS
-        S.history(T.read_signals(spark, a.table), cols, home=a.home, away=a.away).write.mode("overwrite").json(a.out)
+        spec = schemas.divergence_signals() if a.kind == "divergence" else schemas.sharp_money_signals()
+        table = T.read_signals(spark, a.table, schema=T.written_schema(spark.createDataFrame([], spec)))
+        S.history(table, cols, home=a.home, away=a.away).write.mode("overwrite").json(a.out)
 
 
 if __name__ == "__main__":

@@ -98,7 +98,9 @@ def job_history(spark: SparkSession, exports: Mapping[str, str], warehouse: str,
     out = {}
     for name, src in exports.items():
         ING.run(ING.load_history(spark, src, specs[name], f"{warehouse}/{name}", f"{checkpoints}/{name}"))
-        loaded = spark.read.parquet(f"{warehouse}/{name}").drop("load_date")
+        expected = T.written_schema(spark.createDataFrame([], ING.lower_names(specs[name])), None)
+        expected = expected.add("load_date", "date")
+        loaded = T.read_signals(spark, f"{warehouse}/{name}", schema=expected).drop("load_date")
         keys = S.DIVERGENCE_SERIES if name == "divergence" else S.SHARP_ROW
         out[name] = S.minute_dedup(loaded, keys)
     return out

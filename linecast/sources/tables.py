@@ -96,7 +96,7 @@ def read_signals(spark: SparkSession, path: str, since: str | None = None, schem
     try:
         df = spark.read.option("mergeSchema", "true").parquet(current_version(spark, path))
     except AnalysisException as e:
-        if schema is None or "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        if schema is None or "unable to infer schema" not in str(e).lower():
             raise
         df = spark.createDataFrame([], schema)
     if since is not None and "computed_date" in df.columns:

@@ -234,6 +234,11 @@ def route_by_topic(stream: DataFrame, routes: Mapping[str, str], checkpoint: str
 # -- S12 ------------------------------------------------------------------------------------------
 
 
+def lower_names(schema: StructType) -> StructType:
+    """Schema with lower-case, nullable fields (the warehouse tables' column convention)."""
+    return StructType([StructField(f.name.lower(), f.dataType, True) for f in schema.fields])
+
+
 def load_history(
     spark: SparkSession,
     src: str,
@@ -245,7 +250,7 @@ def load_history(
 ) -> StreamingQuery:
     """Append files not loaded before (the checkpoint is the load history); columns matched by
     name in any case; malformed records skipped. Appends partitioned by day for pruning."""
-    lower = StructType([StructField(f.name.lower(), f.dataType, True) for f in schema.fields])
+    lower = lower_names(schema)
 
     def prep(df: DataFrame) -> DataFrame:
         out = conform(df, lower)

@@ -17,6 +17,9 @@ def test_cli_end_to_end(spark, capsys):
     # Default books (none in the test data): an empty sharp table must still read back.
     main(["signals", "--odds", f"{base}/bronze/odds", "--quotes", f"{base}/bronze/kalshi", "--out", f"{base}/empty"])
     assert '["sharp_money_signals", 0, 0]' in capsys.readouterr().out
+    main(["history", "--signals", f"{base}/empty", "--out", f"{base}/empty_wh"])
+    assert spark.read.parquet(f"{base}/empty_wh/clean/sharp").count() == 0
+    main(["feed", "--table", f"{base}/empty/silver/sharp_money_signals", "--order", "prob_movement", "--out", f"{base}/empty_feed"])
     main(["signals", "--odds", f"{base}/bronze/odds", "--quotes", f"{base}/bronze/kalshi", "--out", f"{base}/signals",
           "--sharp-books", *td.TEST_BOOKS])
     out = capsys.readouterr().out

@@ -7,17 +7,29 @@ operator under test through the public library API - exactly what a user of the
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from linecast import schemas as SC
+from linecast.functions.odds import register_sql_functions
+from linecast.functions.timefn import in_game_window
+from linecast.operators import boards as B
+from linecast.operators import dims as D
+from linecast.operators import joins as J
+from linecast.operators import serving as S
 from linecast.operators.divergence import divergence_asof, divergence_latest_pair
-from linecast.operators.movement import sharp_money
+from linecast.operators.movement import line_movement, sharp_money
 from linecast.operators.odds import consensus, flatten_odds, home_consensus, home_side, major_books
 from linecast.operators.quotes import kalshi_mid
 from linecast.plans import oracle as O
 from linecast.plans import testdata as td
+from linecast.session import apply_defaults, scratch_path
+from linecast.sources import tables as T
+from linecast.streaming import incremental as INC
+from linecast.streaming import ingest as ING
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,10 +40,6 @@ def query(name: str, sql: str | None = None):
     (UTC session time zone, AQE), which every time expression here relies on."""
 
     def deco(fn):
-        from functools import wraps
-
-        from linecast.session import apply_defaults
-
         @wraps(fn)
         def run(spark: SparkSession, sf: str) -> DataFrame:
             apply_defaults(spark)
@@ -98,7 +106,7 @@ def silver(spark: SparkSession, sf: str, name: str, keep_partition: bool = False
     """Signal table as the read side sees it: computed once per session and test folder, written
     as Parquet partitioned by day (S10) in the shared checkpoint folder, then read back. Views,
     feeds and boards query this table, as the studied dashboard queried its warehouse."""
-    from linecast.session import scratch_path
+    from linecast.session import apply_defaults, scratch_path
     from linecast.sources import tables as T
 
     key = (spark.sparkContext.applicationId, sf, name)
@@ -241,13 +249,6 @@ def q_divergence_latest_pair(spark, sf):
 # =============================================================================================
 # Serving: filters, views, dedup, feeds, boards
 
-from linecast.functions.odds import register_sql_functions  # noqa: E402
-from linecast.functions.timefn import in_game_window  # noqa: E402
-from linecast.operators import boards as B  # noqa: E402
-from linecast.operators import dims as D  # noqa: E402
-from linecast.operators import joins as J  # noqa: E402
-from linecast.operators import serving as S  # noqa: E402
-from linecast.operators.movement import line_movement  # noqa: E402
 
 LA = "America/Los_Angeles"
 NOT_WOMENS = "sport_key NOT IN ('basketball_wncaab', 'basketball_ncaaw')"
@@ -854,11 +855,6 @@ def q_table_counts(spark, sf):
 # =============================================================================================
 # Streaming and file sinks (each run writes to a fresh folder under the shared checkpoint folder)
 
-from linecast import schemas as SC  # noqa: E402
-from linecast.session import scratch_path  # noqa: E402
-from linecast.sources import tables as T  # noqa: E402
-from linecast.streaming import incremental as INC  # noqa: E402
-from linecast.streaming import ingest as ING  # noqa: E402
 
 EVENTS_DDL = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -969,7 +965,8 @@ def q_evolve_schema(spark, sf):
     ev.where(F.col("event_type") == "view").drop("props").write.parquet(f"{base}/bronze/batch=1")
     ev.where(F.col("event_type") != "view").write.parquet(f"{base}/bronze/batch=2")
     merged = ING.read_bronze(spark, f"{base}/bronze")
-    assert ING.added_columns(ev.drop("props").schema, ev.schema) == ["props"]
+    if ING.added_columns(ev.drop("props").schema, ev.schema) != ["props"]:
+        raise RuntimeError("schema diff did not report the new column")
     return merged.drop("batch")
 
 
@@ -985,7 +982,8 @@ def q_infer_json_schema(spark, sf):
     ING.land_partitioned(td.table(spark, sf, "events"), f"{base}/landing", arrival="ts")
     schema = ING.infer_json_schema(spark, f"{base}/landing", f"{base}/_schema")
     again = ING.infer_json_schema(spark, f"{base}/landing", f"{base}/_schema")
-    assert again == schema
+    if again != schema:
+        raise RuntimeError("stored schema was not reused")
     ING.run(ING.ingest_json_stream(spark, f"{base}/landing", schema, f"{base}/bronze", f"{base}/_ckpt"))
     return ING.read_bronze(spark, f"{base}/bronze")
 

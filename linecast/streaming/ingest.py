@@ -205,13 +205,24 @@ def write_quarantine(bad: DataFrame, path: str) -> str:
 # -- S6 -------------------------------------------------------------------------------------------
 
 
-def route_batch(df: DataFrame, routes: Mapping[str, str], topic_col: str = "topic", fmt: str = "json") -> dict[str, int]:
-    """S6 for one (micro-)batch: rows of each known topic appended under that topic's destination;
-    rows of unknown topics are skipped. The batch is cached once so every route reads it once."""
+def route_batch(
+    df: DataFrame, routes: Mapping[str, str], topic_col: str = "topic", fmt: str = "json", batch_id: int | None = None
+) -> dict[str, int]:
+    """S6 for one (micro-)batch: rows of each known topic written under that topic's destination;
+    rows of unknown topics are skipped. The batch is cached once so every route reads it once.
+
+    With ``batch_id`` (streams) each destination gets a ``batch_id=`` partition replaced by dynamic
+    overwrite, so a micro-batch replayed after a failure rewrites its own files instead of
+    appending them twice; without it the rows are appended."""
     tagged = df.where(F.col(topic_col).isin(list(routes))).persist()
     try:
         for topic, dest in routes.items():
-            w = tagged.where(F.col(topic_col) == topic).drop(topic_col).write.mode("append").format(fmt)
+            rows = tagged.where(F.col(topic_col) == topic).drop(topic_col)
+            if batch_id is None:
+                w = rows.write.mode("append").format(fmt)
+            else:
+                w = rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").format(fmt)
+                w = w.option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
             if fmt == "json":
                 w = w.options(**JSON_TS_OPTIONS)
             w.save(dest)
@@ -225,7 +236,7 @@ def route_by_topic(stream: DataFrame, routes: Mapping[str, str], checkpoint: str
     """S6 as a stream: ``foreachBatch`` applies :func:`route_batch` to each micro-batch."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        route_batch(batch, routes, topic_col)
+        route_batch(batch, routes, topic_col, batch_id=batch_id)
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return _trigger(w, trigger).start()

@@ -97,3 +97,12 @@ def test_write_quarantine(spark):
     assert [(r.id, r.k) for r in good.collect()] == [(1, 1)]
     ING.write_quarantine(bad, f"{base}/errors")
     assert [r.value for r in spark.read.json(f"{base}/errors").collect()] == ["oops"]
+
+
+def test_route_batch_replay_is_idempotent(spark):
+    base = tempfile.mkdtemp(prefix="lc-route-")
+    msgs = spark.createDataFrame([("raw-odds", "{}"), ("raw-odds", "{}"), ("raw-unknown", "{}")], "topic STRING, value STRING")
+    routes = {"raw-odds": f"{base}/odds"}
+    assert ING.route_batch(msgs, routes, batch_id=3) == {"raw-odds": 2}
+    ING.route_batch(msgs, routes, batch_id=3)  # replay of the same micro-batch
+    assert spark.read.json(f"{base}/odds").count() == 2

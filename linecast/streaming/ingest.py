@@ -202,6 +202,30 @@ def write_quarantine(bad: DataFrame, path: str) -> str:
     return path
 
 
+def quarantine_stream(
+    stream: DataFrame,
+    value_col: str,
+    schema: StructType,
+    good_path: str,
+    bad_path: str,
+    checkpoint: str,
+    keep: tuple[str, ...] = (),
+    trigger: str | None = "availableNow",
+) -> StreamingQuery:
+    """S8 on a stream: each micro-batch's parsed records go to ``good_path`` (Parquet) and its
+    undeliverable raw records to ``bad_path`` (line JSON), both under ``batch_id=`` partitions
+    replaced by dynamic overwrite, so a replayed batch does not duplicate either side."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        good, bad = quarantine(batch, value_col, schema, keep)
+        for frame, path, fmt in ((good, good_path, "parquet"), (bad, bad_path, "json")):
+            w = frame.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").format(fmt)
+            w.option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").save(path)
+
+    w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return _trigger(w, trigger).start()
+
+
 # -- S6 -------------------------------------------------------------------------------------------
 
 

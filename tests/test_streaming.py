@@ -106,3 +106,13 @@ def test_route_batch_replay_is_idempotent(spark):
     assert ING.route_batch(msgs, routes, batch_id=3) == {"raw-odds": 2}
     ING.route_batch(msgs, routes, batch_id=3)  # replay of the same micro-batch
     assert spark.read.json(f"{base}/odds").count() == 2
+
+
+def test_quarantine_stream(spark):
+    base = tempfile.mkdtemp(prefix="lc-qs-")
+    spark.createDataFrame([(1, "{\"k\": 1}"), (2, "{\"k\": "), (3, "{\"k\": 3}")], "id BIGINT, value STRING").write.parquet(f"{base}/src")
+    stream = spark.readStream.schema("id BIGINT, value STRING").parquet(f"{base}/src")
+    k = spark.createDataFrame([], "k BIGINT").schema
+    ING.run(ING.quarantine_stream(stream, "value", k, f"{base}/good", f"{base}/bad", f"{base}/ckpt", keep=("id",)))
+    assert sorted((r.id, r.k) for r in spark.read.parquet(f"{base}/good").collect()) == [(1, 1), (3, 3)]
+    assert [r.id for r in spark.read.json(f"{base}/bad").collect()] == [2]

@@ -51,3 +51,13 @@ def test_queries_match_oracle_at_small_scale(spark):
         d_cols = [c[0] for c in res.description]
         assert sorted(df.columns) == sorted(d_cols), name
         assert digest(df.columns, s_rows)[0] == digest(d_cols, res.fetchall())[0], name
+
+
+def test_checkpoint_dir_is_read_from_the_session(spark):
+    from linecast.session import ensure_checkpoint_dir, scratch_path
+
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    got = ensure_checkpoint_dir(spark)
+    if configured:
+        assert got == configured  # a cluster's shared folder is used as is, never replaced
+    assert scratch_path(spark, "x").startswith(got.rstrip("/") + "/x-")

@@ -26,7 +26,7 @@ from linecast.functions.odds import (
     flag_at_least,
 )
 from linecast.functions.text import ticker_suffix
-from linecast.functions.timefn import with_timestamp
+from linecast.functions.timefn import game_date, with_timestamp
 from linecast.operators.sequence import DEFAULT_SEGMENT_SECONDS, segmented_asof
 from linecast.operators.serving import latest_by
 
@@ -71,6 +71,17 @@ def home_market_only(quotes: DataFrame, home_abbr: Column | str = "home_abbr") -
     return quotes.where(ticker_suffix("market_ticker") == c)
 
 
+GAME_DAY = "__game_day"
+
+
+def _with_game_day(quotes: DataFrame, home_odds: DataFrame, tz: str) -> tuple[DataFrame, DataFrame]:
+    """Quirk Q1 option: a game-day key on both sides (the quote's ``game_date``, the odds' start
+    date in ``tz``), so two games between the same teams on different days do not mix."""
+    q = quotes.withColumn(GAME_DAY, F.to_date(F.col("game_date").cast("string")))
+    b = home_odds.withColumn(GAME_DAY, game_date(F.col("commence_time"), tz))
+    return q, b
+
+
 def divergence_asof(
     quotes: DataFrame,
     home_odds: DataFrame,
@@ -81,9 +92,15 @@ def divergence_asof(
     book_ts: str = "ingested_at",
     book_tie: Sequence[str] = ("id",),
     segment_seconds: int | str = DEFAULT_SEGMENT_SECONDS,
+    same_day: bool = False,
+    day_tz: str = "UTC",
 ) -> DataFrame:
     """Every quote against the latest home consensus at or before it (inner: quotes before the
-    first poll of their game have no partner and drop)."""
+    first poll of their game have no partner and drop). ``same_day`` also requires the quote's
+    game date to equal the odds' start date (in ``day_tz``), as the studied join did not (Q1)."""
+    if same_day:
+        quotes, home_odds = _with_game_day(quotes, home_odds, day_tz)
+        keys = (*keys, GAME_DAY)
     q = with_timestamp(quotes, quote_ts, "__qts")
     b = with_timestamp(home_odds, book_ts, "__bts").select(*keys, "__bts", *book_tie, *_BOOK_VALUES)
     paired = segmented_asof(
@@ -108,12 +125,21 @@ def divergence_latest_pair(
     keys: Sequence[str] = GAME_KEYS,
     quote_order: Sequence[str] = ("ingested_at",),
     book_order: Sequence[str] = ("ingested_at", "id"),
+    same_day: bool = False,
+    day_tz: str = "UTC",
 ) -> DataFrame:
     """Latest quote per market x latest consensus per game; one row per market.
 
     Both sides are reduced to one row per key before the join, so the join inputs are bounded by the
     number of markets and games; AQE turns it into a broadcast join when the reduced side is small.
+    ``same_day`` keys both sides by game date as well (one row per market and game day).
     """
+    if same_day:
+        quotes, home_odds = _with_game_day(quotes, home_odds, day_tz)
+        keys = (*keys, GAME_DAY)
+        q = latest_by(quotes, ["market_ticker", GAME_DAY], quote_order)
+        b = latest_by(home_odds.select(*keys, *book_order, *[c for c in _BOOK_VALUES if c not in book_order]), list(keys), book_order)
+        return score_divergence(q.join(b, on=list(keys), how="inner"), threshold, computed_at)
     q = latest_by(quotes, ["market_ticker"], quote_order)
     b = latest_by(home_odds.select(*keys, *book_order, *[c for c in _BOOK_VALUES if c not in book_order]), list(keys), book_order)
     paired = q.join(b, on=list(keys), how="inner")

@@ -48,6 +48,7 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--sharp-threshold", type=float, default=None)
     s.add_argument("--latest-pair", action="store_true", help="J2 instead of the as-of pairing")
     s.add_argument("--sharp-books", nargs="+", help="bookmakers of the sharp-money job (default: the four major books)")
+    s.add_argument("--segment-seconds", default=None, help="time-segment width of the skew-safe windows, or 'auto'")
 
     h = sub.add_parser("history", help="load exported signals and dedup them (S12, W3)")
     h.add_argument("--signals", required=True, help="the --out folder of the signals command")
@@ -88,6 +89,8 @@ def main(argv: list[str] | None = None) -> None:
             kw["sharp_threshold"] = a.sharp_threshold
         if a.sharp_books:
             kw["sharp_books"] = tuple(a.sharp_books)
+        if a.segment_seconds:
+            kw["segment_seconds"] = a.segment_seconds if a.segment_seconds == "auto" else int(a.segment_seconds)
         odds = spark.read.schema(schemas.raw_odds()).parquet(a.odds)
         quotes = spark.read.schema(schemas.raw_kalshi()).parquet(a.quotes)
         out = jobs.job_signals(spark, odds, quotes, a.out, **kw)

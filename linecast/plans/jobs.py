@@ -22,6 +22,7 @@ from linecast.operators.joins import unmatched_teams
 from linecast.operators.movement import sharp_money
 from linecast.operators.odds import consensus, flatten_odds, home_consensus
 from linecast.operators.quotes import kalshi_mid
+from linecast.operators.sequence import DEFAULT_SEGMENT_SECONDS
 from linecast.sources import tables as T
 from linecast.streaming import ingest as ING
 
@@ -63,6 +64,7 @@ def job_signals(
     consensus_books: Sequence[str] | None = None,
     latest_pair: bool = False,
     tie: Sequence[str] = (),
+    segment_seconds: int | str = DEFAULT_SEGMENT_SECONDS,
 ) -> SignalOutputs:
     """job_divergence + job_sharp_money: both signal tables written once each (S10), the flagged
     rows exported as JSON from the written tables (S11), counts from the written tables (S14).
@@ -76,8 +78,8 @@ def job_signals(
     if latest_pair:
         div = divergence_latest_pair(quotes, home, divergence_threshold, computed_at)
     else:
-        div = divergence_asof(quotes, home, divergence_threshold, computed_at)
-    sharp = sharp_money(flat, books=sharp_books, threshold=sharp_threshold, computed_at=computed_at, tie=tie)
+        div = divergence_asof(quotes, home, divergence_threshold, computed_at, segment_seconds=segment_seconds)
+    sharp = sharp_money(flat, books=sharp_books, threshold=sharp_threshold, computed_at=computed_at, tie=tie, segment_seconds=segment_seconds)
 
     paths = {"divergence": f"{out}/silver/divergence_signals", "sharp": f"{out}/silver/sharp_money_signals"}
     T.write_signals(div, paths["divergence"], versioned=True)

@@ -21,7 +21,7 @@ def test_cli_end_to_end(spark, capsys):
     assert spark.read.parquet(f"{base}/empty_wh/clean/sharp").count() == 0
     main(["feed", "--table", f"{base}/empty/silver/sharp_money_signals", "--order", "prob_movement", "--out", f"{base}/empty_feed"])
     main(["signals", "--odds", f"{base}/bronze/odds", "--quotes", f"{base}/bronze/kalshi", "--out", f"{base}/signals",
-          "--sharp-books", *td.TEST_BOOKS])
+          "--sharp-books", *td.TEST_BOOKS, "--segment-seconds", "auto"])
     out = capsys.readouterr().out
     assert '"counts"' in out
     main(["history", "--signals", f"{base}/signals", "--out", f"{base}/warehouse"])

@@ -61,3 +61,14 @@ def test_checkpoint_dir_is_read_from_the_session(spark):
     if configured:
         assert got == configured  # a cluster's shared folder is used as is, never replaced
     assert scratch_path(spark, "x").startswith(got.rstrip("/") + "/x-")
+
+
+def test_no_cross_joins_or_python_in_any_query(spark):
+    from tools.plan_report import STREAMING
+
+    for name, fn in entry.queries().items():
+        if name in STREAMING:
+            continue
+        plan = _plan(fn(spark, SF))
+        for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+            assert node not in plan, (name, node)

@@ -99,23 +99,21 @@ def divergence_signals(spark: SparkSession, sf: str) -> DataFrame:
     return divergence_asof(quotes(spark, sf), home_odds(spark, sf), computed_at=batch_of())
 
 
-_SILVER: dict[tuple[str, str, str], str] = {}
+_SILVER: dict[tuple[str, str, str], tuple[str, object]] = {}
 
 
 def silver(spark: SparkSession, sf: str, name: str, keep_partition: bool = False) -> DataFrame:
     """Signal table as the read side sees it: computed once per session and test folder, written
     as Parquet partitioned by day (S10) in the shared checkpoint folder, then read back. Views,
     feeds and boards query this table, as the studied dashboard queried its warehouse."""
-    from linecast.session import apply_defaults, scratch_path
-    from linecast.sources import tables as T
-
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _SILVER:
         df = divergence_signals(spark, sf) if name == "divergence" else sharp_signals(spark, sf)
         path = scratch_path(spark, f"silver-{name}")
         T.write_signals(df, path)
-        _SILVER[key] = path
-    out = T.read_signals(spark, _SILVER[key])
+        _SILVER[key] = (path, T.written_schema(df))
+    path, schema = _SILVER[key]
+    out = T.read_signals(spark, path, schema=schema)
     return out if keep_partition else out.drop("computed_date")
 
 

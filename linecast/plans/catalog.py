@@ -22,7 +22,7 @@ from linecast.operators import joins as J
 from linecast.operators import serving as S
 from linecast.operators.divergence import divergence_asof, divergence_latest_pair
 from linecast.operators.movement import line_movement, sharp_money
-from linecast.operators.odds import consensus, flatten_odds, home_consensus, home_side, major_books
+from linecast.operators.odds import consensus, flatten_odds, home_consensus, major_books
 from linecast.operators.quotes import kalshi_mid
 from linecast.plans import oracle as O
 from linecast.plans import testdata as td

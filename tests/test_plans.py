@@ -3,6 +3,7 @@
 import duckdb
 
 import __spark_entry__ as entry
+from linecast.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,7 +67,7 @@ def test_checkpoint_dir_is_read_from_the_session(spark):
 def test_no_cross_joins_or_python_in_any_query(spark):
     from tools.plan_report import STREAMING
 
-    for name, fn in entry.queries().items():
+    for name, fn in catalog.QUERIES.items():
         if name in STREAMING:
             continue
         plan = _plan(fn(spark, SF))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from linecast.llm import neardup
+from linecast.llm import decontam, neardup, toxicity
 
 QUERIES = {
     "op7_superminhash_neardup": neardup.op7_near_duplicates,
+    "op8_ftrl_toxicity": toxicity.op8_toxicity,
+    "op10_benchmark_decontamination": decontam.op10_decontaminate,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_benchmark_decontamination": decontam.ORACLE_OP10,
+}

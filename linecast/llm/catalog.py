@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from linecast.llm import decontam, neardup, toxicity
+from linecast.llm import decontam, mixing, neardup, sharding, toxicity
 
 QUERIES = {
+    "op3_temperature_mixing": mixing.op3_mixing,
     "op7_superminhash_neardup": neardup.op7_near_duplicates,
     "op8_ftrl_toxicity": toxicity.op8_toxicity,
+    "op9_extendible_sharding": sharding.op9_sharding,
     "op10_benchmark_decontamination": decontam.op10_decontaminate,
 }
 
 ORACLE: dict[str, str] = {
+    "op9_extendible_sharding": sharding.ORACLE_OP9,
     "op10_benchmark_decontamination": decontam.ORACLE_OP10,
 }

@@ -143,14 +143,15 @@ def score(docs: DataFrame, weights: list[tuple[int, float]], text_col: str = "te
     return src.mapInArrow(_score(weights, bits), f"{schema}, score double")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, corpus: DataFrame | None = None, text_col: str = "text", **options) -> DataFrame:
     """``docs``, all columns, without the rows that score ``threshold`` or more.
 
-    ``docs`` must not have a column named ``score``; the operator's own is dropped again."""
-    weights = train(docs, labels, **options)
-    own = docs.withColumnsRenamed({"score": "__score"})
-    marked = score(own.withColumn("__copy", F.col("text")), weights, "__copy", tuple(own.columns))
-    return marked.where(F.col("score") < threshold).drop("score").withColumnsRenamed({"__score": "score"})
+    ``corpus``: the table that ``labels`` speak of, ``docs`` itself if it is not given."""
+    weights = train(docs if corpus is None else corpus, labels, text_col=text_col, **options)
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are named
+    own = docs.toDF(*plain)
+    marked = score(own, weights, plain[docs.columns.index(text_col)], tuple(plain))
+    return marked.where(F.col("score") < threshold).drop("score").toDF(*docs.columns)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:

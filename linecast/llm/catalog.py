@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from linecast.llm import decontam, mixing, neardup, sharding, toxicity
+from linecast.llm import classlm, decontam, mixing, neardup, sharding, toxicity
 
 QUERIES = {
     "op3_temperature_mixing": mixing.op3_mixing,
+    "op6_brown_class_lm": classlm.op6_class_lm,
     "op7_superminhash_neardup": neardup.op7_near_duplicates,
     "op8_ftrl_toxicity": toxicity.op8_toxicity,
     "op9_extendible_sharding": sharding.op9_sharding,

@@ -27,7 +27,10 @@ from linecast.llm.scratch import table, written
 from linecast.llm.words import GOLDEN, U, Words, chunks, mix, shingles
 
 SIGNATURE = "__th long, n_shingles long, node binary, bands array<bigint>"
+#: Each round takes so many times the pivots of the round before.
 PIVOT_GROUPS = 16
+#: Links that one task's union-find forest takes.
+FOREST_LINKS = 1_000_000
 
 
 def superminhash(h: np.ndarray, first: np.ndarray, m: int, seed: int = 1) -> np.ndarray:
@@ -37,29 +40,31 @@ def superminhash(h: np.ndarray, first: np.ndarray, m: int, seed: int = 1) -> np.
     row = np.repeat(np.arange(rows), np.diff(first))
     with np.errstate(over="ignore"):
         x = mix(h ^ mix(np.full(1, U(seed)) * GOLDEN))
-        perm = None
+        perm = at = None
         for j in range(m):
             if not len(row):
                 break
             x = x + GOLDEN
             r = mix(x)
-            value = (r >> U(40)).astype(np.float64) * 2.0**-24 + j
-            slot = j + ((r & U(0xFFFFFFFF)) % U(m - j)).astype(np.int64)
+            slot = j + ((r & U(0xFFFFFFFF)) * U(m - j) >> U(32)).astype(np.int64)
             if perm is None:
                 pos = slot
             else:
-                pos = perm[np.arange(len(row)), slot].astype(np.int64)
-                perm[np.arange(len(row)), slot] = perm[:, j]
-            np.minimum.at(sig, row * m + pos, value)
-            open_rows = sig.reshape(rows, m).max(axis=1) >= j + 1
-            live = open_rows[row]
+                pos = perm[at, slot].astype(np.int64)
+                perm[at, slot] = perm[at, j]
+            # the smallest rank of each (row, slot): sort place and rank as one number
+            code = np.sort(((row * m + pos).astype(np.uint64) << U(32)) | (r >> U(32)))
+            place = (code >> U(32)).astype(np.int64)
+            first_of = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+            place = place[first_of]
+            sig[place] = np.minimum(sig[place], (code[first_of] & U(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 + j)
+            live = (sig.reshape(rows, m).max(axis=1) >= j + 1)[row]
             if perm is None:
-                if live.any():
-                    perm = np.tile(np.arange(m, dtype=np.uint16), (int(live.sum()), 1))
-                    at = np.arange(len(perm))
-                    perm[at, slot[live]] = 0
+                perm = np.tile(np.arange(m, dtype=np.uint16), (int(live.sum()), 1))
+                at = np.arange(len(perm))
+                perm[at, slot[live]] = 0
             else:
-                perm = perm[live]
+                at = at[live]
             row, x = row[live], x[live]
     return sig.reshape(rows, m)
 
@@ -149,12 +154,17 @@ def _forest(batches) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(a, b)`` as ``(v, root)``, root being a component's smallest node.
-
-    Every round maps each node to its smallest neighbour and contracts the links; the maps are then
-    composed. Each partition first reduces its links to a union-find forest. State is a written table
-    per round, links and maps never reach the driver."""
-    edges = written(edges.select("a", "b").mapInArrow(_forest, "a binary, b binary"), "links")
+    """Connected components of a written table ``edges(a, b)`` as ``(v, root)``, root being a component's
+    smallest node.
+
+    Each task reduces up to ``FOREST_LINKS`` links to a union-find forest; if one task held them all,
+    its stars are the components. Else every round maps each node to its smallest neighbour and
+    contracts the links; the maps are then composed. Links and maps never reach the driver."""
+    tasks = -(-edges.count() // FOREST_LINKS)
+    edges = edges.select("a", "b")
+    if tasks <= 1:
+        return written(edges.coalesce(1).mapInArrow(_forest, "a binary, b binary").select(F.col("b").alias("v"), F.col("a").alias("root")), "components")
+    edges = written(edges.repartition(tasks).mapInArrow(_forest, "a binary, b binary"), "links")
     maps = []
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w")))
@@ -163,8 +173,6 @@ def components(edges: DataFrame) -> DataFrame:
         left = step.select(F.col("v").alias("a"), F.col("root").alias("ra"))
         right = step.select(F.col("v").alias("b"), F.col("root").alias("rb"))
         edges = written(edges.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
-    if not maps:
-        return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
     out = maps[0]
     for step in maps[1:]:
         out = out.join(step.select(F.col("v").alias("root"), F.col("root").alias("next")), "root", "left").select("v", F.coalesce("next", "root").alias("root"))
@@ -201,20 +209,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     items = written(texts.mapInArrow(_blobs(words), "node binary, items binary").groupBy("node").agg(F.min("items").alias("items")), "sets")
 
     roots = linked = tested = None
+    groups = 1
     while True:
         at = member.withColumn("root", F.col("node")) if roots is None else member.join(roots, member["node"] == roots["v"], "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+        # one pivot a bucket at first; then the smallest component of each group of them, and ever more groups
+        group = F.pmod(F.xxhash64("root"), F.lit(groups))
         per_root = at.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("p"))
-        open_ = per_root.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-        at = written(at.join(open_, "bucket"), "open")
-        if at.isEmpty():
+        per_group = per_root.groupBy("bucket", group.alias("g")).agg(F.count("*").alias("k"), F.min(F.struct("c", "p.node", "p.n", "root")).alias("p"))
+        pivots = per_group.groupBy("bucket").agg(F.sum("k").alias("k"), F.collect_list(F.struct("p.node", "p.n", "p.root")).alias("pivots")).where("k > 1").drop("k")
+        pivots = written(pivots, "pivots")  # at most one a group, for buckets that are still open
+        if pivots.isEmpty():
             break
-        per_root = at.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("p"))
-        # the first round takes one pivot a bucket; later ones the member of each small component
-        group = F.lit(0) if roots is None else F.pmod(F.xxhash64("root"), F.lit(PIVOT_GROUPS))
-        pivot = per_root.groupBy("bucket", group.alias("g")).agg(F.min(F.struct("c", "p.node", "p.n", "root")).alias("p")).select("bucket", F.col("p.node").alias("x"), F.col("p.n").alias("xn"), F.col("p.root").alias("xr"))
-        pivot = written(pivot, "pivots")
-        cross = at.join(pivot, "bucket").where((F.col("root") != F.col("xr")) & (100 * F.least("n", "xn") >= threshold_pct * F.greatest("n", "xn")))
-        pairs = cross.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+        at = at.join(pivots, "bucket")
+        cross = at.select("node", "n", "root", F.explode("pivots").alias("p")).where((F.col("root") != F.col("p.root")) & (100 * F.least("n", "p.n") >= threshold_pct * F.greatest("n", "p.n")))
+        pairs = cross.select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -222,9 +230,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         x = items.select(F.col("node").alias("a"), F.col("items").alias("x_items"))
         y = items.select(F.col("node").alias("b"), F.col("items").alias("y_items"))
         found = written(pairs.join(x, "a").join(y, "b").mapInArrow(_confirm(threshold_pct), "a binary, b binary"), "confirmed")
-        linked = found if linked is None else linked.unionByName(found)
-        roots = components(linked)
-        member = written(at.select("bucket", "node", "n").join(pivot.select("bucket", F.col("x").alias("node")), ["bucket", "node"], "left_anti"), "members")
+        member = written(at.where(~F.array_contains("pivots.node", F.col("node"))).select("bucket", "node", "n"), "members")
+        if roots is None or not found.isEmpty():
+            linked = found if linked is None else linked.unionByName(found)
+            roots = components(linked)
+        groups *= PIVOT_GROUPS
 
     named = sets.select(id_col, "node") if roots is None else sets.select(id_col, "node").join(roots, F.col("node") == F.col("v"), "left").select(id_col, F.coalesce("root", "node").alias("node"))
     smallest = named.groupBy("node").agg(F.min(id_col).alias("component_id")).withColumnRenamed("node", "root")

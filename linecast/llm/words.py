@@ -122,8 +122,9 @@ def shingles(words: Words, h: np.ndarray, size: int) -> tuple[np.ndarray, np.nda
             acc = acc * U(0x9FB21C651E98DF25) + np.where(left > k, pad[k : k + len(h)] ^ U(k + 1), U(0))
         acc = mix(acc ^ (np.minimum(left, size).astype(np.uint64) * GOLDEN))
     doc, acc = words.doc[keep], acc[keep]
-    order = np.lexsort((acc, doc))
-    doc, acc = doc[order], acc[order]
+    ends = np.searchsorted(doc, np.arange(rows + 1))
+    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+        acc[lo:hi].sort()
     new = np.ones(len(acc), dtype=bool)
     new[1:] = (acc[1:] != acc[:-1]) | (doc[1:] != doc[:-1])
     doc, acc = doc[new], acc[new]

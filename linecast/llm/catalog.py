@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from linecast.llm import classlm, decontam, mixing, neardup, sharding, toxicity
+from linecast.llm import bm25, classlm, decontam, mixing, neardup, perspectives, sharding, substrings, toxicity, wrapper
 
 QUERIES = {
+    "op1_wrapper_extraction": wrapper.op1_wrapper_extraction,
+    "op2_perspective_rotation": perspectives.op2_perspectives,
     "op3_temperature_mixing": mixing.op3_mixing,
+    "op4_suffix_dedup": substrings.op4_suffix_dedup,
+    "op5_bm25_topk": bm25.op5_bm25,
     "op6_brown_class_lm": classlm.op6_class_lm,
     "op7_superminhash_neardup": neardup.op7_near_duplicates,
     "op8_ftrl_toxicity": toxicity.op8_toxicity,
@@ -14,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_perspective_rotation": perspectives.ORACLE_OP2,
+    "op5_bm25_topk": bm25.ORACLE_OP5,
     "op9_extendible_sharding": sharding.ORACLE_OP9,
     "op10_benchmark_decontamination": decontam.ORACLE_OP10,
 }

@@ -3,17 +3,19 @@
 Method. A byte goes if it is covered by a ``span``-byte string that also starts in a document with a
 smaller id. Equal strings must meet, and nothing else needs to: each string's key is the smallest hash
 of the ``GRAM``-byte grams in it, which depends on its bytes alone. Consecutive strings of a text with
-the same key travel together as one piece (about 20 strings in 70 bytes). Pieces are shuffled by key;
-those of one key whose strings may repeat across documents are joined to one text, its suffix array
-is built by linear Lyndon grouping (``linecast.llm.suffixes``), and neighbours in the array that share
-``span`` bytes form the intervals of equal strings, whose smallest document keeps its bytes.
-
-Scale. Within a chunk of texts, equal pieces of several documents are sent once, for the smallest of
-them, and the others are already covered; so thousands of copies, or a passage in a third of all
-documents, reach a task once per chunk. Memory of a task is one bucket of keys; the number of buckets
-follows ``spark.sql.shuffle.partitions``. A key with more than ``LONG_GROUP`` bytes of different pieces
-is cut into its single strings, which are compared directly, group by group. Documents meet their
-covered ranges in one join by id.
+the same key form one piece (about 19 strings in 67 bytes). First only keys are shuffled, to learn
+which occur in documents of different ids. Then the pieces of those keys are shuffled by key; those
+whose strings may repeat are joined to one text per key, its suffix array is built by linear Lyndon
+grouping (``linecast.llm.suffixes``), and neighbours in the array that share ``span`` bytes form the
+intervals of equal strings, whose smallest document keeps its bytes.
+
+Scale. Within a chunk of texts a key, and equal pieces of several documents, are sent once, for the
+smallest id, and the others are settled on the spot; so thousands of copies, or a passage in a third of
+all documents, reach a task once per chunk. Documents are dealt to homes by hash; keys that are shared
+and ranges that are covered come home in packed rows, and the shuffle of the texts by home is the same
+exchange both times. A task holds one bucket of keys or one home; their number follows
+``spark.sql.shuffle.partitions``. A key with more than ``LONG_GROUP`` bytes of different pieces is cut
+into its single strings, which are compared directly, group by group.
 """
 
 from __future__ import annotations
@@ -31,25 +33,26 @@ from linecast.llm.scratch import table
 from linecast.llm.suffixes import ragged, suffix_arrays
 from linecast.llm.words import GOLDEN, U, buffers, chunks, mix
 
-GRAM = 12
+GRAM = 16
+#: Bytes of text worked on at once.
+CHUNK = 2 << 20
 MOST = 64  # strings in a piece
 LONG_GROUP = 4096
 BATCH = 1 << 20  # bytes of text whose suffix arrays are built together
 NO_ID = np.iinfo(np.int64).max
-
-
-def _eight(buf: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each place on, as one number (the text is padded with zeros)."""
-    raw = np.concatenate([buf, np.zeros(16, np.uint8)])
-    return np.ndarray((len(buf) + 8,), "<u8", raw.tobytes(), 0, (1,)).astype(np.uint64)
+#: Homes, and buckets of keys, for each shuffle partition.
+HOMES = 4
 
 
 def _grams(buf: np.ndarray) -> np.ndarray:
-    """A hash of the ``GRAM`` (12) bytes from each place on."""
-    w = _eight(buf)
+    """A hash of the ``GRAM`` (16) bytes from each place on; the text is followed by zeros."""
+    raw = np.concatenate([buf, np.zeros(24, np.uint8)])
+    w = np.ndarray((len(buf) + 8,), "<u8", raw.tobytes(), 0, (1,)).astype(np.uint64)
     with np.errstate(over="ignore"):
-        x = w[:-8] * U(0x9FB21C651E98DF25) + (w[4:-4] >> U(32)) * GOLDEN
+        x = w[: len(buf)] * U(0x9FB21C651E98DF25)
         x ^= x >> U(29)
+        x += w[8:]
+        del w
         x *= U(0xBF58476D1CE4E5B9)
         x ^= x >> U(32)
     return x
@@ -109,70 +112,215 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _spread(span: int, parts: int):
-    """Rows (bucket, blob): pieces of a chunk by hash range of their keys, and in bucket -1 what the
-    chunk itself shows to be covered."""
+def _runs(*cols: np.ndarray) -> np.ndarray:
+    """Starts of runs of equal rows."""
+    new = np.ones(len(cols[0]), bool)
+    if len(new):
+        new[1:] = False
+        for x in cols:
+            new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _slices(starts: np.ndarray, n: int) -> list[slice]:
+    return [slice(a, b) for a, b in zip(starts, [*starts[1:], n][: len(starts)], strict=True)]
+
+
+def _sent(buckets, homes, blobs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(homes, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "home", "blob"])
+
+
+def _home_rows(ids, tags, homes, *cols) -> tuple[list, list]:
+    """Rows of documents packed by home."""
+    order = np.lexsort((*cols[::-1], tags, ids, homes))
+    ids, tags, homes, cols = ids[order], tags[order], homes[order], [c[order] for c in cols]
+    cut = _slices(_runs(homes), len(homes))
+    return [int(homes[c.start]) for c in cut], [_pack(ids[c].view(np.uint64), tags[c], *(x[c] for x in cols)) for c in cut]
+
+
+def _offer(span: int, parts: int):
+    """Keys of a chunk by hash range (bucket); keys that the chunk itself shows to be shared go home."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "__text"):
+        for batch in chunks(batches, "__text", CHUNK):
             buf, off = buffers(batch.column("__text"))
-            key, doc, first, size, g = pieces(buf, off, span)
+            key, doc, _, _, _ = pieces(buf, off, span)
             if not len(key):
                 continue
-            ids, tags = _ids(batch.column("id")), batch.column("tag").to_numpy().view(np.uint32).astype(np.int64)
-            own = ids[doc]
-            a, b = _prints(g, first, span), _prints(g, first + size - 1, span)
-            c = _prints(g, first + size // 2, span)
-            with np.errstate(over="ignore"):
-                whole = mix(key ^ (a * U(3) + b * U(5) + c * U(7) + size.astype(np.uint64)))
-            order = np.lexsort((own, whole, key))
-            key, doc, first, size, own, whole, a, b = (x[order] for x in (key, doc, first, size, own, whole, a, b))
-            new = np.append(True, (key[1:] != key[:-1]) | (whole[1:] != whole[:-1]) | (size[1:] != size[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-            least = own[np.flatnonzero(new)][np.cumsum(new) - 1]
-            seen = own > least
-            buckets, blobs = [], []
-            if seen.any():
-                d = doc[seen]
-                buckets.append(-1)
-                blobs.append(_covered(ids[d], tags[d], first[seen] - off[d], size[seen] + span - 1))
-            key, doc, first, size = (x[~seen] for x in (key, doc, first, size))
+            ids, tags, homes = _ids(batch.column("id")), _tags(batch.column("tag")), batch.column("home").to_numpy().astype(np.int64)
+            order = np.lexsort((ids[doc], key))
+            key, doc = key[order], doc[order]
+            at = _runs(key, doc)
+            key, doc = key[at], doc[at]
+            first = _runs(key)
+            n = np.diff(np.append(first, len(key)))
+            many = ids[doc[first]] != ids[doc[first + n - 1]]  # sorted: the first id is the smallest
+            mine = np.repeat(many, n)
+            buckets, to, blobs = [], [], []
+            if mine.any():
+                d = doc[mine]
+                to, blobs = _home_rows(ids[d], tags[d], homes[d], key[mine])
+                buckets = [-1] * len(to)
+            # one row per key and document of the smallest id, which may stand in several rows
+            lead = ~mine
+            lead[first[many]] = True
+            key, doc, settled = key[lead], doc[lead], mine[lead]
             where = _ranges(key, parts)
-            cut = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
-            for lo, hi in zip(cut, np.append(cut[1:], len(where)), strict=True):
-                s = slice(lo, hi)
+            for s in _slices(_runs(where), len(where)):
                 docs, local = np.unique(doc[s], return_inverse=True)
-                length = size[s] + span - 1
-                buckets.append(int(where[lo]))
-                base = key[s].min()
-                blobs.append(_pack(ids[docs].view(np.uint64), tags[docs], local, first[s] - off[doc[s]], size[s], np.array([base], np.uint64), np.diff(key[s], prepend=base), buf[ragged(first[s], length)]))
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+                buckets.append(int(where[s.start]))
+                to.append(-1)
+                base = key[s.start]
+                blobs.append(_pack(ids[docs].view(np.uint64), tags[docs], homes[docs], local, settled[s].astype(np.int64), np.array([base], np.uint64), np.diff(key[s], prepend=base)))
+            yield _sent(buckets, to, blobs)
+
+    return run
+
+
+def _tags(column: pa.Array) -> np.ndarray:
+    return column.to_numpy().view(np.uint32).astype(np.int64)
+
+
+def _by_bucket(work):
+    """Stream over rows sorted by bucket; ``work`` gets a bucket's blobs, others pass through."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close():
+            homes, blobs = work(held) if held else ([], [])
+            return _sent([-1] * len(homes), homes, blobs)
+
+        for batch in batches:
+            homes, blobs = [], []
+            for b, home, blob in zip(batch.column("bucket").to_pylist(), batch.column("home").to_pylist(), batch.column("blob"), strict=True):
+                if b != now:
+                    yield close()
+                    now, held = b, []
+                if b < 0:
+                    homes.append(home)
+                    blobs.append(blob.as_py())
+                else:
+                    held.append(blob.as_py())
+            yield _sent([-1] * len(homes), homes, blobs)
+        yield close()
+
+    return run
+
+
+def _shared_keys(blobs: list[bytes]) -> tuple[list, list]:
+    """Keys that occur under different ids, for the documents that do not know it yet."""
+    ids, tags, homes, doc, settled, key, at = [], [], [], [], [], [], 0
+    for blob in blobs:
+        i, t, h, local, known, base, step = _unpack(blob)
+        ids.append(i.view(np.int64))
+        tags.append(t.astype(np.int64))
+        homes.append(h.astype(np.int64))
+        doc.append(local.astype(np.int64) + at)
+        settled.append(known.astype(bool))
+        with np.errstate(over="ignore"):
+            key.append(base[0] + np.cumsum(step, dtype=np.uint64))
+        at += len(i)
+    ids, tags, homes, doc, settled, key = (np.concatenate(x) for x in (ids, tags, homes, doc, settled, key))
+    order = np.lexsort((ids[doc], key))
+    doc, settled, key = doc[order], settled[order], key[order]
+    first = _runs(key)
+    n = np.diff(np.append(first, len(key)))
+    tell = np.repeat(ids[doc[first]] != ids[doc[first + n - 1]], n) & ~settled
+    d = doc[tell]
+    return _home_rows(ids[d], tags[d], homes[d], key[tell])
+
+
+def _rows_of(texts: pa.Table, told: pa.Table):
+    """The home's documents and, with them, what was sent home: a document's row for each entry."""
+    row = {}
+    ids, tags = _ids(texts.column("id").combine_chunks()), _tags(texts.column("tag").combine_chunks())
+    for k, pair in enumerate(zip(ids.tolist(), tags.tolist(), strict=True)):
+        row.setdefault(pair, k)
+    parts = [_unpack(b.as_py()) for b in told.column("blob")]
+    who = [row[pair] for p in parts for pair in zip(p[0].view(np.int64).tolist(), p[1].tolist(), strict=True)]
+    return ids, tags, row, np.array(who, np.int64), [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(2, len(parts[0]) if parts else 4)]
+
+
+def _spread(span: int, parts: int):
+    """A home's pieces of shared keys by hash range; what the home itself shows to be covered goes home."""
+
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        if not told.num_rows or not texts.num_rows:
+            return pa.Table.from_batches([_sent([], [], [])])
+        ids, tags, row, who, cols = _rows_of(texts, told)
+        homes = texts.column("home").combine_chunks().to_numpy().astype(np.int64)
+        with np.errstate(over="ignore"):
+            wanted = np.sort(cols[0].astype(np.uint64) ^ mix(who.astype(np.uint64) * GOLDEN))
+        have = np.unique(who)
+        out = []
+        for batch in chunks(texts.select(["__text"]).take(pa.array(have)).combine_chunks().to_batches(), "__text", CHUNK):
+            mine = have[: batch.num_rows]
+            have = have[batch.num_rows :]
+            buf, off = buffers(batch.column("__text"))
+            key, doc, first, size, g = pieces(buf, off, span)
+            with np.errstate(over="ignore"):
+                mark = key ^ mix(mine[doc].astype(np.uint64) * GOLDEN)
+            at = np.minimum(np.searchsorted(wanted, mark), len(wanted) - 1)
+            hit = wanted[at] == mark
+            key, doc, first, size = key[hit], doc[hit], first[hit], size[hit]
+            if len(key):
+                out.append(_pieces_by_range(buf, off, g, key, doc, first, size, ids[mine], tags[mine], homes[mine], span, parts))
+        return pa.Table.from_batches(out, schema=_sent([], [], []).schema)
 
     return run
 
 
-def _covered(ids: np.ndarray, tags: np.ndarray, start: np.ndarray, length: np.ndarray) -> bytes:
-    """Covered ranges, those of a document that touch or overlap as one."""
+def _pieces_by_range(buf, off, g, key, doc, first, size, ids, tags, homes, span, parts) -> pa.RecordBatch:
+    own = ids[doc]
+    a, b, c = (_prints(g, first + k, span) for k in (0, size - 1, size // 2))
+    with np.errstate(over="ignore"):
+        whole = mix(key ^ (a * U(3) + b * U(5) + c * U(7) + size.astype(np.uint64)))
+    order = np.lexsort((own, whole, key))
+    key, doc, first, size, own, whole, a, b = (x[order] for x in (key, doc, first, size, own, whole, a, b))
+    at = _runs(key, whole, size, a, b)
+    least = np.repeat(own[at], np.diff(np.append(at, len(own))))
+    seen = own > least
+    buckets, to, blobs = [], [], []
+    if seen.any():
+        d = doc[seen]
+        to, blobs = _covered(ids[d], tags[d], homes[d], first[seen] - off[d], size[seen] + span - 1)
+        buckets = [-1] * len(to)
+    key, doc, first, size = (x[~seen] for x in (key, doc, first, size))
+    where = _ranges(key, parts)
+    for s in _slices(_runs(where), len(where)):
+        docs, local = np.unique(doc[s], return_inverse=True)
+        length = size[s] + span - 1
+        base = key[s.start]
+        buckets.append(int(where[s.start]))
+        to.append(-1)
+        blobs.append(_pack(ids[docs].view(np.uint64), tags[docs], homes[docs], local, first[s] - off[doc[s]], size[s], np.array([base], np.uint64), np.diff(key[s], prepend=base), buf[ragged(first[s], length)]))
+    return _sent(buckets, to, blobs)
+
+
+def _covered(ids, tags, homes, start, length) -> tuple[list, list]:
+    """Covered ranges by home, those of a document that touch or overlap as one."""
     order = np.lexsort((start, tags, ids))
-    ids, tags, start, end = ids[order], tags[order], start[order], (start + length)[order]
-    row = np.cumsum(np.append(True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]))) - 1
+    ids, tags, homes, start, end = ids[order], tags[order], homes[order], start[order], (start + length)[order]
+    row = np.repeat(np.arange(len(at := _runs(ids, tags))), np.diff(np.append(at, len(ids))))
     far = int(end.max()) + 1
     reach = np.maximum.accumulate(end + row * far) - row * far
     new = np.append(True, (row[1:] != row[:-1]) | (start[1:] > reach[:-1]))
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(ids)) - 1
-    return _pack(ids[at].view(np.uint64), tags[at], start[at], reach[last] - start[at])
+    return _home_rows(ids[at], tags[at], homes[at], start[at], reach[last] - start[at])
 
 
 def _repeated(span: int):
-    """For each bucket, the ranges covered by a string of a smaller document."""
+    """For a bucket of pieces, the ranges covered by a string of a smaller document."""
 
-    def bucket(blobs: list[bytes]) -> bytes | None:
-        ids, tags, doc, start, size, key, text = [], [], [], [], [], [], []
-        at = 0
+    def bucket(blobs: list[bytes]) -> tuple[list, list]:
+        ids, tags, homes, doc, start, size, key, text, at = [], [], [], [], [], [], [], [], 0
         for blob in blobs:
-            i, t, local, first, n, base, step, chars = _unpack(blob)
+            i, t, h, local, first, n, base, step, chars = _unpack(blob)
             ids.append(i.view(np.int64))
             tags.append(t.astype(np.int64))
+            homes.append(h.astype(np.int64))
             doc.append(local.astype(np.int64) + at)
             start.append(first.astype(np.int64))
             size.append(n.astype(np.int64))
@@ -180,21 +328,34 @@ def _repeated(span: int):
                 key.append(base[0] + np.cumsum(step, dtype=np.uint64))
             text.append(chars)
             at += len(i)
-        ids, tags, doc, start, size, key, text = (np.concatenate(x) for x in (ids, tags, doc, start, size, key, text))
+        ids, tags, homes, doc, start, size, key, text = (np.concatenate(x) for x in (ids, tags, homes, doc, start, size, key, text))
         length = size + span - 1
         place = np.cumsum(length) - length
         order = np.lexsort((ids[doc], key))
         doc, start, size, key, length, place = (x[order] for x in (doc, start, size, key, length, place))
+        edge = np.append(_runs(key), len(key))
+        homes_out, blobs_out, lo = [], [], 0
+        # some keys at a time, as many as fit in a chunk of text
+        total = np.append(0, np.cumsum(length))
+        while lo < len(edge) - 1:
+            hi = max(lo + 1, int(np.searchsorted(total[edge], total[edge[lo]] + CHUNK, side="right")) - 1)
+            s = slice(edge[lo], edge[hi])
+            to, found = some(text, ids, tags, homes, doc[s], start[s], size[s], key[s], length[s], place[s])
+            homes_out += to
+            blobs_out += found
+            lo = hi
+        return homes_out, blobs_out
+
+    def some(text, ids, tags, homes, doc, start, size, key, length, place):
         own = ids[doc]
-        group = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        group = _runs(key)
         members = np.diff(np.append(group, len(key)))
         shared = np.repeat(own[group] != own[group + members - 1], members)  # sorted: first and last id differ
         doc, start, size, key, length, place, own = (x[shared] for x in (doc, start, size, key, length, place, own))
         if not len(key):
-            return None
+            return [], []
         # strings whose fingerprint occurs in documents of different ids
-        src = ragged(place, length)
-        chars = text[src]
+        chars = text[ragged(place, length)]
         begin = np.cumsum(length) - length
         g = _grams(chars)
         piece = np.repeat(np.arange(len(size)), size)
@@ -202,46 +363,25 @@ def _repeated(span: int):
         f = _prints(g, at, span)
         order = np.lexsort((own[piece], f))
         piece, at, f = piece[order], at[order], f[order]
-        new = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
+        new = _runs(f)
         count = np.diff(np.append(new, len(f)))
         alike = np.repeat(own[piece[new]] != own[piece[new + count - 1]], count)
         piece, at, f = piece[alike], at[alike], f[alike]
         if not len(piece):
-            return None
+            return [], []
         hit = _confirm(chars, begin, length, key, own, np.unique(piece), (piece, at, f), span)
-        if not hit[0].any():
-            return None
-        p, where = hit[1][hit[0]], hit[2][hit[0]]
-        return _covered(own[p], tags[doc[p]], start[p] + where - begin[p], np.full(len(p), span))
+        if not hit.any():
+            return [], []
+        p, where = piece[hit], at[hit]
+        return _covered(own[p], tags[doc[p]], homes[doc[p]], start[p] + where - begin[p], np.full(len(p), span))
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def close():
-            found = bucket(held) if held else None
-            return [found] if found else []
-
-        for batch in batches:
-            out = []
-            for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
-                if b != now:
-                    out += close()
-                    now, held = b, []
-                if b < 0:
-                    out.append(blob.as_py())
-                else:
-                    held.append(blob.as_py())
-            yield _rows(out)
-        yield _rows(close())
-
-    return run
+    return bucket
 
 
 def _confirm(chars, begin, length, key, own, used, candidates, span):
-    """``(hit, piece, place)`` of every candidate string: whether it equals one of a smaller document.
+    """Whether each candidate string ``(piece, place, fingerprint)`` equals one of a smaller document.
 
-    Pieces of a key make one text for the suffix array. Equal pieces of one document stand in it once
-    each, in its batch of strings of similar length."""
+    The pieces of a key make one text; texts of similar length get their suffix arrays together."""
     piece, at, f = candidates
     number = np.full(len(begin), -1)
     number[used] = np.arange(len(used))
@@ -294,7 +434,7 @@ def _confirm(chars, begin, length, key, own, used, candidates, span):
         np.minimum.at(least, interval, who[sa])
         found[source[sa[who[sa] > least[interval]]]] = True
     hit[~direct] = found[at[~direct]]
-    return hit, piece, at
+    return hit
 
 
 def _compare(chars, at, f, own, span):
@@ -315,31 +455,27 @@ def _compare(chars, at, f, own, span):
     return hit
 
 
-def _rows(blobs: list[bytes]) -> pa.RecordBatch:
-    cols = [_unpack(b) for b in blobs]
-    ids = np.concatenate([c[0].view(np.int64) for c in cols]) if cols else np.zeros(0, np.int64)
-    tags, start, length = (np.concatenate([c[k].astype(np.int64) for c in cols]) if cols else np.zeros(0, np.int64) for k in (1, 2, 3))
-    return pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NO_ID), pa.array(tags.astype(np.uint32).view(np.int32)), pa.array(start), pa.array(length)], names=["id", "tag", "start", "length"])
-
-
-def _cut(batches) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "__text"):
-        buf, off = buffers(batch.column("__text"))
-        n_bytes, removed, spans, digest, kept = [], [], [], [], []
-        for i, ranges in enumerate(batch.column("ranges")):
-            text = buf[off[i] : off[i + 1]]
-            keep = np.ones(len(text) + 1, bool)
-            for r in ranges.as_py() or ():
-                keep[r["start"] : r["start"] + r["length"]] = False
-            keep = keep[:-1]
-            left = text[keep].tobytes()
-            n_bytes.append(len(text))
-            removed.append(len(text) - len(left))
-            spans.append(int((~keep & np.append(True, keep[:-1])).sum()))
-            digest.append(hashlib.sha256(left).hexdigest())
-            kept.append(left)
-        names = [c for c in batch.schema.names if c not in ("__text", "ranges")]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+def _cut(texts: pa.Table, told: pa.Table) -> pa.Table:
+    """The home's documents without their covered ranges."""
+    ids, tags, row, who, cols = _rows_of(texts, told)
+    start, end = cols[0].astype(np.int64), cols[0].astype(np.int64) + cols[1].astype(np.int64)
+    order = np.argsort(who, kind="stable")
+    who, start, end = who[order], start[order], end[order]
+    lead = [row[pair] for pair in zip(ids.tolist(), tags.tolist(), strict=True)]
+    lo, hi = np.searchsorted(who, lead), np.searchsorted(who, lead, side="right")
+    n_bytes, removed, spans, digest, kept = [], [], [], [], []
+    for i, value in enumerate(texts.column("__text")):
+        text = np.frombuffer((value.as_py() or "").encode(), np.uint8)
+        keep = np.ones(len(text), bool)
+        for k in range(lo[i], hi[i]):
+            keep[start[k] : end[k]] = False
+        left = text[keep].tobytes()
+        n_bytes.append(len(text))
+        removed.append(len(text) - len(left))
+        spans.append(int((~keep & np.append(True, keep)[:-1]).sum()))
+        digest.append(hashlib.sha256(left).hexdigest())
+        kept.append(left)
+    return pa.table([texts.column("id"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50) -> DataFrame:
@@ -355,18 +491,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     * a null id is greater than all others, and null ids do not remove each other's strings;
     * ids must be integers; other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tag = F.hash(F.col(text_col))
-    src = docs.select(F.col(id_col).cast("long").alias("id"), tag.alias("tag"), F.col(text_col).alias("__text"))
-    sent = src.mapInArrow(_spread(span, 4 * width), "bucket int, blob binary")
-    # what a chunk knows already (bucket -1) is dealt out by its content
-    deal = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("blob"), F.lit(4 * width))).otherwise(F.col("bucket"))
-    sent = sent.withColumn("deal", deal).repartition(width, "deal").sortWithinPartitions("deal").select("bucket", "blob")
-    found = sent.mapInArrow(_repeated(span), "id long, tag int, start long, length long")
-    ranges = found.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "length")).alias("ranges")).select(F.col("id").alias("rid"), F.col("tag").alias("rtag"), "ranges")
-    met = src.join(ranges, F.col("id").eqNullSafe(F.col("rid")) & (F.col("tag") == F.col("rtag")), "left").select("id", "__text", "ranges")
-    out = met.mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = HOMES * width
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(F.col(text_col)).alias("tag"), F.col(text_col).alias("__text"))
+    src = src.withColumn("home", F.pmod(F.xxhash64("id", "tag"), F.lit(parts)).cast("int"))
+    sent = "bucket int, home int, blob binary"
+
+    def to_buckets(rows: DataFrame) -> DataFrame:
+        deal = F.when(F.col("bucket") < 0, -1 - F.col("home")).otherwise(F.col("bucket"))
+        return rows.withColumn("deal", deal).repartition(width, "deal").sortWithinPartitions("deal").select("bucket", "home", "blob")
+
+    keys = to_buckets(src.mapInArrow(_offer(span, parts), sent)).mapInArrow(_by_bucket(_shared_keys), sent)
+    texts = src.groupBy("home")
+    pieces_ = to_buckets(texts.cogroup(keys.groupBy("home")).applyInArrow(_spread(span, parts), sent))
+    ranges = pieces_.mapInArrow(_by_bucket(_repeated(span)), sent)
+    out = texts.cogroup(ranges.groupBy("home")).applyInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumnRenamed("id", id_col)
 
 

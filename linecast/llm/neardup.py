@@ -7,11 +7,13 @@ document stops as soon as all its slots are below the next level. Signatures are
 share a band are candidates, and each candidate pair is confirmed on the two full sets.
 
 Scale. Equal sets collapse to one node before anything is compared, so thousands of copies cost one
-node. Inside a bucket no pairs are emitted: in each round a bucket names few pivots, only the pairs
-(pivot, member of another component) are verified, the components are merged, and the pivots leave
-the bucket. A bucket ends when one component is left in it or every pair across components has been
-compared, so no link between different texts is lost. All tables between the rounds are written to
-the shared folder; nothing but counts reaches the driver.
+node. Each bucket gives one star of links from its smallest node, whose components are the clusters:
+two nodes that share a bucket are in one cluster. A cluster's sets meet in one task, or, if they hold
+over ``BLOCK_ITEMS`` shingles, in one task for each pair of its blocks. There a node is counted against
+all others through an inverted index, and union-find tells when to stop: a few central nodes first,
+then every node that is not yet in the largest component; all pairs that are left lie within one
+component. So no pair of nodes is ever a row, and no link between components is lost. Tables between
+the steps are written to the shared folder; nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -27,10 +29,12 @@ from linecast.llm.scratch import table, written
 from linecast.llm.words import GOLDEN, U, Words, chunks, mix, shingles
 
 SIGNATURE = "__th long, n_shingles long, node binary, bands array<bigint>"
-#: Each round takes so many times the pivots of the round before.
-PIVOT_GROUPS = 16
+#: Shingles of a cluster's sets that one block holds (one set at least).
+BLOCK_ITEMS = 1_000_000
+#: Central nodes that are counted against all others first.
+PIVOTS = 8
 #: Links that one task's union-find forest takes.
-FOREST_LINKS = 1_000_000
+FOREST_LINKS = 200_000
 
 
 def superminhash(h: np.ndarray, first: np.ndarray, m: int, seed: int = 1) -> np.ndarray:
@@ -118,17 +122,88 @@ def _blobs(size: int):
     return run
 
 
-def _confirm(threshold_pct: int):
+class _Trees:
+    """Union-find over places, with the unions that were made."""
+
+    def __init__(self, n: int):
+        self.root, self.size, self.made = list(range(n)), [1] * n, []
+
+    def find(self, v: int) -> int:
+        while self.root[v] != v:
+            self.root[v] = v = self.root[self.root[v]]
+        return v
+
+    def union(self, a: int, b: int) -> None:
+        p, q = self.find(a), self.find(b)
+        if p != q:
+            if self.size[p] < self.size[q]:
+                p, q = q, p
+            self.root[q] = p
+            self.size[p] += self.size[q]
+            self.made.append((a, b))
+
+
+def cluster_links(sets: list[np.ndarray], side: np.ndarray, pct: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets, as pairs of places. ``side``: 0 or 1; if both occur,
+    only pairs of different sides are compared (the others are another task's)."""
+    m = len(sets)
+    n = np.array([len(x) for x in sets])
+    doc = np.repeat(np.arange(m), n)
+    items, item = np.unique(np.concatenate(sets), return_inverse=True)
+    df = np.bincount(item)
+    order = np.argsort(item, kind="stable")
+    posting, first = doc[order].astype(np.int32), np.concatenate([[0], np.cumsum(df)])
+    start = np.concatenate([[0], np.cumsum(n)])
+    cross = side.min() != side.max()
+    trees = _Trees(m)
+
+    def count(x: int) -> None:
+        t = item[start[x] : start[x + 1]]
+        t = t[df[t] > 1]
+        if not len(t):
+            return
+        both = np.bincount(np.concatenate([posting[first[k] : first[k + 1]] for k in t]), minlength=m)
+        hit = 100 * both >= pct * (n[x] + n - both)
+        if cross:
+            hit &= side != side[x]
+        for y in np.flatnonzero(hit):
+            trees.union(x, int(y))
+
+    # central: many shingles that most sets share, few others
+    common = np.bincount(doc, weights=np.where(2 * df[item] > m, 1.0, -1.0), minlength=m)
+    lead = np.argsort(-common, kind="stable")[:PIVOTS]
+    for x in lead:
+        count(int(x))
+    root = np.array([trees.find(v) for v in range(m)])
+    main = np.bincount(root).argmax()
+    for x in np.flatnonzero(root != main):
+        # what is not counted yet and has not joined the largest component is counted against all
+        if x not in lead and trees.find(int(x)) != trees.find(int(main)):
+            count(int(x))
+    return trees.made
+
+
+def _solve(pct: int):
+    """Rows sorted by task (cluster, i, j): the links of each task's sets."""
+
     def run(batches) -> Iterator[pa.RecordBatch]:
+        now, nodes, sets, side = None, [], [], []
+
+        def close() -> pa.RecordBatch:
+            made = cluster_links(sets, np.array(side), pct) if len(sets) > 1 else []
+            pairs = [sorted((nodes[a], nodes[b])) for a, b in made]
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
+
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x_items"), batch.column("y_items"), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                small, large = (p, q) if len(p) <= len(q) else (q, p)
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                keep.append(100 * both >= threshold_pct * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
+            cols = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "block", "node")]
+            for k, (cluster, i, j, block, node) in enumerate(zip(*cols, strict=True)):
+                if (cluster, i, j) != now:
+                    yield close()
+                    now, nodes, sets, side = (cluster, i, j), [], [], []
+                nodes.append(node)
+                sets.append(np.frombuffer(batch.column("items")[k].as_py(), np.uint64))
+                side.append(int(i != j and block == j))
+        yield close()
 
     return run
 
@@ -206,39 +281,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = member.select("node").distinct().join(nodes, "node").select("h.*").withColumnRenamed(id_col, "__id")
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (src["__th"] == near["__th"])
     texts = src.join(near, same, "left_semi").select("__text")
-    items = written(texts.mapInArrow(_blobs(words), "node binary, items binary").groupBy("node").agg(F.min("items").alias("items")), "sets")
-
-    roots = linked = tested = None
-    groups = 1
-    while True:
-        at = member.withColumn("root", F.col("node")) if roots is None else member.join(roots, member["node"] == roots["v"], "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-        # one pivot a bucket at first; then the smallest component of each group of them, and ever more groups
-        group = F.pmod(F.xxhash64("root"), F.lit(groups))
-        per_root = at.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("p"))
-        per_group = per_root.groupBy("bucket", group.alias("g")).agg(F.count("*").alias("k"), F.min(F.struct("c", "p.node", "p.n", "root")).alias("p"))
-        pivots = per_group.groupBy("bucket").agg(F.sum("k").alias("k"), F.collect_list(F.struct("p.node", "p.n", "p.root")).alias("pivots")).where("k > 1").drop("k")
-        pivots = written(pivots, "pivots")  # at most one a group, for buckets that are still open
-        if pivots.isEmpty():
-            break
-        at = at.join(pivots, "bucket")
-        cross = at.select("node", "n", "root", F.explode("pivots").alias("p")).where((F.col("root") != F.col("p.root")) & (100 * F.least("n", "p.n") >= threshold_pct * F.greatest("n", "p.n")))
-        pairs = cross.select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        x = items.select(F.col("node").alias("a"), F.col("items").alias("x_items"))
-        y = items.select(F.col("node").alias("b"), F.col("items").alias("y_items"))
-        found = written(pairs.join(x, "a").join(y, "b").mapInArrow(_confirm(threshold_pct), "a binary, b binary"), "confirmed")
-        member = written(at.where(~F.array_contains("pivots.node", F.col("node"))).select("bucket", "node", "n"), "members")
-        if roots is None or not found.isEmpty():
-            linked = found if linked is None else linked.unionByName(found)
-            roots = components(linked)
-        groups *= PIVOT_GROUPS
-
-    named = sets.select(id_col, "node") if roots is None else sets.select(id_col, "node").join(roots, F.col("node") == F.col("v"), "left").select(id_col, F.coalesce("root", "node").alias("node"))
+    items = texts.mapInArrow(_blobs(words), "node binary, items binary").groupBy("node").agg(F.min("items").alias("items"))
+
+    star = member.groupBy("bucket").agg(F.min("node").alias("a")).join(member, "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    cluster = components(written(star, "stars")).select(F.col("v").alias("node"), F.col("root").alias("cluster"))
+    cluster = written(cluster.unionByName(cluster.select(F.col("cluster").alias("node"), "cluster")).distinct(), "clusters")
+    weight = cluster.join(member.select("node", "n").distinct(), "node").groupBy("cluster").agg(F.ceil(F.sum("n") / F.lit(BLOCK_ITEMS)).cast("int").alias("k"))
+    block = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    dealt = cluster.join(weight, "cluster").withColumn("block", block).join(items, "node")
+    # a node goes to the tasks of its block with each other one; most clusters have one block
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "items")
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    linked = dealt.repartition(width, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(_solve(threshold_pct), "a binary, b binary")
+    roots = components(written(linked, "linked"))
+
+    named = sets.select(id_col, "node").join(roots, F.col("node") == F.col("v"), "left").select(id_col, F.coalesce("root", "node").alias("node"))
     smallest = named.groupBy("node").agg(F.min(id_col).alias("component_id")).withColumnRenamed("node", "root")
-    label = nodes.select("node", F.col("node").alias("root")) if roots is None else nodes.select("node").join(roots, F.col("node") == F.col("v"), "left").select("node", F.coalesce("root", "node").alias("root"))
+    label = nodes.select("node").join(roots, F.col("node") == F.col("v"), "left").select("node", F.coalesce("root", "node").alias("root"))
     label = label.join(smallest, "root")
     out = signed.select(id_col, "__th", "node", "n_shingles").join(label, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col(id_col)).otherwise(F.col("component_id")))

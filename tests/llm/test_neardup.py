@@ -59,7 +59,9 @@ def test_equals_brute_force(spark, pct):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == brute(rows, pct)
 
 
-def test_many_near_copies_of_one_text(spark):
+@pytest.mark.parametrize("block", [1_000_000, 7_000])
+def test_many_near_copies_of_one_text(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK_ITEMS", block)
     rnd = random.Random(1)
     base = [f"w{k}" for k in range(200)]
     rows = []

@@ -87,13 +87,6 @@ def event_columns(event: Column | str, sport_key: Column | str, home: Column | N
     ]
 
 
-def parse_event(event: Column | str, sport_key: Column | str, home: Column | None = None, away: Column | None = None) -> Column:
-    """F9 as one struct; null when home (order 0) or away (order 1) is missing."""
-    if home is None or away is None:
-        home, away = event_sides(_col(event))
-    return F.when(home.isNotNull() & away.isNotNull(), F.struct(*event_columns(event, sport_key, home, away)))
-
-
 def competition_columns(event_date: Column | str, competition: Column | str, home: Column | None = None, away: Column | None = None) -> list[Column]:
     """F10 fields of one competition as named columns; home/away by ``homeAway``; key ``away|home``."""
     comp = _col(competition)
@@ -116,13 +109,6 @@ def competition_columns(event_date: Column | str, competition: Column | str, hom
     ]
 
 
-def competition_score(event: Column | str, competition: Column | str) -> Column:
-    """F10 as one struct; null when home or away is missing."""
-    home, away = competition_sides(_col(competition))
-    cols = competition_columns(_col(event)["date"], competition, home, away)
-    return F.when(home.isNotNull() & away.isNotNull(), F.struct(*cols))
-
-
 def leading_int(s: Column | str) -> Column:
     """JavaScript ``parseInt``: leading integer of the text, null when there is none."""
     txt = _or_default(_col(s), DEFAULT_SCORE)

@@ -26,7 +26,6 @@ from linecast.functions.timefn import with_timestamp
 from linecast.operators.serving import latest_by
 
 GAME_KEY_COLS = ("away_team", "home_team")
-STATE_RANK = {"in": 0, "pre": 1}  # everything else (post, missing) ranks 2
 
 
 def _game_key():
@@ -258,7 +257,3 @@ def score_board_columns(scoreboard: DataFrame, sport_col: str = "sport_key") ->
         away_winning("home_score", "away_score").alias("away_winning"),
         period_label(F.col(sport_col), F.col("period")).alias("period_label"),
     )
-
-
-def with_ingest_ts(df: DataFrame) -> DataFrame:
-    return with_timestamp(df, "ingested_at", "ingested_at_ts")

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from linecast.functions.text import event_ticker
 from linecast.functions.timefn import TICKER_TZ, game_date, hhmm, weekday_name
-from linecast.operators.joins import small_dim
 
 CONFIG_DDL = (
     "sports MAP<STRING, STRUCT<active: BOOLEAN, odds_api_key: STRING, kalshi_prefix: STRING, "
@@ -78,15 +77,13 @@ def in_schedule(df: DataFrame, ts: str, sport_dim: DataFrame, schedule_dim: Data
     """Is ``ts`` inside its sport's window of that local weekday (ends inclusive, minutes)?
 
     Sports without a schedule are always in; scheduled sports with no row for the day are out;
-    sports missing from the configuration are out. Both dimensions are size-checked broadcasts.
+    sports missing from the configuration are out. Of several windows of a sport and day the earliest counts.
     """
-    sd = small_dim(sport_dim.select(F.col("sport_key").alias("__sk"), F.col("has_schedule").alias("__has")))
-    tzs = small_dim(schedule_dim.groupBy(F.col("sport_key").alias("__tk")).agg(F.first("tz").alias("__tz")))
-    win = small_dim(
-        schedule_dim.select(
-            F.col("sport_key").alias("__wk"), F.col("day").alias("__wd"), F.col("start_time").alias("__st"), F.col("end_time").alias("__et")
-        )
-    )
+    sd = sport_dim.select(F.col("sport_key").alias("__sk"), F.col("has_schedule").alias("__has"))
+    tzs = schedule_dim.groupBy(F.col("sport_key").alias("__tk")).agg(F.min("tz").alias("__tz"))
+    # One window per sport and day: a repeated day cannot fan rows out.
+    win = schedule_dim.groupBy(F.col("sport_key").alias("__wk"), F.col("day").alias("__wd")).agg(F.min(F.struct("start_time", "end_time")).alias("__w"))
+    win = win.select("__wk", "__wd", F.col("__w.start_time").alias("__st"), F.col("__w.end_time").alias("__et"))
     j = df.join(sd, F.col(sport_col) == F.col("__sk"), "left").join(tzs, F.col(sport_col) == F.col("__tk"), "left")
     local = F.convert_timezone(F.lit("UTC"), F.col("__tz"), F.col(ts).cast("timestamp_ntz"))
     j = j.withColumn("__day", weekday_name(local)).withColumn("__hm", hhmm(local))
@@ -107,9 +104,8 @@ def games_to_tickers(
     """J3 + F4 + F5: market event ticker of each game. Games of sports without a prefix, or with a
     team lacking an abbreviation, have no ticker and drop (inner joins). ``tz='UTC'`` reproduces
     the studied consumer's date; the default Eastern date follows its documented intent."""
-    prefix = small_dim(sport_dim.where(F.col("kalshi_prefix").isNotNull()).select(F.col("sport_key").alias("__sk"), F.col("kalshi_prefix")))
+    prefix = sport_dim.where(F.col("kalshi_prefix").isNotNull()).select(F.col("sport_key").alias("__sk"), F.col("kalshi_prefix"))
     abbr = team_dim.where(F.col("source") == source).groupBy("sport_key", "team").agg(F.min("abbr").alias("abbr"))
-    abbr = small_dim(abbr)
     away = abbr.select(F.col("sport_key").alias("__as"), F.col("team").alias("__at"), F.col("abbr").alias("away_abbr"))
     home = abbr.select(F.col("sport_key").alias("__hs"), F.col("team").alias("__ht"), F.col("abbr").alias("home_abbr"))
     j = (

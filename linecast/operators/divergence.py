@@ -27,7 +27,7 @@ from linecast.functions.odds import (
 )
 from linecast.functions.text import ticker_suffix
 from linecast.functions.timefn import game_date, with_timestamp
-from linecast.operators.sequence import DEFAULT_SEGMENT_SECONDS, segmented_asof
+from linecast.operators.sequence import segmented_asof
 from linecast.operators.serving import latest_by
 
 GAME_KEYS = ("home_team", "away_team")
@@ -47,13 +47,17 @@ DIVERGENCE_COLUMNS = (
     "signal_direction",
     "is_divergence_signal",
     "num_bookmakers",
+    "quote_ingested_at",
 )
 
 _BOOK_VALUES = ("sport_key", "commence_time", "sportsbook_home_prob", "num_bookmakers")
 
 
-def score_divergence(pairs: DataFrame, threshold: float = DIVERGENCE_THRESHOLD, computed_at: Column | str | None = None) -> DataFrame:
-    """F2 + F13 on rows holding ``kalshi_implied_prob`` and ``sportsbook_home_prob``."""
+def score_divergence(
+    pairs: DataFrame, threshold: float = DIVERGENCE_THRESHOLD, computed_at: Column | str | None = None, quote_ts: str = "ingested_at"
+) -> DataFrame:
+    """F2 + F13 on rows holding ``kalshi_implied_prob`` and ``sportsbook_home_prob``. The quote's time
+    (``quote_ts``) stays on the row: it tells the quotes of one run apart when loads repeat."""
     k, s = "kalshi_implied_prob", "sportsbook_home_prob"
     return (
         pairs.withColumn("divergence", divergence(k, s))
@@ -61,6 +65,7 @@ def score_divergence(pairs: DataFrame, threshold: float = DIVERGENCE_THRESHOLD,
         .withColumn("is_divergence_signal", flag_at_least("divergence", threshold))
         .withColumn("signal_type", F.lit(DIVERGENCE_SIGNAL))
         .withColumn("computed_at", batch_time(computed_at))
+        .withColumn("quote_ingested_at", F.col(quote_ts))
         .select(*DIVERGENCE_COLUMNS)
     )
 
@@ -91,7 +96,7 @@ def divergence_asof(
     quote_ts: str = "ingested_at",
     book_ts: str = "ingested_at",
     book_tie: Sequence[str] = ("id",),
-    segment_seconds: int | str = DEFAULT_SEGMENT_SECONDS,
+    segment_seconds: int | str = "auto",
     same_day: bool = False,
     day_tz: str = "UTC",
 ) -> DataFrame:
@@ -114,7 +119,7 @@ def divergence_asof(
         how="inner",
         segment_seconds=segment_seconds,
     )
-    return score_divergence(paired, threshold, computed_at)
+    return score_divergence(paired, threshold, computed_at, "__qts")
 
 
 def divergence_latest_pair(
@@ -139,8 +144,8 @@ def divergence_latest_pair(
         keys = (*keys, GAME_DAY)
         q = latest_by(quotes, ["market_ticker", GAME_DAY], quote_order)
         b = latest_by(home_odds.select(*keys, *book_order, *[c for c in _BOOK_VALUES if c not in book_order]), list(keys), book_order)
-        return score_divergence(q.join(b, on=list(keys), how="inner"), threshold, computed_at)
+        return score_divergence(with_timestamp(q, "ingested_at", "__qts").join(b.drop("ingested_at"), on=list(keys), how="inner"), threshold, computed_at, "__qts")
     q = latest_by(quotes, ["market_ticker"], quote_order)
     b = latest_by(home_odds.select(*keys, *book_order, *[c for c in _BOOK_VALUES if c not in book_order]), list(keys), book_order)
-    paired = q.join(b, on=list(keys), how="inner")
-    return score_divergence(paired, threshold, computed_at)
+    paired = with_timestamp(q, "ingested_at", "__qts").join(b.drop("ingested_at"), on=list(keys), how="inner")
+    return score_divergence(paired, threshold, computed_at, "__qts")

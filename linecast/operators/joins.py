@@ -1,4 +1,5 @@
-"""Dimension joins (J5, J6, J7) and the size check that guards every explicit broadcast."""
+"""Dimension joins (J5, J6, J7). No side is hinted: Spark broadcasts a side that its statistics or, at
+run time, AQE's measurements show to be below its byte threshold, and shuffles otherwise."""
 
 from __future__ import annotations
 
@@ -7,29 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A broadcast side is shipped whole to every executor; only dimensions proven below this many rows
-# are hinted. Larger (or unproven) sides are left to AQE, which converts a join to broadcast only
-# from measured runtime sizes.
-BROADCAST_MAX_ROWS = 200_000
-
-
-def small_dim(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, materialize: bool = False) -> DataFrame:
-    """``broadcast(df)`` when ``df`` provably holds at most ``max_rows`` rows, else ``df`` unchanged.
-
-    The proof is a bounded count (``limit(max_rows + 1).count()``), cheap for a dimension. A side
-    derived from a large input (``materialize=True``) is first written with a reliable
-    ``checkpoint()`` to the shared checkpoint folder, so the count and the join read the stored rows
-    instead of recomputing them (and survive lost executors).
-    """
-    if materialize:
-        from linecast.session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def attach_abbr(
     df: DataFrame,
     abbr_dim: DataFrame,
@@ -45,7 +23,7 @@ def attach_abbr(
         dim = dim.where(F.col("source") == source)
     keys = ["team"] + (["sport_key"] if sport_col else [])
     dim = dim.groupBy(*keys).agg(F.min("abbr").alias("__abbr"))
-    dim = small_dim(dim.withColumnRenamed("team", "__team"))
+    dim = dim.withColumnRenamed("team", "__team")
     cond = F.col(team_col) == F.col("__team")
     if sport_col:
         dim = dim.withColumnRenamed("sport_key", "__sport")
@@ -75,8 +53,8 @@ def attach_scores(signals: DataFrame, scoreboard: DataFrame, keys: Sequence[str]
 def apply_aliases(df: DataFrame, aliases: DataFrame, cols: Sequence[str] = ("home_team", "away_team")) -> DataFrame:
     """Quirk Q10: replace known alternative spellings of team names (``aliases(alias, team)``) by the
     canonical name in ``cols``, so feeds that spell a team differently still join. Names without an
-    alias are kept. The alias table is made unique per alias and broadcast after a size check."""
-    amap = small_dim(aliases.groupBy(F.col("alias").alias("__alias")).agg(F.min("team").alias("__canon")))
+    alias are kept. The alias table is made unique per alias, so no row is multiplied."""
+    amap = aliases.groupBy(F.col("alias").alias("__alias")).agg(F.min("team").alias("__canon"))
     out = df
     for c in cols:
         out = out.join(amap, F.col(c) == F.col("__alias"), "left").withColumn(c, F.coalesce(F.col("__canon"), F.col(c))).drop("__alias", "__canon")

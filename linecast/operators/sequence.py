@@ -12,7 +12,7 @@ of all rows) would then be one task. Here each key is cut into time segments:
 
 The result equals the whole-key window exactly. Segment width is a parameter: smaller widths
 split hot keys finer at the price of a larger summary (one row per key and non-empty segment).
-``segment_seconds="auto"`` sizes segments per key instead: keys with more than ``target_rows``
+``segment_seconds="auto"``, the default, sizes segments per key instead: keys with more than ``target_rows``
 rows (at most ``rows / target_rows`` of them, so the list is bounded and size-checked before it is
 broadcast) get a width that puts about ``target_rows`` rows in a segment; all other keys keep the
 default width (a whole such key is already below the target).
@@ -45,7 +45,7 @@ def _micros(ts: str) -> Column:
 
 def _hot_keys(frames: Sequence[tuple[DataFrame, str]], keys: Sequence[str], target_rows: int) -> DataFrame:
     """Per-key segment width (microseconds) for keys above ``target_rows`` rows."""
-    from linecast.operators.joins import small_dim
+    from linecast.session import ensure_checkpoint_dir
 
     parts = [df.select(F.struct(*[F.col(k) for k in keys]).alias(KEY), _micros(ts).alias("__us")) for df, ts in frames]
     u = parts[0]
@@ -54,7 +54,9 @@ def _hot_keys(frames: Sequence[tuple[DataFrame, str]], keys: Sequence[str], targ
     stats = u.groupBy(KEY).agg(F.count(F.lit(1)).alias("__n"), F.min("__us").alias("__lo"), F.max("__us").alias("__hi"))
     hot = stats.where(F.col("__n") > target_rows)
     width = F.greatest(F.lit(1_000_000).cast("long"), F.ceil((F.col("__hi") - F.col("__lo") + 1) * target_rows / F.col("__n")).cast("long"))
-    return small_dim(hot.select(KEY, F.col("__lo").alias("__hot_lo"), width.alias("__hot_w")), materialize=True)
+    # Stored once in the shared checkpoint folder, so the pass over the input is not repeated by the join.
+    ensure_checkpoint_dir(hot.sparkSession)
+    return hot.select(KEY, F.col("__lo").alias("__hot_lo"), width.alias("__hot_w")).checkpoint(eager=True)
 
 
 def _with_key(df: DataFrame, keys: Sequence[str], ts: str, segment_seconds, hot: DataFrame | None = None) -> DataFrame:
@@ -86,7 +88,7 @@ def segmented_lag(
     order: Sequence[str],
     values: Sequence[str],
     prefix: str = "prev_",
-    segment_seconds: int | str = DEFAULT_SEGMENT_SECONDS,
+    segment_seconds: int | str = "auto",
     target_rows: int = DEFAULT_TARGET_ROWS,
 ) -> DataFrame:
     """Add ``prefix+v`` = value of ``v`` in the previous row of the same key ordered by ``order``.
@@ -119,7 +121,7 @@ def segmented_asof(
     right_values: Sequence[str],
     right_tie: Sequence[str] = (),
     how: str = "inner",
-    segment_seconds: int | str = DEFAULT_SEGMENT_SECONDS,
+    segment_seconds: int | str = "auto",
     target_rows: int = DEFAULT_TARGET_ROWS,
 ) -> DataFrame:
     """As-of join: each left row gets the right row of the same key with the greatest
@@ -130,6 +132,10 @@ def segmented_asof(
     earlier right row; ``'left'`` keeps them with nulls.
     """
     lcols = left.columns
+    # A poll without time is before or after nothing, and a left row without time has no partner.
+    right = right.where(F.col(right_ts).isNotNull())
+    if how == "inner":
+        left = left.where(F.col(left_ts).isNotNull())
     hot = _hot_keys([(left, left_ts), (right, right_ts)], keys, target_rows) if segment_seconds == "auto" else None
     l_prep = (
         _with_key(left, keys, left_ts, segment_seconds, hot)
@@ -172,7 +178,7 @@ def segmented_asof(
 
     lefts = filled.where(F.col("__side") == 1)
     joined = lefts.join(carry, on=[KEY, SEG], how="left")
-    v = F.coalesce(F.col("__loc"), F.col("__carry"))
+    v = F.when(F.col("__t").isNotNull(), F.coalesce(F.col("__loc"), F.col("__carry")))
     left_cols = [F.col(KEY)[c].alias(c) if c in keys else F.col("__l")[c].alias(c) for c in lcols]
     out = joined.select(*left_cols, *[v[x].alias(x) for x in right_values], v.isNotNull().alias("__hit"))
     if how == "inner":

@@ -24,6 +24,7 @@ from linecast.operators.divergence import divergence_asof, divergence_latest_pai
 from linecast.operators.movement import line_movement, sharp_money
 from linecast.operators.odds import consensus, flatten_odds, home_consensus, major_books
 from linecast.operators.quotes import kalshi_mid
+from linecast.plans import jobs
 from linecast.plans import oracle as O
 from linecast.plans import testdata as td
 from linecast.session import apply_defaults, scratch_path
@@ -99,24 +100,33 @@ def divergence_signals(spark: SparkSession, sf: str) -> DataFrame:
     return divergence_asof(quotes(spark, sf), home_odds(spark, sf), computed_at=batch_of())
 
 
-_SILVER: dict[tuple[str, str, str], tuple[str, object]] = {}
+_SILVER: dict[tuple[str, str, str], str] = {}
 
 
-def silver(spark: SparkSession, sf: str, name: str, keep_partition: bool = False) -> DataFrame:
-    """Signal table as the read side sees it: computed once per session and test folder, written
-    as Parquet partitioned by day (S10) in the shared checkpoint folder, then read back. Views,
-    feeds and boards query this table, as the studied dashboard queried its warehouse."""
+def silver_path(spark: SparkSession, sf: str, name: str) -> str:
+    """Signal table as the read side sees it: computed once per session and test folder, committed as
+    Parquet partitioned by day (S10) in the shared checkpoint folder. Views, feeds and boards query
+    this table, as the studied dashboard queried its warehouse."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _SILVER:
         df = divergence_signals(spark, sf) if name == "divergence" else sharp_signals(spark, sf)
         path = scratch_path(spark, f"silver-{name}")
-        T.write_signals(df, path)
-        _SILVER[key] = (path, T.written_schema(df))
-    path, schema = _SILVER[key]
-    out = T.read_signals(spark, path, schema=schema)
+        T.write_signals(df, path, versioned=True)
+        _SILVER[key] = path
+    return _SILVER[key]
+
+
+def silver(spark: SparkSession, sf: str, name: str, keep_partition: bool = False) -> DataFrame:
+    out = T.read_signals(spark, silver_path(spark, sf, name))
     return out if keep_partition else out.drop("computed_date")
 
 
+def silver_latest(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A3 with the batch time of the table's commit: one literal day is read."""
+    path = silver_path(spark, sf, name)
+    return S.latest_batch(T.read_signals(spark, path), latest=T.latest_time(spark, path)).drop("computed_date")
+
+
 def div_silver(spark, sf, keep_partition=False):
     return silver(spark, sf, "divergence", keep_partition)
 
@@ -147,9 +157,8 @@ def q_flatten_odds(spark, sf):
     O.with_ctes("SELECT bookmaker_key, count(*) AS n_rows, sum(american_odds) AS sum_odds FROM odds GROUP BY bookmaker_key", "odds"),
 )
 def q_h2h_only(spark, sf):
-    # Both markets flattened, then the moneyline filter: spreads rows must all disappear.
-    both = flatten_odds(td.raw_odds(spark, sf), market=None, keep=("event_id",))
-    h2h = both.where(F.col("market_key") == "h2h")
+    # The operator's own market filter: spreads rows must all disappear.
+    h2h = flatten_odds(td.raw_odds(spark, sf), market="h2h", keep=("event_id",))
     return h2h.groupBy("bookmaker_key").agg(F.count("*").alias("n_rows"), F.sum("american_odds").alias("sum_odds"))
 
 
@@ -223,7 +232,7 @@ def q_divergence_pairs(spark, sf):
       abs(q.kalshi_implied_prob - h.sportsbook_home_prob) AS divergence,
       CASE WHEN q.kalshi_implied_prob > h.sportsbook_home_prob THEN 'KALSHI_HIGHER' ELSE 'SPORTSBOOK_HIGHER' END
         AS signal_direction,
-      abs(q.kalshi_implied_prob - h.sportsbook_home_prob) >= 0.05 AS is_divergence_signal, h.num_bookmakers
+      abs(q.kalshi_implied_prob - h.sportsbook_home_prob) >= 0.05 AS is_divergence_signal, h.num_bookmakers, q.ingested_at AS quote_ingested_at
     FROM (SELECT * FROM quotes QUALIFY row_number() OVER (PARTITION BY market_ticker ORDER BY ingested_at DESC, event_id DESC) = 1) q
     JOIN (SELECT * FROM home_odds QUALIFY row_number() OVER (PARTITION BY home_team, away_team ORDER BY ingested_at DESC, id DESC) = 1) h
       ON q.home_team = h.home_team AND q.away_team = h.away_team""",
@@ -302,7 +311,7 @@ def q_by_game(spark, sf):
     ),
 )
 def q_plausible_odds(spark, sf):
-    return round_doubles(S.plausible_odds(S.history(sharp_silver(spark, sf), S.ODDS_HISTORY_COLS)))
+    return round_doubles(S.plausible_odds(sharp_silver(spark, sf)).select(*S.GAME_KEYS, *S.ODDS_HISTORY_COLS))
 
 
 @query(
@@ -310,7 +319,7 @@ def q_plausible_odds(spark, sf):
     _div_sql(f"SELECT * FROM sharp WHERE computed_at >= TIMESTAMP '{td.AS_OF}' - INTERVAL 30 HOUR", "sharp", doubles=SHARP_DOUBLES),
 )
 def q_recent_hours(spark, sf):
-    return round_doubles(S.recent_hours(sharp_silver(spark, sf), 30, td.AS_OF))
+    return round_doubles(S.recent_hours(sharp_silver(spark, sf, True), 30, td.AS_OF).drop("computed_date"))
 
 
 @query(
@@ -365,7 +374,7 @@ def q_in_game_window(spark, sf):
 
 @query("latest_batch", _div_sql("SELECT * FROM latest_div", "latest_div"))
 def q_latest_batch(spark, sf):
-    return round_doubles(S.latest_batch(div_silver(spark, sf, True)).drop("computed_date"))
+    return round_doubles(silver_latest(spark, sf, "divergence"))
 
 
 _UNION = f"""SELECT sport_key, home_team, away_team, computed_at FROM div WHERE {NOT_WOMENS}
@@ -395,7 +404,7 @@ def q_distinct_sports(spark, sf):
     return S.distinct_sports(div_silver(spark, sf), sharp_silver(spark, sf))
 
 
-_DIV_TIE = ("computed_at", "kalshi_implied_prob", "sportsbook_home_prob", "commence_time", "event_ticker")
+_DIV_TIE = ("computed_at", "quote_ingested_at", "kalshi_implied_prob", "sportsbook_home_prob", "commence_time", "event_ticker")
 
 
 @query(
@@ -408,7 +417,9 @@ _DIV_TIE = ("computed_at", "kalshi_implied_prob", "sportsbook_home_prob", "comme
     ),
 )
 def q_latest_dedup(spark, sf):
-    return round_doubles(S.latest_dedup(div_silver(spark, sf), S.DIVERGENCE_SERIES, order=_DIV_TIE))
+    path = silver_path(spark, sf, "divergence")
+    recent = S.latest_dedup(T.read_signals(spark, path), S.DIVERGENCE_SERIES, order=_DIV_TIE, latest=T.latest_time(spark, path))
+    return round_doubles(recent.drop("computed_date"))
 
 
 @query(
@@ -441,6 +452,7 @@ def _feed_sql(view: str, col: str, cols: list[str], doubles) -> str:
 _DIV_COLS = [
     "signal_type", "computed_at", "sport_key", "home_team", "away_team", "commence_time", "event_ticker", "market_ticker",
     "kalshi_implied_prob", "sportsbook_home_prob", "divergence", "signal_direction", "is_divergence_signal", "num_bookmakers",
+    "quote_ingested_at",
 ]
 _SHARP_COLS = [
     "signal_type", "computed_at", "sport_key", "home_team", "away_team", "commence_time", "bookmaker_key", "team",
@@ -451,12 +463,12 @@ _SHARP_COLS = [
 
 @query("divergence_feed", _feed_sql("latest_div", "divergence", _DIV_COLS, DIV_DOUBLES))
 def q_divergence_feed(spark, sf):
-    return round_doubles(S.feed(S.latest_batch(div_silver(spark, sf, True)).drop("computed_date"), "divergence", date=FEED_DATE))
+    return round_doubles(S.feed(silver_latest(spark, sf, "divergence"), "divergence", date=FEED_DATE))
 
 
 @query("sharp_feed", _feed_sql("latest_sharp", "prob_movement", _SHARP_COLS, SHARP_DOUBLES))
 def q_sharp_feed(spark, sf):
-    return round_doubles(S.feed(S.latest_batch(sharp_silver(spark, sf, True)).drop("computed_date"), "prob_movement", date=FEED_DATE))
+    return round_doubles(S.feed(silver_latest(spark, sf, "sharp"), "prob_movement", date=FEED_DATE))
 
 
 @query(
@@ -503,11 +515,11 @@ _SHARP_TIE = ("bookmaker_key", "team", "computed_at", "ingested_at_ts")
 
 
 def div_board(spark, sf):
-    return B.divergence_game_board(S.feed(S.latest_batch(div_silver(spark, sf, True)).drop("computed_date"), "divergence"))
+    return B.divergence_game_board(S.feed_rows(silver_latest(spark, sf, "divergence")))
 
 
 def sharp_board(spark, sf):
-    return B.sharp_game_board(S.feed(S.latest_batch(sharp_silver(spark, sf, True)).drop("computed_date"), "prob_movement"), tie=_SHARP_TIE)
+    return B.sharp_game_board(S.feed_rows(silver_latest(spark, sf, "sharp")), tie=_SHARP_TIE)
 
 
 @query("divergence_game_board", O.with_ctes(round_sql(_DIV_BOARD, ["divergence_pct"]), "latest_div"))
@@ -562,7 +574,7 @@ def q_board_order(spark, sf):
     ),
 )
 def q_attach_scores(spark, sf):
-    return round_doubles(J.attach_scores(S.latest_batch(div_silver(spark, sf, True)).drop("computed_date"), sb_latest(spark, sf)))
+    return round_doubles(J.attach_scores(silver_latest(spark, sf, "divergence"), sb_latest(spark, sf)))
 
 
 @query(
@@ -651,10 +663,20 @@ def q_scoreboard_latest(spark, sf):
     return sb_latest(spark, sf)
 
 
-@query("merge_scores", O.with_ctes("SELECT * FROM sb_latest", "sb_latest"))
+_OVERLAP = """SELECT * EXCLUDE (b) FROM (
+      SELECT 'A' || g || '|' || 'H' || g AS game_key, 'H' || g AS home_team, 'A' || g AS away_team, home_score, away_score,
+        upper(substr(state, 1, 1)) || substr(state, 2) AS status, state, period, display_clock, date AS commence_time, sport_key, b
+      FROM (SELECT *, 0 AS b FROM sb_events WHERE seq % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY g ORDER BY seq DESC) = 1
+            UNION ALL
+            SELECT *, 1 AS b FROM sb_events WHERE seq % 2 = 0 QUALIFY row_number() OVER (PARTITION BY g ORDER BY seq DESC) = 1) u)
+    QUALIFY row_number() OVER (PARTITION BY game_key ORDER BY b DESC) = 1"""
+
+
+@query("merge_scores", O.with_ctes(_OVERLAP, "sb_events"))
 def q_merge_scores(spark, sf):
+    """U2 on two boards with common games: the later board wins even where its entry is the older one."""
     ev = td.scoreboard_events(spark, sf)
-    boards = [B.scoreboard_latest(ev.where(F.col("sport_key") == s), order_cols=("seq",), keep=("sport_key",)) for s in td.SPORT_KEYS]
+    boards = [B.scoreboard_latest(ev.where(c), order_cols=("seq",), keep=("sport_key",)) for c in (F.col("seq") % 3 != 0, F.col("seq") % 2 == 0)]
     return B.merge_scores(boards)
 
 
@@ -885,9 +907,15 @@ def q_load_history(spark, sf):
     T.write_signals(sig, f"{base}/silver")
     silver = T.read_signals(spark, f"{base}/silver").drop("computed_date")
     schema = SC.sharp_money_signals()
-    for _ in range(2):
-        T.export_signals_json(silver, "is_sharp_signal", f"{base}/export")
-        ING.run(ING.load_history(spark, f"{base}/export", schema, f"{base}/warehouse", f"{base}/_ckpt"))
+    for k in range(2):
+        # the second export spells its names in upper case and carries broken lines
+        T.export_signals_json(silver.toDF(*[c.upper() if k else c for c in silver.columns]), "is_sharp_signal", f"{base}/export")
+        if k:
+            broken = silver.select(F.concat(F.lit('{"computed_at": "never", "team": "'), "team", F.lit('"}')).alias("value"))
+            broken.unionByName(silver.select(F.col("team").alias("value"))).write.mode("append").text(f"{base}/export")
+        ING.run(ING.load_history(spark, f"{base}/export", schema, f"{base}/warehouse", f"{base}/_ckpt", errors=f"{base}/errors"))
+    if spark.read.text(f"{base}/errors").count() != 2 * silver.count():
+        raise RuntimeError("broken lines must all reach the error folder")
     loaded = spark.read.parquet(f"{base}/warehouse").drop("load_date")
     dedup = S.minute_dedup(loaded, S.SHARP_ROW, order=("computed_at",))
     out = dedup.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in ("computed_at", "commence_time", "ingested_at_ts") else F.col(c) for c in dedup.columns])
@@ -910,7 +938,43 @@ def q_incremental_sharp_money(spark, sf):
     return round_doubles(spark.read.parquet(f"{base}/out").drop("batch_id"))
 
 
-_TOPIC = "CASE WHEN event_type = 'view' THEN 'raw-kalshi-markets' WHEN event_type = 'error' THEN 'raw-unknown' ELSE 'raw-odds' END"
+_BOOKS_SQL = ", ".join(f"'{b}'" for b in td.TEST_BOOKS)
+# Two runs: the first half of the month but for every seventh row, then the rest. A held-back row is late
+# if the first run had a later row of its series.
+_LATE = f"""SELECT o.*, NOT early AND EXISTS (SELECT 1 FROM marked f WHERE f.early AND f.id = o.id
+        AND f.bookmaker_key = o.bookmaker_key AND f.team = o.team AND (f.ingested_at, f.event_id) > (o.ingested_at, o.event_id)) AS late
+      FROM marked o"""
+_MARKED = f"""SELECT *, ingested_at < TIMESTAMP '2024-01-16' AND event_id % 7 <> 3 AS early FROM odds
+      WHERE bookmaker_key IN ({_BOOKS_SQL})"""
+O.register("marked", _MARKED, ("odds",))
+O.register("arrivals", _LATE, ("marked",))
+O.register("ontime_moves", "SELECT *, lag(american_odds) OVER w AS prev_odds, lag(implied_prob) OVER w AS prev_prob FROM arrivals WHERE NOT late WINDOW w AS (PARTITION BY id, bookmaker_key, team ORDER BY ingested_at, event_id)", ("arrivals",))
+O.register("ontime_sharp", O.CTES["sharp"][0].replace("FROM moves", "FROM ontime_moves"), ("ontime_moves",))
+
+
+def _out_of_order(spark, sf, name):
+    """Path of one output of a stream run in two parts, the second with late rows and replayed once."""
+    base = scratch_path(spark, "incorder")
+    flat = flat_odds(spark, sf)
+    early = (F.col("ingested_at") < F.lit("2024-01-16").cast("timestamp_ntz")) & (F.col("event_id") % 7 != 3)
+    kw = dict(books=td.TEST_BOOKS, computed_at=batch_of(), tie=("event_id",), late_path=f"{base}/late")
+    for part, cond in (("a", early), ("b", ~early)):
+        flat.where(cond).write.parquet(f"{base}/src/part={part}")
+        stream = spark.readStream.schema(flat.schema).parquet(f"{base}/src/part=*")
+        ING.run(INC.incremental_sharp_money(spark, stream, f"{base}/out", f"{base}/state", f"{base}/_ckpt", **kw))
+    # a batch that is handled again replaces what it wrote
+    INC.sharp_money_batch(spark, spark.read.schema(flat.schema).parquet(f"{base}/src/part=b"), 1, f"{base}/out", f"{base}/state", **kw)
+    return spark.read.parquet(f"{base}/{name}").drop("batch_id")
+
+
+@query("incremental_out_of_order", O.with_ctes(round_sql("SELECT * FROM ontime_sharp", SHARP_DOUBLES), "ontime_sharp"))
+def q_incremental_out_of_order(spark, sf):
+    return round_doubles(_out_of_order(spark, sf, "out"))
+
+
+@query("incremental_late_rows", O.with_ctes("SELECT event_id, id, bookmaker_key, team, ingested_at, american_odds FROM arrivals WHERE late", "arrivals"))
+def q_incremental_late_rows(spark, sf):
+    return _out_of_order(spark, sf, "late").select("event_id", "id", "bookmaker_key", "team", "ingested_at", "american_odds")
 
 
 @query(
@@ -919,32 +983,52 @@ _TOPIC = "CASE WHEN event_type = 'view' THEN 'raw-kalshi-markets' WHEN event_typ
       sum(event_id) AS sum_event_id FROM events WHERE event_type <> 'error' GROUP BY 1""",
 )
 def q_route_by_topic(spark, sf):
-    """Messages of three topics, two routed to their folders, the unknown one skipped."""
+    """Messages of three topics, two routed to their landing folders, the unknown one skipped."""
     base = scratch_path(spark, "route")
     ev = td.table(spark, sf, "events")
     topic = F.when(F.col("event_type") == "view", "raw-kalshi-markets").when(F.col("event_type") == "error", "raw-unknown").otherwise("raw-odds")
     msgs = ev.select(topic.alias("topic"), F.to_json(F.struct("event_id", "event_type", "value")).alias("value"))
     msgs.write.parquet(f"{base}/topic_log")
-    routes = {"raw-odds": f"{base}/odds", "raw-kalshi-markets": f"{base}/kalshi"}
     stream = spark.readStream.schema(msgs.schema).parquet(f"{base}/topic_log")
-    ING.run(ING.route_by_topic(stream, routes, f"{base}/_ckpt"))
-    parts = []
-    for name in ("odds", "kalshi"):
-        d = spark.read.schema("value STRING").json(f"{base}/{name}")
-        parts.append(d.select(F.lit(name).alias("destination"), F.get_json_object("value", "$.event_id").cast("long").alias("event_id")))
-    u = parts[0].unionByName(parts[1])
-    return u.groupBy("destination").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("event_id").alias("sum_event_id"))
+    routes = {"raw-odds": "odds", "raw-kalshi-markets": "kalshi"}
+    for _ in range(2):  # the second run finds nothing new
+        ING.run(ING.route_by_topic(stream, routes, f"{base}/landing", f"{base}/_ckpt"))
+    u = spark.read.schema("event_id BIGINT, feed STRING").json(f"{base}/landing")
+    return u.groupBy(F.col("feed").alias("destination")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("event_id").alias("sum_event_id"))
+
+
+_TOPIC_COLS = FLAT_COLS.replace(", event_id", "")
+
+
+@query("topic_log_to_bronze", O.with_ctes(round_sql(f"SELECT {_TOPIC_COLS} FROM odds", ["implied_prob"]), "odds"))
+def q_topic_log_to_bronze(spark, sf):
+    """S4/S6 -> S7 -> S1 -> P1: raw odds records in a topic log, routed, landed, drained into Bronze and
+    flattened, equal the direct flattening. (The log is a folder; Kafka itself is not installed here.)"""
+    base = scratch_path(spark, "topiclog")
+    raw = td.raw_odds(spark, sf).drop("event_id")
+    line = F.to_json(F.struct(*raw.columns), {"timestampNTZFormat": ING.JSON_TS_OPTIONS["timestampNTZFormat"]})
+    raw.select(F.lit("raw-odds").alias("topic"), line.alias("value")).write.parquet(f"{base}/topic_log")
+    stream = spark.readStream.schema("topic STRING, value STRING").parquet(f"{base}/topic_log")
+    jobs.job_topics(spark, stream, {"raw-odds": "odds"}, f"{base}/landing", f"{base}/bronze", f"{base}/_ckpt")
+    flat = flatten_odds(ING.read_bronze(spark, f"{base}/bronze/odds"))
+    times = [F.col(c).cast("timestamp").cast("timestamp_ntz").alias(c) if c in ("commence_time", "ingested_at") else F.col(c) for c in flat.columns]
+    flat = flat.select(*times).withColumn("id", F.col("id").cast("long"))  # the feed declares text ids
+    return round_doubles(flat.select(*[c.strip() for c in _TOPIC_COLS.split(",")]))
 
 
 @query(
     "quarantine",
-    """SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
-      event_id % 10 = 0 AS quarantined FROM events""",
+    """SELECT event_id, CASE WHEN event_id % 10 IN (0, 1, 2) THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
+      event_id % 10 IN (0, 1, 2) AS quarantined FROM events""",
 )
 def q_quarantine(spark, sf):
-    """Every tenth message is cut short (not JSON) and goes to the error side."""
+    """Of ten messages one is cut short (not JSON), one has a text where a number is declared, one
+    is an array; all three go to the error side. One repeats its key with the same value, and stays."""
+    n = F.col("event_id") % 10
     ev = td.table(spark, sf, "events")
-    raw = ev.select("event_id", F.when(F.col("event_id") % 10 == 0, F.expr("substr(props, 1, length(props) - 1)")).otherwise(F.col("props")).alias("value"))
+    value = F.when(n == 0, F.expr("substr(props, 1, length(props) - 1)")).when(n == 1, F.lit('{"k": "abc"}'))
+    value = value.when(n == 2, F.concat(F.lit("["), "props", F.lit("]"))).when(n == 3, F.expr("concat(substr(props, 1, length(props) - 1), ', ', substr(props, 2))"))
+    raw = ev.select("event_id", value.otherwise(F.col("props")).alias("value"))
     good, bad = ING.quarantine(raw, "value", SC.struct("k BIGINT"), keep=("event_id",))
     return good.select("event_id", "k", F.lit(False).alias("quarantined")).unionByName(
         bad.select("event_id", F.lit(None).cast("long").alias("k"), F.lit(True).alias("quarantined"))
@@ -956,16 +1040,16 @@ def q_quarantine(spark, sf):
     "SELECT event_id, ts, user_id, event_type, value, CASE WHEN event_type = 'view' THEN NULL ELSE props END AS props FROM events",
 )
 def q_evolve_schema(spark, sf):
-    """The view feed's files lack ``props``, the later files carry it; the Bronze read merges
-    both schemas and older rows get nulls."""
+    """The first landing files lack ``props``, which is not declared either; the files of the second
+    run carry it. The stream takes the grown schema before it reads them, so no value is lost."""
     base = scratch_path(spark, "evolve")
     ev = td.table(spark, sf, "events")
-    ev.where(F.col("event_type") == "view").drop("props").write.parquet(f"{base}/bronze/batch=1")
-    ev.where(F.col("event_type") != "view").write.parquet(f"{base}/bronze/batch=2")
-    merged = ING.read_bronze(spark, f"{base}/bronze")
-    if ING.added_columns(ev.drop("props").schema, ev.schema) != ["props"]:
-        raise RuntimeError("schema diff did not report the new column")
-    return merged.drop("batch")
+    declared = SC.struct("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE")
+    for part in (ev.where(F.col("event_type") == "view").drop("props"), ev.where(F.col("event_type") != "view")):
+        part.write.mode("append").options(**ING.JSON_TS_OPTIONS).json(f"{base}/landing")
+        schema = ING.evolving_schema(spark, f"{base}/landing", f"{base}/_schema", declared)
+        ING.run(ING.ingest_json_stream(spark, f"{base}/landing", schema, f"{base}/bronze", f"{base}/_ckpt"))
+    return ING.read_bronze(spark, f"{base}/bronze")
 
 
 @query(
@@ -997,7 +1081,7 @@ def q_infer_json_schema(spark, sf):
 def q_active_sports(spark, sf):
     """Odds rows of the sports the configuration marks active (semi-join with the small dim)."""
     sport_dim, _, _ = td.test_dims(spark, sf)
-    active = J.small_dim(D.active_sports(sport_dim).select("sport_key"))
+    active = D.active_sports(sport_dim).select("sport_key")
     odds = flat_odds(spark, sf).select("event_id", "sport_key", "bookmaker_key", "team", "american_odds")
     return odds.join(active, "sport_key", "left_semi")
 
@@ -1014,3 +1098,79 @@ def q_ticker_stream(spark, sf):
     stream = spark.readStream.schema(games.schema).parquet(f"{base}/games")
     ING.run(INC.ticker_stream(stream, sport_dim, team_dim, f"{base}/out", f"{base}/_ckpt", order=("seq",)))
     return spark.read.parquet(f"{base}/out").drop("batch_id")
+
+
+# =============================================================================================
+# One-game reads with bound values (T3, T4, P9), S9 and the jobs of SURVEY 2.11
+
+GAME = ("H7", "A7")
+_GAME_SQL = "home_team = 'H7' AND away_team = 'A7'"
+
+
+@query("by_game_bound", _div_sql(f"SELECT * FROM div WHERE {_GAME_SQL}", "div"))
+def q_by_game_bound(spark, sf):
+    return round_doubles(S.by_game(div_silver(spark, sf), *GAME))
+
+
+@query("divergence_history_game", _div_sql(f"SELECT home_team, away_team, {', '.join(S.DIVERGENCE_HISTORY_COLS)} FROM div WHERE {_GAME_SQL}", "div"))
+def q_divergence_history_game(spark, sf):
+    return round_doubles(S.history(div_silver(spark, sf), S.DIVERGENCE_HISTORY_COLS, *GAME))
+
+
+@query("odds_history_game", O.with_ctes(f"SELECT home_team, away_team, {', '.join(S.ODDS_HISTORY_COLS)} FROM sharp WHERE {_GAME_SQL}", "sharp"))
+def q_odds_history_game(spark, sf):
+    return round_doubles(S.history(sharp_silver(spark, sf), S.ODDS_HISTORY_COLS, *GAME))
+
+
+@query("stamp_ingested_at", "SELECT event_id, TRUE AS replaced, TRUE AS well_formed FROM events")
+def q_stamp_ingested_at(spark, sf):
+    """An earlier value is replaced, and the new one is UTC ISO-8601 of this run."""
+    ev = td.table(spark, sf, "events").select("event_id", F.lit("2000-01-01T00:00:00Z").alias("ingested_at"))
+    now = ING.stamp_ingested_at(ev)
+    form = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}Z$"
+    return now.select("event_id", (F.col("ingested_at") > "2020").alias("replaced"), F.col("ingested_at").rlike(form).alias("well_formed"))
+
+
+def _signals_job(spark, sf) -> jobs.SignalOutputs:
+    base = scratch_path(spark, "jobsignals")
+    raw_odds, raw_quotes = td.raw_odds(spark, sf).drop("event_id"), td.raw_quotes(spark, sf).drop("event_id")
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        return jobs.job_signals(spark, raw_odds, raw_quotes, base, batch_of(), sharp_books=td.TEST_BOOKS)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)  # the job sizes it for its own inputs
+
+
+@query("job_history_divergence", _div_sql("SELECT * FROM div WHERE is_divergence_signal", "div"))
+def q_job_history_divergence(spark, sf):
+    """W3 on divergence: one export loaded twice under new file names gives each flagged row once."""
+    base = scratch_path(spark, "jobhistory")
+    for _ in range(2):
+        T.export_signals_json(div_silver(spark, sf), "is_divergence_signal", f"{base}/export")
+        out = jobs.job_history(spark, {"divergence": f"{base}/export"}, f"{base}/warehouse", f"{base}/_ckpt")["divergence"]
+    times = ("computed_at", "commence_time", "quote_ingested_at")
+    return round_doubles(out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in times else F.col(c) for c in out.columns]))
+
+
+@query("job_sharp_money", O.with_ctes("SELECT count(*) AS n_rows, count(*) FILTER (is_sharp_signal) AS n_flagged, sum(odds_movement) AS sum_movement FROM sharp", "sharp"))
+def q_job_sharp_money(spark, sf):
+    """The sharp-money half of ``job_signals``, from the committed table."""
+    s = T.read_signals(spark, _signals_job(spark, sf).sharp_path)
+    return s.agg(F.count("*").alias("n_rows"), F.count_if("is_sharp_signal").alias("n_flagged"), F.sum("odds_movement").alias("sum_movement"))
+
+
+@query("job_board_divergence", O.with_ctes(round_sql(f"SELECT *, divergence_pct / greatest(coalesce(max(divergence_pct) OVER (), 1.0), 1.0) AS bar_share, CAST(NULL AS VARCHAR) AS score_state, 2 AS state_rank FROM ({_DIV_BOARD}) b", ["divergence_pct", "bar_share"]), "latest_div"))
+def q_job_board_divergence(spark, sf):
+    return round_doubles(jobs.job_board(div_silver(spark, sf, True), sharp_silver(spark, sf, True))["divergence"])
+
+
+@query("job_series_odds", ORACLE["pivot_odds"])
+def q_job_series_odds(spark, sf):
+    return round_doubles(jobs.job_series(div_silver(spark, sf), sharp_silver(spark, sf))["odds"])
+
+
+@query("job_tickers", _GAMES_TO_TICKERS_SQL)
+def q_job_tickers(spark, sf):
+    sport_dim, team_dim, _ = td.test_dims(spark, sf)
+    markets = spark.createDataFrame([], "event_ticker STRING, market_ticker STRING")
+    return jobs.job_tickers(parsed_games(spark, sf), sport_dim, team_dim, markets, order=("seq",))["tickers"]

@@ -22,7 +22,6 @@ from linecast.operators.joins import unmatched_teams
 from linecast.operators.movement import sharp_money
 from linecast.operators.odds import consensus, flatten_odds, home_consensus
 from linecast.operators.quotes import kalshi_mid
-from linecast.operators.sequence import DEFAULT_SEGMENT_SECONDS
 from linecast.sources import tables as T
 from linecast.streaming import ingest as ING
 
@@ -36,22 +35,33 @@ class SignalOutputs:
 
 
 def job_bronze(spark: SparkSession, landing: Mapping[str, str], bronze: str, checkpoints: str) -> dict:
-    """S1-S3 x3 + S14: drain the landing folders into Bronze tables (explicit schemas,
-    once-per-file), the streams running concurrently. Returns the rows each stream ingested in this
-    run (observed metrics, no extra pass) and the Bronze table counts as a frame."""
-    queries = {
-        feed: ING.ingest_json_stream(
-            spark, src, schemas.feed_schema(feed), f"{bronze}/{feed}", f"{checkpoints}/{feed}", observe=f"ingest_{feed}"
-        )
-        for feed, src in landing.items()
-    }
-    for q in queries.values():
+    """S1-S3 x3 + S14: drain the landing folders into Bronze tables (once-per-file), the streams running
+    concurrently. Each feed starts from its declared schema and takes up new fields before the files
+    that carry them are read (S2). Returns the rows each table gained (counts before and after, which
+    Parquet footers answer) and the Bronze table counts as a frame."""
+
+    def rows(feed: str) -> int:
+        return ING.read_bronze(spark, f"{bronze}/{feed}").count() if T.folder_exists(spark, f"{bronze}/{feed}/_spark_metadata") else 0
+
+    before = {feed: rows(feed) for feed in landing}
+    queries = []
+    for feed, src in landing.items():
+        schema = ING.evolving_schema(spark, src, f"{checkpoints}/{feed}_schema", schemas.feed_schema(feed))
+        queries.append(ING.ingest_json_stream(spark, src, schema, f"{bronze}/{feed}", f"{checkpoints}/{feed}"))
+    for q in queries:
         ING.run(q)
-    ingested = {feed: ING.observed_rows(q, f"ingest_{feed}") for feed, q in queries.items()}
+    ingested = {feed: rows(feed) - before[feed] for feed in landing}
     tables = T.table_counts({f"raw_{feed}": (ING.read_bronze(spark, f"{bronze}/{feed}"), None) for feed in landing})
     return {"ingested": ingested, "tables": tables}
 
 
+def job_topics(spark: SparkSession, messages: DataFrame, routes: Mapping[str, str], landing: str, bronze: str, checkpoints: str) -> dict:
+    """S4/S6 -> S7 -> S1: a stream of ``topic, value`` messages routed to dated landing folders, drained
+    into Bronze. ``messages`` is :func:`linecast.sources.kafka.kafka_source` or any such stream."""
+    ING.run(ING.route_by_topic(messages, routes, landing, f"{checkpoints}/topics"))
+    return job_bronze(spark, {feed: f"{landing}/feed={feed}" for feed in routes.values()}, bronze, checkpoints)
+
+
 def job_signals(
     spark: SparkSession,
     raw_odds: DataFrame,
@@ -64,7 +74,7 @@ def job_signals(
     consensus_books: Sequence[str] | None = None,
     latest_pair: bool = False,
     tie: Sequence[str] = (),
-    segment_seconds: int | str = DEFAULT_SEGMENT_SECONDS,
+    segment_seconds: int | str = "auto",
 ) -> SignalOutputs:
     """job_divergence + job_sharp_money: both signal tables written once each (S10), the flagged
     rows exported as JSON from the written tables (S11), counts from the written tables (S14).
@@ -95,15 +105,16 @@ def job_signals(
 
 
 def job_history(spark: SparkSession, exports: Mapping[str, str], warehouse: str, checkpoints: str) -> dict[str, DataFrame]:
-    """S12 for both exports (append unseen files) -> W3 minute dedup views."""
+    """S12 for both exports (append unseen files, malformed lines to ``<name>_errors``) -> W3 minute
+    dedup views."""
     specs = {"divergence": schemas.divergence_signals(), "sharp": schemas.sharp_money_signals()}
     out = {}
     for name, src in exports.items():
-        ING.run(ING.load_history(spark, src, specs[name], f"{warehouse}/{name}", f"{checkpoints}/{name}"))
+        ING.run(ING.load_history(spark, src, specs[name], f"{warehouse}/{name}", f"{checkpoints}/{name}", errors=f"{warehouse}/{name}_errors"))
         expected = T.written_schema(spark.createDataFrame([], ING.lower_names(specs[name])), None)
         expected = expected.add("load_date", "date")
         loaded = T.read_signals(spark, f"{warehouse}/{name}", schema=expected).drop("load_date")
-        keys = S.DIVERGENCE_SERIES if name == "divergence" else S.SHARP_ROW
+        keys = S.DIVERGENCE_ROW if name == "divergence" else S.SHARP_ROW
         out[name] = S.minute_dedup(loaded, keys)
     return out
 
@@ -118,17 +129,14 @@ def job_board(
 ) -> dict[str, DataFrame]:
     """A3 -> P6, P7, P8, P12 -> J5 -> A4/A5 -> F12 -> T5 for both tabs, plus A2 summary."""
     out = {}
-    for name, df, col, board in (
-        ("divergence", divergence, "divergence", B.divergence_game_board),
-        ("sharp", sharp, "prob_movement", B.sharp_game_board),
-    ):
+    for name, df, board in (("divergence", divergence, B.divergence_game_board), ("sharp", sharp, B.sharp_game_board)):
         latest = S.latest_batch(df)
         if "computed_date" in latest.columns:
             latest = latest.drop("computed_date")
-        feed = S.feed(latest, col, date, sport)
+        rows = S.feed_rows(latest, date, sport)
         if tournament is not None:
-            feed = S.tournament_only(feed, tournament)
-        b = board(feed)
+            rows = S.tournament_only(rows, tournament)
+        b = board(rows)
         value = "divergence_pct" if name == "divergence" else "top_move_pct"
         out[name] = B.board_order(B.bar_share(b, value), scoreboard, value)
     out["summary"] = S.signals_summary(divergence.drop("computed_date"), sharp.drop("computed_date"))
@@ -140,7 +148,9 @@ def job_series(divergence: DataFrame, sharp: DataFrame, hours: float | None = No
     d, s = divergence, sharp
     if hours is not None:
         d, s = S.recent_hours(d, hours, as_of), S.recent_hours(s, hours, as_of)
-    return {"divergence": B.pivot_divergence_long(d), "odds": B.pivot_odds_long(s), "groups": B.team_series_groups(s)}
+    # Total orders, so a minute with several rows gives the same value in every run.
+    divergence_long = B.pivot_divergence_long(d, tie=("kalshi_implied_prob", "sportsbook_home_prob"))
+    return {"divergence": divergence_long, "odds": B.pivot_odds_long(s, tie=("ingested_at_ts", "american_odds")), "groups": B.team_series_groups(s)}
 
 
 def job_tickers(
@@ -181,5 +191,6 @@ __all__ = [
     "job_series",
     "job_signals",
     "job_tickers",
+    "job_topics",
     "run_all_jobs",
 ]

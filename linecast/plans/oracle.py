@@ -81,7 +81,8 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
       abs(kalshi_implied_prob - sportsbook_home_prob) AS divergence,
       CASE WHEN kalshi_implied_prob > sportsbook_home_prob THEN 'KALSHI_HIGHER' ELSE 'SPORTSBOOK_HIGHER' END
         AS signal_direction,
-      abs(kalshi_implied_prob - sportsbook_home_prob) >= 0.05 AS is_divergence_signal, num_bookmakers
+      abs(kalshi_implied_prob - sportsbook_home_prob) >= 0.05 AS is_divergence_signal, num_bookmakers,
+      ingested_at AS quote_ingested_at
     FROM div_pairs""",
         ("div_pairs",),
     ),
@@ -127,10 +128,6 @@ def with_ctes(body: str, *needed: str) -> str:
     return f"WITH {parts}\n{body}"
 
 
-def r6(expr: str, alias: str) -> str:
-    return f"round({expr}, 6) AS {alias}"
-
-
 def sport_sql(game: str) -> str:
     return (
         f"CASE WHEN {game} % 3 = 0 THEN 'basketball_nba' WHEN {game} % 3 = 1 THEN 'basketball_ncaab' "

@@ -110,25 +110,6 @@ def raw_odds(spark: SparkSession, sf_dir: str, poll: str = "tick") -> DataFrame:
     )
 
 
-def odds_flat(spark: SparkSession, sf_dir: str, poll: str = "tick") -> DataFrame:
-    """Flat odds built directly (for operators that start after the flatten step)."""
-    ev = table(spark, sf_dir, "events").where(F.col("event_type") != QUOTE_EVENT)
-    game = game_of(F.col("user_id"))
-    ts = F.col("ts") if poll == "tick" else F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")
-    odds = _odds_value(F.col("event_id"), F.col("value"))
-    return ev.select(
-        *_game_cols(game),
-        (F.date_trunc("day", F.col("ts")) + F.expr("INTERVAL 23 HOURS")).cast("timestamp_ntz").alias("commence_time"),
-        ts.alias("ingested_at"),
-        F.col("event_id"),
-        F.col("event_type").alias("bookmaker_key"),
-        F.initcap(F.col("event_type")).alias("bookmaker_title"),
-        _team(F.col("event_id"), game).alias("team"),
-        odds.alias("american_odds"),
-        american_to_prob(odds).alias("implied_prob"),
-    )
-
-
 def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Market quotes in the raw string shape: one per view event; every fifth is closed, values
     under 1 have an unparsable ask ('n/a'). Market ticker suffix is the team the event backs."""

@@ -27,7 +27,7 @@ DIVERGENCE_DDL = (
     "signal_type STRING, computed_at TIMESTAMP, sport_key STRING, home_team STRING, away_team STRING, "
     "commence_time TIMESTAMP, event_ticker STRING, market_ticker STRING, kalshi_implied_prob DOUBLE, "
     "sportsbook_home_prob DOUBLE, divergence DOUBLE, signal_direction STRING, is_divergence_signal BOOLEAN, "
-    "num_bookmakers INT"
+    "num_bookmakers INT, quote_ingested_at TIMESTAMP"
 )
 
 SHARP_MONEY_DDL = (

@@ -1,7 +1,7 @@
 """Session helpers: one place that decides configuration and checkpoint folders.
 
 On a cluster the session already exists and ``spark.checkpoint.dir`` names a shared
-folder; we only read it. A local folder is created only when nothing is set (tests).
+folder; we only read it. A local folder is created only for a local session that names none (tests).
 """
 
 from __future__ import annotations
@@ -48,23 +48,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def apply_defaults(spark: SparkSession) -> SparkSession:
     """Set the runtime SQL settings we depend on (safe on an existing cluster session)."""
     for k, v in DEFAULT_CONF.items():
-        try:
+        if spark.conf.isModifiable(k):
             spark.conf.set(k, v)
-        except Exception:  # static conf on some deployments
-            pass
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only when none is configured."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    """The folder ``spark.checkpoint.dir`` names. Where it is unset, a local session (tests) gets a
+    temporary one; on a cluster that would be another folder on each machine, so it is an error."""
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="linecast-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(current)
+    return current.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -76,7 +75,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 # Shuffle sizing: aim for partitions of this many input bytes; AQE coalesces the small ones at run
 # time and splits skewed ones, so the static count only has to be large enough.
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
-MAX_SHUFFLE_PARTITIONS = 200_000
 
 
 def estimated_bytes(df) -> int:
@@ -89,7 +87,7 @@ def size_shuffle_partitions(spark: SparkSession, *inputs, target_bytes: int = TA
     holds about ``target_bytes`` (never fewer than twice the default parallelism). Returns the value."""
     total = sum(estimated_bytes(df) for df in inputs)
     floor = 2 * spark.sparkContext.defaultParallelism
-    n = max(floor, min(MAX_SHUFFLE_PARTITIONS, -(-total // target_bytes)))
+    n = max(floor, -(-total // target_bytes))
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(min(target_bytes, 256 * 1024 * 1024)))
     return n

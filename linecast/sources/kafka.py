@@ -40,9 +40,12 @@ def kafka_source(
     )
 
 
-def decode_messages(messages: DataFrame, schema: StructType, value_col: str = "value") -> DataFrame:
-    """JSON-decode message values with an explicit schema."""
-    return messages.select("topic", F.from_json(F.col(value_col), schema).alias("r")).select("topic", "r.*")
+def decode_messages(messages: DataFrame, schema: StructType, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """JSON-decode message values with an explicit schema: ``(good, bad)`` as in S8, good rows with
+    their topic, bad ones as they came."""
+    from linecast.streaming.ingest import quarantine
+
+    return quarantine(messages, value_col, schema, keep=("topic",))
 
 
 def to_messages(df: DataFrame, key_cols: Sequence[str], stamp: bool = True) -> DataFrame:

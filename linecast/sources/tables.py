@@ -25,7 +25,24 @@ def table_counts(tables: Mapping[str, tuple[DataFrame, str | None]]) -> DataFram
     return out
 
 
-CURRENT = "_CURRENT"
+COMMITS, VERSIONS = "_commits", "_versions"
+
+
+def _fs(spark: SparkSession, path: str):
+    """Hadoop file system and path object of a folder (only names are handled, never data)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def _names(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Entries of a folder with their times, sorted by name."""
+    fs, p = _fs(spark, path)
+    return sorted((x.getPath().getName(), int(x.getModificationTime())) for x in fs.listStatus(p)) if fs.exists(p) else []
 
 
 def written_schema(df: DataFrame, partition_by_day: str | None = "computed_at") -> StructType:
@@ -48,27 +65,51 @@ def write_signals(
 
     With ``partition_by_day`` the table is partitioned by the UTC date of that column, so later reads
     prune by day. ``overwrite`` replaces the whole table (the job is a full recompute); ``dynamic``
-    replaces only the day partitions written. ``versioned`` writes into a fresh version folder and
-    then swaps the small ``_CURRENT`` pointer, so readers never see a half-written table (write to a
-    new folder, then swap); :func:`read_signals` follows the pointer.
+    replaces only the day partitions written. ``versioned`` writes into a fresh version folder and then
+    adds a commit, an immutable numbered file with the version, its schema and its latest batch time;
+    :func:`read_signals` follows the highest commit, so readers see the old or the new table and never
+    a half-written one, and a writer that dies leaves the old one standing.
     """
+    import json
     import uuid
 
     w = df
     if partition_by_day:
         w = w.withColumn("computed_date", F.to_date(F.col(partition_by_day)))
-    target = f"{path}/_versions/{uuid.uuid4().hex}" if versioned else path
+    target = f"{path}/{VERSIONS}/{uuid.uuid4().hex}" if versioned else path
     writer = w.write.mode(mode).option("partitionOverwriteMode", "dynamic" if dynamic else "static")
     if partition_by_day:
         writer = writer.partitionBy("computed_date")
     writer.parquet(target)
     if versioned:
-        version = target.rsplit("/", 1)[1]
-        pointer = df.sparkSession.createDataFrame([(version,)], "value STRING").coalesce(1)  # one row
-        pointer.write.mode("overwrite").text(f"{path}/{CURRENT}")
+        spark = df.sparkSession
+        schema = written_schema(df, partition_by_day)
+        stored = spark.read.schema(schema).parquet(target)
+        latest = stored.agg(F.max(partition_by_day).cast("string")).first()[0] if partition_by_day else None
+        commit = json.dumps({"version": target.rsplit("/", 1)[1], "schema": schema.jsonValue(), "latest": latest})
+        done = _names(spark, f"{path}/{COMMITS}")
+        number = int(done[-1][0]) + 1 if done else 0
+        # Two writers of one number: the second fails here, before readers see anything of it.
+        spark.createDataFrame([(commit,)], "value STRING").coalesce(1).write.mode("errorifexists").text(f"{path}/{COMMITS}/{number:012d}")
     return target
 
 
+def expire_versions(spark: SparkSession, path: str, keep: int = 2, grace_seconds: int = 24 * 3600) -> list[str]:
+    """Delete version folders that none of the last ``keep`` commits names and that are older than the
+    grace period (running readers and writers keep theirs). Returns the deleted names."""
+    import json
+    import time
+
+    done = [n for n, _ in _names(spark, f"{path}/{COMMITS}") if folder_exists(spark, f"{path}/{COMMITS}/{n}/_SUCCESS")]
+    commits = done[-keep:]
+    live = {json.loads(spark.read.text(f"{path}/{COMMITS}/{n}").first()[0])["version"] for n in commits}
+    old = [n for n, t in _names(spark, f"{path}/{VERSIONS}") if n not in live and t < (time.time() - grace_seconds) * 1000]
+    for name in old:
+        fs, p = _fs(spark, f"{path}/{VERSIONS}/{name}")
+        fs.delete(p, True)
+    return old
+
+
 def export_signals_json(df: DataFrame, flag_col: str, path: str) -> str:
     """Only flagged rows, newline-delimited JSON, folder overwritten."""
     from linecast.streaming.ingest import JSON_TS_OPTIONS
@@ -77,28 +118,40 @@ def export_signals_json(df: DataFrame, flag_col: str, path: str) -> str:
     return path
 
 
-def current_version(spark: SparkSession, path: str) -> str:
-    """Folder holding the current data of a table written by :func:`write_signals`."""
-    try:
-        row = spark.read.text(f"{path}/{CURRENT}").first()
-    except Exception:  # noqa: BLE001 - not a versioned table
-        return path
-    return f"{path}/_versions/{row[0]}" if row is not None else path
+def last_commit(spark: SparkSession, path: str) -> dict | None:
+    """The highest commit of a versioned table; None for a table that was written without versions. A
+    table with versions but without commits was never completed, and reading it is an error."""
+    import json
+
+    # A commit folder without its file is one that a writer is still adding, or died adding.
+    for name, _ in reversed(_names(spark, f"{path}/{COMMITS}")):
+        if folder_exists(spark, f"{path}/{COMMITS}/{name}/_SUCCESS"):
+            return json.loads(spark.read.text(f"{path}/{COMMITS}/{name}").first()[0])
+    if folder_exists(spark, f"{path}/{VERSIONS}"):
+        raise RuntimeError(f"{path} holds versions but no commit: no write of it was completed")
+    return None
+
+
+def latest_time(spark: SparkSession, path: str) -> str | None:
+    """Latest batch time of a versioned table, from its commit (no data file is opened)."""
+    commit = last_commit(spark, path)
+    return commit["latest"] if commit else None
 
 
 def read_signals(spark: SparkSession, path: str, since: str | None = None, schema: StructType | None = None) -> DataFrame:
     """Read a signal table written by :func:`write_signals`; ``since`` prunes day partitions.
 
-    A batch without signals writes no data files (partitioned writes of an empty frame); with
-    ``schema`` (the written frame's schema) such a table reads as an empty frame."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        df = spark.read.option("mergeSchema", "true").parquet(current_version(spark, path))
-    except AnalysisException as e:
-        if schema is None or "unable to infer schema" not in str(e).lower():
-            raise
-        df = spark.createDataFrame([], schema)
+    A versioned table is read with its commit's schema, so no footer is opened for it; a table that
+    was never written is an error. A batch without signals writes no data files (partitioned writes of
+    an empty frame); such a version, and with ``schema`` such an unversioned folder, reads as empty."""
+    commit = last_commit(spark, path)
+    if commit is not None:
+        schema = StructType.fromJson(commit["schema"])
+        df = spark.read.schema(schema).parquet(f"{path}/{VERSIONS}/{commit['version']}")
+    elif schema is not None and folder_exists(spark, path):
+        df = spark.read.schema(schema).parquet(path)
+    else:
+        df = spark.read.option("mergeSchema", "true").parquet(path)
     if since is not None and "computed_date" in df.columns:
         df = df.where(F.col("computed_date") >= F.lit(since).cast("date"))
     return df

@@ -23,17 +23,18 @@ from linecast.functions.timefn import with_timestamp
 from linecast.operators.movement import SERIES_KEYS, sharp_money
 from linecast.operators.odds import major_books
 from linecast.operators.serving import latest_by
+from linecast.sources.tables import folder_exists
 from linecast.streaming.ingest import _trigger
 
 
 def _read_state(spark: SparkSession, state_path: str, batch_id: int) -> DataFrame | None:
-    try:
-        st = spark.read.parquet(state_path)
-    except Exception:  # noqa: BLE001 - no state written yet
+    """State of the last batch before ``batch_id``. Two slots are kept, so a replayed batch still finds
+    its predecessor's. No folder means no state yet; any other failure is one."""
+    if not folder_exists(spark, state_path):
         return None
-    before = st.where(F.col("v") < batch_id)
+    before = spark.read.parquet(state_path).where(F.col("v") < batch_id)
     last = before.select(F.max("v")).scalar()
-    return before.where(F.col("v") == last).drop("v")
+    return before.where(F.col("v") == last).drop("v", "slot")
 
 
 def sharp_money_batch(
@@ -47,33 +48,39 @@ def sharp_money_batch(
     computed_at: Column | None = None,
     keys: Sequence[str] = SERIES_KEYS,
     tie: Sequence[str] = (),
+    late_path: str | None = None,
 ) -> None:
     """One micro-batch of incremental sharp money (flat odds in, signal rows appended)."""
-    rows = major_books(batch, books)
+    rows = with_timestamp(major_books(batch, books), "ingested_at", "__ts").persist()
+    order = ["__ts", *tie]
     prev = _read_state(spark, state_path, batch_id)
-    both = rows if prev is None else prev.select(*rows.columns).unionByName(rows)
-    both = both.persist()
+    if prev is not None:
+        last = prev.select(*keys, F.struct(*order).alias("__last"))
+        now = F.struct(*order)
+        # One state row per series: the join neither multiplies nor drops rows.
+        same = [rows[k].eqNullSafe(last[k]) for k in keys]
+        tagged = rows.join(last, same, "left").select(*[rows[c] for c in rows.columns], F.coalesce(now < F.col("__last"), F.lit(False)).alias("__late"))
+        late, fresh = tagged.where("__late").drop("__late", "__ts"), tagged.where(~F.col("__late")).drop("__late")
+        both = prev.select(*rows.columns).unionByName(fresh).persist()
+    else:
+        late, both = None, rows
     try:
-        signals = sharp_money(both, books=None, threshold=threshold, computed_at=computed_at, keys=keys, tie=tie)
-        # State rows are the oldest of their series, so they never appear as a "current" row.
-        (
-            signals.withColumn("batch_id", F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(out_path)
-        )
-        order = ["__ts", *tie]
-        state = latest_by(with_timestamp(both, "ingested_at", "__ts"), list(keys), order).drop("__ts")
-        (
-            state.withColumn("v", F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("v")
-            .parquet(state_path)
-        )
+        # State rows are the oldest of their series (late rows are out), so none is a "current" row.
+        signals = sharp_money(both.drop("__ts"), books=None, threshold=threshold, computed_at=computed_at, keys=keys, tie=tie)
+        _write_batch(signals, out_path, batch_id)
+        if late is not None and late_path is not None:
+            _write_batch(late, late_path, batch_id)
+        state = latest_by(both, list(keys), order)
+        state = state.withColumn("v", F.lit(batch_id)).withColumn("slot", F.lit(batch_id % 2))
+        state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(state_path)
     finally:
         both.unpersist()
+        rows.unpersist()
+
+
+def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    w = df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    w.partitionBy("batch_id").parquet(path)
 
 
 def incremental_sharp_money(

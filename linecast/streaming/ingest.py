@@ -12,10 +12,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 ISO_UTC = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 # JSON timestamps keep microseconds (Spark's default text format stops at milliseconds).
@@ -53,16 +54,20 @@ def stamp_ingested_at(df: DataFrame, col: str = "ingested_at") -> DataFrame:
 
 def merge_schemas(stored: StructType, incoming: StructType) -> StructType:
     """Stored fields in order, then fields only in ``incoming`` as nullable (names compared
-    case-insensitively). Type changes of existing fields are not accepted silently."""
+    case-insensitively), also inside structs and arrays of structs. Of a field in both, the stored type
+    stays: a value that does not fit it is a bad record, not a new schema."""
     known = {f.name.lower(): f for f in stored.fields}
-    out = list(stored.fields)
-    for f in incoming.fields:
-        k = f.name.lower()
-        if k not in known:
-            out.append(StructField(f.name, f.dataType, True))
-        elif known[k].dataType != f.dataType:
-            raise ValueError(f"type of column {f.name!r} changed: {known[k].dataType} -> {f.dataType}")
-    return StructType(out)
+    new = {f.name.lower(): f for f in incoming.fields}
+    out = [StructField(f.name, _merge_types(f.dataType, new[k].dataType) if k in new else f.dataType, f.nullable) for k, f in known.items()]
+    return StructType(out + [StructField(f.name, f.dataType, True) for k, f in new.items() if k not in known])
+
+
+def _merge_types(stored: DataType, incoming: DataType) -> DataType:
+    if isinstance(stored, StructType) and isinstance(incoming, StructType):
+        return merge_schemas(stored, incoming)
+    if isinstance(stored, ArrayType) and isinstance(incoming, ArrayType):
+        return ArrayType(_merge_types(stored.elementType, incoming.elementType), True)
+    return stored
 
 
 def added_columns(stored: StructType, incoming: StructType) -> list[str]:
@@ -83,18 +88,59 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
     return df.select(*cols)
 
 
+def _stored_schemas(spark: SparkSession, location: str) -> list[str]:
+    """Numbered schema files (complete ones) of a location, oldest first."""
+    from linecast.sources.tables import _names, folder_exists
+
+    return [n for n, _ in _names(spark, location) if folder_exists(spark, f"{location}/{n}/_SUCCESS")]
+
+
+def stored_schema(spark: SparkSession, location: str) -> tuple[StructType | None, str | None]:
+    """The last schema stored at a location and the time up to which files were looked at."""
+    names = _stored_schemas(spark, location)
+    if not names:
+        return None, None
+    entry = json.loads(spark.read.text(f"{location}/{names[-1]}").first()[0])
+    return StructType.fromJson(entry["schema"]), entry["seen"]
+
+
+def store_schema(spark: SparkSession, location: str, schema: StructType, seen: str | None = None) -> None:
+    """Add the next numbered schema file; earlier ones stay."""
+    names = _stored_schemas(spark, location)
+    number = int(names[-1]) + 1 if names else 0
+    text = json.dumps({"schema": schema.jsonValue(), "seen": seen})
+    spark.createDataFrame([(text,)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{location}/{number:08d}")
+
+
 def infer_json_schema(spark: SparkSession, sample_path: str, schema_location: str) -> StructType:
     """S3: infer the schema of a JSON sample once and persist it; later calls reuse the stored one
     (schema inference is a full pass over the sample, never repeated per run)."""
+    found, _ = stored_schema(spark, schema_location)
+    if found is None:
+        found = spark.read.json(sample_path).schema
+        store_schema(spark, schema_location, found)
+    return found
+
+
+def evolving_schema(spark: SparkSession, src: str, schema_location: str, declared: StructType | None = None) -> StructType:
+    """S2 + S3 before a run: the stored schema (at first the declared one) grown by the fields of the
+    files that came since the last call. A new field is in the schema *before* the stream takes the
+    files that carry it, so no value of it is lost; nothing is re-read on later runs."""
+    import datetime as dt
+
+    known, seen = stored_schema(spark, schema_location)
+    known = known or declared
+    now = dt.datetime.now(dt.UTC) - dt.timedelta(seconds=2)  # a file written just now is looked at again
+    reader = spark.read.option("timeZone", "UTC")
     try:
-        stored = spark.read.text(schema_location).first()
-        if stored is not None:
-            return StructType.fromJson(json.loads(stored[0]))
-    except Exception:  # noqa: BLE001 - nothing stored yet
-        pass
-    schema = spark.read.json(sample_path).schema
-    spark.createDataFrame([(schema.json(),)], "value STRING").coalesce(1).write.mode("overwrite").text(schema_location)
-    return schema
+        incoming = (reader.option("modifiedAfter", seen) if seen else reader).json(src).schema
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA" or known is None:
+            raise
+        incoming = StructType([])  # no new file
+    merged = merge_schemas(known, incoming) if known is not None else incoming
+    store_schema(spark, schema_location, merged, now.strftime("%Y-%m-%dT%H:%M:%S"))
+    return merged
 
 
 def read_bronze(spark: SparkSession, path: str) -> DataFrame:
@@ -116,12 +162,8 @@ def ingest_stream(
     options: Mapping[str, str] | None = None,
     partition_by: tuple[str, ...] = (),
     transform: Callable[[DataFrame], DataFrame] | None = None,
-    observe: str | None = None,
 ) -> StreamingQuery:
-    """Incremental once-per-file ingest of a landing folder into a Parquet Bronze table.
-
-    With ``observe`` the stream also reports its row count per micro-batch as an observed metric of
-    that name (S14 for streams, no second pass over the table; see :func:`observed_rows`)."""
+    """Incremental once-per-file ingest of a landing folder into a Parquet Bronze table."""
     # No timestamp pattern on read: Spark's default parser accepts ISO-8601 with or without zone
     # and any fraction of a second.
     reader = spark.readStream.schema(schema).format(fmt)
@@ -130,27 +172,12 @@ def ingest_stream(
     df = reader.load(src)
     if transform is not None:
         df = transform(df)
-    if observe:
-        df = df.observe(observe, F.count(F.lit(1)).alias("rows"))
     writer = df.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     return _trigger(writer, trigger).start(dst)
 
 
-def observed_rows(query: StreamingQuery, name: str) -> int:
-    """Rows counted by an observed metric over the micro-batches of this run (the query keeps the
-    last ``spark.sql.streaming.numRecentProgressUpdates`` progress reports; use a listener for
-    longer runs)."""
-    total = 0
-    for p in query.recentProgress:
-        metrics = p.get("observedMetrics") if isinstance(p, dict) else p.observedMetrics
-        m = (metrics or {}).get(name)
-        if m is not None:
-            total += int(m["rows"])
-    return total
-
-
 def ingest_json_stream(spark: SparkSession, src: str, schema: StructType, dst: str, checkpoint: str, **kw) -> StreamingQuery:
     """S1 for newline-delimited JSON landing files (drained with ``availableNow`` by default)."""
     return ingest_stream(spark, src, schema, dst, checkpoint, fmt="json", **kw)
@@ -185,14 +212,22 @@ def land_partitioned(
 # -- S8 -------------------------------------------------------------------------------------------
 
 
+CORRUPT = "__corrupt"
+
+
 def quarantine(df: DataFrame, value_col: str, schema: StructType, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Parse JSON text; return ``(good, bad)``. Good rows are the parsed records plus the ``keep``
-    columns; bad rows (text that is not JSON, or JSON that is not an object) keep all their columns
-    and the raw text for the error folder (:func:`write_quarantine`)."""
-    valid = F.try_parse_json(F.col(value_col)).isNotNull() & F.ltrim(F.col(value_col)).startswith("{")
-    tagged = df.withColumn("__ok", F.coalesce(valid, F.lit(False)))
-    good = tagged.where("__ok").select(*keep, F.from_json(F.col(value_col), schema).alias("__r")).select(*keep, "__r.*")
-    bad = tagged.where(~F.col("__ok")).drop("__ok")
+    """Parse JSON text once; return ``(good, bad)``. Good rows are the parsed records plus the
+    ``keep`` columns; bad rows (text that is not JSON, JSON that is not an object, or a value that does
+    not fit its declared type) keep all their columns and the raw text for the error folder
+    (:func:`write_quarantine`). A repeated key is taken at its last value; unknown keys are ignored."""
+    wide = StructType([*schema.fields, StructField(CORRUPT, StringType(), True)])
+    record = F.from_json(F.col(value_col), wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    tagged = df.withColumn("__r", record)
+    # An array of one object would parse as that object.
+    ok = F.col("__r").isNotNull() & F.col(f"__r.{CORRUPT}").isNull() & F.ltrim(F.col(value_col)).startswith("{")
+    ok = F.coalesce(ok, F.lit(False))
+    good = tagged.where(ok).select(*keep, "__r.*").drop(CORRUPT)
+    bad = tagged.where(~ok).drop("__r")
     return good, bad
 
 
@@ -229,41 +264,39 @@ def quarantine_stream(
 # -- S6 -------------------------------------------------------------------------------------------
 
 
+def routed(messages: DataFrame, routes: Mapping[str, str], topic_col: str = "topic") -> DataFrame:
+    """Messages of known topics with the name of their feed in ``feed``; others are skipped."""
+    feed = F.element_at(F.create_map(*[F.lit(x) for pair in routes.items() for x in pair]), F.col(topic_col))
+    return messages.where(F.col(topic_col).isin(list(routes))).withColumn("feed", feed).drop(topic_col)
+
+
 def route_batch(
-    df: DataFrame, routes: Mapping[str, str], topic_col: str = "topic", fmt: str = "json", batch_id: int | None = None
-) -> dict[str, int]:
-    """S6 for one (micro-)batch: rows of each known topic written under that topic's destination;
-    rows of unknown topics are skipped. The batch is cached once so every route reads it once.
-
-    With ``batch_id`` (streams) each destination gets a ``batch_id=`` partition replaced by dynamic
-    overwrite, so a micro-batch replayed after a failure rewrites its own files instead of
-    appending them twice; without it the rows are appended."""
-    tagged = df.where(F.col(topic_col).isin(list(routes))).persist()
-    try:
-        for topic, dest in routes.items():
-            rows = tagged.where(F.col(topic_col) == topic).drop(topic_col)
-            if batch_id is None:
-                w = rows.write.mode("append").format(fmt)
-            else:
-                w = rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").format(fmt)
-                w = w.option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
-            if fmt == "json":
-                w = w.options(**JSON_TS_OPTIONS)
-            w.save(dest)
-        counts = {r[0]: r[1] for r in tagged.groupBy(topic_col).count().collect()}
-    finally:
-        tagged.unpersist()
-    return counts
-
-
-def route_by_topic(stream: DataFrame, routes: Mapping[str, str], checkpoint: str, topic_col: str = "topic", trigger: str | None = "availableNow") -> StreamingQuery:
-    """S6 as a stream: ``foreachBatch`` applies :func:`route_batch` to each micro-batch."""
+    df: DataFrame, routes: Mapping[str, str], dst: str, topic_col: str = "topic", value_col: str = "value", arrival: str | None = None
+) -> None:
+    """S6 + S7 for one batch: the raw payload lines of each known topic appended under
+    ``dst/feed=<name>/year=/month=/day=``, in one write."""
+    _lines(df, routes, topic_col, value_col, arrival).write.mode("append").partitionBy("feed", "year", "month", "day").text(dst)
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        route_batch(batch, routes, topic_col, batch_id=batch_id)
 
-    w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-    return _trigger(w, trigger).start()
+def _lines(df: DataFrame, routes: Mapping[str, str], topic_col: str, value_col: str, arrival: str | None) -> DataFrame:
+    out = with_arrival_partitions(routed(df, routes, topic_col), arrival)
+    return out.select(F.col(value_col).cast("string").alias("value"), "feed", "year", "month", "day").where(F.col("value").isNotNull())
+
+
+def route_by_topic(
+    stream: DataFrame,
+    routes: Mapping[str, str],
+    dst: str,
+    checkpoint: str,
+    topic_col: str = "topic",
+    value_col: str = "value",
+    arrival: str | None = None,
+    trigger: str | None = "availableNow",
+) -> StreamingQuery:
+    """S6 + S7 as a stream: the file sink partitions the lines by feed and arrival day, exactly once
+    through its checkpoint. Each ``dst/feed=<name>`` is a landing folder for :func:`ingest_json_stream`."""
+    w = _lines(stream, routes, topic_col, value_col, arrival).writeStream.format("text").option("checkpointLocation", checkpoint)
+    return _trigger(w.partitionBy("feed", "year", "month", "day"), trigger).start(dst)
 
 
 # -- S12 ------------------------------------------------------------------------------------------
@@ -274,6 +307,29 @@ def lower_names(schema: StructType) -> StructType:
     return StructType([StructField(f.name.lower(), f.dataType, True) for f in schema.fields])
 
 
+def history_records(lines: DataFrame, schema: StructType, value_col: str = "value") -> DataFrame:
+    """Export lines as rows of ``schema`` (lower-case names), columns matched by name in any case, plus
+    ``__bad``: true where the line is no JSON object or a value does not fit its column. Of a name in
+    several cases the first in the line counts."""
+    entries = F.map_entries(F.from_json(F.col(value_col), "MAP<STRING, STRING>", {"mode": "PERMISSIVE"}))
+    rows = lines.withColumn("__e", entries).withColumn("__e", F.when(F.ltrim(F.col(value_col)).startswith("{"), F.col("__e")))
+    lower = lower_names(schema)
+
+    def named(name: str):
+        return F.get(F.filter("__e", lambda e: F.lower(e["key"]) == name), F.lit(0))["value"]
+
+    raw = {f.name: named(f.name) for f in lower.fields}
+    rows = rows.select(value_col, "__e", *[v.alias(f"__raw_{n}") for n, v in raw.items()])
+    misfit = F.lit(False)
+    cols = []
+    for f in lower.fields:
+        text = F.col(f"__raw_{f.name}")
+        value = F.try_to_timestamp(text) if f.dataType.typeName() == "timestamp" else text.try_cast(f.dataType)
+        cols.append(value.alias(f.name))
+        misfit = misfit | (text.isNotNull() & value.isNull())
+    return rows.select(*cols, (F.col("__e").isNull() | misfit).alias("__bad"), F.col(value_col).alias("__line"))
+
+
 def load_history(
     spark: SparkSession,
     src: str,
@@ -282,26 +338,23 @@ def load_history(
     checkpoint: str,
     partition_day_of: str | None = "computed_at",
     trigger: str | None = "availableNow",
+    errors: str | None = None,
 ) -> StreamingQuery:
     """Append files not loaded before (the checkpoint is the load history); columns matched by
-    name in any case; malformed records skipped. Appends partitioned by day for pruning."""
-    lower = lower_names(schema)
-
-    def prep(df: DataFrame) -> DataFrame:
-        out = conform(df, lower)
-        if partition_day_of:
-            out = out.withColumn("load_date", F.to_date(F.col(partition_day_of.lower())))
-        return out
-
-    return ingest_stream(
-        spark,
-        src,
-        lower,
-        dst,
-        checkpoint,
-        fmt="json",
-        trigger=trigger,
-        options={"mode": "DROPMALFORMED"},
-        partition_by=("load_date",) if partition_day_of else (),
-        transform=prep,
-    )
+    name in any case. Appends partitioned by day for pruning. Malformed records are left out of the
+    table; with ``errors`` a second stream of the same files appends their raw lines there."""
+
+    def lines() -> DataFrame:
+        return history_records(spark.readStream.format("text").load(src), schema)
+
+    out = lines().where(~F.col("__bad")).drop("__bad", "__line")
+    if partition_day_of:
+        out = out.withColumn("load_date", F.to_date(F.col(partition_day_of.lower())))
+    if errors is not None:
+        bad = lines().where("__bad").select(F.col("__line").alias("value")).where(F.trim("value") != "")
+        w = bad.writeStream.format("text").option("checkpointLocation", f"{checkpoint}_errors").outputMode("append")
+        run(_trigger(w, trigger).start(errors), None if trigger in (None, "availableNow", "once") else 0)
+    writer = out.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
+    if partition_day_of:
+        writer = writer.partitionBy("load_date")
+    return _trigger(writer, trigger).start(dst)

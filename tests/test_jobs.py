@@ -47,6 +47,50 @@ def test_versioned_write_swaps_pointer(spark):
     assert [r.x for r in T.read_signals(spark, f"{base}/t").collect()] == [2]
 
 
+def test_commits_are_safe(spark):
+    import pytest
+    from linecast.sources import tables as T
+
+    base = tempfile.mkdtemp(prefix="lc-commit-")
+    row = spark.createDataFrame([(1, "2024-01-01 10:00:00")], "x INT, computed_at STRING").withColumn("computed_at", F.col("computed_at").cast("timestamp"))
+    path = f"{base}/t"
+    for _ in range(3):
+        T.write_signals(row, path, versioned=True)
+    assert T.latest_time(spark, path).startswith("2024-01-01 10:00:00")
+    # a writer that died: its version is there, its commit is not complete
+    row.withColumn("x", F.lit(9)).write.parquet(f"{path}/_versions/dead")
+    import os
+
+    os.makedirs(f"{path}/_commits/{7:012d}")
+    assert [r.x for r in T.read_signals(spark, path).collect()] == [1]
+    reader = T.read_signals(spark, path)  # planned before the next swap
+    T.write_signals(row.withColumn("x", F.lit(2)), path, versioned=True)
+    assert [r.x for r in reader.collect()] == [1] and [r.x for r in T.read_signals(spark, path).collect()] == [2]
+    assert T.expire_versions(spark, path) == []  # the grace period
+    gone = T.expire_versions(spark, path, keep=1, grace_seconds=-10)
+    assert "dead" in gone and len(gone) == 4 and [r.x for r in T.read_signals(spark, path).collect()] == [2]
+    # versions without any commit are an error, not an empty table
+    row.write.parquet(f"{base}/u/_versions/v1")
+    with pytest.raises(RuntimeError):
+        T.read_signals(spark, f"{base}/u", schema=T.written_schema(row))
+    # a batch without signals
+    T.write_signals(row.limit(0), f"{base}/e", versioned=True)
+    assert T.read_signals(spark, f"{base}/e").count() == 0
+
+
+def test_boards_group_more_rows_than_a_feed_lists(spark):
+    from linecast.operators import serving as S
+    from linecast.plans import catalog
+
+    s = catalog.sharp_silver(spark, SF, True)
+    many = s.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(1500)))).withColumn("away_team", F.concat("away_team", F.lit("-"), "k")).drop("k")
+    latest = S.latest_batch(many)
+    assert latest.count() > S.FEED_LIMIT
+    board = jobs.job_board(catalog.div_silver(spark, SF, True), many)["sharp"]
+    got = board.agg(F.sum("n_rows"), F.count("*")).first()
+    assert got[0] == latest.count() and got[1] == latest.select("home_team", "away_team").distinct().count()
+
+
 def test_job_bronze_counts_and_rerun(spark):
     from linecast.streaming import ingest as ING
 

@@ -1,5 +1,7 @@
 """Plan checks: native expressions only, pushdown, and the driver contract."""
 
+import re
+
 import duckdb
 
 import __spark_entry__ as entry
@@ -73,3 +75,15 @@ def test_no_cross_joins_or_python_in_any_query(spark):
         plan = _plan(fn(spark, SF))
         for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
             assert node not in plan, (name, node)
+
+
+def test_read_side_filters_reach_the_scan(spark):
+    from linecast.operators import serving as S
+
+    div, sharp = catalog.div_silver(spark, SF, True), catalog.sharp_silver(spark, SF, True)
+    assert "GreaterThanOrEqual(commence_time" in _plan(S.by_local_date(div, "2024-01-15"))
+    assert "GreaterThanOrEqual(american_odds,-2500)" in _plan(S.plausible_odds(sharp))
+    assert "PartitionFilters: [isnotnull(computed_date" in _plan(S.recent_hours(sharp, 30, "2024-01-30"))
+    assert "EqualTo(home_team,H7)" in _plan(S.history(div, S.DIVERGENCE_HISTORY_COLS, "H7", "A7"))
+    latest = catalog.silver_latest(spark, SF, "divergence")
+    assert re.search(r"PartitionFilters: \[isnotnull\(computed_date#\d+\), \(computed_date#\d+ = ", _plan(latest))

@@ -7,7 +7,7 @@ are visited by falling bound and the rest is skipped as soon as no bound reaches
 frequencies, the number of documents and their mean length are counted over the whole corpus, so scores
 do not depend on the sharding and the merge of the shards' top k is exact.
 
-Scale. Texts are read once and become compact postings, some 16 MB of text to a written row. A shard is
+Scale. Texts are read once and become compact postings, some 8 MB of text to a written row. A shard is
 ``SHARD_CHUNKS`` such rows on average; query terms, weighted and packed in blocks, are sent to every
 shard and stream past its index, so a task holds one shard and one block of queries. Frequencies are
 pre-aggregated by task and joined with the query terms in Spark; nothing is broadcast.
@@ -30,7 +30,7 @@ from linecast.llm.suffixes import ragged
 from linecast.llm.toxicity import GAP
 from linecast.llm.words import Words, chunks
 
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 SHARD_CHUNKS = 4
 DOCS_A_BLOCK = 64
 QUERIES_A_BLOCK = 500

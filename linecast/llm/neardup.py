@@ -315,9 +315,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keyed = docs.withColumn("__key", F.xxhash64(F.col(text_col)))
     mine = keyed.join(one, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__h")))
     single = mine.where("__rows = 1").select(*docs.columns)
-    several = mine.where("__rows > 1").dropDuplicates(["__id", "__h"]).select(*docs.columns)
+    if not one.where("__rows > 1").isEmpty():
+        single = single.unionByName(mine.where("__rows > 1").dropDuplicates(["__id", "__h"]).select(*docs.columns))
     bare = docs.where(F.col(text_col).isNull() | ~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
-    return single.unionByName(several).unionByName(bare)
+    return single.unionByName(bare)
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -69,7 +69,8 @@ def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 8,
     seen = np.zeros(1 << bits, np.int32)
     for x, _ in rows:
         seen[x] += 1
-    rows = [(x[seen[x] >= min_rows], y) for x, y in rows]
+    for k, (x, y) in enumerate(rows):
+        rows[k] = x[seen[x] >= min_rows], y
     for _ in range(epochs):
         for x, y in rows:
             w, old = weight(z[x], n[x]), n[x]
@@ -88,9 +89,11 @@ def _fit(bits: int, options: dict):
     def run(batches) -> Iterator[pd.DataFrame]:
         data = []
         for pdf in batches:
-            data += [(o, np.asarray(x, np.int64), int(y)) for o, x, y in zip(pdf["order"], pdf["items"], pdf["label"], strict=True)]
+            data += [(o, np.asarray(x, np.int32), int(y)) for o, x, y in zip(pdf["order"], pdf["items"], pdf["label"], strict=True)]
         data.sort(key=lambda r: (r[0], r[2], len(r[1])))
-        at, w, bias = ftrl([(x, y) for _, x, y in data], bits, **options)
+        rows = [(x, y) for _, x, y in data]
+        del data
+        at, w, bias = ftrl(rows, bits, **options)
         yield pd.DataFrame({"i": np.append(at, -1), "w": np.append(w, bias)})
 
     return run

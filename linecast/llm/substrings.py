@@ -37,7 +37,7 @@ GRAM = 16
 #: Bytes of text worked on at once.
 CHUNK = 2 << 20
 MOST = 64  # strings in a piece
-LONG_GROUP = 4096
+LONG_GROUP = 512
 BATCH = 1 << 20  # bytes of text whose suffix arrays are built together
 NO_ID = np.iinfo(np.int64).max
 #: Homes, and buckets of keys, for each shuffle partition.
@@ -101,7 +101,7 @@ def pieces(buf: np.ndarray, off: np.ndarray, span: int):
         k = ragged(np.zeros(len(parts), np.int64), parts)
         first, size = first[which] + k * MOST, np.minimum(size[which] - k * MOST, MOST)
     doc = np.searchsorted(off, first, side="right") - 1
-    return least[first], doc, first, size, g
+    return mix(least[first]), doc, first, size, g  # smallest hashes are small: mixed, they spread over the ranges
 
 
 def _ranges(h: np.ndarray, parts: int) -> np.ndarray:
@@ -338,7 +338,7 @@ def _repeated(span: int):
         # some keys at a time, as many as fit in a chunk of text
         total = np.append(0, np.cumsum(length))
         while lo < len(edge) - 1:
-            hi = max(lo + 1, int(np.searchsorted(total[edge], total[edge[lo]] + CHUNK, side="right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(total[edge], total[edge[lo]] + 2 * CHUNK, side="right")) - 1)
             s = slice(edge[lo], edge[hi])
             to, found = some(text, ids, tags, homes, doc[s], start[s], size[s], key[s], length[s], place[s])
             homes_out += to

@@ -41,7 +41,9 @@ LONG_GROUP = 512
 BATCH = 1 << 20  # bytes of text whose suffix arrays are built together
 NO_ID = np.iinfo(np.int64).max
 #: Homes, and buckets of keys, for each shuffle partition.
-HOMES = 4
+HOMES = 1
+#: Keys name their document by id and this much of its tag; what else that fits only adds candidates.
+SHORT = 0xFF
 
 
 def _grams(buf: np.ndarray) -> np.ndarray:
@@ -147,7 +149,7 @@ def _offer(span: int, parts: int):
             key, doc, _, _, _ = pieces(buf, off, span)
             if not len(key):
                 continue
-            ids, tags, homes = _ids(batch.column("id")), _tags(batch.column("tag")), batch.column("home").to_numpy().astype(np.int64)
+            ids, tags, homes = _ids(batch.column("id")), _tags(batch.column("tag")) & SHORT, batch.column("home").to_numpy().astype(np.int64)
             order = np.lexsort((ids[doc], key))
             key, doc = key[order], doc[order]
             at = _runs(key, doc)
@@ -231,15 +233,20 @@ def _shared_keys(blobs: list[bytes]) -> tuple[list, list]:
     return _home_rows(ids[d], tags[d], homes[d], key[tell])
 
 
-def _rows_of(texts: pa.Table, told: pa.Table):
-    """The home's documents and, with them, what was sent home: a document's row for each entry."""
-    row = {}
+def _rows_of(texts: pa.Table, told: pa.Table, mask: int = 0xFFFFFFFF):
+    """The home's documents and, with them, what was sent home: the documents' rows for each entry,
+    named by id and by the tag under ``mask``. Of rows with equal id and tag the first stands for all."""
+    row: dict[tuple[int, int], int] = {}
+    rows: dict[tuple[int, int], list[int]] = {}
     ids, tags = _ids(texts.column("id").combine_chunks()), _tags(texts.column("tag").combine_chunks())
-    for k, pair in enumerate(zip(ids.tolist(), tags.tolist(), strict=True)):
-        row.setdefault(pair, k)
+    for k, (i, t) in enumerate(zip(ids.tolist(), tags.tolist(), strict=True)):
+        if row.setdefault((i, t), k) == k:
+            rows.setdefault((i, t & mask), []).append(k)
     parts = [_unpack(b.as_py()) for b in told.column("blob")]
-    who = [row[pair] for p in parts for pair in zip(p[0].view(np.int64).tolist(), p[1].tolist(), strict=True)]
-    return ids, tags, row, np.array(who, np.int64), [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(2, len(parts[0]) if parts else 4)]
+    named = [rows[pair] for p in parts for pair in zip(p[0].view(np.int64).tolist(), p[1].tolist(), strict=True)]
+    times = np.array([len(x) for x in named], np.int64)
+    cols = [np.repeat(np.concatenate([p[k] for p in parts]), times) if parts else np.zeros(0, np.int64) for k in range(2, len(parts[0]) if parts else 4)]
+    return ids, tags, row, np.array([k for x in named for k in x], np.int64), cols
 
 
 def _spread(span: int, parts: int):
@@ -248,7 +255,7 @@ def _spread(span: int, parts: int):
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         if not told.num_rows or not texts.num_rows:
             return pa.Table.from_batches([_sent([], [], [])])
-        ids, tags, row, who, cols = _rows_of(texts, told)
+        ids, tags, _, who, cols = _rows_of(texts, told, SHORT)
         homes = texts.column("home").combine_chunks().to_numpy().astype(np.int64)
         with np.errstate(over="ignore"):
             wanted = np.sort(cols[0].astype(np.uint64) ^ mix(who.astype(np.uint64) * GOLDEN))

@@ -2,8 +2,8 @@
 
 Method. Each shard is an inverted index whose postings are cut into blocks of consecutive documents;
 every (term, block) keeps the greatest term score in it. As in block-max WAND, documents are only
-scored where the sum of the query terms' block maxima can still reach the current k-th score: blocks
-are visited by falling bound and the rest is skipped as soon as no bound reaches it. Document
+scored where the sum of the query terms' block maxima can still reach the k-th score: the blocks of
+the greatest bounds set that score, and of the rest only those whose bound reaches it are scored. Document
 frequencies, the number of documents and their mean length are counted over the whole corpus, so scores
 do not depend on the sharding and the merge of the shards' top k is exact.
 
@@ -34,6 +34,10 @@ CHUNK = 8 << 20
 SHARD_CHUNKS = 4
 DOCS_A_BLOCK = 64
 QUERIES_A_BLOCK = 500
+#: Blocks of the greatest bounds, which set the score to reach.
+FIRST_BLOCKS = 4
+#: A term in at least one of so many documents of a shard has a whole row; at most ``ROWS`` terms have.
+COMMON, ROWS = 16, 192
 K1, B = 1.2, 0.75
 NO_ID = np.iinfo(np.int64).max
 
@@ -97,6 +101,21 @@ class Shard:
         term, self.doc, times = term[order], doc[order], times[order].astype(np.float64)
         del doc, order
         self.gain = times * (K1 + 1) / (times + K1 * (1 - B + B * size[self.doc] / mean))
+        self.n = len(self.ids)
+        self.blocks = -(-self.n // DOCS_A_BLOCK)
+        lead = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
+        df = np.diff(np.append(lead, len(term)))
+        # terms of many documents are kept as whole rows of scores: adding a row is cheaper than its postings
+        often = np.flatnonzero(df * COMMON >= self.n)
+        often = np.sort(often[np.argsort(-df[often], kind="stable")[:ROWS]])
+        self.common = term[lead[often]]
+        self.row = np.zeros((len(often), self.blocks * DOCS_A_BLOCK))
+        for k, t in enumerate(often):
+            at = slice(lead[t], lead[t] + df[t])
+            self.row[k, self.doc[at]] = self.gain[at]
+        self.row_most = self.row.reshape(len(often), self.blocks, DOCS_A_BLOCK).max(axis=2)
+        rare = ~np.repeat(np.isin(np.arange(len(lead)), often), df)
+        term, self.doc, self.gain = term[rare], self.doc[rare], self.gain[rare]
         block = self.doc // DOCS_A_BLOCK
         new = np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])) if len(term) else np.zeros(0, bool)
         at = np.flatnonzero(new)
@@ -106,42 +125,61 @@ class Shard:
         owner = term[at]
         first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(at) else at
         self.term, self.first = owner[first], np.append(first, len(at))
-        self.blocks = -(-len(self.ids) // DOCS_A_BLOCK)
+
+    @staticmethod
+    def _find(keys: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = np.minimum(np.searchsorted(keys, terms), len(keys) - 1)
+        have = keys[at] == terms
+        return at[have], weights[have]
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Documents and scores of the top ``k``: greatest score, then smallest id and tag."""
-        none = np.zeros(0, np.int64), np.zeros(0)
-        if not len(self.term):
-            return none
-        at = np.minimum(np.searchsorted(self.term, terms), len(self.term) - 1)
-        have = self.term[at] == terms
-        at, weights = at[have], weights[have]
+        rows, row_weights = self._find(self.common, terms, weights)
+        at, weights = self._find(self.term, terms, weights)
         n = self.first[at + 1] - self.first[at]
         entry = ragged(self.first[at], n)
-        if not len(entry):
-            return none
         weight, block = np.repeat(weights, n), self.block[entry]
-        bound = np.bincount(block, weights=weight * self.most[entry], minlength=self.blocks)
+        bound = np.bincount(block, weights=weight * self.most[entry], minlength=self.blocks) + row_weights @ self.row_most[rows]
+
+        def score(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Documents of these blocks that score, and their exact scores."""
+            live = np.zeros(self.blocks, bool)
+            live[which] = True
+            mine = live[block]
+            size = self.entry[entry[mine] + 1] - self.entry[entry[mine]]
+            post = ragged(self.entry[entry[mine]], size)
+            total = np.bincount(self.doc[post], weights=np.repeat(weight[mine], size) * self.gain[post], minlength=self.blocks * DOCS_A_BLOCK).astype(np.float64)
+            if 3 * len(which) > self.blocks:
+                for r, w in zip(rows, row_weights, strict=True):
+                    total += self.row[r] * w
+                total[~np.repeat(live, DOCS_A_BLOCK)] = 0
+            else:
+                cut = (np.sort(which)[:, None] * DOCS_A_BLOCK + np.arange(DOCS_A_BLOCK)).ravel()
+                total[cut] += row_weights @ self.row[rows[:, None], cut]
+            total = np.round(total, 9)
+            docs = np.flatnonzero(total > 0)
+            return docs, total[docs]
+
+        def top(docs: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if len(docs) > 4 * k:  # all that reach the k-th score, ties included
+                keep = total >= np.partition(total, len(total) - k)[len(total) - k]
+                docs, total = docs[keep], total[keep]
+            order = np.lexsort((self.tags[docs], self.ids[docs], -total))[:k]
+            return docs[order], total[order]
+
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best, score = none
-        done, step = 0, 4
-        rank = np.empty(self.blocks, np.int64)
-        rank[order] = np.arange(len(order))
-        while done < len(order):
+        best, total = top(*score(order[:FIRST_BLOCKS]))
+        rest = order[FIRST_BLOCKS:]
+        if len(best) >= k:
             # a bound is a sum in another order than a score, so it gets a little room
-            if len(best) >= k and bound[order[done]] * (1 + 1e-9) + 1e-8 < score[-1]:
-                break
-            mine = (rank[block] >= done) & (rank[block] < done + step)
-            done, step = done + step, step * 2
-            size = self.entry[entry[mine] + 1] - self.entry[entry[mine]]
-            post = ragged(self.entry[entry[mine]], size)
-            docs, back = np.unique(self.doc[post], return_inverse=True)
-            got = np.round(np.bincount(back, weights=np.repeat(weight[mine], size) * self.gain[post]), 9)
-            best, score = np.concatenate([best, docs]), np.concatenate([score, got])
-            top = np.lexsort((self.tags[best], self.ids[best], -score))[:k]
-            best, score = best[top], score[top]
-        return best, score
+            rest = rest[bound[rest] * (1 + 1e-9) + 1e-8 >= total[-1]]
+        if len(rest):
+            more, also = score(rest)
+            best, total = top(np.concatenate([best, more]), np.concatenate([total, also]))
+        return best, total
 
 
 def _search(k: int, mean: float):

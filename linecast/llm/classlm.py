@@ -1,23 +1,24 @@
 """Language-model scoring with a Brown class-based bigram model.
 
-Method. Exchange clustering assigns every word to one of ``classes`` classes: the most frequent words
-are units of their own, all other words move as the family of their ending, and single units are
-exchanged between classes while that raises the likelihood of the class bigrams. A text's probability
+Method. Exchange clustering assigns every word to one of ``classes`` classes. ``fit`` begins with units,
+the most frequent words and the families of the other words' endings, which are exchanged between
+classes while that raises the likelihood of the class bigrams; ``exchange_words`` then exchanges every
+word by itself, in tasks, beside the class bigrams of all texts. A text's probability
 is the product of smoothed class transitions and smoothed word emissions,
 ``P(w | before) = P(class(w) | class(before)) * (c(w) + 1) / (N_class + V_class + 1)``; the last summand
 keeps one place per class for unknown words. A text begins and ends with the end token, which is a
 class of its own.
 
 Scale. Word counts cover every training text and stay distributed. What reaches the driver is bounded
-by parameters, not by data: ``top`` words and the matrix of unit pairs (``top + endings + 1`` squared).
-For scoring, a chunk of texts asks for the counts of its distinct words by hash range, streams past
-them in that range's task, and gets one partial sum per document back.
+by parameters, not by data: ``top`` words, the matrix of unit pairs (``top + endings + 1`` squared) and
+the class bigrams. A chunk of texts asks for the counts and classes of its distinct words by hash range
+and streams past them in that range's task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -212,14 +213,15 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int = 10) -> np.ndarray:
 
 @dataclass
 class ClassModel:
-    """``counts(bucket, w, n)`` stays a table; the rest is bounded by the parameters of ``fit``."""
+    """``words(bucket, w, n, ending, cls)`` stays a table; the rest is bounded by the parameters of ``fit``."""
 
-    counts: DataFrame
+    words: DataFrame
     parts: int
     top: np.ndarray  # sorted hashes of the frequent words
     rank: np.ndarray  # their units
     endings: int
-    cls: np.ndarray  # class of each unit
+    cls: np.ndarray  # class of each unit, where every word begins
+    of_ending: np.ndarray  # class of the unknown words of each family
     step: np.ndarray  # log10 of P(class | class before)
     spread: np.ndarray  # log10 of a class's tokens and places for words
     end_count: int
@@ -260,16 +262,31 @@ def fit(docs: DataFrame, text_col: str = "text", classes: int = 64, top: int = 1
     one = np.zeros((units, classes + 1))
     one[np.arange(units), cls] = 1
     g, size, places = one.T @ pairs @ one, one.T @ total, one.T @ vocab
-    prior = (size + 1) / (size + 1).sum()
-    step = np.log10((g + smoothing * prior) / (g.sum(axis=1, keepdims=True) + smoothing))
     n_all = int(total.sum())
     v_all = int(sum(v for _, v in by_ending.values())) + (rows > 0)
-    return ClassModel(counts.select("bucket", "w", "n"), parts, h[order], order, endings, cls, step, np.log10(size + places + 1), rows, n_all, v_all)
+    words = counts.mapInArrow(_begin(h[order], order, cls), "bucket int, w long, n long, ending int, cls int")
+    return ClassModel(words, parts, h[order], order, endings, cls, cls[len(first) : -1], _steps(g, size, smoothing), np.log10(size + places + 1), rows, n_all, v_all)
 
 
-def _ask(model: ClassModel, keep: list[str]):
-    """Rows of a chunk: its texts (bucket -1) and, per hash range, its words with (text, times) pairs."""
-    m = ClassModel(None, **{k: v for k, v in vars(model).items() if k != "counts"})
+def _begin(top: np.ndarray, rank: np.ndarray, cls: np.ndarray):
+    """The words with the classes of their units."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, unit = batch.column("w").to_numpy().view(np.uint64), batch.column("ending").to_numpy() + len(top)
+            if len(top):
+                at = np.minimum(np.searchsorted(top, h), len(top) - 1)
+                unit = np.where(top[at] == h, rank[at], unit)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cls[unit].astype(np.int32))], names=[*batch.schema.names, "cls"])
+
+    return run
+
+
+_ROWS = "chunk string, bucket int, blob binary, texts binary"
+
+
+def _sequences(keep: list[str], parts: int, endings: int):
+    """Rows of a chunk: its texts (bucket -1) as places among its distinct words, and these by hash range."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -277,79 +294,310 @@ def _ask(model: ClassModel, keep: list[str]):
         for batch in chunks(batches, "__text", limit=CHUNK):
             chunk = uuid.uuid4().hex
             words = Words(batch.column("__text"))
-            h, unit = _units(words, m.top, m.rank, m.endings)
-            a, b = _with_ends(words, m.cls[unit], len(m.step) - 1)
-            per = np.repeat(np.arange(batch.num_rows), words.count + 1)
-            part = np.bincount(per, weights=m.step[a, b] - m.spread[b], minlength=batch.num_rows)
+            h, first, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
             sink = pa.BufferOutputStream()
-            texts = pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(words.count + 1, pa.int64()), pa.array(part)], names=[*keep, "n_tokens", "part"])
+            texts = pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(words.count + 1, pa.int64())], names=[*keep, "n_tokens"])
             with pa.ipc.new_stream(sink, texts.schema) as out:
                 out.write_batch(texts)
-            order = np.argsort(h, kind="stable")
-            h, doc = h[order], words.doc[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(h)))
-            h, doc = h[at], doc[at]
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else at
-            per_word = np.diff(np.append(first, len(h)))
-            where = _ranges(h[first], m.parts)
-            buckets, blobs = [-1], [sink.getvalue().to_pybytes()]
-            cut = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, np.int64)
-            ends = np.append(first, len(h))
-            for lo, hi in zip(cut, np.append(cut[1:], len(where)), strict=True):
-                p = slice(ends[lo], ends[hi])
+            where = _ranges(h, parts)
+            cut = np.append(np.flatnonzero(np.append(True, where[1:] != where[:-1])), len(where)) if len(where) else np.zeros(0, np.int64)
+            buckets, blobs = [-1], [_pack(words.count, place, _endings(words, first, endings))]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 buckets.append(int(where[lo]))
-                blobs.append(_pack(h[first[lo:hi]], per_word[lo:hi], doc[p], times[p]))
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(buckets)), pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "bucket", "blob"])
+                blobs.append(_pack(h[lo:hi]))
+            rest = [None] * (len(buckets) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(buckets)), pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary()), pa.array([sink.getvalue().to_pybytes(), *rest], pa.binary())], names=["chunk", "bucket", "blob", "texts"])
 
     return run
 
 
-def _answer(batches) -> Iterator[pa.RecordBatch]:
-    """Rows come by hash range, its counts (no chunk) before the questions; each question gets, per
-    text, the sum of log10(c + 1) and the number of known tokens."""
-    now, w, n, ready = None, [], [], False
+def _by_range(batches, counted, asked) -> Iterator[pa.RecordBatch]:
+    """Rows come by hash range, its words (kind 0) before the rest. ``asked(words, chunk, blob)`` is called
+    for each other row with the range's words by hash, ``counted(bucket, words)`` after the range."""
+    now, held, words = None, [], None
+
+    def ordered():
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)] if held else [np.zeros(0, np.int64)] * 4
+        order = np.argsort(cols[0].view(np.uint64))
+        return [x[order] for x in cols]
+
     for batch in batches:
         bucket = batch.column("bucket").to_numpy()
-        asks = batch.column("kind").to_numpy()
-        edge = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (asks[1:] != asks[:-1])))
-        names, blobs = [], []
+        kind = batch.column("kind").to_numpy()
+        edge = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])))
         for lo, hi in zip(edge, np.append(edge[1:], len(bucket)), strict=True):
             if bucket[lo] != now:
-                now, w, n, ready = bucket[lo], [], [], False
-            if not asks[lo]:
-                w.append(batch.column("w").slice(lo, hi - lo).to_numpy().view(np.uint64))
-                n.append(batch.column("n").slice(lo, hi - lo).to_numpy())
+                if now is not None:
+                    yield from counted(now, words or ordered())
+                now, held, words = bucket[lo], [], None
+            if not kind[lo]:
+                held.append([batch.column(c).slice(lo, hi - lo).to_numpy() for c in ("w", "n", "ending", "cls")])
                 continue
-            if not ready:
-                known, count = (np.concatenate(w), np.concatenate(n)) if w else (np.zeros(1, np.uint64), np.zeros(1, np.int64))
-                order = np.argsort(known)
-                known, count, ready = known[order], count[order], True
-            for i in range(lo, hi):
-                h, per_word, doc, times = _unpack(batch.column("blob")[i].as_py())
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                c = np.repeat(np.where(known[at] == h, count[at], 0), per_word)
-                value = np.bincount(doc, weights=times * np.log10(c + 1.0))
-                seen = np.bincount(doc, weights=times * (c > 0)).astype(np.int64)
-                some = np.flatnonzero(np.bincount(doc))
-                names.append(batch.column("chunk")[i].as_py())
-                blobs.append(_pack(some, seen[some], value[some]))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([0] * len(names), pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "bucket", "blob"])
-
-
-def _finish(end_count: int, tokens: int, vocabulary: int):
+            words = words or ordered()
+            yield from asked(words, batch.slice(lo, hi - lo))
+    if now is not None:
+        yield from counted(now, words or ordered())
+
+
+def _at(words: list[np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the hashes ``h`` among a range's words, and whether they are there."""
+    known = words[0].view(np.uint64)
+    if not len(known):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return at, known[at] == h
+
+
+def _answer(share: int = 1, turn: int = 0):
+    """Each question, hashes or the places of an earlier answer, gets per word its count and class (0 and
+    0 if unknown), its place in the range and whether it is of the share."""
+
+    def asked(words, batch):
+        blobs = []
+        for blob in batch.column("blob"):
+            question = _unpack(blob.as_py())
+            if len(question) == 1:
+                at, known = _at(words, question[0])
+            else:
+                at, known = np.cumsum(question[0].astype(np.int64)), True
+            n, cls, w = (np.where(known, words[k][at], 0) if len(words[0]) else at for k in (1, 3, 0))
+            blobs.append(_pack(n, cls, np.diff(at, prepend=0), _of_share(w, share, turn)))
+        yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("bucket"), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.binary())], names=["chunk", "bucket", "blob", "texts"])
+
+    return lambda batches: _by_range(batches, lambda *_: (), asked)
+
+
+def _of_share(w: np.ndarray, share: int, turn: int) -> np.ndarray:
+    return (w.view(np.uint64) % U(share) == U(turn)).astype(np.uint8)
+
+
+def _ordered(words: DataFrame, rows: DataFrame) -> DataFrame:
+    """The words and the rows of each hash range together, words first."""
+    width = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    no = [F.lit(None).cast("string").alias("chunk"), F.lit(None).cast("binary").alias("blob")]
+    zero = [F.lit(0).cast(t).alias(c) for c, t in (("w", "long"), ("n", "long"), ("ending", "int"), ("cls", "int"))]
+    left = words.select("bucket", F.lit(0).alias("kind"), "w", "n", "ending", "cls", *no)
+    right = rows.select("bucket", F.lit(1).alias("kind"), *zero, "chunk", "blob")
+    return left.unionByName(right).repartition(width, "bucket").sortWithinPartitions("bucket", "kind")
+
+
+def _told(words: DataFrame, asked: DataFrame, questions: DataFrame, of: tuple[int, int] = (1, 0)):
+    """Texts and answers of every chunk, grouped by chunk."""
+    answers = _ordered(words, questions.where("bucket >= 0")).mapInArrow(_answer(*of), _ROWS)
+    return answers.unionByName(asked.where("bucket = -1")).groupBy("chunk")
+
+
+def sequences(docs: DataFrame, model: ClassModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """Texts and questions of all chunks of ``docs``, for ``exchange_words`` and ``score``."""
+    src = docs.select(*keep, F.col(text_col).alias("__text"))
+    return written(src.mapInArrow(_sequences(list(keep), model.parts, model.endings), _ROWS), "sequences")
+
+
+def _chunk(pdf: pd.DataFrame, of_ending: np.ndarray):
+    """Words per text, place of each token, and of the distinct words: counts, classes, places by range,
+    whether they are of the share."""
+    own = pdf[pdf["bucket"] == -1].iloc[0]
+    count, place, ending = (x.astype(np.int64) for x in _unpack(own["blob"]))
+    answers = pdf[pdf["bucket"] != -1].sort_values("bucket")
+    got = [_unpack(x) for x in answers["blob"]]
+    n, cls = (np.concatenate([x[k] for x in got]).astype(np.int64) if got else place for k in (0, 1))
+    cls = np.where(n > 0, cls, of_ending[ending])
+    due = np.concatenate([x[3] for x in got]) > 0 if got else place > 0
+    return own, count, place, n, cls, answers["bucket"].to_numpy(), [x[2] for x in got], due
+
+
+def _class_steps(count: np.ndarray, seq: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions (from, to) of texts of ``count`` words, each begun and ended by ``end``."""
+    stop = np.cumsum(count + 1)
+    to = np.full(int(stop[-1]) if len(stop) else 0, end)
+    place = np.ones(len(to), bool)
+    place[stop - 1] = False
+    to[place] = seq
+    before = np.roll(to, 1)
+    return before, to
+
+
+def _contexts(k: int):
+    """Per hash range, the classes beside a chunk's words of the share: ``2 k + 1`` cells a word, for the class after
+    it, the class before it, and for the word itself after it. Row -1: the chunk's class transitions."""
+    wide = 2 * k + 1
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = pa.ipc.open_stream(pdf.loc[pdf["bucket"] == -1, "blob"].iloc[0]).read_all().to_pandas()
-        value, seen = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for blob in pdf.loc[pdf["bucket"] != -1, "blob"]:
-            doc, k, v = _unpack(blob)
-            value[doc] += v
-            seen[doc] += k.astype(np.int64)
-        value += np.log10(end_count + 1.0)
-        part = texts.pop("part").to_numpy()
-        texts["n_known"] = seen + (end_count > 0)
+        _, count, place, n, cls, buckets, at, due = _chunk(pdf, np.zeros(1 << 16, np.int64))
+        a, b = _class_steps(count, cls[place], k - 1)
+        x, y = _class_steps(count, place, -1)
+        due = np.append(due, False)  # of the end
+        p, q = due[x], due[y]
+        cells = [x[p] * wide + b[p], y[q] * wide + k + a[q], x[p & (x == y)] * wide + 2 * k]
+        code = np.concatenate(cells)
+        code, times = np.unique(code.astype(np.int32) if len(n) * wide < 1 << 31 else code, return_counts=True)
+        code = code.astype(np.int64)
+        g, m = np.unique(a * k + b, return_counts=True)
+        out, blobs, lo = [-1], [_pack(g, m)], 0
+        for bucket, places in zip(buckets, at, strict=True):
+            hi = lo + len(places)
+            s = slice(*np.searchsorted(code, [lo * wide, hi * wide]))
+            out.append(int(bucket))
+            blobs.append(_pack(places, np.diff(code[s], prepend=lo * wide), times[s]))
+            lo = hi
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[0], "bucket": out, "blob": blobs})
+
+    return run
+
+
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def gains(r: np.ndarray, c: np.ndarray, me: np.ndarray, a: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """What the log likelihood of the class bigrams ``g`` gains if a word, taken out of its class ``a``,
+    is put into each class. ``r``, ``c``: how often each class comes after and before each word;
+    ``me``: how often the word itself does (counted in ``r`` and ``c`` too)."""
+    r, c, rows = r.astype(float), c.astype(float), np.arange(len(a))
+    r[rows, a] -= me
+    c[rows, a] -= me
+    out = np.zeros(r.shape)
+    for mine, other, by in ((r, c, g), (c, r, g.T)):
+        i, y = np.nonzero(mine)
+        if not len(i):
+            continue
+        e, at = mine[i, y][:, None], np.arange(len(i))
+        base = by.T[y].astype(float)  # of every class, what it has with class y once the word is out
+        base[at, a[i]] -= e[:, 0]
+        same = np.flatnonzero(y == a[i])
+        base[same] -= other[i[same]]
+        base[same, y[same]] -= me[i[same]]
+        d = _f(base + e) - _f(base)
+        d[at, y] = 0
+        start = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+        out[i[start]] += np.add.reduceat(d, start, axis=0)
+    own = np.broadcast_to(np.diagonal(g).astype(float), r.shape).copy()
+    own[rows, a] -= r[rows, a] + c[rows, a] + me
+    out += _f(own + r + c + me[:, None]) - _f(own)
+    for mine, total in ((r, g.sum(axis=1)), (c, g.sum(axis=0))):
+        size = mine.sum(axis=1) + me
+        rest = np.broadcast_to(total.astype(float), r.shape).copy()
+        rest[rows, a] -= size
+        out -= _f(rest + size[:, None]) - _f(rest)
+    return out
+
+
+def _move(g: np.ndarray, share: int, turn: int, block: int = 1024):
+    """Each word of a hash range goes to its best class beside the class bigrams ``g``."""
+    k = len(g)
+    wide = 2 * k + 1
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        seen: list[np.ndarray] = []
+
+        def asked(words, batch):
+            if not seen:
+                seen.append(np.zeros(len(words[0]) * wide, np.int64))
+            for blob in batch.column("blob"):
+                places, code, n = _unpack(blob.as_py())
+                code = np.cumsum(code.astype(np.int64))
+                at = np.cumsum(places.astype(np.int64))
+                seen[0][at[code // wide] * wide + code % wide] += n
+            return ()
+
+        def counted(bucket, words):
+            w, n, ending, cls = words
+            cells = seen.pop().reshape(-1, wide) if seen else np.zeros((len(w), wide), np.int64)
+            best = cls.astype(np.int64)
+            may = np.flatnonzero(_of_share(w, share, turn))
+            for lo in range(0, len(may), block):
+                at = may[lo : lo + block]
+                x, a = cells[at], best[at]
+                gain = gains(x[:, :k], x[:, k : 2 * k], x[:, 2 * k], a, g)
+                to = gain[:, : k - 1].argmax(axis=1)
+                own = np.arange(len(at))
+                best[at] = np.where(gain[own, to] > gain[own, a] + 1e-9, to, a)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), bucket, np.int32)), pa.array(w), pa.array(n), pa.array(ending), pa.array(best.astype(np.int32))], names=["bucket", "w", "n", "ending", "cls"])
+
+        return _by_range(batches, counted, asked)
+
+    return run
+
+
+def likelihood(g: np.ndarray) -> float:
+    """Log likelihood of the class bigrams, up to a summand that no class changes."""
+    return float(_f(g).sum() - _f(g.sum(axis=0)).sum() - _f(g.sum(axis=1)).sum())
+
+
+def _freed(df: DataFrame, name: str) -> DataFrame:
+    """``written``, and what was shuffled for it is removed."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
+def exchange_words(asked: DataFrame, model: ClassModel, sweeps: int = 1, shares: int = 4, least: int = 32) -> ClassModel:
+    """``model`` after exchanging every word one by one; ``asked``: the ``sequences`` of its training texts.
+
+    Each of ``sweeps`` visits every word. A pass counts the classes beside each word, by hash range, and moves each word of one share to its
+    best class beside the class bigrams of all texts, which are all that reaches the driver. Words of a
+    pass do not see each other's moves, so a pass that lowers the likelihood is undone and its words are
+    dealt with again in halves, down to one of ``least`` shares."""
+    if not model.tokens:
+        return model
+    k = len(model.step)
+
+    def look(words, questions, of):
+        rows = _freed(_told(words, asked, questions, of).applyInPandas(_contexts(k), "chunk string, bucket int, blob binary"), "contexts")
+        cells = rows.where("bucket = -1").select(F.pmod(F.xxhash64("chunk"), F.lit(64)).alias("deal"), F.col("blob").alias("cells")).groupBy("deal").applyInPandas(_add_cells, "cells binary")
+        g = np.zeros(k * k)
+        for r in cells.collect():
+            code, n = _unpack(r["cells"])
+            g[code] += n
+        return rows, g.reshape(k, k)
+
+    words, todo = model.words, [(shares, turn) for turn in range(shares)] * sweeps
+    rows, g = look(words, asked, todo[0])
+    of = todo[0]
+    while todo:
+        share, turn = todo.pop(0)
+        if share % of[0] or turn % of[0] != of[1]:
+            of = (share, turn)
+            rows, g = look(words, rows, of)
+        moved = _freed(_ordered(words, rows.where("bucket >= 0")).mapInArrow(_move(g, share, turn), "bucket int, w long, n long, ending int, cls int"), "word-classes")
+        after = todo[0] if todo else (least, 0)
+        then, h = look(moved, rows, after)
+        if likelihood(h) >= likelihood(g):
+            words, rows, g, of = moved, then, h, after
+        elif share < least:
+            todo[:0] = [(2 * share, turn), (2 * share, turn + share)]
+    of = words.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    size, places = np.zeros(k), np.zeros(k)
+    for r in of:
+        size[r["cls"]], places[r["cls"]] = r["n"], r["v"]
+    size[-1], places[-1] = model.end_count, model.end_count > 0
+    like = words.groupBy("ending", "cls").count().groupBy("ending").agg(F.max(F.struct("count", (-F.col("cls")).alias("less"))).alias("m")).select("ending", (-F.col("m.less")).alias("cls"))
+    of_ending = model.of_ending.copy()
+    for r in like.collect():
+        of_ending[r["ending"]] = r["cls"]
+    return replace(model, words=words, of_ending=of_ending, step=_steps(g, size), spread=np.log10(size + places + 1))
+
+
+def _steps(g: np.ndarray, size: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
+    """log10 of P(class | class before)."""
+    prior = (size + 1) / (size + 1).sum()
+    return np.log10((g + smoothing * prior) / (g.sum(axis=1, keepdims=True) + smoothing))
+
+
+def _finish(of_ending: np.ndarray, step: np.ndarray, spread: np.ndarray, end_count: int, tokens: int, vocabulary: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, count, place, n, cls, _, _, _ = _chunk(pdf, of_ending)
+        texts = pa.ipc.open_stream(own["texts"]).read_all().to_pandas()
+        doc = np.repeat(np.arange(len(texts)), count)
+        seen = n[place]
+        value = np.bincount(doc, weights=np.log10(seen + 1.0), minlength=len(texts)) + np.log10(end_count + 1.0)
+        a, b = _class_steps(count, cls[place], len(step) - 1)
+        part = np.bincount(np.repeat(np.arange(len(texts)), count + 1), weights=step[a, b] - spread[b], minlength=len(texts))
+        texts["n_known"] = np.bincount(doc, weights=seen > 0, minlength=len(texts)).astype(np.int64) + (end_count > 0)
         texts["base_score"] = value - texts["n_tokens"] * np.log10(tokens + vocabulary + 1.0)
         texts["score"] = value + part
         return texts
@@ -357,26 +605,25 @@ def _finish(end_count: int, tokens: int, vocabulary: int):
     return run
 
 
-def score(docs: DataFrame, model: ClassModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: ClassModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", asked: DataFrame | None = None) -> DataFrame:
     """Columns ``keep`` and ``n_tokens``, ``n_known``, ``base_score``, ``score`` of every row.
 
     Scores are log10 probabilities of the whole text. The base is the add-one unigram model. Null and
     empty texts are one end token; rows are scored one by one, so repeated ids and null ids do not
-    meet; an empty corpus gives counts of 0 (all tokens unknown)."""
-    src = docs.select(*keep, F.col(text_col).alias("__text"))
-    asked = written(src.mapInArrow(_ask(model, list(keep)), "chunk string, bucket int, blob binary"), "questions")
-    counts = model.counts.select("bucket", F.lit(0).alias("kind"), "w", "n", F.lit(None).cast("string").alias("chunk"), F.lit(None).cast("binary").alias("blob"))
-    asks = asked.where("bucket >= 0").select("bucket", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("n"), "chunk", "blob")
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    answers = counts.unionByName(asks).repartition(width, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, "chunk string, bucket int, blob binary")
+    meet; an empty corpus gives counts of 0 (all tokens unknown). ``asked``: the
+    ``sequences`` of ``docs`` where they are there already."""
+    asked = sequences(docs, model, keep, text_col) if asked is None else asked
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    done = answers.unionByName(asked.where("bucket = -1")).groupBy("chunk").applyInPandas(_finish(model.end_count, model.tokens, model.vocabulary), f"{fields}, n_tokens long, n_known long, base_score double, score double")
-    return done
+    finish = _finish(model.of_ending, model.step, model.spread, model.end_count, model.tokens, model.vocabulary)
+    return _told(model.words, asked, asked).applyInPandas(finish, f"{fields}, n_tokens long, n_known long, base_score double, score double")
 
 
 def op6_class_lm(spark, sf_dir: str) -> DataFrame:
     """Contract query: all documents scored by the model of those that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs.where(~held_out()))
-    out = score(docs, model)
+    train = docs.where(~held_out())
+    model = fit(train)
+    asked = sequences(train, model)
+    model = exchange_words(asked, model)
+    out = score(docs, model, asked=asked.unionByName(sequences(docs.where(held_out()), model)))
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -87,3 +87,63 @@ def test_empty_corpus_and_null_ids(spark):
     assert sorted(r.n_known for r in got) == [0, 0] and {r.n_tokens for r in got} == {2, 3}
     assert all(r.base_score == 0 for r in got)  # one place for everything unknown
     assert d.select(classlm.held_out().alias("h")).where(F.col("h").isNull()).count() == 0
+
+
+def test_gains_equal_the_likelihood_of_each_move():
+    rng = np.random.default_rng(3)
+    words, k = 12, 4
+    pairs = rng.poisson(0.7, (words + 1, words + 1)).astype(float)
+    cls = np.append(rng.integers(0, k - 1, words), k - 1)
+
+    def bigrams(of):
+        g = np.zeros((k, k))
+        np.add.at(g, (of[:, None], of[None, :]), pairs)
+        return g
+
+    one = np.eye(k)[cls]
+    g = bigrams(cls)
+    got = classlm.gains((pairs @ one)[:words], (pairs.T @ one)[:words], np.diagonal(pairs)[:words], cls[:words], g)
+    for w in range(words):
+        for b in range(k - 1):
+            to = cls.copy()
+            to[w] = b
+            assert got[w, b] - got[w, cls[w]] == pytest.approx(classlm.likelihood(bigrams(to)) - classlm.likelihood(g), abs=1e-8)
+
+
+def test_every_word_is_exchanged_by_itself(spark):
+    """Words of one ending, none of them among the ``top``, whose two kinds only their order tells apart."""
+    rnd = random.Random(5)
+    kinds = [[f"{c}{k}xyz" for k in range(40)] for c in "ab"]
+    rows = [(i, " ".join(f"{rnd.choice(kinds[0])} left {rnd.choice(kinds[1])} right" for _ in range(20))) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    train = d.where("doc_id < 50")
+    start = classlm.fit(train, classes=4, top=2, endings=4)
+    asked = classlm.sequences(train, start)
+    model = classlm.exchange_words(asked, start, sweeps=4)
+    # a word's own class, from the counts of a plain pass
+    import pyarrow as pa
+
+    from linecast.llm.words import Words
+
+    cls = {r.w: r.cls for r in model.words.collect()}
+    of = [{cls[int(h.view(np.int64))] for h in Words(pa.array([" ".join(kind)])).hashes()} for kind in kinds]
+    assert len(cls) == 82 and not of[0] & of[1]
+    assert np.allclose((10**model.step).sum(axis=1), 1)
+    sums = Counter()
+    for r in model.words.collect():
+        sums[r.cls] += r.n + 1
+    assert all(10 ** model.spread[k] == pytest.approx(n + 1) for k, n in sums.items())
+    held = d.where("doc_id >= 50")
+    score = [classlm.score(held, m).agg(F.sum("score")).first()[0] for m in (start, model)]
+    assert score[1] > score[0]
+    again = {r.doc_id: r.score for r in classlm.score(train, model, asked=asked).collect()}
+    assert again == pytest.approx({r.doc_id: r.score for r in classlm.score(train, model).collect()})
+
+
+def test_exchange_of_no_words(spark):
+    d = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    model = classlm.fit(d, classes=2, top=5, endings=4)
+    got = classlm.exchange_words(classlm.sequences(d, model), model)
+    assert {r.n_tokens for r in classlm.score(d, got).collect()} == {1}
+    empty = classlm.fit(d.limit(0), classes=2, top=5, endings=4)
+    assert classlm.exchange_words(classlm.sequences(d, empty), empty) is empty

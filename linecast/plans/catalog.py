@@ -680,6 +680,14 @@ def q_merge_scores(spark, sf):
     return B.merge_scores(boards)
 
 
+@query("merge_scores_whole", O.with_ctes("SELECT * FROM sb_latest", "sb_latest"))
+def q_merge_scores_whole(spark, sf):
+    """U2 on two boards of all events, the later of which is the latest: every game, at its latest event."""
+    ev = td.scoreboard_events(spark, sf)
+    first = B.scoreboard_latest(ev.withColumn("back", -F.col("seq")), order_cols=("back",), keep=("sport_key",))
+    return B.merge_scores([first, sb_latest(spark, sf)])
+
+
 @query(
     "score_leader",
     O.with_ctes(

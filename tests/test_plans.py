@@ -87,3 +87,19 @@ def test_read_side_filters_reach_the_scan(spark):
     assert "EqualTo(home_team,H7)" in _plan(S.history(div, S.DIVERGENCE_HISTORY_COLS, "H7", "A7"))
     latest = catalog.silver_latest(spark, SF, "divergence")
     assert re.search(r"PartitionFilters: \[isnotnull\(computed_date#\d+\), \(computed_date#\d+ = ", _plan(latest))
+
+
+def test_merged_boards_of_the_whole_table(spark):
+    from tools.oracle_check import digest
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in ("orders", "nation", "customer", "lineitem", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    df = entry.queries()["merge_scores_whole"](spark, SF)
+    rows = [tuple(r) for r in df.collect()]
+    res = con.execute(entry.oracle_sql()["merge_scores_whole"])
+    cols = [c[0] for c in res.description]
+    assert sorted(df.columns) == sorted(cols) and digest(df.columns, rows)[0] == digest(cols, res.fetchall())[0]
+    at = df.columns.index("period")
+    assert {r[at] for r in rows} == {0, 1, 2, 3, 4, 5}

@@ -5,13 +5,16 @@ being one repeated slot. The trees of a host's pages are aligned by simple tree
 match if their labels do, and the children of matched nodes by the sequence alignment with the most
 matched nodes below. What does not match is inserted. A slot counts its pages and keeps the smallest
 few fingerprints of its text, so after all pages are aligned it is known whether it is constant, which
-makes it template, or varies, which makes it content. Menus, headers, footers, sidebars, notices,
+makes it template, or varies, which makes it content. Siblings of one slot are told apart by their blocks of text:
+a block that most different pages of the host have in the same slot is template too, wherever it stands
+among its siblings and however many they are. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts and reader comments are known by element, role and class; a page's article or
 main element, where there is one, bounds the content.
 
 Scale. Wrappers are partial aggregates: each task aligns the pages it reads, by host, and hands on one
 small tree per host, so a host with a third of all pages is never gathered. Trees are merged in two
-steps and hold a bounded number of slots. Pages get their host's wrapper by a join whose small side is
+steps and hold a bounded number of slots. Pages of equal text count once for blocks, and blocks are
+counted by host and fingerprint, in full. Pages get their host's wrapper by a join whose small side is
 broadcast only if its measured size allows it.
 """
 
@@ -295,6 +298,14 @@ def _rank(node: list) -> int:
     return max([node[MAIN], *(_rank(k) for k in node[KIDS])])
 
 
+def block_keys(page: Page) -> list[int]:
+    """Fingerprint of the path of labels and the text of each block, as signed 64 bits."""
+    paths: list[int] = []
+    for label, parent in zip(page.label, page.parent, strict=True):
+        paths.append(xxhash.xxh64_intdigest(label, seed=paths[parent] if parent >= 0 else 0))
+    return [(xxhash.xxh64_intdigest(text, seed=paths[slot]) ^ 1 << 63) - (1 << 63) for slot, text, _ in page.blocks]
+
+
 def apply(page: Page, rule: list | None) -> str:
     """The page's blocks that lie in its main element, where it has one, and are no noise or template."""
     root, nodes = tree(page)
@@ -312,7 +323,13 @@ def apply(page: Page, rule: list | None) -> str:
             else:
                 todo += _pair(node[KIDS], r[2])
     best = max((page.main[slot] for slot, _, _ in page.blocks if not page.noise[slot]), default=0)
-    return "\n".join(text for slot, text, _ in page.blocks if not page.noise[slot] and page.main[slot] >= best and id(nodes[slot]) not in template)
+    same = set(rule[3]) if rule is not None else set()
+    keys = block_keys(page) if same else [0] * len(page.blocks)
+    return "\n".join(
+        text
+        for (slot, text, _), key in zip(page.blocks, keys, strict=True)
+        if not page.noise[slot] and page.main[slot] >= best and id(nodes[slot]) not in template and (not same or key not in same)
+    )
 
 
 def _pair(x: list[list], y: list[list]) -> list[tuple[list, list]]:
@@ -328,30 +345,54 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+_PARTS = "host string, tree string, print long, keys array<long>"
+
+
 def _induce(limit: int):
+    """Trees of the hosts of a task's pages and, per page, the fingerprints of its text and of its blocks."""
+
     def run(batches) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         size = 0
 
+        def made(hosts, trees, prints, keys):
+            return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(trees, pa.string()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["host", "tree", "print", "keys"])
+
         def rows():
-            out = pa.RecordBatch.from_arrays([pa.array([*held], pa.string()), pa.array([json.dumps(v, separators=(",", ":")) for v in held.values()], pa.string())], names=["host", "tree"])
+            none = [None] * len(held)
+            out = made([*held], [json.dumps(v, separators=(",", ":")) for v in held.values()], none, none)
             held.clear()
             return out
 
         for batch in batches:
+            hosts, prints, keys = [], [], []
             for host, text in zip(batch.column("host").to_pylist(), batch.column("__html"), strict=True):
-                root, nodes = tree(Page(text.as_py() or ""))
+                page = Page(text.as_py() or "")
+                root, nodes = tree(page)
+                own = block_keys(page)
+                hosts.append(host)
+                prints.append((xxhash.xxh64_intdigest(repr(own)) ^ 1 << 63) - (1 << 63))
+                keys.append(list(dict.fromkeys(own)))
                 size += len(nodes) if host not in held else 1
                 held[host] = merge(held[host], root) if host in held else root
                 if size > limit:
                     yield rows()
                     size = 0
+            yield made(hosts, [None] * len(hosts), prints, keys)
         if held:
             yield rows()
 
     return run
 
 
+def _same(part: DataFrame) -> DataFrame:
+    """``(host, same)``: the blocks on at least three, and four fifths, of the host's different pages."""
+    pages = part.where("tree IS NULL").groupBy("host", "print").agg(F.first("keys").alias("keys"))
+    total = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    blocks = pages.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where("n >= 3")
+    return blocks.join(total, "host").where("5 * n >= 4 * pages").groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("same"))
+
+
 def _merge_trees(pdf: pd.DataFrame) -> pd.DataFrame:
     trees = sorted(pdf["tree"])
     out = functools.reduce(merge, map(json.loads, trees))
@@ -361,19 +402,19 @@ def _merge_trees(pdf: pd.DataFrame) -> pd.DataFrame:
 def _rules(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text in batch.column("tree").to_pylist():
+        for text, same in zip(batch.column("tree").to_pylist(), batch.column("same").to_pylist(), strict=True):
             node = json.loads(text)
-            out.append(json.dumps(wrapper(node, node[PAGES]), separators=(",", ":")))
+            out.append(json.dumps([*wrapper(node, node[PAGES]), (same or []) if _varies(node) else []], separators=(",", ":")))
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.string())], names=["host", "rule"])
 
 
 def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html", limit: int = 500_000) -> DataFrame:
     """``(host, rule)``: the wrapper of every host, from all its pages. ``limit``: slots a task holds."""
     src = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("__html")).where(F.col("__html").isNotNull())
-    part = src.mapInArrow(_induce(limit), "host string, tree string")
-    some = part.withColumn("deal", F.pmod(F.xxhash64("tree"), F.lit(16))).groupBy("host", "deal").applyInPandas(_merge_trees, "host string, tree string")
+    part = written(src.mapInArrow(_induce(limit), _PARTS), "trees")
+    some = part.where("tree IS NOT NULL").select("host", "tree").withColumn("deal", F.pmod(F.xxhash64("tree"), F.lit(16))).groupBy("host", "deal").applyInPandas(_merge_trees, "host string, tree string")
     whole = some.groupBy("host").applyInPandas(_merge_trees, "host string, tree string")
-    return written(whole.mapInArrow(_rules, "host string, rule string"), "wrappers")
+    return written(whole.join(_same(part), "host", "left").mapInArrow(_rules, "host string, rule string"), "wrappers")
 
 
 def _extract(batches) -> Iterator[pa.RecordBatch]:

@@ -67,3 +67,27 @@ def test_matching_is_the_greatest_common_tree():
     merged = W.merge(a, b)
     assert [k[W.LABEL] for k in merged[W.KIDS]] == ["nav", "div", "aside", "footer"]
     assert [k[W.PAGES] for k in merged[W.KIDS]] == [1, 2, 1, 2]
+
+
+def test_constant_siblings_without_names_are_template(spark):
+    def body(k):
+        return f"<div><p>Our great site</p></div><div><h2>Title {k}</h2><p>Text {k} here.</p></div><div><p>All rights reserved</p></div>"
+
+    got = run(spark, [(k, "https://plain.example/", page(k, body(k))) for k in range(5)])
+    assert got == {k: f"Title {k}\nText {k} here." for k in range(5)}
+
+
+def test_constant_paragraph_among_varying_ones_is_template(spark):
+    def body(k):
+        ps = [f"<p>text {k} {j}</p>" for j in range(2 + k)]
+        ps.insert(k % 3, "<p>Support our work</p>")
+        return f"<article><h1>Head {k}</h1>{''.join(ps)}</article>"
+
+    got = run(spark, [(k, "http://p.example/", page(k, body(k))) for k in range(6)])
+    assert got == {k: "\n".join([f"Head {k}", *(f"text {k} {j}" for j in range(2 + k))]) for k in range(6)}
+
+
+def test_copies_of_a_page_count_once(spark):
+    rows = [(k, "http://n.example/", page(0, "<article><h1>Same</h1><p>text</p></article>")) for k in range(8)]
+    got = run(spark, [*rows, (8, "http://n.example/", page(0, "<article><h1>Other</h1><p>words</p></article>"))])
+    assert got[0] == "Same\ntext" and got[8] == "Other\nwords"

@@ -1182,3 +1182,48 @@ def q_job_tickers(spark, sf):
     sport_dim, team_dim, _ = td.test_dims(spark, sf)
     markets = spark.createDataFrame([], "event_ticker STRING, market_ticker STRING")
     return jobs.job_tickers(parsed_games(spark, sf), sport_dim, team_dim, markets, order=("seq",))["tickers"]
+
+
+def _job_tickers(spark, sf):
+    """The job over the games of the odds feed, with the markets of ``ticker_lookup``."""
+    sport_dim, team_dim, _ = td.test_dims(spark, sf)
+    games = flat_odds(spark, sf, poll="day").select("sport_key", "home_team", "away_team", "commence_time").distinct()
+    q = td.raw_quotes(spark, sf).select(
+        F.col("sport").alias("sport_key"), "home_team", "away_team", "game_date", "market_ticker", "status", "ingested_at", "event_id"
+    )
+    markets = D.games_to_tickers(q, sport_dim, team_dim, tz="UTC", start_col="game_date")
+    markets = markets.select("event_ticker", "market_ticker", "status", "ingested_at", "event_id")
+    return jobs.job_tickers(games, sport_dim, team_dim, markets, tz="UTC", order=("commence_time",))
+
+
+_ODDS_DRAINED = """(SELECT sport_key, home_team, away_team, commence_time, substr(CAST(commence_time AS VARCHAR), 1, 10) AS game_date
+      FROM odds_games QUALIFY row_number() OVER (PARTITION BY sport_key, home_team, away_team, substr(CAST(commence_time AS VARCHAR), 1, 10)
+                                                 ORDER BY commence_time DESC) = 1) dr"""
+
+
+@query(
+    "job_tickers_markets",
+    O.with_ctes(
+        f"""SELECT t.*, m.market_ticker, m.status, m.ingested_at, m.event_id
+      FROM ({_ticker_sql(_ODDS_DRAINED, 'commence_time', 'UTC', 'sport_key, home_team, away_team, commence_time, game_date')}) t
+      JOIN ({_ticker_sql('quote_games', 'game_date', 'UTC', 'market_ticker, status, ingested_at, event_id')}) m
+        ON t.event_ticker = m.event_ticker""",
+        "odds_games",
+        "quote_games",
+    ),
+)
+def q_job_tickers_markets(spark, sf):
+    return _job_tickers(spark, sf)["markets"]
+
+
+@query(
+    "job_tickers_unmatched",
+    O.with_ctes(
+        """SELECT DISTINCT sport_key, team FROM (SELECT sport_key, home_team AS team FROM odds_games
+        UNION ALL SELECT sport_key, away_team FROM odds_games) s
+      WHERE CAST(substr(team, 2) AS INTEGER) >= 25 AND sport_key IN ('basketball_nba', 'basketball_ncaab')""",
+        "odds_games",
+    ),
+)
+def q_job_tickers_unmatched(spark, sf):
+    return _job_tickers(spark, sf)["unmatched"]

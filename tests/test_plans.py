@@ -103,3 +103,20 @@ def test_merged_boards_of_the_whole_table(spark):
     assert sorted(df.columns) == sorted(cols) and digest(df.columns, rows)[0] == digest(cols, res.fetchall())[0]
     at = df.columns.index("period")
     assert {r[at] for r in rows} == {0, 1, 2, 3, 4, 5}
+
+
+def test_ticker_job_looks_up_markets_and_reports_teams(spark):
+    from tools.oracle_check import digest
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in ("orders", "nation", "customer", "lineitem", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    for name in ("job_tickers_markets", "job_tickers_unmatched"):
+        df = entry.queries()[name](spark, sf)
+        rows = [tuple(r) for r in df.collect()]
+        res = con.execute(entry.oracle_sql()[name])
+        cols = [c[0] for c in res.description]
+        assert rows and sorted(df.columns) == sorted(cols), name
+        assert digest(df.columns, rows)[0] == digest(cols, res.fetchall())[0], name

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linecast.llm import bm25, classlm, decontam, mixing, neardup, perspectives, sharding, substrings, toxicity, wrapper
+from linecast.llm import bm25, classlm, codebooks, decontam, mixing, neardup, negatives, perspectives, sharding, substrings, toxicity, wrapper
 
 QUERIES = {
     "op1_wrapper_extraction": wrapper.op1_wrapper_extraction,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_ftrl_toxicity": toxicity.op8_toxicity,
     "op9_extendible_sharding": sharding.op9_sharding,
     "op10_benchmark_decontamination": decontam.op10_decontaminate,
+    "op12_vector_codes": codebooks.op12_vector_codes,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
@@ -22,4 +24,6 @@ ORACLE: dict[str, str] = {
     "op5_bm25_topk": bm25.ORACLE_OP5,
     "op9_extendible_sharding": sharding.ORACLE_OP9,
     "op10_benchmark_decontamination": decontam.ORACLE_OP10,
+    "op12_vector_codes": codebooks.ORACLE_OP12,
+    "op13_hard_negatives": negatives.ORACLE_OP13,
 }

@@ -9,7 +9,7 @@ from linecast.llm.scratch import table
 from tests.llm.test_neardup import brute as near_brute
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents pages benchmark labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 def test_ten_queries():

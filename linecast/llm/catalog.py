@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linecast.llm import bm25, classlm, codebooks, decontam, mixing, neardup, negatives, perspectives, sharding, substrings, toxicity, wrapper
+from linecast.llm import bm25, classlm, codebooks, decontam, fingerprints, mixing, neardup, negatives, perspectives, sharding, substrings, toxicity, wrapper
 
 QUERIES = {
     "op1_wrapper_extraction": wrapper.op1_wrapper_extraction,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ftrl_toxicity": toxicity.op8_toxicity,
     "op9_extendible_sharding": sharding.op9_sharding,
     "op10_benchmark_decontamination": decontam.op10_decontaminate,
+    "op11_fingerprints": fingerprints.op11_fingerprints,
     "op12_vector_codes": codebooks.op12_vector_codes,
     "op13_hard_negatives": negatives.op13_hard_negatives,
 }

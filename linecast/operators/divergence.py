@@ -57,15 +57,19 @@ def score_divergence(
     pairs: DataFrame, threshold: float = DIVERGENCE_THRESHOLD, computed_at: Column | str | None = None, quote_ts: str = "ingested_at"
 ) -> DataFrame:
     """F2 + F13 on rows holding ``kalshi_implied_prob`` and ``sportsbook_home_prob``. The quote's time
-    (``quote_ts``) stays on the row: it tells the quotes of one run apart when loads repeat."""
+    (``quote_ts``) stays on the row: it tells the quotes of one run apart when loads repeat. Rows
+    without that column, or without the other columns of a signal that come from a feed, get null."""
     k, s = "kalshi_implied_prob", "sportsbook_home_prob"
+    if quote_ts in pairs.columns:
+        pairs = with_timestamp(pairs, quote_ts, "quote_ingested_at")
+    else:
+        pairs = pairs.withColumn("quote_ingested_at", F.lit(None).cast("timestamp"))
     return (
         pairs.withColumn("divergence", divergence(k, s))
         .withColumn("signal_direction", divergence_direction(k, s))
         .withColumn("is_divergence_signal", flag_at_least("divergence", threshold))
         .withColumn("signal_type", F.lit(DIVERGENCE_SIGNAL))
         .withColumn("computed_at", batch_time(computed_at))
-        .withColumn("quote_ingested_at", F.col(quote_ts))
         .select(*DIVERGENCE_COLUMNS)
     )
 

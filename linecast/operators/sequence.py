@@ -1,7 +1,7 @@
 """Skew-safe ordered operators: previous row (``lag``) and as-of lookup.
 
 A plain ``Window.partitionBy(key)`` puts every row of a key in one task; one hot game (a third
-of all rows) would then be one task. Here each key is cut into time segments:
+of all rows) would then be one task. Here each key is cut into segments of its order:
 
 1. window over ``(key, segment)`` - the single shuffle of the big input;
 2. one summary row per ``(key, segment)``, aggregated map-side from the (column-pruned) input, so
@@ -10,12 +10,13 @@ of all rows) would then be one task. Here each key is cut into time segments:
 4. the carry is joined back on ``(key, segment)``: the big side is already partitioned on those
    keys, so only the summary moves (or is broadcast when AQE measures it small).
 
-The result equals the whole-key window exactly. Segment width is a parameter: smaller widths
-split hot keys finer at the price of a larger summary (one row per key and non-empty segment).
-``segment_seconds="auto"``, the default, sizes segments per key instead: keys with more than ``target_rows``
-rows (at most ``rows / target_rows`` of them, so the list is bounded and size-checked before it is
-broadcast) get a width that puts about ``target_rows`` rows in a segment; all other keys keep the
-default width (a whole such key is already below the target).
+The result equals the whole-key window exactly. ``segment_seconds="auto"``, the default, cuts hot keys
+at equal depth: about ``SAMPLES`` rows of every ``target_rows`` are sampled in one pruned pass without
+a large shuffle, and a key with more samples than that gets every ``SAMPLES``-th as a bound. A row finds
+its segment by binary search among its key's bounds. Bounds are values of the whole order (time and
+tie-breaks), so neither a stray time, nor null times, nor many rows at one instant leave a segment
+above twice the target. Without a hot key there are no segments: one plain window, one scan.
+A number of seconds cuts all keys into segments of that width instead.
 """
 
 from __future__ import annotations
@@ -27,8 +28,15 @@ from pyspark.sql import functions as F
 
 KEY = "__seq_key"
 SEG = "__seq_seg"
+ORD = "__seq_ord"
 DEFAULT_SEGMENT_SECONDS = 3600
 DEFAULT_TARGET_ROWS = 1_000_000
+#: Sampled rows that a segment of a hot key holds; the depth of segments varies by 1 / sqrt(SAMPLES).
+SAMPLES = 32
+#: Bounds that are broadcast; more go through a join that adaptive execution splits where it is skewed.
+BROADCAST_BOUNDS = 1_000_000
+#: An input is not sampled if it stays below the target even when its files are so many times compressed.
+COMPRESSION = 16
 _MIN_SEG = -(2**63)
 
 
@@ -39,41 +47,49 @@ def segment_of(ts: Column | str, segment_seconds: int) -> Column:
     return F.coalesce(seg, F.lit(_MIN_SEG).cast("long"))
 
 
-def _micros(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+def _keyed(df: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    # The key columns travel once, inside one struct: a struct key compares null fields as equal
+    # (null keys group together as in a window) and plain equality on it keeps the join keys
+    # identical to the window's partitioning, so the big side is never shuffled a second time.
+    rest = [F.col(c) for c in df.columns if c not in keys]
+    return df.select(*rest, F.struct(*[F.col(k) for k in keys]).alias(KEY), *more)
 
 
-def _hot_keys(frames: Sequence[tuple[DataFrame, str]], keys: Sequence[str], target_rows: int) -> DataFrame:
-    """Per-key segment width (microseconds) for keys above ``target_rows`` rows."""
-    from linecast.session import ensure_checkpoint_dir
+def _may_hold_hot_keys(df: DataFrame, target_rows: int) -> bool:
+    from linecast.session import estimated_bytes
 
-    parts = [df.select(F.struct(*[F.col(k) for k in keys]).alias(KEY), _micros(ts).alias("__us")) for df, ts in frames]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    stats = u.groupBy(KEY).agg(F.count(F.lit(1)).alias("__n"), F.min("__us").alias("__lo"), F.max("__us").alias("__hi"))
-    hot = stats.where(F.col("__n") > target_rows)
-    width = F.greatest(F.lit(1_000_000).cast("long"), F.ceil((F.col("__hi") - F.col("__lo") + 1) * target_rows / F.col("__n")).cast("long"))
-    # Stored once in the shared checkpoint folder, so the pass over the input is not repeated by the join.
-    ensure_checkpoint_dir(hot.sparkSession)
-    return hot.select(KEY, F.col("__lo").alias("__hot_lo"), width.alias("__hot_w")).checkpoint(eager=True)
+    return estimated_bytes(df) * COMPRESSION >= target_rows * max(int(df._jdf.schema().defaultSize()), 1)
 
 
-def _with_key(df: DataFrame, keys: Sequence[str], ts: str, segment_seconds, hot: DataFrame | None = None) -> DataFrame:
-    # The key columns travel once, inside one struct: a struct key compares null fields as equal
-    # (null keys group together as in a window) and plain equality on it keeps the join keys
-    # identical to the window's partitioning, so the big side is never shuffled a second time.
-    rest = [F.col(c) for c in df.columns if c not in keys]
-    base = df.select(*rest, F.struct(*[F.col(k) for k in keys]).alias(KEY), F.col(ts).alias("__segts"))
-    width = DEFAULT_SEGMENT_SECONDS if segment_seconds == "auto" else int(segment_seconds)
-    seg = segment_of("__segts", width)
-    if hot is not None:
-        base = base.join(hot, on=KEY, how="left")
-        us = _micros("__segts")
-        hot_seg = F.coalesce(F.floor((us - F.col("__hot_lo")) / F.col("__hot_w")), F.lit(_MIN_SEG).cast("long"))
-        # Hot keys count segments from their own first row; both numberings increase with time.
-        seg = F.when(F.col("__hot_w").isNotNull(), hot_seg).otherwise(seg)
-    return base.select(*rest, KEY, seg.alias(SEG))
+def hot_bounds(keyed: DataFrame, target_rows: int) -> tuple[DataFrame, int] | None:
+    """Bounds of the hot keys of rows ``(KEY, ORD)``: one row per hot key with the sorted bounds that cut
+    it into segments of about ``target_rows`` rows, and the steps a binary search of them takes. None
+    without hot keys. At most ``SAMPLES / target_rows`` of the rows are gathered."""
+    from linecast.session import ensure_checkpoint_dir
+
+    if not _may_hold_hot_keys(keyed, target_rows):
+        return None
+    sample = keyed.select(KEY, ORD).where(F.rand(17) < SAMPLES / target_rows)
+    per_key = sample.groupBy(KEY).agg(F.sort_array(F.collect_list(ORD)).alias("__s")).where(F.size("__s") > SAMPLES)
+    bounds = per_key.select(KEY, F.filter("__s", lambda x, i: i % SAMPLES == SAMPLES - 1).alias("__bounds"))
+    # Stored once in the shared checkpoint folder, so that all uses see the same sample.
+    ensure_checkpoint_dir(keyed.sparkSession)
+    bounds = bounds.checkpoint(eager=True)
+    most, total = bounds.agg(F.max(F.size("__bounds")), F.sum(F.size("__bounds"))).first()
+    if most is None:
+        return None
+    return (F.broadcast(bounds) if total <= BROADCAST_BOUNDS else bounds), int(most).bit_length()
+
+
+def numbered(keyed: DataFrame, bounds: tuple[DataFrame, int]) -> DataFrame:
+    """Add ``SEG``: how many bounds of its key are at or below the row (0 for keys that are not hot)."""
+    table, steps = bounds
+    out = keyed.join(table, on=KEY, how="left").withColumn(SEG, F.lit(0))
+    for k in reversed(range(steps)):
+        at = F.col(SEG) + F.lit(1 << k)
+        # A place beyond the last bound is null, and the row stays below it.
+        out = out.withColumn(SEG, F.when(F.get("__bounds", at - 1) <= F.col(ORD), at).otherwise(F.col(SEG)))
+    return out.drop("__bounds")
 
 
 def _unkey(keys: Sequence[str], columns: Sequence[str]) -> list[Column]:
@@ -95,8 +111,15 @@ def segmented_lag(
 
     ``order`` must start with ``ts`` and should end in a unique tie-break for a deterministic result.
     """
-    hot = _hot_keys([(df, ts)], keys, target_rows) if segment_seconds == "auto" else None
-    base = _with_key(df, keys, ts, segment_seconds, hot)
+    w = Window.partitionBy(*keys).orderBy(*[F.col(o).asc_nulls_first() for o in order])
+    if segment_seconds == "auto":
+        base = _keyed(df, keys, F.struct(*[F.col(o) for o in order]).alias(ORD))
+        bounds = hot_bounds(base, target_rows)
+        if bounds is None:
+            return df.select("*", *[F.lag(v, 1).over(w).alias(prefix + v) for v in values])
+        base = numbered(base, bounds).drop(ORD)
+    else:
+        base = _keyed(df, keys, segment_of(ts, int(segment_seconds)).alias(SEG))
     w = Window.partitionBy(KEY, SEG).orderBy(*[F.col(o).asc_nulls_first() for o in order])
     lags = [F.lag(F.col(v), 1).over(w).alias(f"__lag{i}") for i, v in enumerate(values)]
     local = base.select("*", F.lag(F.lit(True), 1).over(w).alias("__has"), *lags)
@@ -136,49 +159,50 @@ def segmented_asof(
     right = right.where(F.col(right_ts).isNotNull())
     if how == "inner":
         left = left.where(F.col(left_ts).isNotNull())
-    hot = _hot_keys([(left, left_ts), (right, right_ts)], keys, target_rows) if segment_seconds == "auto" else None
-    l_prep = (
-        _with_key(left, keys, left_ts, segment_seconds, hot)
-        .select(
-            KEY,
-            SEG,
-            F.col(left_ts).cast("timestamp").alias("__t"),
-            F.lit(1).alias("__side"),
-            F.struct(*[F.col(c) for c in lcols if c not in keys]).alias("__l"),
-        )
-    )
-    val = F.struct(*[F.col(v) for v in right_values])
+    fixed = segment_seconds != "auto"
+
+    def side(df: DataFrame, ts: str, number: int, *more: Column) -> DataFrame:
+        seg = [segment_of(ts, int(segment_seconds)).alias(SEG)] if fixed else []
+        t = F.col(ts).cast("timestamp").alias("__t")
+        return df.select(F.struct(*[F.col(k) for k in keys]).alias(KEY), *seg, t, F.lit(number).alias("__side"), *more)
+
+    l_prep = side(left, left_ts, 1, F.struct(*[F.col(c) for c in lcols if c not in keys]).alias("__l"))
     tie = F.struct(*[F.col(t) for t in right_tie]) if right_tie else F.lit(0)
-    r_prep = _with_key(right, keys, right_ts, segment_seconds, hot).select(
-        KEY,
-        SEG,
-        F.col(right_ts).cast("timestamp").alias("__t"),
-        F.lit(0).alias("__side"),
-        tie.alias("__tie"),
-        val.alias("__v"),
-    )
+    r_prep = side(right, right_ts, 0, tie.alias("__tie"), F.struct(*[F.col(v) for v in right_values]).alias("__v"))
     both = l_prep.unionByName(r_prep, allowMissingColumns=True)
+    part = [KEY, SEG]
+    if not fixed:
+        # Left rows of one instant need no order among them; a hash of the row lets them be cut apart.
+        order = F.struct("__t", "__side", "__tie", F.when(F.col("__side") == 1, F.xxhash64("__l")).alias("h"))
+        both = both.withColumn(ORD, order)
+        bounds = hot_bounds(both, target_rows)
+        if bounds is None:
+            part = [KEY]
+        else:
+            both = numbered(both, bounds)
+        both = both.drop(ORD)
 
     # Right rows sort before left rows at equal time (<=), then by their tie-break.
     w = (
-        Window.partitionBy(KEY, SEG)
+        Window.partitionBy(*part)
         .orderBy(F.col("__t").asc_nulls_first(), "__side", "__tie")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     filled = both.withColumn("__loc", F.last("__v", ignorenulls=True).over(w))
-
-    # One summary row for every non-empty segment (left-only segments too), holding the last
-    # right value inside it; max_by skips the rows whose ordering is null (the left rows).
-    is_right = F.col("__side") == 0
-    seg_last = filled.groupBy(KEY, SEG).agg(
-        F.max_by("__v", F.when(is_right, F.struct("__t", "__tie"))).alias("__last")
-    )
-    wc = Window.partitionBy(KEY).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
-    carry = seg_last.select(KEY, SEG, F.last("__last", ignorenulls=True).over(wc).alias("__carry"))
-
     lefts = filled.where(F.col("__side") == 1)
-    joined = lefts.join(carry, on=[KEY, SEG], how="left")
-    v = F.when(F.col("__t").isNotNull(), F.coalesce(F.col("__loc"), F.col("__carry")))
+
+    if SEG in part:
+        # One summary row for every non-empty segment (left-only segments too), holding the last
+        # right value inside it; max_by skips the rows whose ordering is null (the left rows).
+        is_right = F.col("__side") == 0
+        seg_last = filled.groupBy(KEY, SEG).agg(F.max_by("__v", F.when(is_right, F.struct("__t", "__tie"))).alias("__last"))
+        wc = Window.partitionBy(KEY).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+        carry = seg_last.select(KEY, SEG, F.last("__last", ignorenulls=True).over(wc).alias("__carry"))
+        joined = lefts.join(carry, on=[KEY, SEG], how="left")
+        found = F.coalesce(F.col("__loc"), F.col("__carry"))
+    else:
+        joined, found = lefts, F.col("__loc")
+    v = F.when(F.col("__t").isNotNull(), found)
     left_cols = [F.col(KEY)[c].alias(c) if c in keys else F.col("__l")[c].alias(c) for c in lcols]
     out = joined.select(*left_cols, *[v[x].alias(x) for x in right_values], v.isNotNull().alias("__hit"))
     if how == "inner":

@@ -194,6 +194,23 @@ def signals_summary(divergence: DataFrame, sharp: DataFrame, exclude: Sequence[s
     return agg.orderBy(F.col("sport_key").asc(), F.col("signal_count").desc(), "home_team", "away_team")
 
 
+def summary_partials(df: DataFrame, day: str = "computed_date") -> DataFrame:
+    """A2's additive part of a signal table: count and latest batch time per day, sport and game. Null
+    sports and excluded ones are kept; the filter belongs to the reading side."""
+    return df.groupBy(day, "sport_key", *GAME_KEYS).agg(F.count(F.lit(1)).alias("n"), F.max("computed_at").alias("latest"))
+
+
+def merge_summaries(*partials: DataFrame, exclude: Sequence[str] | None = WOMENS_SPORTS) -> DataFrame:
+    """A2 + T6 from the partials of any number of tables and days: equal to :func:`signals_summary`."""
+    u = partials[0].drop("computed_date")
+    for p in partials[1:]:
+        u = u.unionByName(p.drop("computed_date"))
+    if exclude:
+        u = exclude_womens(u, exclude)
+    agg = u.groupBy("sport_key", *GAME_KEYS).agg(F.sum("n").alias("signal_count"), F.max("latest").alias("latest_computed_at"))
+    return agg.orderBy(F.col("sport_key").asc(), F.col("signal_count").desc(), *GAME_KEYS)
+
+
 def distinct_sports(divergence: DataFrame, sharp: DataFrame) -> DataFrame:
     """Distinct sport keys over both signal sets."""
     return divergence.select("sport_key").unionByName(sharp.select("sport_key")).distinct()

@@ -111,7 +111,7 @@ def silver_path(spark: SparkSession, sf: str, name: str) -> str:
     if key not in _SILVER:
         df = divergence_signals(spark, sf) if name == "divergence" else sharp_signals(spark, sf)
         path = scratch_path(spark, f"silver-{name}")
-        T.write_signals(df, path, versioned=True)
+        T.write_signals(df, path, versioned=True, flag="is_divergence_signal" if name == "divergence" else "is_sharp_signal")
         _SILVER[key] = path
     return _SILVER[key]
 
@@ -663,12 +663,12 @@ def q_scoreboard_latest(spark, sf):
     return sb_latest(spark, sf)
 
 
+# Every event is read by one of the two boards: those of finished games, and all others.
 _OVERLAP = """SELECT * EXCLUDE (b) FROM (
       SELECT 'A' || g || '|' || 'H' || g AS game_key, 'H' || g AS home_team, 'A' || g AS away_team, home_score, away_score,
         upper(substr(state, 1, 1)) || substr(state, 2) AS status, state, period, display_clock, date AS commence_time, sport_key, b
-      FROM (SELECT *, 0 AS b FROM sb_events WHERE seq % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY g ORDER BY seq DESC) = 1
-            UNION ALL
-            SELECT *, 1 AS b FROM sb_events WHERE seq % 2 = 0 QUALIFY row_number() OVER (PARTITION BY g ORDER BY seq DESC) = 1) u)
+      FROM (SELECT *, state = 'post' AS b FROM sb_events
+            QUALIFY row_number() OVER (PARTITION BY g, state = 'post' ORDER BY seq DESC) = 1) u)
     QUALIFY row_number() OVER (PARTITION BY game_key ORDER BY b DESC) = 1"""
 
 
@@ -676,7 +676,8 @@ _OVERLAP = """SELECT * EXCLUDE (b) FROM (
 def q_merge_scores(spark, sf):
     """U2 on two boards with common games: the later board wins even where its entry is the older one."""
     ev = td.scoreboard_events(spark, sf)
-    boards = [B.scoreboard_latest(ev.where(c), order_cols=("seq",), keep=("sport_key",)) for c in (F.col("seq") % 3 != 0, F.col("seq") % 2 == 0)]
+    final = F.col("event.status.type.state") == "post"
+    boards = [B.scoreboard_latest(ev.where(c), order_cols=("seq",), keep=("sport_key",)) for c in (~final, final)]
     return B.merge_scores(boards)
 
 
@@ -924,7 +925,7 @@ def q_load_history(spark, sf):
         ING.run(ING.load_history(spark, f"{base}/export", schema, f"{base}/warehouse", f"{base}/_ckpt", errors=f"{base}/errors"))
     if spark.read.text(f"{base}/errors").count() != 2 * silver.count():
         raise RuntimeError("broken lines must all reach the error folder")
-    loaded = spark.read.parquet(f"{base}/warehouse").drop("load_date")
+    loaded = spark.read.parquet(f"{base}/warehouse").drop(ING.LOAD, "load_date")
     dedup = S.minute_dedup(loaded, S.SHARP_ROW, order=("computed_at",))
     out = dedup.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in ("computed_at", "commence_time", "ingested_at_ts") else F.col(c) for c in dedup.columns])
     return round_doubles(out)
@@ -1018,7 +1019,7 @@ def q_topic_log_to_bronze(spark, sf):
     raw.select(F.lit("raw-odds").alias("topic"), line.alias("value")).write.parquet(f"{base}/topic_log")
     stream = spark.readStream.schema("topic STRING, value STRING").parquet(f"{base}/topic_log")
     jobs.job_topics(spark, stream, {"raw-odds": "odds"}, f"{base}/landing", f"{base}/bronze", f"{base}/_ckpt")
-    flat = flatten_odds(ING.read_bronze(spark, f"{base}/bronze/odds"))
+    flat = flatten_odds(jobs.read_feed(spark, f"{base}/bronze", f"{base}/_ckpt", "odds"))
     times = [F.col(c).cast("timestamp").cast("timestamp_ntz").alias(c) if c in ("commence_time", "ingested_at") else F.col(c) for c in flat.columns]
     flat = flat.select(*times).withColumn("id", F.col("id").cast("long"))  # the feed declares text ids
     return round_doubles(flat.select(*[c.strip() for c in _TOPIC_COLS.split(",")]))
@@ -1227,3 +1228,7 @@ def q_job_tickers_markets(spark, sf):
 )
 def q_job_tickers_unmatched(spark, sf):
     return _job_tickers(spark, sf)["unmatched"]
+
+
+# Rows that need more than one table or run; they register themselves here.
+from linecast.plans import flows  # noqa: E402, F401

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from linecast import schemas
 from linecast.functions.odds import DIVERGENCE_THRESHOLD, MAJOR_BOOKS, SHARP_MONEY_THRESHOLD
@@ -24,6 +26,7 @@ from linecast.operators.odds import consensus, flatten_odds, home_consensus
 from linecast.operators.quotes import kalshi_mid
 from linecast.sources import tables as T
 from linecast.streaming import ingest as ING
+from linecast.streaming import rescue as RES
 
 
 @dataclass
@@ -36,23 +39,28 @@ class SignalOutputs:
 
 def job_bronze(spark: SparkSession, landing: Mapping[str, str], bronze: str, checkpoints: str) -> dict:
     """S1-S3 x3 + S14: drain the landing folders into Bronze tables (once-per-file), the streams running
-    concurrently. Each feed starts from its declared schema and takes up new fields before the files
-    that carry them are read (S2). Returns the rows each table gained (counts before and after, which
-    Parquet footers answer) and the Bronze table counts as a frame."""
-
-    def rows(feed: str) -> int:
-        return ING.read_bronze(spark, f"{bronze}/{feed}").count() if T.folder_exists(spark, f"{bronze}/{feed}/_spark_metadata") else 0
-
-    before = {feed: rows(feed) for feed in landing}
-    queries = []
-    for feed, src in landing.items():
-        schema = ING.evolving_schema(spark, src, f"{checkpoints}/{feed}_schema", schemas.feed_schema(feed))
-        queries.append(ING.ingest_json_stream(spark, src, schema, f"{bronze}/{feed}", f"{checkpoints}/{feed}"))
+    concurrently. Each feed starts from its declared schema and grows by what its files bring; what does
+    not fit is kept (:mod:`linecast.streaming.rescue`). Returns the rows each table gained and the Bronze
+    table counts as a frame, with rescued rows and broken lines as flagged; both come from the counts
+    observed while writing, and neither scans a table."""
+
+    def totals(feed: str) -> tuple[int, int]:
+        row = RES.ingest_ledger(spark, f"{checkpoints}/{feed}").agg(F.sum("n_rows"), F.sum("n_rescued")).first()
+        return row[0] or 0, row[1] or 0
+
+    before = {feed: totals(feed)[0] for feed in landing}
+    queries = [RES.ingest_rescued(spark, src, schemas.feed_schema(feed), f"{bronze}/{feed}", f"{checkpoints}/{feed}") for feed, src in landing.items()]
     for q in queries:
         ING.run(q)
-    ingested = {feed: rows(feed) - before[feed] for feed in landing}
-    tables = T.table_counts({f"raw_{feed}": (ING.read_bronze(spark, f"{bronze}/{feed}"), None) for feed in landing})
-    return {"ingested": ingested, "tables": tables}
+    after = {feed: totals(feed) for feed in landing}
+    rows = [(f"raw_{feed}", n, flagged) for feed, (n, flagged) in after.items()]
+    tables = spark.createDataFrame(rows, "table_name STRING, n_rows LONG, n_flagged LONG")
+    return {"ingested": {feed: after[feed][0] - before[feed] for feed in landing}, "tables": tables}
+
+
+def read_feed(spark: SparkSession, bronze: str, checkpoints: str, feed: str) -> DataFrame:
+    """A Bronze table of :func:`job_bronze` by its schema of now, without the columns of the ingest."""
+    return RES.read_rescued(spark, f"{bronze}/{feed}", f"{checkpoints}/{feed}").drop(RES.RESCUED, RES.BATCH)
 
 
 def job_topics(spark: SparkSession, messages: DataFrame, routes: Mapping[str, str], landing: str, bronze: str, checkpoints: str) -> dict:
@@ -77,7 +85,7 @@ def job_signals(
     segment_seconds: int | str = "auto",
 ) -> SignalOutputs:
     """job_divergence + job_sharp_money: both signal tables written once each (S10), the flagged
-    rows exported as JSON from the written tables (S11), counts from the written tables (S14).
+    rows exported as JSON from the written tables (S11), counts observed while writing (S14).
     Shuffle partitions are sized from the inputs' estimated size first."""
     from linecast.session import size_shuffle_partitions
 
@@ -92,15 +100,15 @@ def job_signals(
     sharp = sharp_money(flat, books=sharp_books, threshold=sharp_threshold, computed_at=computed_at, tie=tie, segment_seconds=segment_seconds)
 
     paths = {"divergence": f"{out}/silver/divergence_signals", "sharp": f"{out}/silver/sharp_money_signals"}
-    T.write_signals(div, paths["divergence"], versioned=True)
-    T.write_signals(sharp, paths["sharp"], versioned=True)
+    T.write_signals(div, paths["divergence"], versioned=True, flag="is_divergence_signal")
+    T.write_signals(sharp, paths["sharp"], versioned=True, flag="is_sharp_signal")
     d = T.read_signals(spark, paths["divergence"], schema=T.written_schema(div))
     s = T.read_signals(spark, paths["sharp"], schema=T.written_schema(sharp))
     exports = {
         "divergence": T.export_signals_json(d.drop("computed_date"), "is_divergence_signal", f"{out}/processed/divergence_signals"),
         "sharp": T.export_signals_json(s.drop("computed_date"), "is_sharp_signal", f"{out}/processed/sharp_money_signals"),
     }
-    counts = T.table_counts({"divergence_signals": (d, "is_divergence_signal"), "sharp_money_signals": (s, "is_sharp_signal")}).collect()
+    counts = T.commit_counts(spark, {"divergence_signals": paths["divergence"], "sharp_money_signals": paths["sharp"]}).collect()
     return SignalOutputs(paths["divergence"], paths["sharp"], exports, [tuple(r) for r in counts])
 
 
@@ -112,8 +120,8 @@ def job_history(spark: SparkSession, exports: Mapping[str, str], warehouse: str,
     for name, src in exports.items():
         ING.run(ING.load_history(spark, src, specs[name], f"{warehouse}/{name}", f"{checkpoints}/{name}", errors=f"{warehouse}/{name}_errors"))
         expected = T.written_schema(spark.createDataFrame([], ING.lower_names(specs[name])), None)
-        expected = expected.add("load_date", "date")
-        loaded = T.read_signals(spark, f"{warehouse}/{name}", schema=expected).drop("load_date")
+        expected = expected.add(ING.LOAD, "long").add("load_date", "date")
+        loaded = T.read_signals(spark, f"{warehouse}/{name}", schema=expected).drop(ING.LOAD, "load_date")
         keys = S.DIVERGENCE_ROW if name == "divergence" else S.SHARP_ROW
         out[name] = S.minute_dedup(loaded, keys)
     return out
@@ -129,7 +137,9 @@ def job_board(
 ) -> dict[str, DataFrame]:
     """A3 -> P6, P7, P8, P12 -> J5 -> A4/A5 -> F12 -> T5 for both tabs, plus A2 summary."""
     out = {}
-    for name, df, board in (("divergence", divergence, B.divergence_game_board), ("sharp", sharp, B.sharp_game_board)):
+    # A total order, so that a game with equal moves shows the same row in every run.
+    sharp_board = partial(B.sharp_game_board, tie=("bookmaker_key", "team", "computed_at", "ingested_at_ts"))
+    for name, df, board in (("divergence", divergence, B.divergence_game_board), ("sharp", sharp, sharp_board)):
         latest = S.latest_batch(df)
         if "computed_date" in latest.columns:
             latest = latest.drop("computed_date")
@@ -192,5 +202,6 @@ __all__ = [
     "job_signals",
     "job_tickers",
     "job_topics",
+    "read_feed",
     "run_all_jobs",
 ]

@@ -7,7 +7,8 @@ state table, the batch job runs on that union, and the new last rows become the
 Exactly-once: the output of batch ``n`` is written to partition ``batch_id=n`` with dynamic
 overwrite and the state to ``v=n``; a replayed batch reads state ``< n`` and overwrites its own
 partitions, so retries and restarts do not duplicate rows. Rows arriving later than the state of
-their series are handled by the batch job's full recompute, as in the studied pipeline.
+their series go to a side output, or, with :func:`sharp_money_changes`, correct the signals they
+change: its output is a log of signals with a signed ``change``, whose sums are the batch job's signals.
 """
 
 from __future__ import annotations
@@ -101,6 +102,97 @@ def incremental_sharp_money(
     return _trigger(w, trigger).start()
 
 
+CHANGE = "change"
+
+
+def _series(keys: Sequence[str]) -> Column:
+    # A struct compares null fields as equal, so plain equality on it joins null keys too.
+    return F.struct(*[F.col(k) for k in keys]).alias("__series")
+
+
+def sharp_money_changes_batch(
+    spark: SparkSession,
+    batch: DataFrame,
+    batch_id: int,
+    out_path: str,
+    state_path: str,
+    computed_at: Column,
+    delay_seconds: int = 24 * 3600,
+    books: Sequence[str] | None = MAJOR_BOOKS,
+    threshold: float = SHARP_MONEY_THRESHOLD,
+    keys: Sequence[str] = SERIES_KEYS,
+    tie: Sequence[str] = (),
+    late_path: str | None = None,
+) -> None:
+    """One micro-batch of :func:`sharp_money_changes`.
+
+    The state is each series' history: its rows of the last ``delay_seconds`` of event time and the one
+    row before them. The signals of the series that the batch touches are computed over the history
+    without the batch and with it; what only the first has is cancelled (``change`` -1), what only the
+    second has is added (+1). A late row so cancels its successor's move and adds two. Rows that are late by
+    more than the delay, and rows without time, change nothing and go to ``late_path``.
+    """
+    rows = with_timestamp(major_books(batch, books), "ingested_at", "__ts").persist()
+    prev = _read_state(spark, state_path, batch_id)
+    prev = rows.limit(0) if prev is None else prev.select(*rows.columns).persist()
+    delay = F.make_dt_interval(secs=F.lit(delay_seconds))
+    horizon = prev.select((F.max("__ts") - delay).alias("__from")).scalar()
+    in_time = F.col("__ts").isNotNull() & F.coalesce(F.col("__ts") >= horizon, F.lit(True))
+    fresh = rows.where(in_time).persist()
+    try:
+        touched = fresh.select(_series(keys)).distinct()
+        before = prev.withColumn("__series", _series(keys)).join(touched, "__series", "left_semi").drop("__series")
+
+        def signals(of: DataFrame, sign: int) -> DataFrame:
+            out = sharp_money(of.drop("__ts"), books=None, threshold=threshold, computed_at=computed_at, keys=keys, tie=tie)
+            return out.withColumn("__sign", F.lit(sign))
+
+        both = signals(before.unionByName(fresh), 1).unionByName(signals(before, -1))
+        columns = [c for c in both.columns if c != "__sign"]
+        changes = both.groupBy(*columns).agg(F.sum("__sign").cast("int").alias(CHANGE)).where(F.col(CHANGE) != 0)
+        _write_batch(changes, out_path, batch_id)
+        if late_path is not None:
+            _write_batch(rows.where(~in_time).drop("__ts"), late_path, batch_id)
+        history = prev.unionByName(fresh)
+        kept_from = history.select((F.max("__ts") - delay).alias("__from")).scalar()
+        recent = history.where(F.col("__ts") >= kept_from)
+        anchors = latest_by(history.where(F.col("__ts") < kept_from), list(keys), ["__ts", *tie])
+        state = recent.unionByName(anchors.select(*recent.columns))
+        state = state.withColumn("v", F.lit(batch_id)).withColumn("slot", F.lit(batch_id % 2))
+        state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(state_path)
+    finally:
+        for frame in (fresh, prev, rows):
+            frame.unpersist()
+
+
+def sharp_money_changes(
+    spark: SparkSession,
+    odds_stream: DataFrame,
+    out_path: str,
+    state_path: str,
+    checkpoint: str,
+    computed_at: Column,
+    trigger: str | None = "availableNow",
+    **kw,
+) -> StreamingQuery:
+    """Sharp money over a stream of flat odds rows that may arrive in any order within a delay: a log of
+    signal rows with a signed ``change``. ``computed_at`` is an expression of the row, so that a cancelled
+    signal carries the batch time it was written with. :func:`current_signals` sums the log."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        sharp_money_changes_batch(spark, batch, batch_id, out_path, state_path, computed_at, **kw)
+
+    w = odds_stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return _trigger(w, trigger).start()
+
+
+def current_signals(changes: DataFrame) -> DataFrame:
+    """The signals that a log of changes leaves, each as often as its changes sum to."""
+    columns = [c for c in changes.columns if c not in (CHANGE, "batch_id")]
+    net = changes.groupBy(*columns).agg(F.sum(CHANGE).alias("__n")).where("__n > 0")
+    return net.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).drop("__n")
+
+
 def corroboration_stream(
     sharp_stream: DataFrame,
     window: str = "2 minutes",

@@ -307,19 +307,19 @@ def lower_names(schema: StructType) -> StructType:
     return StructType([StructField(f.name.lower(), f.dataType, True) for f in schema.fields])
 
 
-def history_records(lines: DataFrame, schema: StructType, value_col: str = "value") -> DataFrame:
+def history_records(lines: DataFrame, schema: StructType, value_col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Export lines as rows of ``schema`` (lower-case names), columns matched by name in any case, plus
     ``__bad``: true where the line is no JSON object or a value does not fit its column. Of a name in
-    several cases the first in the line counts."""
-    entries = F.map_entries(F.from_json(F.col(value_col), "MAP<STRING, STRING>", {"mode": "PERMISSIVE"}))
-    rows = lines.withColumn("__e", entries).withColumn("__e", F.when(F.ltrim(F.col(value_col)).startswith("{"), F.col("__e")))
+    several cases the first in the line counts. ``keep`` columns stay."""
+    record = F.from_json(F.col(value_col), "MAP<STRING, STRING>", {"mode": "PERMISSIVE"})
+    rows = lines.withColumn("__e", F.when(F.ltrim(F.col(value_col)).startswith("{"), record))
+    # All names in lower case, once a line; each column is then one lookup.
+    rows = rows.withColumn("__k", F.transform(F.map_keys("__e"), F.lower)).withColumn("__values", F.map_values("__e"))
+    firsts = F.filter("__k", lambda k, i: F.array_position(F.col("__k"), k) == i + 1)
+    values = F.filter("__values", lambda v, i: F.array_position(F.col("__k"), F.get("__k", i)) == i + 1)
+    rows = rows.withColumn("__m", F.when(F.size(F.array_distinct("__k")) == F.size("__k"), F.map_from_arrays("__k", "__values")).otherwise(F.map_from_arrays(firsts, values)))
     lower = lower_names(schema)
-
-    def named(name: str):
-        return F.get(F.filter("__e", lambda e: F.lower(e["key"]) == name), F.lit(0))["value"]
-
-    raw = {f.name: named(f.name) for f in lower.fields}
-    rows = rows.select(value_col, "__e", *[v.alias(f"__raw_{n}") for n, v in raw.items()])
+    rows = rows.select(*keep, value_col, "__m", *[F.col("__m")[f.name].alias(f"__raw_{f.name}") for f in lower.fields])
     misfit = F.lit(False)
     cols = []
     for f in lower.fields:
@@ -327,7 +327,19 @@ def history_records(lines: DataFrame, schema: StructType, value_col: str = "valu
         value = F.try_to_timestamp(text) if f.dataType.typeName() == "timestamp" else text.try_cast(f.dataType)
         cols.append(value.alias(f.name))
         misfit = misfit | (text.isNotNull() & value.isNull())
-    return rows.select(*cols, (F.col("__e").isNull() | misfit).alias("__bad"), F.col(value_col).alias("__line"))
+    return rows.select(*keep, *cols, (F.col("__m").isNull() | misfit).alias("__bad"), F.col(value_col).alias("__line"))
+
+
+LOAD = "load_batch"
+LOAD_LEDGER_DDL = f"file STRING, n_lines LONG, n_loaded LONG, n_rejected LONG, first_error STRING, {LOAD} LONG"
+
+
+def load_ledger(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """One row per loaded file: its lines, rows loaded, lines rejected, the first of these, and the batch."""
+    from linecast.sources.tables import folder_exists
+
+    path = f"{checkpoint}_ledger"
+    return spark.read.schema(LOAD_LEDGER_DDL).parquet(path) if folder_exists(spark, path) else spark.createDataFrame([], LOAD_LEDGER_DDL)
 
 
 def load_history(
@@ -340,21 +352,44 @@ def load_history(
     trigger: str | None = "availableNow",
     errors: str | None = None,
 ) -> StreamingQuery:
-    """Append files not loaded before (the checkpoint is the load history); columns matched by
-    name in any case. Appends partitioned by day for pruning. Malformed records are left out of the
-    table; with ``errors`` a second stream of the same files appends their raw lines there."""
-
-    def lines() -> DataFrame:
-        return history_records(spark.readStream.format("text").load(src), schema)
-
-    out = lines().where(~F.col("__bad")).drop("__bad", "__line")
-    if partition_day_of:
-        out = out.withColumn("load_date", F.to_date(F.col(partition_day_of.lower())))
-    if errors is not None:
-        bad = lines().where("__bad").select(F.col("__line").alias("value")).where(F.trim("value") != "")
-        w = bad.writeStream.format("text").option("checkpointLocation", f"{checkpoint}_errors").outputMode("append")
-        run(_trigger(w, trigger).start(errors), None if trigger in (None, "availableNow", "once") else 0)
-    writer = out.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
-    if partition_day_of:
-        writer = writer.partitionBy("load_date")
-    return _trigger(writer, trigger).start(dst)
+    """Append files not loaded before; columns matched by name in any case, appends partitioned by
+    batch and day. Malformed records are left out of the table; with ``errors`` their raw lines are
+    appended there. A file is read and parsed once: its rows, its rejected lines and its row of the
+    ledger (:func:`load_ledger`) come from that pass. Besides the checkpoint, the ledger is asked
+    before a load, so a file is not loaded again where the checkpoint was lost. Blank lines are no
+    records, and a file of none has no row in the ledger."""
+    ledger = f"{checkpoint}_ledger"
+
+    def replace(rows: DataFrame, path: str, fmt: str, number: int, *by: str) -> None:
+        w = rows.withColumn(LOAD, F.lit(number).cast("long")).write.mode("overwrite").format(fmt)
+        w.option("partitionOverwriteMode", "dynamic").partitionBy(LOAD, *by).save(path)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        # A batch that is handled again must not find its own files.
+        done = load_ledger(spark, checkpoint).where(F.col(LOAD) < number).select("file")
+        # Place of a line in its file: the start of its split, then its order within.
+        at = F.struct("__block", F.monotonically_increasing_id().alias("__line_of_split")).alias("__at")
+        new = batch.select("value", "file", at).where(F.trim("value") != "").join(done, "file", "left_anti")
+        rows = history_records(new, schema, keep=("file", "__at")).persist()
+        try:
+            good = rows.where(~F.col("__bad")).drop("__bad", "__line", "file", "__at")
+            if partition_day_of:
+                replace(good.withColumn("load_date", F.to_date(F.col(partition_day_of.lower()))), dst, "parquet", number, "load_date")
+            else:
+                replace(good, dst, "parquet", number)
+            if errors is not None:
+                replace(rows.where("__bad").select(F.col("__line").alias("value")), errors, "text", number)
+            bad = F.col("__bad")
+            counts = rows.groupBy("file").agg(
+                F.count(F.lit(1)).alias("n_lines"),
+                F.count_if(~bad).alias("n_loaded"),
+                F.count_if(bad).alias("n_rejected"),
+                F.min_by("__line", F.when(bad, F.col("__at"))).alias("first_error"),
+            )
+            replace(counts, ledger, "parquet", number)
+        finally:
+            rows.unpersist()
+
+    lines = spark.readStream.format("text").load(src)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"))
+    return _trigger(lines.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint), trigger).start()

@@ -92,8 +92,6 @@ def test_boards_group_more_rows_than_a_feed_lists(spark):
 
 
 def test_job_bronze_counts_and_rerun(spark):
-    from linecast.streaming import ingest as ING
-
     base = tempfile.mkdtemp(prefix="lc-bronze-")
     odds = td.raw_odds(spark, SF).drop("event_id").withColumn("ingested_at", F.date_format("ingested_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
     quotes = td.raw_quotes(spark, SF).drop("event_id").withColumn("ingested_at", F.date_format("ingested_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
@@ -108,7 +106,7 @@ def test_job_bronze_counts_and_rerun(spark):
     # the nested Bronze odds flatten like the source
     from linecast.operators.odds import flatten_odds
 
-    assert flatten_odds(ING.read_bronze(spark, f"{base}/bronze/odds")).count() == flatten_odds(odds).count()
+    assert flatten_odds(jobs.read_feed(spark, f"{base}/bronze", f"{base}/ckpt", "odds")).count() == flatten_odds(odds).count()
 
 
 def test_shuffle_partitions_follow_input_size(spark):

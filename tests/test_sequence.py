@@ -60,7 +60,7 @@ def test_hot_key_is_spread_over_tasks(spark):
     try:
         plain = df.repartition(8, "k")
         share_plain = max(r[1] for r in plain.groupBy(F.spark_partition_id()).count().collect()) / n
-        seg = SQ._with_key(df, ["k"], "ts", 600).repartition(8, SQ.KEY, SQ.SEG)
+        seg = SQ._keyed(df, ["k"], SQ.segment_of("ts", 600).alias(SQ.SEG)).repartition(8, SQ.KEY, SQ.SEG)
         share_seg = max(r[1] for r in seg.groupBy(F.spark_partition_id()).count().collect()) / n
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", prev)
@@ -80,10 +80,48 @@ def test_auto_segments_equal_window_and_split_hot_key(spark):
     want = sorted(df.select("tie", F.lag("v").over(w).alias("prev_v")).collect())
     got = segmented_lag(df, ["k"], "ts", ["ts", "tie"], ["v"], segment_seconds="auto", target_rows=20)
     assert sorted(got.select("tie", "prev_v").collect()) == want
-    hot = SQ._hot_keys([(df, "ts")], ["k"], 20)
-    keyed = SQ._with_key(df, ["k"], "ts", "auto", hot)
-    per_seg = keyed.groupBy(SQ.KEY, SQ.SEG).count().agg(F.max("count")).first()[0]
-    assert per_seg <= 60  # about target_rows per segment instead of whole days of a key
+    keyed = SQ._keyed(df, ["k"], F.struct("ts", "tie").alias(SQ.ORD))
+    per_seg = SQ.numbered(keyed, SQ.hot_bounds(keyed, 20)).groupBy(SQ.KEY, SQ.SEG).count().agg(F.max("count")).first()[0]
+    assert per_seg <= 40  # no segment above twice the target instead of whole days of a key
+
+
+def _awkward(spark, n=20000):
+    """One key: a stray time in 1970, a fifth of null times, a fifth at one instant; few other rows."""
+    i = F.col("id")
+    ts = F.when(i == 5, F.lit("1970-01-01").cast("timestamp")).when(i % 5 == 1, F.lit(None).cast("timestamp"))
+    ts = ts.when(i % 5 == 2, F.lit("2024-01-01 12:00:00").cast("timestamp"))
+    ts = ts.otherwise(F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), i % 9000))
+    key = F.when(i % 50 == 0, F.concat(F.lit("k"), (i % 7).cast("string"))).otherwise(F.lit("hot"))
+    return spark.range(n).select(key.alias("k"), ts.alias("ts"), F.xxhash64("id").alias("tie"), (i % 500).alias("v"))
+
+
+def test_stray_null_and_shared_times_leave_no_large_segment(spark):
+    from linecast.operators import sequence as SQ
+
+    df = _awkward(spark)
+    keyed = SQ._keyed(df, ["k"], F.struct("ts", "tie").alias(SQ.ORD))
+    bounds = SQ.hot_bounds(keyed, 1000)
+    sizes = [r[2] for r in SQ.numbered(keyed, bounds).groupBy(SQ.KEY, SQ.SEG).count().collect()]
+    assert max(sizes) <= 2000 and sum(sizes) == 20000 and len(sizes) > 15
+    w = Window.partitionBy("k").orderBy(F.col("ts").asc_nulls_first(), "tie")
+    want = sorted(df.select("tie", F.lag("v").over(w).alias("prev_v")).collect())
+    got = segmented_lag(df, ["k"], "ts", ["ts", "tie"], ["v"], target_rows=1000)
+    assert sorted(got.select("tie", "prev_v").collect()) == want
+
+
+def test_asof_splits_left_rows_of_one_instant(spark):
+    left = _awkward(spark).select("k", F.col("ts").alias("t"), F.col("tie").alias("lid"))
+    right = _awkward(spark, 3000).where("ts IS NOT NULL").select("k", F.col("ts").alias("rt"), F.col("tie").alias("rid"), F.col("v").alias("val"))
+    a = segmented_asof(left, right, ["k"], "t", "rt", ["val"], right_tie=["rid"], how="left", target_rows=500)
+    b = segmented_asof(left, right, ["k"], "t", "rt", ["val"], right_tie=["rid"], how="left", segment_seconds=10**9)
+    assert "__bounds" in a._jdf.queryExecution().analyzed().toString()
+    assert sorted(a.select("lid", "val").collect()) == sorted(b.select("lid", "val").collect())
+
+
+def test_small_inputs_are_one_plain_window(spark):
+    df = spark.createDataFrame(_rows(100, 5), "k STRING, ts STRING, tie BIGINT, v BIGINT").withColumn("ts", F.col("ts").cast("timestamp"))
+    plan = segmented_lag(df, ["k"], "ts", ["ts", "tie"], ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
 def test_auto_asof_equals_fixed(spark):

@@ -61,12 +61,17 @@ def _names(kind: StructType) -> Column:
     return F.array(*[F.lit(f.name) for f in kind.fields if _path(f.name)]).cast("array<string>")
 
 
+def _keys(value: Column) -> Column:
+    """Field names of an object; null for any other value."""
+    return F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+
+
 def fits(value: Column, kind: DataType) -> Column:
     """True where all of a VARIANT value has a place in ``kind``: objects name only known fields, list
     elements fit their element type, and a single value comes back from the type as it was. Null fits."""
     text = F.to_json(value)
     if isinstance(kind, StructType):
-        inner = F.size(F.array_except(F.json_object_keys(text), _names(kind))) == 0  # null for no object
+        inner = F.size(F.array_except(_keys(value), _names(kind))) == 0  # null for no object
         for f in kind.fields:
             inner = inner & fits(_field(value, f.name), f.dataType)
     elif isinstance(kind, ArrayType):
@@ -106,7 +111,7 @@ def parse_lines(lines: DataFrame, schema: StructType, value_col: str = "value")
     v = F.col("__v")
     parts = rows.select(*keep, value_col, "__v", *[_field(v, f.name).alias(f"__f{i}") for i, f in enumerate(schema.fields)])
     part = [F.col(f"__f{i}") for i in range(len(schema.fields))]
-    unknown = F.array_except(F.json_object_keys(F.to_json(v)), _names(schema))
+    unknown = F.array_except(_keys(v), _names(schema))
     misfit = F.array_compact(F.array(*[F.when(~fits(p, f.dataType), F.lit(f.name)) for p, f in zip(part, schema.fields, strict=True)]).cast("array<string>"))
     left = parts.withColumn("__left", F.concat(unknown, misfit))
     rescued = F.when(v.isNull(), F.struct(F.lit(None).cast("array<string>").alias("fields"), F.col(value_col).alias("line")))

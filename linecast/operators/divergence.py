@@ -29,27 +29,10 @@ from linecast.functions.text import ticker_suffix
 from linecast.functions.timefn import game_date, with_timestamp
 from linecast.operators.sequence import segmented_asof
 from linecast.operators.serving import latest_by
+from linecast.schemas import divergence_signals
 
 GAME_KEYS = ("home_team", "away_team")
 
-DIVERGENCE_COLUMNS = (
-    "signal_type",
-    "computed_at",
-    "sport_key",
-    "home_team",
-    "away_team",
-    "commence_time",
-    "event_ticker",
-    "market_ticker",
-    "kalshi_implied_prob",
-    "sportsbook_home_prob",
-    "divergence",
-    "signal_direction",
-    "is_divergence_signal",
-    "num_bookmakers",
-    "quote_ingested_at",
-)
-
 _BOOK_VALUES = ("sport_key", "commence_time", "sportsbook_home_prob", "num_bookmakers")
 
 
@@ -58,20 +41,20 @@ def score_divergence(
 ) -> DataFrame:
     """F2 + F13 on rows holding ``kalshi_implied_prob`` and ``sportsbook_home_prob``. The quote's time
     (``quote_ts``) stays on the row: it tells the quotes of one run apart when loads repeat. Rows
-    without that column, or without the other columns of a signal that come from a feed, get null."""
-    k, s = "kalshi_implied_prob", "sportsbook_home_prob"
+    without that column get null for it."""
     if quote_ts in pairs.columns:
         pairs = with_timestamp(pairs, quote_ts, "quote_ingested_at")
     else:
         pairs = pairs.withColumn("quote_ingested_at", F.lit(None).cast("timestamp"))
-    return (
-        pairs.withColumn("divergence", divergence(k, s))
-        .withColumn("signal_direction", divergence_direction(k, s))
-        .withColumn("is_divergence_signal", flag_at_least("divergence", threshold))
-        .withColumn("signal_type", F.lit(DIVERGENCE_SIGNAL))
-        .withColumn("computed_at", batch_time(computed_at))
-        .select(*DIVERGENCE_COLUMNS)
-    )
+    sides = ("kalshi_implied_prob", "sportsbook_home_prob")
+    derived = {
+        "signal_type": F.lit(DIVERGENCE_SIGNAL),
+        "computed_at": batch_time(computed_at),
+        "divergence": divergence(*sides),
+        "signal_direction": divergence_direction(*sides),
+        "is_divergence_signal": flag_at_least(divergence(*sides), threshold),
+    }
+    return pairs.select(*[derived.get(c, F.col(c)).alias(c) for c in divergence_signals().names])
 
 
 def home_market_only(quotes: DataFrame, home_abbr: Column | str = "home_abbr") -> DataFrame:

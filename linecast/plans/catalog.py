@@ -338,6 +338,8 @@ def q_tournament_only(spark, sf):
 _LOCAL = O.local_sql("ingested_at", LA)
 _DAY = f"lower(dayname({_LOCAL}))"
 _HM = f"strftime({_LOCAL}, '%H:%M')"
+_SCHED = O.local_sql("ingested_at", "America/Chicago")
+_SCHED_DAY, _SCHED_HM = f"lower(dayname({_SCHED}))", f"strftime({_SCHED}, '%H:%M')"
 
 
 @query(
@@ -345,10 +347,10 @@ _HM = f"strftime({_LOCAL}, '%H:%M')"
     O.with_ctes(
         f"""SELECT event_id, sport_key, ingested_at, CASE sport_key
         WHEN 'basketball_wncaab' THEN TRUE
-        WHEN 'basketball_nba' THEN {_HM} BETWEEN '15:00' AND '23:00'
-        WHEN 'basketball_ncaab' THEN CASE WHEN {_DAY} IN ('thursday', 'friday') THEN {_HM} BETWEEN '08:00' AND '21:00'
-                                          WHEN {_DAY} = 'sunday' THEN FALSE
-                                          ELSE {_HM} BETWEEN '15:00' AND '21:00' END
+        WHEN 'basketball_nba' THEN {_SCHED_HM} BETWEEN '16:10' AND '22:40'
+        WHEN 'basketball_ncaab' THEN CASE WHEN {_SCHED_DAY} IN ('tuesday', 'saturday') THEN {_SCHED_HM} BETWEEN '09:20' AND '20:35'
+                                          WHEN {_SCHED_DAY} = 'monday' THEN FALSE
+                                          ELSE {_SCHED_HM} BETWEEN '17:05' AND '20:35' END
         ELSE FALSE END AS in_schedule
       FROM odds""",
         "odds",

@@ -210,11 +210,11 @@ def scoreboard_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL_DAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
-_EVENING = {"start_time": "15:00", "end_time": "21:00"}
-_EARLY = {"start_time": "08:00", "end_time": "21:00"}
+_EVENING = {"start_time": "17:05", "end_time": "20:35"}
+_EARLY = {"start_time": "09:20", "end_time": "20:35"}
 
-# Fixed configuration of the test mapping (same shape as the studied per-sport configuration):
-# the NBA uses the simple weekly form, college the per-day form without Sunday (closed), and the
+# Invented configuration of the test mapping (same shape as the studied per-sport configuration):
+# the NBA uses the simple weekly form, college the per-day form without Monday (closed), and the
 # women's league has no schedule (always on) and no ticker prefix.
 TEST_CONFIG = {
     "sports": {
@@ -223,7 +223,7 @@ TEST_CONFIG = {
             "odds_api_key": "basketball_nba",
             "kalshi_prefix": "KXNBAGAME",
             "team_abbr": {},
-            "schedule": {"timezone": "America/Los_Angeles", "days": _ALL_DAYS, "start_time": "15:00", "end_time": "23:00"},
+            "schedule": {"timezone": "America/Chicago", "days": _ALL_DAYS, "start_time": "16:10", "end_time": "22:40"},
         },
         "basketball_ncaab": {
             "active": True,
@@ -231,14 +231,14 @@ TEST_CONFIG = {
             "kalshi_prefix": "KXNCAAMBGAME",
             "team_abbr": {},
             "schedule": {
-                "timezone": "America/Los_Angeles",
+                "timezone": "America/Chicago",
                 "day_schedules": {
-                    "monday": _EVENING,
-                    "tuesday": _EVENING,
+                    "tuesday": _EARLY,
                     "wednesday": _EVENING,
-                    "thursday": _EARLY,
-                    "friday": _EARLY,
-                    "saturday": _EVENING,
+                    "thursday": _EVENING,
+                    "friday": _EVENING,
+                    "saturday": _EARLY,
+                    "sunday": _EVENING,
                 },
             },
         },

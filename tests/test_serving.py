@@ -41,20 +41,20 @@ def test_tournament_only(spark):
 
 def test_schedule_end_inclusive_unlisted_day_and_always_on(spark):
     sport_dim, _, sched = D.load_dims(D.config_from_dict(spark, td.TEST_CONFIG))
-    # 2024-01-04 is Thursday, 2024-01-07 Sunday; LA = UTC-8.
+    # 2024-01-04 is Thursday, 2024-01-08 Monday; Chicago = UTC-6.
     rows = [
-        ("basketball_nba", "2024-01-05 07:00:00"),   # Thu 23:00 local: end minute -> in
-        ("basketball_nba", "2024-01-05 07:01:00"),   # Thu 23:01 -> out
-        ("basketball_ncaab", "2024-01-07 23:00:00"),  # Sun 15:00, Sunday not listed -> out
+        ("basketball_nba", "2024-01-05 04:40:00"),   # Thu 22:40 local: end minute -> in
+        ("basketball_nba", "2024-01-05 04:41:00"),   # Thu 22:41 -> out
+        ("basketball_ncaab", "2024-01-09 00:00:00"),  # Mon 18:00, Monday not listed -> out
         ("basketball_wncaab", "2024-01-07 12:00:00"),  # no schedule -> in
         ("unknown_sport", "2024-01-07 23:00:00"),      # not configured -> out
     ]
     df = spark.createDataFrame(rows, "sport_key STRING, t STRING").withColumn("t", F.col("t").cast("timestamp"))
     got = [r.in_schedule for r in D.in_schedule(df, "t", sport_dim, sched).orderBy("t", "sport_key").collect()]
     by_row = {(r.sport_key, str(r.t)): r.in_schedule for r in D.in_schedule(df, "t", sport_dim, sched).collect()}
-    assert by_row[("basketball_nba", "2024-01-05 07:00:00")] is True
-    assert by_row[("basketball_nba", "2024-01-05 07:01:00")] is False
-    assert by_row[("basketball_ncaab", "2024-01-07 23:00:00")] is False
+    assert by_row[("basketball_nba", "2024-01-05 04:40:00")] is True
+    assert by_row[("basketball_nba", "2024-01-05 04:41:00")] is False
+    assert by_row[("basketball_ncaab", "2024-01-09 00:00:00")] is False
     assert by_row[("basketball_wncaab", "2024-01-07 12:00:00")] is True
     assert by_row[("unknown_sport", "2024-01-07 23:00:00")] is False
     assert len(got) == 5

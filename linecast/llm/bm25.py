@@ -8,13 +8,16 @@ frequencies, the number of documents and their mean length are counted over the
 do not depend on the sharding and the merge of the shards' top k is exact.
 
 Scale. Texts are read once and become compact postings, some 8 MB of text to a written row. A shard is
-``SHARD_CHUNKS`` such rows on average; query terms, weighted and packed in blocks, are sent to every
-shard and stream past its index, so a task holds one shard and one block of queries. Frequencies are
-pre-aggregated by task and joined with the query terms in Spark; nothing is broadcast.
+up to ``SHARD_CHUNKS`` such rows of one task, where they are read: postings are never shuffled. Queries,
+weighted and packed in blocks, are taken in groups of at most ``QUERY_BYTES``, which are all that a
+task gets besides its own rows; every group is a pass over the postings, so both may grow without
+being sent to each other. A task gives at most ``k`` rows a query, from all its shards. Frequencies are
+pre-aggregated by task and joined with the query terms in Spark.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linecast.llm.classlm import _pack, _unpack
-from linecast.llm.scratch import table, written
+from linecast.llm.scratch import shared_dir, table, written
 from linecast.llm.suffixes import ragged
 from linecast.llm.toxicity import GAP
 from linecast.llm.words import Words, chunks
@@ -34,6 +37,8 @@ CHUNK = 8 << 20
 SHARD_CHUNKS = 4
 DOCS_A_BLOCK = 64
 QUERIES_A_BLOCK = 500
+#: Packed queries that one pass over the postings takes along (one block at least).
+QUERY_BYTES = 32 << 20
 #: Blocks of the greatest bounds, which set the score to reach.
 FIRST_BLOCKS = 4
 #: A term in at least one of so many documents of a shard has a whole row; at most ``ROWS`` terms have.
@@ -182,33 +187,46 @@ class Shard:
         return best, total
 
 
-def _search(k: int, mean: float):
+def _best(found: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of rows (query id, its tag, id, tag, score) the ``k`` of each query that rank first."""
+    order = np.lexsort((found[3], found[2], -found[4], found[1], found[0]))
+    found = [c[order] for c in found]
+    new = np.append(True, (found[0][1:] != found[0][:-1]) | (found[1][1:] != found[1][:-1])) if len(order) else np.zeros(0, bool)
+    start = np.flatnonzero(new)
+    place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    return [c[place < k] for c in found]
+
+
+def _search(k: int, mean: float, asked: list[bytes]):
+    def ask(blobs: list[bytes]) -> Iterator[list[np.ndarray]]:
+        shard = Shard(blobs, mean)
+        for block in asked:
+            ids, tags, n, terms, weights = _unpack(block)
+            ends = np.cumsum(n)
+            for i in range(len(ids)):
+                s = slice(ends[i] - n[i], ends[i])
+                best, score = shard.search(terms[s], weights[s], k)
+                yield [np.full(len(best), ids[i].view(np.int64)), np.full(len(best), tags[i].view(np.int64)), shard.ids[best], shard.tags[best], score]
+
     def run(batches) -> Iterator[pa.RecordBatch]:
-        now, held, shard = None, [], None
+        held: list[bytes] = []
+        best = [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
+
+        def merged() -> list[np.ndarray]:
+            return _best([np.concatenate(c) for c in zip(best, *ask(held), strict=True)], k)
+
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for number, kind, blob in zip(batch.column("shard").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
-                if number != now:
-                    now, held, shard = number, [], None
-                if kind == 0:
-                    held.append(blob.as_py())
-                    continue
-                if not held and shard is None:
-                    continue  # no document in this shard
-                if shard is None:
-                    shard, held = Shard(held, mean), []
-                ids, tags, n, terms, weights = _unpack(blob.as_py())
-                ends = np.cumsum(n)
-                for i in range(len(ids)):
-                    s = slice(ends[i] - n[i], ends[i])
-                    best, score = shard.search(terms[s], weights[s], k)
-                    out[0].append(np.full(len(best), ids[i].view(np.int64)))
-                    out[1].append(np.full(len(best), tags[i].view(np.int64)))
-                    out[2].append(shard.ids[best])
-                    out[3].append(shard.tags[best])
-                    out[4].append(score)
-            cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64(), mask=cols[2] == NO_ID), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.float64())], names=["qid", "qtag", "id", "tag", "score"])
+            for blob in batch.column("blob"):
+                held.append(blob.as_py())
+                if len(held) == SHARD_CHUNKS:
+                    best = merged()
+                    held.clear()
+        if held:
+            best = merged()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(best[0], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2], pa.int64(), mask=best[2] == NO_ID), pa.array(best[3], pa.int64()), pa.array(best[4], pa.float64())],
+            names=["qid", "qtag", "id", "tag", "score"],
+        )
 
     return run
 
@@ -228,7 +246,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     spark = docs.sparkSession
     cols = [F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).alias("__text")]
     index = written(docs.select(*cols).mapInArrow(_index, "docs long, words long, blob binary"), "postings")
-    total = index.agg(F.sum("docs").alias("n"), F.sum("words").alias("w"), F.count("*").alias("c")).first()
+    total = index.agg(F.sum("docs").alias("n"), F.sum("words").alias("w")).first()
     n, mean = total["n"] or 0, (total["w"] or 0) / max(total["n"] or 0, 1)
     df = index.select("blob").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     asked = queries.where(F.col(id_col).isNotNull()).select(*cols).mapInArrow(_query_terms, "qid long, qtag long, term long, times long").distinct()
@@ -239,12 +257,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     blocks = max(1, -(-many // QUERIES_A_BLOCK))
     packed = written(weighed.withColumn("block", F.pmod(F.xxhash64("qid", "qtag"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(_block, "block int, blob binary"), "queries")
 
-    shards = max(1, -(-(total["c"] or 0) // SHARD_CHUNKS))
-    deal = F.pmod(F.xxhash64("blob"), F.lit(shards)).cast("int")
-    parts = index.select(deal.alias("shard"), F.lit(0).alias("kind"), "blob")
-    asks = packed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "blob")
-    met = parts.unionByName(asks).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-    found = met.mapInArrow(_search(k, mean or 1.0), "qid long, qtag long, id long, tag long, score double")
+    largest = packed.agg(F.max(F.length("blob"))).first()[0] or 1
+    step = max(1, QUERY_BYTES // largest)
+    rows = "qid long, qtag long, id long, tag long, score double"
+    found = f"{shared_dir(spark)}/found-{uuid.uuid4().hex[:12]}"
+    for at in range(0, blocks, step):
+        asks = [r[0] for r in packed.where(F.col("block").between(at, at + step - 1)).select("blob").collect()]
+        index.select("blob").mapInArrow(_search(k, mean or 1.0, asks), rows).write.mode("append").option("compression", "zstd").parquet(found)
+    found = spark.read.schema(rows).parquet(found)
     place = F.row_number().over(Window.partitionBy("qid", "qtag").orderBy(F.desc("score"), F.col("id").asc_nulls_last(), "tag"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select(F.col("qid").alias("query_id"), F.col("rank").cast("long").alias("rank"), F.col("id").alias(id_col), "score")
 

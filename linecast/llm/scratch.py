@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Only where none is set (tests) is a local one made."""
+    """The folder named by ``spark.checkpoint.dir``. Where none is set, a local session (tests) gets a
+    temporary one; on a cluster that would be another folder on each machine, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="linecast-llm-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

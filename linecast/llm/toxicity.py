@@ -56,9 +56,12 @@ def _extract(bits: int):
     return run
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 8, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, min_rows: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 8, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 1.0, min_rows: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
     """Indices and values of the non-zero weights, and the bias. Features of fewer than ``min_rows`` rows
-    get no weight: they would only learn the noise of single labels."""
+    get no weight: they would only learn the noise of single labels.
+
+    The defaults were chosen by log loss on a fold of the *training* rows (crc32 mod 4 = 3, fitted on
+    the other two remainders); rows that are held out had no part in it."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     zb = nb = 0.0
 

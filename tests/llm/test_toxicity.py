@@ -1,8 +1,10 @@
 """Op 8: the classifier learns what its labels mark, and only that."""
 
+import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from linecast.llm import toxicity
@@ -69,3 +71,40 @@ def test_the_sample_is_bounded(spark, limit):
     docs, marks = rows(300)
     d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
     assert toxicity.train(d, spark.createDataFrame(marks, "doc_id long, toxic int"), max_rows=limit)
+
+
+def plain_ftrl(rows, epochs, alpha, beta, l1, l2, min_rows):
+    """FTRL-proximal, one coordinate at a time."""
+    seen, z, n = {}, {}, {}
+    for x, _ in rows:
+        for i in x:
+            seen[i] = seen.get(i, 0) + 1
+
+    def weight(i, l1):
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        if abs(zi) <= l1:
+            return 0.0
+        return -(zi - math.copysign(l1, zi)) / ((beta + math.sqrt(ni)) / alpha + (l2 if i != "bias" else 0.0))
+
+    for _ in range(epochs):
+        for x, y in rows:
+            w = {i: weight(i, l1) for i in x if seen[i] >= min_rows} | {"bias": weight("bias", 0.0)}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i, wi in w.items():
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * wi
+                n[i] = old + g * g
+    return {i: weight(i, l1) for i in seen if seen[i] >= min_rows and weight(i, l1)}, weight("bias", 0.0)
+
+
+def test_ftrl_equals_a_plain_loop():
+    rnd = random.Random(3)
+    rows = []
+    for _ in range(200):
+        y = rnd.randint(0, 1)
+        rows.append((sorted({rnd.randrange(40) + 30 * y * rnd.randint(0, 1) for _ in range(rnd.randint(0, 12))}), y))
+    for options in (dict(epochs=3, alpha=0.5, beta=1.0, l1=0.4, l2=1.0, min_rows=2), dict(epochs=5, alpha=1.0, beta=0.5, l1=3.0, l2=0.0, min_rows=1)):
+        at, w, bias = toxicity.ftrl([(np.array(x, np.int64), y) for x, y in rows], bits=8, **options)
+        expected, expected_bias = plain_ftrl(rows, **options)
+        assert expected and dict(zip(at.tolist(), w.tolist(), strict=True)) == pytest.approx(expected)
+        assert bias == pytest.approx(expected_bias)

@@ -38,7 +38,7 @@ GRAM = 16
 CHUNK = 2 << 20
 MOST = 64  # strings in a piece
 LONG_GROUP = 512
-BATCH = 1 << 20  # bytes of text whose suffix arrays are built together
+BATCH = 1 << 19  # bytes of text whose suffix arrays are built together
 NO_ID = np.iinfo(np.int64).max
 #: Homes, and buckets of keys, for each shuffle partition.
 HOMES = 1
@@ -70,6 +70,20 @@ def _prints(g: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
         return x * GOLDEN
 
 
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number; the text is followed by zeros."""
+    raw = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", raw.tobytes(), 0, (1,)).astype(np.uint64)
+
+
+def _same(eights: np.ndarray, p: np.ndarray, q: np.ndarray, span: int) -> np.ndarray:
+    """Whether the ``span`` bytes from ``p`` and from ``q`` on are equal."""
+    same = np.ones(len(p), bool)
+    for k in [*range(0, span - 8, 8), span - 8]:
+        same &= eights[p + k] == eights[q + k]
+    return same
+
+
 def _least(g: np.ndarray, width: int) -> np.ndarray:
     """Minimum of ``width`` consecutive values, from each place on."""
     have, x = 1, g
@@ -149,7 +163,7 @@ def _offer(span: int, parts: int):
             key, doc, _, _, _ = pieces(buf, off, span)
             if not len(key):
                 continue
-            ids, tags, homes = _ids(batch.column("id")), _tags(batch.column("tag")) & SHORT, batch.column("home").to_numpy().astype(np.int64)
+            ids, tags, homes = _ids(batch.column("id")), (_tags(batch.column("tag")) & U(SHORT)).astype(np.int64), batch.column("home").to_numpy().astype(np.int64)
             order = np.lexsort((ids[doc], key))
             key, doc = key[order], doc[order]
             at = _runs(key, doc)
@@ -180,7 +194,7 @@ def _offer(span: int, parts: int):
 
 
 def _tags(column: pa.Array) -> np.ndarray:
-    return column.to_numpy().view(np.uint32).astype(np.int64)
+    return column.to_numpy().view(np.uint64)
 
 
 def _by_bucket(work):
@@ -233,7 +247,7 @@ def _shared_keys(blobs: list[bytes]) -> tuple[list, list]:
     return _home_rows(ids[d], tags[d], homes[d], key[tell])
 
 
-def _rows_of(texts: pa.Table, told: pa.Table, mask: int = 0xFFFFFFFF):
+def _rows_of(texts: pa.Table, told: pa.Table, mask: int = -1):
     """The home's documents and, with them, what was sent home: the documents' rows for each entry,
     named by id and by the tag under ``mask``. Of rows with equal id and tag the first stands for all."""
     row: dict[tuple[int, int], int] = {}
@@ -326,7 +340,7 @@ def _repeated(span: int):
         for blob in blobs:
             i, t, h, local, first, n, base, step, chars = _unpack(blob)
             ids.append(i.view(np.int64))
-            tags.append(t.astype(np.int64))
+            tags.append(t)
             homes.append(h.astype(np.int64))
             doc.append(local.astype(np.int64) + at)
             start.append(first.astype(np.int64))
@@ -398,7 +412,8 @@ def _confirm(chars, begin, length, key, own, used, candidates, span):
     group_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(used))))
     direct = (total > LONG_GROUP)[group_of[number[piece]]]
     hit = np.zeros(len(piece), bool)
-    hit[direct] = _compare(chars, at[direct], f[direct], own[piece[direct]], span)
+    eights = _eights(chars)
+    hit[direct] = _compare(eights, at[direct], f[direct], own[piece[direct]], span)
 
     rank = np.argsort(total[total <= LONG_GROUP], kind="stable")
     small = np.flatnonzero(total <= LONG_GROUP)[rank]
@@ -429,11 +444,8 @@ def _confirm(chars, begin, length, key, own, used, candidates, span):
         if not len(sa):
             continue
         equal = np.zeros(len(sa), bool)
-        for cut in range(1, len(sa), 65536):
-            p, q = sa[cut - 1 : cut + 65535], sa[cut : cut + 65536]
-            p = p[: len(q)]
-            window = np.arange(span)
-            equal[cut : cut + len(q)] = (text[p[:, None] + window] == text[q[:, None] + window]).all(axis=1)
+        place = source[sa]  # whole strings lie inside a piece, so their bytes do in ``chars``
+        equal[1:] = _same(eights, place[:-1], place[1:], span)
         owner = np.searchsorted(off, sa, side="right")
         equal[1:] &= owner[1:] == owner[:-1]
         interval = np.cumsum(~equal) - 1
@@ -444,19 +456,15 @@ def _confirm(chars, begin, length, key, own, used, candidates, span):
     return hit
 
 
-def _compare(chars, at, f, own, span):
+def _compare(eights, at, f, own, span):
     """The same for single strings, sorted by fingerprint: each against the first bytes of its run; what
     differs (two strings of one fingerprint) goes another round."""
     hit = np.zeros(len(at), bool)
     rest = np.arange(len(at))
-    window = np.arange(span)
     while len(rest):
         head = np.flatnonzero(np.append(True, f[rest][1:] != f[rest][:-1]))
         lead = rest[np.repeat(head, np.diff(np.append(head, len(rest))))]
-        same = np.zeros(len(rest), bool)
-        for cut in range(0, len(rest), 65536):
-            s = slice(cut, cut + 65536)
-            same[s] = (chars[at[rest[s]][:, None] + window] == chars[at[lead[s]][:, None] + window]).all(axis=1)
+        same = _same(eights, at[rest], at[lead], span)
         hit[rest[same]] = own[rest[same]] > own[lead[same]]  # sorted by id: the first is the smallest
         rest = rest[~same]
     return hit
@@ -494,13 +502,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     * null and empty texts have no bytes; texts shorter than ``span`` lose none;
     * rows with the same id do not remove each other's strings; each has its own result (they are told
-      apart by a hash of the text), and repeated rows have the same one;
+      apart by a 64-bit hash of the text), and repeated rows have the same one;
     * a null id is greater than all others, and null ids do not remove each other's strings;
     * ids must be integers; other columns are ignored, whatever their names.
     """
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = HOMES * width
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(F.col(text_col)).alias("tag"), F.col(text_col).alias("__text"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("tag"), F.col(text_col).alias("__text"))
     src = src.withColumn("home", F.pmod(F.xxhash64("id", "tag"), F.lit(parts)).cast("int"))
     sent = "bucket int, home int, blob binary"
 

@@ -46,11 +46,13 @@ def lyndon_groups(text: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     prev[off[:-1]] = -1
     grp_at = np.append(grp, -1)  # grp_at[-1]: below every group
     low, high = off[:-1].copy(), off[1:].copy()
+    moving = np.zeros(n, bool)
     while True:
         live = high > low
-        if not live.any():
+        if not live.all():  # strings of a batch are of similar length, and most end together
+            low, high = low[live], high[live]
+        if not len(low):
             return grp_at[:-1], prev
-        low, high = low[live], high[live]
         start = grp_at[sa[high - 1]]
         mem = sa[ragged(start, high - start)]
         high = start
@@ -61,13 +63,14 @@ def lyndon_groups(text: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
             up = grp_at[j] >= want
             todo, want, j = todo[up], want[up], j[up]
             prev[todo] = prev[j]
-        to, count = np.unique(prev[mem], return_counts=True)
-        if len(to) and to[0] < 0:
-            to, count = to[1:], count[1:]
+        to = np.sort(prev[mem])
+        to = to[np.searchsorted(to, 0) :]  # without pointers to nothing
         if not len(to):
             continue
+        edge = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+        to, count = to[edge], np.diff(np.append(edge, len(to)))
         h = grp_at[to]
-        order = np.lexsort((count, h))
+        order = np.argsort(h * (n + 1) + count, kind="stable")
         to, count, h = to[order], count[order], h[order]
         edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         moved = np.diff(np.append(edge, len(h)))
@@ -77,7 +80,9 @@ def lyndon_groups(text: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
         leaving = slot[to]
         gap = np.sort(leaving[leaving < np.repeat(end - moved, moved)])
         there = sa[target]
-        stay = there[~np.isin(there, to)]  # groups are apart, so both lists come group by group
+        moving[to] = True
+        stay = there[~moving[there]]  # groups are apart, so both lists come group by group
+        moving[to] = False
         sa[gap] = stay
         slot[stay] = gap
         sa[target] = to
@@ -113,7 +118,8 @@ def suffix_arrays(text: np.ndarray, off: np.ndarray) -> np.ndarray:
         rest = ~go
         i[rest] += 1
         keep = i < stop
-        i, stop, begin, s, rest = i[keep], stop[keep], begin[keep], s[keep], rest[keep]
+        if not keep.all():
+            i, stop, begin, s, rest = i[keep], stop[keep], begin[keep], s[keep], rest[keep]
         at = out[i[rest]]
         s[rest] = np.where(at > begin[rest], at - 1, -1)
     return out

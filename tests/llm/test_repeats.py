@@ -90,3 +90,18 @@ def test_edges(spark):
     out = {(r.doc_id, r.n_removed) for r in substrings.remove_repeats(df).collect()}
     assert out == {(7, 0), (None, n)}  # a null id is the greatest
     assert substrings.remove_repeats(df.limit(0)).collect() == []
+
+
+def test_rows_of_one_id_with_equal_32_bit_hashes(spark):
+    from pyspark.sql import functions as F
+
+    passage = "a passage of more than fifty bytes that an earlier document has as well"
+    n = spark.range(150_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("s"))
+    repeated = n.select(F.concat(F.lit(passage), "s").alias("t")).withColumn("h", F.hash("t"))
+    clean = n.select(F.concat("s", F.reverse("s")).alias("c")).withColumn("h", F.hash("c"))
+    pair = repeated.join(clean, "h").first()
+    assert pair is not None
+    rows = [(1, passage), (None, pair.t), (None, pair.c)]
+    for order in (rows, [rows[0], rows[2], rows[1]]):
+        got = substrings.remove_repeats(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted((r.n_bytes, r.n_removed) for r in got) == [(71, 0), (128, 0), (135, 71)]

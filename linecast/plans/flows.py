@@ -17,6 +17,7 @@ from linecast.sources import tables as T
 from linecast.streaming import incremental as INC
 from linecast.streaming import ingest as ING
 from linecast.streaming import joined as JS
+from linecast.streaming import landing as LAND
 from linecast.streaming import rescue as RES
 
 # -- S1 + S2: rescued ingest ------------------------------------------------------------------------
@@ -85,6 +86,20 @@ def q_evolve_schema_race(spark, sf):
     return rows.select("event_id", "event_type", "value", F.col("props.k").alias("k"), "user_id")
 
 
+@query("landing_archive", "SELECT event_id, value, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day FROM events")
+def q_landing_archive(spark, sf):
+    """S7 with a bound in bytes: lines land in many small files, the days are archived, more lines land on
+    some of them, and those are archived anew."""
+    base = scratch_path(spark, "archive")
+    ev = td.table(spark, sf, "events")
+    for part in (F.col("event_type") != "view", F.col("event_type") == "view"):
+        rows = ev.where(part).select("ts", F.to_json(F.struct("event_id", "value")).alias("line"))
+        ING.with_arrival_partitions(rows, "ts").drop("ts").write.mode("append").partitionBy("year", "month", "day").text(f"{base}/landing")
+        LAND.compact_landed(spark, f"{base}/landing", f"{base}/archive")
+    rows = LAND.read_archive(spark, f"{base}/archive").withColumn("r", F.from_json("value", "event_id BIGINT, value DOUBLE"))
+    return rows.select("r.event_id", "r.value", "year", "month", "day")
+
+
 # -- 2.9: corrected signals ---------------------------------------------------------------------------
 
 

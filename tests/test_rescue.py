@@ -172,3 +172,30 @@ def test_summary_follows_rewritten_days(spark):
     assert summary() == {"H1": (1, "2024-01-03"), "H2": (6, "2024-01-02")}
     assert write([("nba", "H9", "A9", None)]) == [""]
     assert summary()["H9"] == (1, "None")
+
+
+def test_batches_and_archived_files_keep_within_their_bytes(spark):
+    import glob
+
+    from linecast.streaming import landing as LAND
+
+    base = tempfile.mkdtemp(prefix="lc-land-")
+    lines = [f"line {k} of a topic log, of some length" for k in range(400)]
+    spark.createDataFrame([(x,) for x in lines], "value STRING").repartition(20).write.text(f"{base}/log")
+    largest = max(os.path.getsize(f) for f in glob.glob(f"{base}/log/*.txt"))
+    day = F.when(F.substring("value", 6, 1) == "1", 1).otherwise(2)
+    stream = LAND.bounded_lines(spark, f"{base}/log", 3 * largest).withColumn("year", F.lit(2024)).withColumn("month", F.lit(1)).withColumn("day", day)
+    w = stream.writeStream.format("text").option("checkpointLocation", f"{base}/ckpt").partitionBy("year", "month", "day").trigger(availableNow=True)
+    q = ING.run(w.start(f"{base}/landing"))
+    assert len([p for p in q.recentProgress if p["numInputRows"]]) >= 6  # not one batch of all
+    sizes = [os.path.getsize(f) for f in glob.glob(f"{base}/landing/year=*/month=*/day=*/*.txt")]
+    assert max(sizes) <= 3 * largest and len(sizes) > 10
+
+    assert LAND.compact_landed(spark, f"{base}/landing", f"{base}/archive", before="2024-01-02", file_bytes=2000) == ["year=2024/month=1/day=1"]
+    assert LAND.compact_landed(spark, f"{base}/landing", f"{base}/archive", file_bytes=2000) == ["year=2024/month=1/day=2"]
+    assert LAND.compact_landed(spark, f"{base}/landing", f"{base}/archive") == []
+    got = LAND.read_archive(spark, f"{base}/archive")
+    assert sorted(r.value for r in got.collect()) == sorted(lines)
+    assert {r.value[5] == "1" for r in got.where("day = 1").collect()} == {True}
+    files = [os.path.getsize(f) for f in glob.glob(f"{base}/archive/_versions/*/*.txt")]
+    assert max(files) < 2 * 2000 and len(files) < len(sizes)

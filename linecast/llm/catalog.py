@@ -22,7 +22,9 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op2_perspective_rotation": perspectives.ORACLE_OP2,
+    "op4_suffix_dedup": substrings.ORACLE_OP4,
     "op5_bm25_topk": bm25.ORACLE_OP5,
+    "op7_superminhash_neardup": neardup.ORACLE_OP7,
     "op9_extendible_sharding": sharding.ORACLE_OP9,
     "op10_benchmark_decontamination": decontam.ORACLE_OP10,
     "op12_vector_codes": codebooks.ORACLE_OP12,

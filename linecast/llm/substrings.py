@@ -527,3 +527,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Contract query: 50-byte strings, all documents."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+ORACLE_OP4 = """
+WITH t AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS s FROM t, unnest(range(0, n - 49)) AS u(i)),
+hit AS (SELECT p.doc_id, p.i FROM p JOIN (SELECT s, min(doc_id) AS least FROM p GROUP BY s) f USING (s) WHERE least < p.doc_id),
+marked AS (SELECT *, i > lag(i) OVER w + 50 AS apart FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+run AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b
+  FROM (SELECT *, count(*) FILTER (apart) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked) GROUP BY doc_id, k),
+cut AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM run),
+kept AS (
+  SELECT t.doc_id, t.n, coalesce(sum(b - a), 0) AS removed, count(a) AS spans,
+    coalesce(string_agg(substr(h, CAST(2 * since + 1 AS BIGINT), CAST(2 * (a - since) AS BIGINT)), '' ORDER BY a), '')
+      || substr(any_value(h), CAST(2 * coalesce(max(b), 0) + 1 AS BIGINT)) AS h
+  FROM t LEFT JOIN cut USING (doc_id) GROUP BY t.doc_id, t.n)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(removed AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans,
+  sha256(unhex(h)) AS kept_sha256 FROM kept"""

@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +24,8 @@ from linecast.llm.words import GOLDEN, U, Words, chunks, mix
 #: Everything between words, as in the decontamination contract: punctuation doesn't hide a word.
 GAP = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 BITS = 22
+#: Text whose features are found at once.
+TEXT_BYTES = 1 << 20
 
 
 def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +48,7 @@ def _distinct(rows: np.ndarray, feats: np.ndarray, bits: int) -> tuple[np.ndarra
 
 def _extract(bits: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=TEXT_BYTES):
             rows, feats = _distinct(*features(batch.column("text"), bits), bits)
             ends = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feats, pa.int32()))
@@ -69,11 +70,12 @@ def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 8,
         w = -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2)
         return np.where(np.abs(z) <= l1, 0.0, w)
 
-    seen = np.zeros(1 << bits, np.int32)
-    for x, _ in rows:
-        seen[x] += 1
-    for k, (x, y) in enumerate(rows):
-        rows[k] = x[seen[x] >= min_rows], y
+    # All rows' features in one array, and rows as views of it: many small arrays would never be given back.
+    flat = np.concatenate([np.zeros(0, np.int32), *(x for x, _ in rows)])
+    frequent = np.bincount(flat, minlength=1 << bits)[flat] >= min_rows
+    ends = np.append(0, np.cumsum(frequent))[np.cumsum([0, *(len(x) for x, _ in rows)])]
+    flat = flat[frequent]
+    rows = [(flat[i:j], y) for i, j, (_, y) in zip(ends[:-1], ends[1:], rows, strict=True)]
     for _ in range(epochs):
         for x, y in rows:
             w, old = weight(z[x], n[x]), n[x]
@@ -89,15 +91,20 @@ def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 8,
 
 
 def _fit(bits: int, options: dict):
-    def run(batches) -> Iterator[pd.DataFrame]:
-        data = []
-        for pdf in batches:
-            data += [(o, np.asarray(x, np.int32), int(y)) for o, x, y in zip(pdf["order"], pdf["items"], pdf["label"], strict=True)]
-        data.sort(key=lambda r: (r[0], r[2], len(r[1])))
-        rows = [(x, y) for _, x, y in data]
-        del data
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        orders, labels, sizes, items = [[np.zeros(0, np.int64)] for _ in range(4)]
+        for batch in batches:
+            orders.append(batch.column("order").to_numpy())
+            labels.append(batch.column("label").to_numpy().astype(np.int64))
+            sizes.append(np.diff(np.asarray(batch.column("items").offsets, np.int64)))
+            items.append(np.array(batch.column("items").flatten(), np.int32))
+        order, label, size = (np.concatenate(x) for x in (orders, labels, sizes))
+        flat = np.concatenate([np.zeros(0, np.int32), *items[1:]])
+        items.clear()
+        end = np.cumsum(size)
+        rows = [(flat[end[k] - size[k] : end[k]], int(label[k])) for k in np.lexsort((size, label, order)).tolist()]
         at, w, bias = ftrl(rows, bits, **options)
-        yield pd.DataFrame({"i": np.append(at, -1), "w": np.append(w, bias)})
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(w, bias), pa.float64())], names=["i", "w"])
 
     return run
 
@@ -118,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = written(rows, "sample")  # narrow, at most max_rows
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(rows), "__id").select("order", "label", "text")
     items = written(sample.mapInArrow(_extract(bits), "order long, label int, items array<int>"), "features")
-    model = items.repartition(1).mapInPandas(_fit(bits, options), "i long, w double")
+    model = items.repartition(1).mapInArrow(_fit(bits, options), "i long, w double")
     return [(r["i"], r["w"]) for r in model.collect()]
 
 
@@ -130,7 +137,7 @@ def _score(weights: list[tuple[int, float]], bits: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         dense = np.zeros(1 << bits, np.float32)
         dense[at] = value
-        for batch in chunks(batches, "__text"):
+        for batch in chunks(batches, "__text", TEXT_BYTES):
             rows, feats = features(batch.column("__text"), bits)
             live = dense[feats] != 0
             rows, feats = _distinct(rows[live], feats[live], bits)

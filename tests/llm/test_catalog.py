@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from linecast.llm import catalog, decontam, toxicity
@@ -73,3 +74,23 @@ def test_run_on_empty_tables(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         table(spark, SF, t).limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_run_on_awkward_rows(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, repeated rows, a very long text, extra columns."""
+    docs = table(spark, SF, "documents")
+    long_text = " ".join(f"word{k}" for k in range(60_000))
+    names = {f.name for f in docs.schema.fields}
+    odd = [(None, None), (None, ""), (9_000_001, None), (9_000_002, ""), (9_000_003, long_text), (9_000_004, "one two"), (9_000_004, "three four"), (9_000_004, "three four")]
+    more = spark.createDataFrame([(i, t, "en", "odd", 0) for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    assert names == set(more.columns)
+    both = docs.unionByName(more).withColumns({"score": F.lit("x"), "node": F.lit(1), "id": F.lit(2.5), "bands": F.lit("b"), "hits": F.lit(True)})
+    both.write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        table(spark, SF, t).write.parquet(str(tmp_path / f"{t}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert set(both.columns) < set(out.columns)
+    found = [(r.doc_id, r.text) for r in out.where("source = 'odd'").collect()]
+    expected = {(None, None), (None, ""), (9_000_001, None), (9_000_002, ""), (9_000_003, long_text), (9_000_004, "one two"), (9_000_004, "three four")}
+    assert set(found) == expected and out.where("shard IS NULL").count() == 0
+    assert {r.score for r in out.collect()} == {"x"}

@@ -5,10 +5,12 @@ strongly universal for the shingles' 32-bit hashes, take the place of permutatio
 holds each function's least value, found in numpy for all rows of a chunk at once. The fingerprint
 keeps 16 bits a function, and the likeness of two fingerprints is their share of equal places.
 
-Near documents. Bands of three signature places are joined in Spark: of each bucket with several
-different sets the one with the smallest id stands for it, and every other set of the bucket is confirmed
-against it by exact Jaccard similarity of whole sets. So a bucket of n sets makes n - 1 candidates,
-never pairs of all. A link between two sets that stand for no common bucket isn't sought.
+Near documents. Bands of three signature places are joined in Spark: different sets that share a
+bucket are in one cluster, directly or over others. A cluster's sets meet in one task, or, if they hold
+over ``BLOCK_ITEMS`` shingles, in one task for each pair of its blocks. There the common shingles of
+all its pairs are counted over an inverted index of the whole sets, so every link within a cluster is
+found, and no pair is ever a row: a task returns one row for each of its sets. Two sets at the threshold
+share no band with a probability of 0.00001, and less above it.
 
 Neighbours. The next document is the one with the next smaller id. Ids are cut into segments of
 at most ``SEGMENT_BYTES`` of text, or of one id. Texts travel once, compressed, to their segment; a
@@ -28,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linecast.llm.neardup import components
 from linecast.llm.scratch import table, written
 from linecast.llm.words import GOLDEN, U, Words, buffers, chunks, mix, shingles
 
@@ -38,6 +41,8 @@ SEGMENT_BYTES, PACK_BYTES = 16 << 20, 32 << 20
 SEGMENTS = 100_000
 #: Text hashed at once, so that a chunk's shingles stay in the processor's cache.
 HASH_BYTES = 256 << 10
+#: Shingles of a cluster's sets that one block holds (one set at least).
+BLOCK_ITEMS = 1 << 18
 #: Bits of a filter of keys: 16 MB in a task, at most 32 MB of rows to the driver.
 FILTER_BITS = 1 << 27
 
@@ -152,12 +157,69 @@ def _chosen_sets(bits: np.ndarray):
     return run
 
 
+def linked_sets(sets: list[np.ndarray], side: np.ndarray, pct: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set, how many others it is linked with, and the first of their places (-1: none). ``side``:
+    0 or 1; if both occur, only pairs of different sides are compared (the others are another task's)."""
+    m, n = len(sets), np.array([len(x) for x in sets])
+    doc, start = np.repeat(np.arange(m), n), np.concatenate([[0], np.cumsum(n)])
+    item = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    df = np.bincount(item)
+    posting, first = doc[np.argsort(item, kind="stable")], np.concatenate([[0], np.cumsum(df)])
+    cross = side.min() != side.max()
+    links, nearest = np.zeros(m, np.int64), np.full(m, -1)
+    for x in range(m):
+        t = item[start[x] : start[x + 1]]
+        t = t[df[t] > 1]
+        if not len(t):
+            continue
+        met = np.concatenate([posting[first[k] : first[k + 1]] for k in t])
+        if 8 * len(met) < m:
+            other, common = np.unique(met, return_counts=True)
+        else:
+            common = np.bincount(met, minlength=m)
+            other = np.flatnonzero(common)
+            common = common[other]
+        hit = (100 * common >= pct * (n[x] + n[other] - common)) & (other != x)
+        if cross:
+            hit &= side[other] != side[x]
+        other = other[hit]
+        if len(other):
+            links[x], nearest[x] = len(other), other[0]
+    return links, nearest
+
+
+def _linked(batches) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by task (cluster, i, j), then by id: the links of each task's sets."""
+    now, nodes, ids, sets, side = None, [], [], [], []
+
+    def close() -> pa.RecordBatch:
+        links, nearest = linked_sets(sets, np.array(side)) if len(sets) > 1 else (np.zeros(0, np.int64),) * 2
+        at = np.flatnonzero(links).tolist()
+        near = [ids[k] for k in nearest[at].tolist()]
+        columns = [pa.array([nodes[k] for k in at], pa.binary()), pa.array(links[at]), pa.array([x is None for x in near], pa.bool_()), pa.array(near, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["node", "links", "none", "near_id"])
+
+    for batch in batches:
+        cols = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "block", "node", "id")]
+        items = batch.column("items")
+        values, off = np.asarray(items.flatten(), np.int64), np.concatenate([[0], np.cumsum(items.value_lengths().to_numpy(zero_copy_only=False))])
+        for k, (cluster, i, j, block, node, number) in enumerate(zip(*cols, strict=True)):
+            if (cluster, i, j) != now:
+                yield close()
+                now, nodes, ids, sets, side = (cluster, i, j), [], [], [], []
+            nodes.append(node)
+            ids.append(number)
+            sets.append(values[off[k] : off[k + 1]].copy())
+            side.append(int(i != j and block == j))
+    yield close()
+
+
 def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, node, class_id, near_id) of the documents whose set is shared or near to another.
+    """Rows (id, node, class_id, near_id, n_near) of the documents whose set is shared or near to another.
 
-    ``class_id``: the smallest id with the same set (``node``). ``near_id``: the smallest id of another
-    set that stands for a bucket of this one's and has a Jaccard similarity of 0.8 or more with it, null
-    if none has. Null ids come last, and texts without words have no set and take no part.
+    ``class_id``: the smallest id with the same set (``node``). ``n_near``: how many other sets have a
+    Jaccard similarity of 0.8 or more with this one. ``near_id``: the smallest id of these, null if there
+    is none. Null ids come last, and texts without words have no set and take no part.
     """
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(text_col, F.lit("")).alias("__text"))
     signed = written(base.mapInArrow(_sign, "id long, node binary, bands array<bigint>").where("node is not null"), "signatures")
@@ -165,21 +227,29 @@ def near_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = written(signed.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "classes")
     shared = classes.select(F.explode("bands").alias("hash")).groupBy("hash").count().where("count > 1")
     rows = classes.mapInArrow(_shared_bands(_filter(shared)), "key long, id long, node binary")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "node")
-    heads = rows.groupBy("key").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = rows.join(heads.select("key", "head"), "key").where(F.col("node") != F.col("head.node"))
-    pairs = written(pairs.select("node", "id", F.col("head.node").alias("head"), F.col("head.id").alias("head_id")).distinct(), "candidates")
+    heads = rows.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = written(rows.join(heads.select("key", "a"), "key").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "stars")
+    cluster = components(stars).select(F.col("v").alias("node"), F.col("root").alias("cluster"))
+    cluster = cluster.unionByName(cluster.select(F.col("cluster").alias("node"), "cluster")).distinct()
+    cluster = written(cluster.join(classes.select("node", "id"), "node"), "clusters")
 
-    ids = pairs.select("id").union(pairs.select("head_id")).select(F.xxhash64("id").alias("hash"))
+    ids = cluster.select(F.xxhash64("id").alias("hash"))
     chosen = base.withColumn("__hash", F.xxhash64("__id")).mapInArrow(_chosen_sets(_filter(ids)), "node binary, items array<bigint>")
-    sought = pairs.select("node").union(pairs.select("head")).distinct()
-    sets = written(chosen.where("node is not null").join(sought, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "sets")
-    both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("head"), F.col("items").alias("others")), "head")
-    common = F.size(F.array_intersect("items", "others"))
-    close = both.where(100 * common >= PERCENT * (F.size("items") + F.size("others") - common))
-    near = close.groupBy("node").agg(F.min(F.struct(F.col("head_id").isNull().alias("none"), "head_id"))["head_id"].alias("near_id"))
-    known = classes.select("node", F.col("id").alias("class_id"), "n").join(near, "node", "left").where("n > 1 OR near_id IS NOT NULL")
-    return signed.select("id", "node").join(known.drop("n"), "node").select("id", "node", "class_id", "near_id").distinct()
+    # Copies of a set are equal, so any of them will do.
+    sets = chosen.where("node is not null").join(cluster.select("node"), "node", "left_semi").groupBy("node").agg(F.first("items").alias("items"))
+    sets = written(cluster.join(sets, "node"), "sets")
+    blocks = sets.groupBy("cluster").agg(F.ceil(F.sum(F.size("items")) / F.lit(BLOCK_ITEMS)).cast("int").alias("k"))
+    # A set goes to the tasks of its block with each other one; most clusters have one block.
+    dealt = sets.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "id", "items")
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(width, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", F.col("id").asc_nulls_last(), "node")
+    found = dealt.mapInArrow(_linked, "node binary, links long, none boolean, near_id long")
+    near = found.groupBy("node").agg(F.min(F.struct("none", "near_id"))["near_id"].alias("near_id"), F.sum("links").alias("n_near"))
+    known = classes.select("node", F.col("id").alias("class_id"), "n").join(near, "node", "left").where("n > 1 OR n_near > 0")
+    known = known.withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    return signed.select("id", "node").join(known.drop("n"), "node").select("id", "node", "class_id", "near_id", "n_near").distinct()
 
 
 # --- neighbours -----------------------------------------------------------------------------------
@@ -320,7 +390,7 @@ def _deal_near(segments: Segments):
     return run
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long, near_id long"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long, near_id long, n_near long"
 
 
 class Bucket:
@@ -341,7 +411,7 @@ class Bucket:
             self.follows = text if self.follows is None else min(self.follows, text)
         elif row["kind"] == NEAR:
             for r in pa.ipc.open_stream(raw).read_all().to_pylist():
-                self.near[r["id"], r["node"]] = r["class_id"], r["near_id"]
+                self.near[r["id"], r["node"]] = r["class_id"], r["near_id"], r["n_near"]
         else:
             n = row["n"]
             off = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.int64, n))]) + 16 * n
@@ -373,7 +443,7 @@ class Bucket:
         near_edited = np.where(empty[:n] == none_edited, (own[:n] == theirs).mean(axis=1), 0.0)
         near_next = np.where(empty[:n] == empty[next_of], (own[:n] == own[next_of]).mean(axis=1), 0.0)
         out_ids = [None] * n if self.none else ids.tolist()
-        found = [self.near.get((i, x), (i, None)) for i, x in zip(out_ids, nodes, strict=False)]
+        found = [self.near.get((i, x), (i, None, 0)) for i, x in zip(out_ids, nodes, strict=False)]
         columns = [
             pa.array(out_ids, pa.int64()),
             pa.array([len(t) for t in texts[:n]], pa.int64()),
@@ -384,6 +454,7 @@ class Bucket:
             pa.array(near_next, pa.float64()),
             pa.array([f[0] for f in found], pa.int64()),
             pa.array([f[1] for f in found], pa.int64()),
+            pa.array([f[2] for f in found], pa.int64()),
         ]
         return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in RESULT.split(", ")])
 
@@ -414,8 +485,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id come last; rows of one id all have the same next document, and where an id with several rows is
     the next, its least text is. A single id is its own next. Texts of fewer than five words are one
     shingle; texts without words have an empty set, which is like another empty set (1.0) and unlike all
-    others (0.0). ``class_id`` and ``near_id`` are as in :func:`near_documents`; a document that is
-    neither shared nor near has its own id and null. An empty table gives no rows. Other columns of the
+    others (0.0). ``class_id``, ``near_id`` and ``n_near`` are as in :func:`near_documents`; a document that
+    is neither shared nor near has its own id, null and 0. An empty table gives no rows. Other columns of the
     input are not read, whatever their names.
     """
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(text_col, F.lit("")).alias("__text"))

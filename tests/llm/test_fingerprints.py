@@ -40,27 +40,16 @@ def neighbours(rows):
 
 
 def near(rows):
-    """class_id and near_id of each row, from the signatures' bands."""
-    named = [(i, shingle_set(t), t or "") for i, t in rows]
+    """class_id, near_id and n_near of each row, from all pairs of different sets."""
+    named = [(i, shingle_set(t)) for i, t in rows]
     classes = {}
-    for i, s, _ in named:
+    for i, s in named:
         if s:
             old = classes.setdefault(s, i)
             classes[s] = i if old is None else old if i is None else min(old, i)
-    buckets = {}
-    for s in classes:
-        h, first = fp._sets(pa.array([next(t for _, o, t in named if o == s)]))
-        sig = fp.minhash(h, first, fp.BANDS * fp.BAND_ROWS)[0]
-        for b in range(fp.BANDS):
-            buckets.setdefault((b, tuple(sig[3 * b : 3 * b + 3])), []).append(s)
-    found = {}
-    rank = lambda s: (classes[s] is None, classes[s] or 0)
-    for members in buckets.values():
-        head = min(members, key=rank)
-        for s in members:
-            if s != head and jaccard(s, head) >= 0.8:
-                found[s] = min(found.get(s, head), head, key=rank)
-    return [(classes[s] if s in classes else i, classes[found[s]] if s in found else None) for i, s, _ in named]
+    links = {s: [classes[o] for o in classes if o != s and jaccard(s, o) >= 0.8] for s in classes}
+    first = lambda ids: min(ids, key=lambda i: (i is None, i or 0), default=None)
+    return [(classes.get(s, i), first(links.get(s, [])), len(links.get(s, []))) for i, s in named]
 
 
 def corpus(n=160, seed=3):
@@ -81,11 +70,11 @@ def check(spark, rows, partitions=3):
     got = fp.fingerprints(df).collect()
     follows = neighbours(rows) if rows else {}
     expected = []
-    for (i, t), (class_id, near_id) in zip(rows, near(rows), strict=True):
+    for (i, t), (class_id, near_id, n_near) in zip(rows, near(rows), strict=True):
         t, n = t or "", follows[i]
         edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
         sha = hashlib.sha256(edited.encode()).hexdigest()
-        expected.append((i, len(t), sha, hex_of(t), hex_of(edited), likeness(t, edited), likeness(t, n), class_id, near_id))
+        expected.append((i, len(t), sha, hex_of(t), hex_of(edited), likeness(t, edited), likeness(t, n), class_id, near_id, n_near))
     key = lambda r: [(x is None, x if x is not None else 0) for x in r]
     assert sorted(map(tuple, got), key=key) == sorted(expected, key=key)
 
@@ -143,3 +132,19 @@ def test_every_close_pair_shares_a_band():
 def test_tasks_without_a_segment_end(spark, monkeypatch):
     monkeypatch.setattr(fp, "SEGMENT_BYTES", 1 << 20)
     check(spark, [(k, f"document number {k} of many with a text of its own") for k in range(60)], 12)
+
+
+def chain(n=12, step=9, size=100):
+    """Texts that change step by step: each is linked with the next ones, none with those far off."""
+    words = [f"w{k}" for k in range(size + n * step)]
+    return [(n - k, " ".join(words[k * step : k * step + size])) for k in range(n)]
+
+
+@pytest.mark.parametrize("block", [1 << 18, 200])
+def test_links_between_any_two_sets_of_a_bucket(spark, monkeypatch, block):
+    monkeypatch.setattr(fp, "BLOCK_ITEMS", block)
+    rows = chain() + [(100 + k, t) for k, (_, t) in enumerate(chain(4))] + [(None, "a b c d e f g h i j k l m n o"), (90, "a b c d e f g h i j k l m n o p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["id"], r["class_id"], r["near_id"], r["n_near"]) for r in fp.near_documents(df).collect()}
+    assert got == {(i, c, x, n) for (i, _), (c, x, n) in zip(rows, near(rows), strict=True)}
+    assert sum(n for *_, n in got) > 2 * len(chain())

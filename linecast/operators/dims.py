@@ -2,7 +2,8 @@
 
 The sports configuration (one JSON document: per sport the active flag, API key, market ticker
 prefix, team abbreviations and an optional weekly schedule) is read by Spark with an explicit
-schema and exploded into three small tables.
+schema and exploded into three small tables. They are broadcast to what they are joined with: a shuffle
+by sport would put all rows of a sport into one task.
 """
 
 from __future__ import annotations
@@ -79,11 +80,11 @@ def in_schedule(df: DataFrame, ts: str, sport_dim: DataFrame, schedule_dim: Data
     Sports without a schedule are always in; scheduled sports with no row for the day are out;
     sports missing from the configuration are out. Of several windows of a sport and day the earliest counts.
     """
-    sd = sport_dim.select(F.col("sport_key").alias("__sk"), F.col("has_schedule").alias("__has"))
-    tzs = schedule_dim.groupBy(F.col("sport_key").alias("__tk")).agg(F.min("tz").alias("__tz"))
+    sd = F.broadcast(sport_dim.select(F.col("sport_key").alias("__sk"), F.col("has_schedule").alias("__has")))
+    tzs = F.broadcast(schedule_dim.groupBy(F.col("sport_key").alias("__tk")).agg(F.min("tz").alias("__tz")))
     # One window per sport and day: a repeated day cannot fan rows out.
     win = schedule_dim.groupBy(F.col("sport_key").alias("__wk"), F.col("day").alias("__wd")).agg(F.min(F.struct("start_time", "end_time")).alias("__w"))
-    win = win.select("__wk", "__wd", F.col("__w.start_time").alias("__st"), F.col("__w.end_time").alias("__et"))
+    win = F.broadcast(win.select("__wk", "__wd", F.col("__w.start_time").alias("__st"), F.col("__w.end_time").alias("__et")))
     j = df.join(sd, F.col(sport_col) == F.col("__sk"), "left").join(tzs, F.col(sport_col) == F.col("__tk"), "left")
     local = F.convert_timezone(F.lit("UTC"), F.col("__tz"), F.col(ts).cast("timestamp_ntz"))
     j = j.withColumn("__day", weekday_name(local)).withColumn("__hm", hhmm(local))
@@ -109,7 +110,7 @@ def games_to_tickers(
     away = abbr.select(F.col("sport_key").alias("__as"), F.col("team").alias("__at"), F.col("abbr").alias("away_abbr"))
     home = abbr.select(F.col("sport_key").alias("__hs"), F.col("team").alias("__ht"), F.col("abbr").alias("home_abbr"))
     j = (
-        games.join(prefix, F.col("sport_key") == F.col("__sk"), "inner")
+        games.join(F.broadcast(prefix), F.col("sport_key") == F.col("__sk"), "inner")
         .join(away, (F.col("sport_key") == F.col("__as")) & (F.col("away_team") == F.col("__at")), "inner")
         .join(home, (F.col("sport_key") == F.col("__hs")) & (F.col("home_team") == F.col("__ht")), "inner")
     )

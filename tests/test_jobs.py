@@ -1,7 +1,9 @@
+import re
 import tempfile
 
 from pyspark.sql import functions as F
 
+from linecast.plans import catalog as C
 from linecast.plans import jobs
 from linecast.plans import testdata as td
 
@@ -120,3 +122,17 @@ def test_shuffle_partitions_follow_input_size(spark):
         assert size_shuffle_partitions(spark, ev, target_bytes=64 * 1024) > 2 * spark.sparkContext.defaultParallelism
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", prev)
+
+
+def test_job_tickers_does_not_deal_games_by_sport(spark):
+    sport_dim, team_dim, _ = td.test_dims(spark, SF)
+    markets = spark.createDataFrame([], "event_ticker STRING, market_ticker STRING")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # games are too many to be broadcast
+    try:
+        out = jobs.job_tickers(C.parsed_games(spark, SF), sport_dim, team_dim, markets, order=("seq",))["tickers"]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert not re.findall(r"hashpartitioning\(\w+#\d+L?, \d+\)", plan)
+    assert not out.isEmpty()

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -50,12 +50,24 @@ def quotes_near_games(
 ) -> DataFrame:
     """Every game event with the quotes of its keys from ``before`` it until ``after`` it, whichever of the
     two arrives first. Both sides have a watermark of ``delay``; a row is held until no partner of it
-    can still come, so state holds ``before + after + delay`` of each stream at most. Null keys match nothing."""
+    can still come, so state holds ``before + after + delay`` of each stream at most. Null keys match nothing.
+
+    Time is cut into slots as long as the window: a game event looks into the two slots that its window
+    touches and a quote is in one, so a row meets the rows of its keys near it, not all that state holds."""
     g, q = _event_time(games, game_ts, delay), _event_time(quotes, quote_ts, delay)
     g = g.withColumnsRenamed({k: f"__g_{k}" for k in keys})
-    on = [F.col(f"__g_{k}") == F.col(k) for k in keys]
+    at = "timestamp_micros(0)"
+    width = F.expr(f"greatest(abs(unix_micros({at} + INTERVAL {after}) - unix_micros({at} - INTERVAL {before})), 1000000)")
+
+    def slot(ts: Column) -> Column:
+        return F.floor((F.unix_micros(ts) - F.pmod(F.unix_micros(ts), width)) / width)
+
+    first, last = (slot(F.col(game_ts) - F.expr(f"INTERVAL {before}")), slot(F.col(game_ts) + F.expr(f"INTERVAL {after}")))
+    g = g.withColumn("__g_slot", F.explode(F.sequence(first, last)))
+    q = q.withColumn("__slot", slot(F.col(quote_ts)))
+    on = [F.col(f"__g_{k}") == F.col(k) for k in keys] + [F.col("__g_slot") == F.col("__slot")]
     on += [F.col(quote_ts) >= F.col(game_ts) - F.expr(f"INTERVAL {before}"), F.col(quote_ts) <= F.col(game_ts) + F.expr(f"INTERVAL {after}")]
-    return g.join(q, on, "inner").drop(*[f"__g_{k}" for k in keys])
+    return g.join(q, on, "inner").drop(*[f"__g_{k}" for k in keys], "__g_slot", "__slot")
 
 
 def join_quotes(

@@ -104,3 +104,17 @@ def test_quotes_before_and_after_their_game_event_match(spark):
         ING.run(JS.join_quotes(g, q, f"{base}/out", f"{base}/ckpt", keys=["k"], game_ts="gt", quote_ts="qt", before="30 minutes", after="1 hour", delay="1 day"))
     got = sorted((r.k, str(r.qt)[11:16]) for r in spark.read.parquet(f"{base}/out").collect())
     assert got == [("g", "09:45"), ("g", "10:30"), ("h", "11:50")]
+
+
+def test_quotes_meet_only_the_games_near_them(spark):
+    """Times on both ends of the window and of its slots, before and after 1970; one game holds all rows."""
+    games = spark.range(-3, 4).select(F.lit(1).alias("k"), F.timestamp_seconds(F.col("id") * 2700).alias("gt"))
+    quotes = spark.range(-40, 41).select(F.lit(1).alias("k"), F.timestamp_seconds(F.col("id") * 450).alias("qt"))
+    for before, after in (("30 minutes", "1 hour"), ("0 seconds", "0 seconds"), ("-15 minutes", "30 minutes"), ("-2 hours", "1 hour")):
+        found = JS.quotes_near_games(games, quotes, ["k"], "gt", "qt", before, after)
+        on = F.col("qt").between(F.col("gt") - F.expr(f"INTERVAL {before}"), F.col("gt") + F.expr(f"INTERVAL {after}"))
+        expected = games.select("gt").join(quotes, on)
+        assert found.columns == ["gt", "k", "qt"]
+        assert sorted(map(tuple, found.select("gt", "k", "qt").collect())) == sorted(map(tuple, expected.select("gt", "k", "qt").collect()))
+        keys = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "__g_slot" in keys and "__slot" in keys

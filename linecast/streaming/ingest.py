@@ -342,6 +342,19 @@ def load_ledger(spark: SparkSession, checkpoint: str) -> DataFrame:
     return spark.read.schema(LOAD_LEDGER_DDL).parquet(path) if folder_exists(spark, path) else spark.createDataFrame([], LOAD_LEDGER_DDL)
 
 
+def file_counts(rows: DataFrame) -> DataFrame:
+    """Of each file of parsed lines ``(file, __at, __bad, __line)``: its lines, those loaded and rejected,
+    and the first of these."""
+    bad = F.col("__bad")
+    counts = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(~bad).alias("n_loaded"), F.count_if(bad).alias("n_rejected"))
+    # Places are numbers: a task holds one of each split and sorts no lines. The lines of the first
+    # places, one a file, are then looked up.
+    by_split = rows.where(bad).groupBy("file", "__at.__block").agg(F.min("__at.__line_of_split").alias("__line_of_split"))
+    first = by_split.groupBy("file").agg(F.min(F.struct("__block", "__line_of_split")).alias("__at"))
+    found = rows.where(bad).join(F.broadcast(first), ["file", "__at"]).select("file", F.col("__line").alias("first_error"))
+    return counts.join(F.broadcast(found), "file", "left")
+
+
 def load_history(
     spark: SparkSession,
     src: str,
@@ -379,14 +392,7 @@ def load_history(
                 replace(good, dst, "parquet", number)
             if errors is not None:
                 replace(rows.where("__bad").select(F.col("__line").alias("value")), errors, "text", number)
-            bad = F.col("__bad")
-            counts = rows.groupBy("file").agg(
-                F.count(F.lit(1)).alias("n_lines"),
-                F.count_if(~bad).alias("n_loaded"),
-                F.count_if(bad).alias("n_rejected"),
-                F.min_by("__line", F.when(bad, F.col("__at"))).alias("first_error"),
-            )
-            replace(counts, ledger, "parquet", number)
+            replace(file_counts(rows), ledger, "parquet", number)
         finally:
             rows.unpersist()
 

@@ -144,3 +144,12 @@ def test_quarantine_stream(spark):
     ING.run(ING.quarantine_stream(stream, "value", k, f"{base}/good", f"{base}/bad", f"{base}/ckpt", keep=("id",)))
     assert sorted((r.id, r.k) for r in spark.read.parquet(f"{base}/good").collect()) == [(1, 1), (3, 3)]
     assert [r.id for r in spark.read.json(f"{base}/bad").collect()] == [2]
+
+
+def test_file_counts_sort_no_lines(spark):
+    rows = [("a", (0, 7), True, "late"), ("a", (0, 2), True, "first of a"), ("a", (9, 1), True, "other split"), ("a", (0, 1), False, "fine"), ("b", (0, 0), False, "fine"), ("c", (64, 5), True, "only")]
+    df = spark.createDataFrame(rows, "file STRING, __at STRUCT<__block: BIGINT, __line_of_split: BIGINT>, __bad BOOLEAN, __line STRING")
+    out = ING.file_counts(df)
+    assert {tuple(r) for r in out.select("file", "n_lines", "n_loaded", "n_rejected", "first_error").collect()} == {("a", 4, 1, 3, "first of a"), ("b", 1, 1, 0, None), ("c", 1, 0, 1, "only")}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate" in x and "__line#" in x]

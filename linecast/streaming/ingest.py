@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Mapping
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -379,11 +380,14 @@ def load_history(
 
     def handle(batch: DataFrame, number: int) -> None:
         # A batch that is handled again must not find its own files.
-        done = load_ledger(spark, checkpoint).where(F.col(LOAD) < number).select("file")
+        # They are broadcast, as the checkpoint's own list of files is held whole: lines stay in their splits.
+        done = F.broadcast(load_ledger(spark, checkpoint).where(F.col(LOAD) < number).select("file"))
         # Place of a line in its file: the start of its split, then its order within.
         at = F.struct("__block", F.monotonically_increasing_id().alias("__line_of_split")).alias("__at")
         new = batch.select("value", "file", at).where(F.trim("value") != "").join(done, "file", "left_anti")
-        rows = history_records(new, schema, keep=("file", "__at")).persist()
+        rows = history_records(new, schema, keep=("file", "__at"))
+        # Kept on disk, so that memory does not grow with the batch; of good lines the text is not needed.
+        rows = rows.withColumn("__line", F.when(F.col("__bad"), F.col("__line"))).persist(StorageLevel.DISK_ONLY)
         try:
             good = rows.where(~F.col("__bad")).drop("__bad", "__line", "file", "__at")
             if partition_day_of:

@@ -153,3 +153,23 @@ def test_file_counts_sort_no_lines(spark):
     assert {tuple(r) for r in out.select("file", "n_lines", "n_loaded", "n_rejected", "first_error").collect()} == {("a", 4, 1, 3, "first of a"), ("b", 1, 1, 0, None), ("c", 1, 0, 1, "only")}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in plan.splitlines() if "Aggregate" in x and "__line#" in x]
+
+
+def test_history_lines_stay_in_their_splits_and_out_of_memory(spark, monkeypatch):
+    base = tempfile.mkdtemp(prefix="lc-hist-splits-")
+    real, plans, kept = ING.file_counts, [], []
+
+    def counts(rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        kept.append((rows.storageLevel.useMemory, sorted(((r["__bad"], r["__line"]) for r in rows.collect()), key=str)))
+        return real(rows)
+
+    monkeypatch.setattr(ING, "file_counts", counts)
+    schema = spark.createDataFrame([], "team STRING").schema
+    for k in range(2):
+        spark.createDataFrame([('{"team": "x"}',), (f"broken {k}",)], "value STRING").coalesce(1).write.mode("append").text(f"{base}/src")
+        ING.run(ING.load_history(spark, f"{base}/src", schema, f"{base}/dst", f"{base}/ckpt", errors=f"{base}/bad", partition_day_of=None))
+    assert kept == [(False, [(False, None), (True, f"broken {k}")]) for k in range(2)]
+    assert not [x for x in plans if "Exchange hashpartitioning(file" in x]
+    assert [r.team for r in spark.read.parquet(f"{base}/dst").collect()] == ["x", "x"]
+    assert sorted(r.first_error for r in ING.load_ledger(spark, f"{base}/ckpt").collect()) == ["broken 0", "broken 1"]

@@ -1,18 +1,20 @@
 """Exact BM25 top-k search with block-max pruning, per shard, merged with global statistics.
 
-Method. Each shard is an inverted index whose postings are cut into blocks of consecutive documents;
-every (term, block) keeps the greatest term score in it. As in block-max WAND, documents are only
-scored where the sum of the query terms' block maxima can still reach the k-th score: the blocks of
-the greatest bounds set that score, and of the rest only those whose bound reaches it are scored. Document
-frequencies, the number of documents and their mean length are counted over the whole corpus, so scores
-do not depend on the sharding and the merge of the shards' top k is exact.
+Method. Each shard is an inverted index. Its most common terms are rows over blocks of consecutive
+documents, and every (term, block) of them keeps the greatest term score in it. Queries come in packs:
+the postings of their rarer terms are added up first, and with the common terms' block maxima they bound
+every block. As in block-max WAND, the common terms are only scored where that bound can still reach
+the k-th score found: by one matrix product for a pack and a few blocks, in single precision. What that
+leaves is scored exactly. Document frequencies, the number of documents and their mean length are counted
+over the whole corpus, so scores do not depend on the sharding and the merge of the shards' top k is exact.
 
 Scale. Texts are read once and become compact postings, some 8 MB of text to a written row. A shard is
 up to ``SHARD_CHUNKS`` such rows of one task, where they are read: postings are never shuffled. Queries,
-weighted and packed in blocks, are taken in groups of at most ``QUERY_BYTES``, which are all that a
+packed with the distinct terms of a pack, are taken in groups of at most ``QUERY_BYTES``, which are all that a
 task gets besides its own rows; every group is a pass over the postings, so both may grow without
-being sent to each other. A task gives at most ``k`` rows a query, from all its shards. Frequencies are
-pre-aggregated by task and joined with the query terms in Spark.
+being sent to each other. A task gives at most ``k`` rows a query, from all its shards, and what one shard
+found is the score to reach in the next. Frequencies are pre-aggregated by task and joined with the query
+terms in Spark.
 """
 
 from __future__ import annotations
@@ -36,13 +38,18 @@ from linecast.llm.words import Words, chunks
 CHUNK = 8 << 20
 SHARD_CHUNKS = 4
 DOCS_A_BLOCK = 64
-QUERIES_A_BLOCK = 500
+QUERIES_A_BLOCK = 1000
 #: Packed queries that one pass over the postings takes along (one block at least).
 QUERY_BYTES = 32 << 20
-#: Blocks of the greatest bounds, which set the score to reach.
-FIRST_BLOCKS = 4
-#: A term in at least one of so many documents of a shard has a whole row; at most ``ROWS`` terms have.
-COMMON, ROWS = 16, 192
+#: Blocks of one matrix product, and into how many runs its documents fall whose greatest scores set the score to reach.
+BLOCKS_A_TILE, RUNS = 4, 16
+#: Scores (queries times documents) and postings that are added up at once.
+CELLS, POSTINGS = 4 << 20, 1 << 17
+#: A term in at least one of so many documents of a shard has a whole row; at most ``ROWS`` terms have, of
+#: at most ``ROW_CELLS`` scores.
+COMMON, ROWS, ROW_CELLS = 20, 512, 16 << 20
+#: Room for the rounding of sums in single precision, in part and to 9 places.
+ROOM, LEAST = 1e-4, 2e-9
 K1, B = 1.2, 0.75
 NO_ID = np.iinfo(np.int64).max
 
@@ -83,11 +90,13 @@ def _query_terms(batches) -> Iterator[pa.RecordBatch]:
 
 
 def _block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Weighted terms of a block of queries, packed by query."""
+    """A block of queries: its distinct terms with their weights, and each query's terms by number with their times."""
     pdf = pdf.sort_values(["qid", "qtag", "term"])
     q = pdf.groupby(["qid", "qtag"], sort=True).size()
     ids, tags = q.index.get_level_values(0).to_numpy(), q.index.get_level_values(1).to_numpy()
-    return pd.DataFrame({"block": pdf["block"].iloc[:1], "blob": [_pack(ids.view(np.uint64), tags.view(np.uint64), q.to_numpy(), pdf["term"].to_numpy().view(np.uint64), pdf["weight"].to_numpy())]})
+    terms, first, number = np.unique(pdf["term"].to_numpy().view(np.uint64), return_index=True, return_inverse=True)
+    blob = _pack(ids.view(np.uint64), tags.view(np.uint64), q.to_numpy(), terms, pdf["idf"].to_numpy()[first], number, pdf["times"].to_numpy())
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "blob": [blob]})
 
 
 class Shard:
@@ -105,115 +114,147 @@ class Shard:
         order = np.argsort(term, kind="stable")  # parts come by document, so postings stay so
         term, self.doc, times = term[order], doc[order], times[order].astype(np.float64)
         del doc, order
-        self.gain = times * (K1 + 1) / (times + K1 * (1 - B + B * size[self.doc] / mean))
+        gain = times * (K1 + 1) / (times + K1 * (1 - B + B * size[self.doc] / mean))
         self.n = len(self.ids)
-        self.blocks = -(-self.n // DOCS_A_BLOCK)
+        self.blocks = BLOCKS_A_TILE * -(-self.n // (DOCS_A_BLOCK * BLOCKS_A_TILE))
+        self.wide = self.blocks * DOCS_A_BLOCK
         lead = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
         df = np.diff(np.append(lead, len(term)))
-        # terms of many documents are kept as whole rows of scores: adding a row is cheaper than its postings
+        # terms of many documents are kept as whole rows of scores: a product of rows is cheaper than postings
         often = np.flatnonzero(df * COMMON >= self.n)
-        often = np.sort(often[np.argsort(-df[often], kind="stable")[:ROWS]])
+        often = np.sort(often[np.argsort(-df[often], kind="stable")[: min(ROWS, ROW_CELLS // max(self.wide, 1))]])
         self.common = term[lead[often]]
-        self.row = np.zeros((len(often), self.blocks * DOCS_A_BLOCK))
+        # documents lie by falling weight of their common terms, so that blocks bound their documents closely
+        mass = np.zeros(self.n)
+        for t in often:
+            at = slice(lead[t], lead[t] + df[t])
+            mass[self.doc[at]] += gain[at] * np.log1p((self.n - df[t] + 0.5) / (df[t] + 0.5))
+        order = np.argsort(-mass, kind="stable")
+        place = np.empty(self.n, np.int32)
+        place[order] = np.arange(self.n, dtype=np.int32)
+        self.ids, self.tags, self.doc = self.ids[order], self.tags[order], place[self.doc]
+        self.row = np.zeros((self.wide, len(often)))  # by document
         for k, t in enumerate(often):
             at = slice(lead[t], lead[t] + df[t])
-            self.row[k, self.doc[at]] = self.gain[at]
-        self.row_most = self.row.reshape(len(often), self.blocks, DOCS_A_BLOCK).max(axis=2)
-        rare = ~np.repeat(np.isin(np.arange(len(lead)), often), df)
-        term, self.doc, self.gain = term[rare], self.doc[rare], self.gain[rare]
-        block = self.doc // DOCS_A_BLOCK
-        new = np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])) if len(term) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        self.entry = np.append(at, len(term))  # postings of each (term, block)
-        self.block = block[at]
-        self.most = np.maximum.reduceat(self.gain, at) if len(at) else np.zeros(0)
-        owner = term[at]
-        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(at) else at
-        self.term, self.first = owner[first], np.append(first, len(at))
+            self.row[self.doc[at], k] = gain[at]
+        self.rough = self.row.astype(np.float32)
+        self.most = self.rough.reshape(self.blocks, DOCS_A_BLOCK, len(often)).max(axis=1)
+        rare = ~np.isin(np.arange(len(lead)), often)
+        keep = np.repeat(rare, df)
+        self.term, self.doc, self.gain = term[lead[rare]], self.doc[keep], gain[keep]
+        self.first = np.append(0, np.cumsum(df[rare]))
 
     @staticmethod
-    def _find(keys: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _find(keys: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """Places of ``terms`` among ``keys``, -1 for those that are not there."""
         if not len(keys):
-            return np.zeros(0, np.int64), np.zeros(0)
+            return np.full(len(terms), -1)
         at = np.minimum(np.searchsorted(keys, terms), len(keys) - 1)
-        have = keys[at] == terms
-        return at[have], weights[have]
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and scores of the top ``k``: greatest score, then smallest id and tag."""
-        rows, row_weights = self._find(self.common, terms, weights)
-        at, weights = self._find(self.term, terms, weights)
-        n = self.first[at + 1] - self.first[at]
-        entry = ragged(self.first[at], n)
-        weight, block = np.repeat(weights, n), self.block[entry]
-        bound = np.bincount(block, weights=weight * self.most[entry], minlength=self.blocks) + row_weights @ self.row_most[rows]
-
-        def score(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Documents of these blocks that score, and their exact scores."""
-            live = np.zeros(self.blocks, bool)
-            live[which] = True
-            mine = live[block]
-            size = self.entry[entry[mine] + 1] - self.entry[entry[mine]]
-            post = ragged(self.entry[entry[mine]], size)
-            total = np.bincount(self.doc[post], weights=np.repeat(weight[mine], size) * self.gain[post], minlength=self.blocks * DOCS_A_BLOCK).astype(np.float64)
-            if 3 * len(which) > self.blocks:
-                for r, w in zip(rows, row_weights, strict=True):
-                    total += self.row[r] * w
-                total[~np.repeat(live, DOCS_A_BLOCK)] = 0
-            else:
-                cut = (np.sort(which)[:, None] * DOCS_A_BLOCK + np.arange(DOCS_A_BLOCK)).ravel()
-                total[cut] += row_weights @ self.row[rows[:, None], cut]
-            total = np.round(total, 9)
-            docs = np.flatnonzero(total > 0)
-            return docs, total[docs]
-
-        def top(docs: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if len(docs) > 4 * k:  # all that reach the k-th score, ties included
-                keep = total >= np.partition(total, len(total) - k)[len(total) - k]
-                docs, total = docs[keep], total[keep]
-            order = np.lexsort((self.tags[docs], self.ids[docs], -total))[:k]
-            return docs[order], total[order]
-
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best, total = top(*score(order[:FIRST_BLOCKS]))
-        rest = order[FIRST_BLOCKS:]
-        if len(best) >= k:
-            # a bound is a sum in another order than a score, so it gets a little room
-            rest = rest[bound[rest] * (1 + 1e-9) + 1e-8 >= total[-1]]
-        if len(rest):
-            more, also = score(rest)
-            best, total = top(np.concatenate([best, more]), np.concatenate([total, also]))
-        return best, total
+        return np.where(keys[at] == terms, at, -1)
+
+    def ask(self, block: list[np.ndarray], k: int, reach: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """For a block of queries, rows (query number, document, score): of each query all documents that
+        may be among its top ``k`` and come to its score to ``reach``."""
+        ids, _, n, terms, idf, number, times = block
+        at_common, at_rare = self._find(self.common, terms), self._find(self.term, terms)
+        end = np.cumsum(n)
+        step = max(1, CELLS // max(self.wide, 1))
+        for lo in range(0, len(ids) if self.n else 0, step):
+            hi = min(lo + step, len(ids))
+            part = slice(end[lo] - n[lo], end[hi - 1])
+            code = number[part]
+            query, weight = np.repeat(np.arange(hi - lo), n[lo:hi]), times[part] * idf[code]
+            rows = np.zeros((hi - lo, len(self.common)))
+            have = at_common[code] >= 0
+            rows[query[have], at_common[code[have]]] = weight[have]
+            have = at_rare[code] >= 0
+            rare = self._rare(hi - lo, query[have], at_rare[code[have]], weight[have])
+            for q, doc in self._candidates(rows.astype(np.float32), rare.astype(np.float32), k, reach[lo:hi]):
+                total = np.round(rare[q, doc] + np.einsum("pr,pr->p", rows[q], self.row[doc]), 9)
+                found = total > 0
+                yield [lo + q[found], doc[found], total[found]]
+
+    def _rare(self, queries: int, query: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Scores by the rarer terms, whose postings are added up for as many queries at once as hold few enough."""
+        out = np.zeros((queries, self.wide))
+        size = self.first[term + 1] - self.first[term]
+        upto = np.append(0, np.cumsum(size))[np.searchsorted(query, np.arange(queries + 1))]
+        lo = 0
+        while lo < queries:
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + POSTINGS, side="right")) - 1)
+            part = slice(*np.searchsorted(query, (lo, hi)))
+            post = ragged(self.first[term[part]], size[part])
+            cell, score = np.repeat((query[part] - lo) * self.wide, size[part]), np.repeat(weight[part], size[part])
+            cell += self.doc[post]
+            score *= self.gain[post]
+            out[lo:hi] = np.bincount(cell, weights=score, minlength=(hi - lo) * self.wide).reshape(hi - lo, self.wide)
+            lo = hi
+        return out
+
+    def _candidates(self, rows: np.ndarray, rare: np.ndarray, k: int, reach: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, document) that may be among the top ``k``, tiles of blocks by falling bound."""
+        queries = len(rows)
+        across = DOCS_A_BLOCK * BLOCKS_A_TILE
+        bound = rare.reshape(queries, self.blocks, DOCS_A_BLOCK).max(axis=2) + rows @ self.most.T
+        bound = bound.reshape(queries, -1, BLOCKS_A_TILE).max(axis=2) * (1 + ROOM)
+        reach = reach.astype(np.float32)
+        best = np.zeros((queries, k), np.float32)  # greatest scores of different runs of documents
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for tile in np.argsort(-bound.sum(axis=0), kind="stable").tolist():
+            live = np.flatnonzero((bound[:, tile] + LEAST >= reach) & (bound[:, tile] > 0))
+            if not len(live):
+                continue
+            at = slice(tile * across, (tile + 1) * across)
+            score = rows[live] @ self.rough[at].T + rare[live, at]
+            most = score
+            while most.shape[1] > RUNS and most.shape[1] % 2 == 0:
+                most = np.maximum(*np.hsplit(most, 2))
+            more = np.flatnonzero(most.max(axis=1) > best[live, 0])
+            if len(more):
+                best[live[more]] = np.partition(np.concatenate([best[live[more]], most[more]], axis=1), most.shape[1], axis=1)[:, most.shape[1] :]
+                reach[live] = np.maximum(reach[live], best[live, 0] * (1 - ROOM) - LEAST)
+            some = np.flatnonzero(most.max(axis=1) * (1 + ROOM) + LEAST >= reach[live])
+            q, doc = np.nonzero((score[some] * (1 + ROOM) + LEAST >= reach[live[some], None]) & (score[some] > 0))
+            held.append((live[some[q]], at.start + doc, score[some[q], doc]))
+        if not held:
+            return
+        query, doc, score = (np.concatenate(c) for c in zip(*held, strict=True))
+        keep = score * (1 + ROOM) + LEAST >= reach[query]
+        query, doc = query[keep], doc[keep]
+        step = max(1, POSTINGS // max(rows.shape[1], 1))
+        for lo in range(0, len(query), step):
+            yield query[lo : lo + step], doc[lo : lo + step]
 
 
 def _best(found: list[np.ndarray], k: int) -> list[np.ndarray]:
-    """Of rows (query id, its tag, id, tag, score) the ``k`` of each query that rank first."""
-    order = np.lexsort((found[3], found[2], -found[4], found[1], found[0]))
+    """Of rows (query number, id, tag, score) the ``k`` of each query that rank first."""
+    order = np.lexsort((found[2], found[1], -found[3], found[0]))
     found = [c[order] for c in found]
-    new = np.append(True, (found[0][1:] != found[0][:-1]) | (found[1][1:] != found[1][:-1])) if len(order) else np.zeros(0, bool)
+    new = np.append(True, found[0][1:] != found[0][:-1]) if len(order) else np.zeros(0, bool)
     start = np.flatnonzero(new)
     place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
     return [c[place < k] for c in found]
 
 
 def _search(k: int, mean: float, asked: list[bytes]):
-    def ask(blobs: list[bytes]) -> Iterator[list[np.ndarray]]:
-        shard = Shard(blobs, mean)
-        for block in asked:
-            ids, tags, n, terms, weights = _unpack(block)
-            ends = np.cumsum(n)
-            for i in range(len(ids)):
-                s = slice(ends[i] - n[i], ends[i])
-                best, score = shard.search(terms[s], weights[s], k)
-                yield [np.full(len(best), ids[i].view(np.int64)), np.full(len(best), tags[i].view(np.int64)), shard.ids[best], shard.tags[best], score]
-
     def run(batches) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
-        best = [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
+        ids, tags = (np.concatenate([_unpack(b)[i].view(np.int64) for b in asked] or [np.zeros(0, np.int64)]) for i in range(2))
+        best = [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        reach = np.zeros(len(ids))
 
         def merged() -> list[np.ndarray]:
-            return _best([np.concatenate(c) for c in zip(best, *ask(held), strict=True)], k)
+            shard, out, lo = Shard(held, mean), [], 0
+            for blob in asked:
+                block = _unpack(blob)
+                here = [[lo + q, shard.ids[doc], shard.tags[doc], score] for q, doc, score in shard.ask(block, k, reach[lo : lo + len(block[0])])]
+                if here:
+                    out.append(_best([np.concatenate(c) for c in zip(*here, strict=True)], k))
+                lo += len(block[0])
+            now = _best([np.concatenate(c) for c in zip(best, *out, strict=True)], k)
+            full = np.flatnonzero(np.bincount(now[0], minlength=len(ids)) >= k)
+            reach[full] = now[3][np.searchsorted(now[0], full, side="right") - 1]
+            return now
 
         for batch in batches:
             for blob in batch.column("blob"):
@@ -223,8 +264,9 @@ def _search(k: int, mean: float, asked: list[bytes]):
                     held.clear()
         if held:
             best = merged()
+        query, found, tag, score = best
         yield pa.RecordBatch.from_arrays(
-            [pa.array(best[0], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2], pa.int64(), mask=best[2] == NO_ID), pa.array(best[3], pa.int64()), pa.array(best[4], pa.float64())],
+            [pa.array(ids[query], pa.int64()), pa.array(tags[query], pa.int64()), pa.array(found, pa.int64(), mask=found == NO_ID), pa.array(tag, pa.int64()), pa.array(score, pa.float64())],
             names=["qid", "qtag", "id", "tag", "score"],
         )
 
@@ -252,7 +294,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     asked = queries.where(F.col(id_col).isNotNull()).select(*cols).mapInArrow(_query_terms, "qid long, qtag long, term long, times long").distinct()
     asked = written(asked, "query-terms")
     idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.join(df, "term").select("qid", "qtag", "term", (F.col("times") * idf).alias("weight"))
+    weighed = asked.join(df, "term").select("qid", "qtag", "term", "times", idf.alias("idf"))
     many = asked.select("qid", "qtag").distinct().count()
     blocks = max(1, -(-many // QUERIES_A_BLOCK))
     packed = written(weighed.withColumn("block", F.pmod(F.xxhash64("qid", "qtag"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(_block, "block int, blob binary"), "queries")

@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
+
 from linecast.llm import bm25
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -56,3 +58,35 @@ def test_edges(spark):
     assert run(spark, docs, queries, 10) == brute(docs, [q for q in queries if q[0] is not None], 10)
     assert run(spark, [], queries, 10) == []
     assert run(spark, docs, [], 10) == []
+
+
+def test_packs_of_queries_are_scored_at_once(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "CHUNK", 20_000)
+    monkeypatch.setattr(bm25, "SHARD_CHUNKS", 1)
+    monkeypatch.setattr(bm25, "DOCS_A_BLOCK", 16)
+    calls, real = [], bm25.Shard._candidates
+
+    def candidates(self, rows, rare, k, reach):
+        found = list(real(self, rows, rare, k, reach))
+        calls.append((len(rows), self.n, sum(len(q) for q, _ in found), bool(reach.any())))
+        return found
+
+    monkeypatch.setattr(bm25.Shard, "_candidates", candidates)
+    rnd = random.Random(8)
+    word = [f"w{int(rnd.paretovariate(0.5))}" for _ in range(3000)]
+    docs = [(i, " ".join(rnd.choice(word) for _ in range(rnd.randint(20, 60)))) for i in range(400)]
+    queries, k = [d for d in docs if d[0] % 8 == 0], 3
+    tf, mean = [Counter(words(t)) for _, t in docs], sum(len(words(t)) for _, t in docs) / len(docs)
+    df = Counter(w for x in tf for w in x)
+    index = list(bm25._index([pa.RecordBatch.from_arrays([pa.array([d[0] for d in docs]), pa.array([d[0] for d in docs]), pa.array([d[1] for d in docs])], names=["id", "tag", "__text"])]))
+    (asked,) = list(bm25._query_terms([pa.RecordBatch.from_arrays([pa.array([q[0] for q in queries]), pa.array([0] * len(queries)), pa.array([q[1] for q in queries])], names=["id", "tag", "__text"])]))
+    hashes = {w: int(h) for x in tf for w, h in zip(x, bm25.Words(pa.array([" ".join(x)]), bm25.GAP).hashes().view("int64"), strict=True)}
+    idf = {hashes[w]: math.log1p((len(docs) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    pdf = asked.to_pandas()
+    blob = bm25._block(pdf.assign(block=0, idf=pdf["term"].map(idf)))["blob"].iloc[0]
+    (out,) = list(bm25._search(k, mean, [blob])(index))
+    assert len(index) > 2 and [c[:2] for c in calls] == [(len(queries), x.column("docs")[0].as_py()) for x in index]
+    assert [c[3] for c in calls] == [False] + [True] * (len(index) - 1)
+    assert sum(c[2] for c in calls) < 0.2 * len(queries) * len(docs)
+    got = sorted((r.qid, r.id, round(r.score, 6)) for r in out.to_pandas().itertuples(index=False))
+    assert got == sorted((q, d, s) for q, _, d, s in brute(docs, queries, k))
